@@ -9,6 +9,28 @@ from pyspark.sql import functions as F
 from quiver.llm._common import table
 
 
+_USABLE = """SELECT vec_id, CAST(embedding AS DOUBLE[]) v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0"""
+
+OP3_SQL = f"""
+WITH RECURSIVE u AS ({_USABLE}),
+links AS (SELECT a.vec_id a, b.vec_id b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+          WHERE list_cosine_similarity(a.v, b.v) >= 0.9),
+reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+least AS (SELECT a, min(b) m FROM reach GROUP BY a)
+SELECT e.vec_id, CAST((SELECT count(*) FROM links WHERE links.a = e.vec_id) AS BIGINT) n_links, m AS component_id, m = e.vec_id AS kept
+FROM embeddings e JOIN least ON least.a = e.vec_id"""
+
+OP10_SQL = f"""
+WITH u AS ({_USABLE}),
+d AS (SELECT q.vec_id query_id, c.vec_id,
+        sqrt(list_reduce(list_transform(range(1, len(q.v) + 1), lambda i: (q.v[i] - c.v[i]) * (q.v[i] - c.v[i])), lambda a, b: a + b)) score FROM u q JOIN u c
+      ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS "rank", vec_id, score FROM d)
+SELECT * FROM r WHERE "rank" <= 10"""
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -21,6 +43,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op3_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quiver.llm.metric_join import similarity_join
+
+    return similarity_join(table(spark, sf_dir, "embeddings"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quiver.llm.packing import pack
 
@@ -39,6 +67,12 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quiver.llm.html_extraction import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quiver.llm.mixing import mix_report
 
@@ -51,12 +85,20 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quiver.llm.nearest import nearest
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def queries() -> dict:
     found = (
-        op1_language_id, op4_packing, op5_toxicity, op6_lm_scoring, op8_mixing, op9_simhash_dedup,
+        op1_language_id, op3_metric_join, op4_packing, op5_toxicity, op6_lm_scoring, op7_html_extraction,
+        op8_mixing, op9_simhash_dedup, op10_nearest,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_metric_join": OP3_SQL, "op10_nearest": OP10_SQL}

@@ -52,6 +52,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def extend(batch, drop: str, add: dict, take=None):
+    """An Arrow batch without column ``drop``, its rows picked by ``take`` if
+    given, and the columns ``add`` behind; values carried along stay as they are."""
+    import pyarrow as pa
+
+    kept = [c for c in batch.schema.names if c != drop]
+    arrays = [batch.column(c) if take is None else batch.column(c).take(pa.array(take, pa.int64())) for c in kept]
+    return pa.RecordBatch.from_arrays([*arrays, *add.values()], names=[*kept, *add])
+
+
 def id_remainder(column: str, mod: int) -> Column:
     """crc32 of the id as text, modulo ``mod``; a null id counts as empty text."""
     text = F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -17,11 +17,10 @@ import html as _html
 import re
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiver.llm._common import bounded_batches
+from quiver.llm._common import bounded_batches, extend
 
 WINDOW = 3
 #: Tag names.
@@ -182,8 +181,10 @@ def extract(pages: DataFrame, html: str = "html", carry: list[str] | None = None
     schema = pages.select(*carry).schema.add("text", "string").add("n_chars", "long")
 
     def run(batches):
-        for pdf in batches:
-            texts = [main_text(t) for t in pdf.pop("__html")]
-            yield pdf.assign(text=texts, n_chars=[len(t) for t in texts])
+        import pyarrow as pa
 
-    return pages.select(*carry, F.col(html).alias("__html")).mapInPandas(run, schema)
+        for batch in batches:
+            texts = [main_text(t) for t in batch.column("__html").to_pylist()]
+            yield extend(batch, "__html", {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
+
+    return pages.select(*carry, F.col(html).alias("__html")).mapInArrow(run, schema)

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quiver.llm._common import bounded_batches
+from quiver.llm._common import bounded_batches, extend, id_remainder
 
 #: Families of language codes; a code not listed is a family of its own.
 FAMILIES = {
@@ -177,17 +177,18 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
     spark = docs.sparkSession
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # fixed size: DIMS x machines
-    clash = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    docs = docs.select(*[F.col(f"`{c}`") for c in clash])
-    schema = docs.select("*").schema.add("lang_pred", "string").add("score", "double")
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")])
+    schema = docs.schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches):
+        import pyarrow as pa
+
         model = shared.value
-        for pdf in batches:
-            names, scores = np.full(len(pdf), "und", object), np.zeros(len(pdf))
+        for batch in batches:
+            names, scores = np.full(batch.num_rows, "und", object), np.zeros(batch.num_rows)
             rows, lids, counts, known = [], [], [], {}
             put = known.setdefault
-            for i, t in enumerate(pdf[text]):
+            for i, t in enumerate(batch.column("__text").to_pylist()):
                 if model is not None and has_letter(t):
                     words = words_of(t)
                     rows.append(i)
@@ -199,15 +200,12 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
                 total = np.add.reduceat(per_word[where], np.cumsum(counts) - counts, axis=0)
                 best, sure = model.decide(total / counts[:, None] + model.bias)
                 names[rows], scores[rows] = np.array(model.langs, object)[best], sure
-            pdf["lang_pred"], pdf["score"] = names, scores
-            yield pdf
+            yield extend(batch, "__text", {"lang_pred": pa.array(names, pa.string()), "score": pa.array(scores)})
 
-    return docs.mapInPandas(run, schema)
+    return docs.withColumn("__text", F.col(text)).mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id", mod: int = 3, rest: int = 1) -> Column:
-    from quiver.llm._common import id_remainder
-
     return id_remainder(id_col, mod) == rest
 
 

@@ -111,8 +111,8 @@ def shard_counts(slots: list[int], shard: int, seed: int) -> np.ndarray:
 
 
 def mix(docs: DataFrame, block: int = 1024, shard: int = 4096, cap: float = 3.0, weights: list[float] | None = None, seed: int = 42, id_col: str = "doc_id", source_col: str = "source", text: str = "text", carry: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(documents, draws).  documents: the ``carry`` columns, _uid, size,
-    source_size, target.  draws: _uid, shard, slot, epoch, from_word, words: the
+    """(documents, draws).  documents: the ``carry`` columns, _uid, _size,
+    _source_size, _target.  draws: _uid, shard, slot, epoch, from_word, words: the
     stretch of a document's words that a slot takes, repeats as own rows.
 
     Words are runs of non-blanks; null and empty texts have none and are never
@@ -124,25 +124,25 @@ def mix(docs: DataFrame, block: int = 1024, shard: int = 4096, cap: float = 3.0,
     spark, carry = docs.sparkSession, carry or [id_col]
     tie = F.xxhash64(F.col(id_col), F.col(text))
     base = materialize(
-        docs.select(*carry, F.col(source_col).alias("_source"), F.col(id_col).alias("_id"), word_count(text).alias("size"), tie.alias("_tie"), F.monotonically_increasing_id().alias("_uid"))
+        docs.select(*carry, F.col(source_col).alias("_source"), F.col(id_col).alias("_id"), word_count(text).alias("_size"), tie.alias("_tie"), F.monotonically_increasing_id().alias("_uid"))
     )
-    sums = sorted(base.groupBy("_source").agg(F.sum("size").alias("n")).collect(), key=lambda r: (r[0] is None, r[0] or ""))
+    sums = sorted(base.groupBy("_source").agg(F.sum("_size").alias("n")).collect(), key=lambda r: (r[0] is None, r[0] or ""))
     sizes = [int(r["n"]) for r in sums]
     goal = targets(sizes, weights or [1 + i % 3 for i in range(len(sums))], cap)
     drawn = [draw_slots(s, t, block, i, seed) for i, (s, t) in enumerate(zip(sizes, goal))]
-    sources = spark.createDataFrame([(r[0], i, sizes[i], goal[i]) for i, r in enumerate(sums)], "_source string, _no int, source_size long, target double")
+    sources = spark.createDataFrame([(r[0], i, sizes[i], goal[i]) for i, r in enumerate(sums)], "_source string, _no int, _source_size long, _target double")
     known = base.join(F.broadcast(sources), base["_source"].eqNullSafe(sources["_source"])).drop("_source")
 
     # word positions: rows in (cell, tie) order within a source, from sums of whole cells
     cell = F.pmod("_tie", F.lit(CELLS)).cast("int")
     known = known.withColumn("_cell", cell)
-    inside = Window.partitionBy("_no", "_cell").orderBy("_tie", "_id", "size", "_uid").rowsBetween(Window.unboundedPreceding, -1)
-    per_cell = known.groupBy("_no", "_cell").agg(F.sum("size").alias("n"))
+    inside = Window.partitionBy("_no", "_cell").orderBy("_tie", "_id", "_size", "_uid").rowsBetween(Window.unboundedPreceding, -1)
+    per_cell = known.groupBy("_no", "_cell").agg(F.sum("_size").alias("n"))
     earlier = Window.partitionBy("_no").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = per_cell.select("_no", "_cell", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_base"))
-    placed = known.where("size > 0").withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    placed = placed.join(starts, ["_no", "_cell"]).select("_uid", "_no", (F.col("_base") + F.col("_in")).alias("lo"), "size")
-    cover = placed.select("_uid", "_no", "lo", (F.col("lo") + F.col("size")).alias("hi"))
+    placed = known.where("_size > 0").withColumn("_in", F.coalesce(F.sum("_size").over(inside), F.lit(0)))
+    placed = placed.join(starts, ["_no", "_cell"]).select("_uid", "_no", (F.col("_base") + F.col("_in")).alias("lo"), "_size")
+    cover = placed.select("_uid", "_no", "lo", (F.col("lo") + F.col("_size")).alias("hi"))
     cover = cover.withColumn("blk", F.explode(F.sequence(F.floor(F.col("lo") / block), F.floor((F.col("hi") - 1) / block))))
 
     # slots of every shard, each with its place in its source's order of draws
@@ -168,11 +168,45 @@ def mix(docs: DataFrame, block: int = 1024, shard: int = 4096, cap: float = 3.0,
     start = F.greatest(F.col("lo"), F.col("blk") * block)
     end = F.least(F.col("hi"), F.col("blk") * block + F.col("limit"))
     draws = hit.select("_uid", "shard", "slot", "epoch", (start - F.col("lo")).alias("from_word"), (end - start).alias("words")).where("words > 0")
-    return known.select(*carry, "_uid", "size", "source_size", "target"), draws
+    return known.select(*carry, "_uid", "_size", "_source_size", "_target"), draws
 
 
 def mix_report(docs: DataFrame, **options) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken."""
     documents, draws = mix(docs, **options)
     taken = draws.groupBy("_uid").agg(F.sum("words").alias("taken"))
-    return documents.join(taken, "_uid", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return documents.join(taken, "_uid", "left").select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def mix_texts(docs: DataFrame, text: str = "text", **options) -> DataFrame:
+    """The mix as documents: for each pass over a source, a drawn document once
+    for every unbroken stretch of its words that was drawn, ``text`` being that
+    stretch (the whole text where all words were drawn).  Columns keep names and
+    order; documents without words are in no mix."""
+    columns = docs.columns
+    documents, draws = mix(docs, text=text, carry=columns, **options)
+    order = Window.partitionBy("_uid", "epoch").orderBy("from_word")
+    run = F.col("from_word") - F.coalesce(F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    stretches = draws.withColumn("run", run).groupBy("_uid", "epoch", "run")
+    stretches = stretches.agg(F.min("from_word").alias("_from"), F.sum("words").alias("_words")).drop("epoch", "run")
+    asked = documents.select(*columns, "_uid", "_size", F.col(text).alias("__text")).join(stretches, "_uid").drop("_uid")
+    schema = docs.select(*columns).schema
+    bounded_batches(docs.sparkSession)
+
+    def cut(batches):
+        import re
+
+        import pyarrow as pa
+
+        word = re.compile(f"[^{SPACE}]+")
+        for batch in batches:
+            out = []
+            for t, a, n, size in zip(*(batch.column(c).to_pylist() for c in ("__text", "_from", "_words", "_size"))):
+                if n < size:
+                    spans = [m.span() for m in word.finditer(t)][a : a + n]
+                    t = t[spans[0][0] : spans[-1][1]]
+                out.append(t)
+            arrays = [pa.array(out, batch.schema.field(c).type) if c == text else batch.column(c) for c in columns]
+            yield pa.RecordBatch.from_arrays(arrays, names=columns)
+
+    return asked.mapInArrow(cut, schema)

@@ -21,11 +21,10 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quiver.llm._common import bounded_batches, materialize
+from quiver.llm._common import bounded_batches, extend, materialize
 
 END_ID = 0
 
@@ -189,7 +188,7 @@ def place(plan: Plan, length: int, rank: np.ndarray) -> list[tuple]:
 
 def pack(docs: DataFrame, tokenizer: str, window: int = 1024, id_col: str = "doc_id", text: str = "text", ids: bool = False, carry: list[str] | None = None) -> DataFrame:
     """Pieces of ``docs`` in sequences of at most ``window`` tokens: the ``carry``
-    columns (the id by default), start, length, ids_crc32, doc_tokens,
+    columns (the id by default), row_id (one per row of ``docs``), start, length, ids_crc32, doc_tokens,
     sequence_id, offset, and with ``ids`` the piece's ids as little-endian bytes.
 
     Null text counts as empty: one piece with the end id.  Repeated rows are
@@ -204,18 +203,19 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, id_col: str = "doc
     spark, carry = docs.sparkSession, carry or [id_col]
     bounded_batches(spark)
     kept = docs.select(*carry, F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    bare = [c for c in carry]
-    cut = docs.select(*carry).schema.add("_start", "long").add("_length", "integer").add("_total", "long").add("_ids", "binary").add("_task", "integer").add("_rank", "long")
+    bare = [*carry, "row_id"]
+    cut = docs.select(*carry).schema.add("row_id", "long").add("_start", "long").add("_length", "integer").add("_total", "long").add("_ids", "binary").add("_task", "integer").add("_rank", "long")
 
     def tokenize(batches):
+        import pyarrow as pa
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        task, seen, enc = TaskContext.get().partitionId(), np.zeros(window + 1, np.int64), Encoder(tokenizer)
-        end = np.array([END_ID], "<u4").tobytes()
-        for pdf in batches:
+        task, seen, enc = TaskContext.get().partitionId(), [0] * (window + 1), Encoder(tokenizer)
+        end, row = pack_ids([END_ID]), task << 33
+        for batch in batches:
             rows, starts, lengths, totals, blobs, ranks = [], [], [], [], [], []
-            for i, t in enumerate(pdf["__text"]):
+            for i, t in enumerate(batch.column("__text").to_pylist()):
                 blob = enc.encode(t) + end
                 total = len(blob) // 4
                 for s in range(0, total, window):
@@ -224,14 +224,15 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, id_col: str = "doc
                     starts.append(s)
                     lengths.append(n)
                     totals.append(total)
-                    blobs.append(blob[4 * s : 4 * (s + n)])
+                    blobs.append(squeeze(blob[4 * s : 4 * (s + n)]))
                     ranks.append(seen[n])
                     seen[n] += 1
-            out = pdf[bare].iloc[rows].reset_index(drop=True)
-            out["_start"], out["_length"], out["_total"], out["_ids"], out["_task"], out["_rank"] = starts, lengths, totals, [squeeze(b) for b in blobs], task, ranks
-            yield out
+            new = {"row_id": pa.array(np.array(rows, np.int64) + row), "_start": pa.array(starts, pa.int64()), "_length": pa.array(lengths, pa.int32()), "_total": pa.array(totals, pa.int64())}
+            new |= {"_ids": pa.array(blobs, pa.binary()), "_task": pa.array([task] * len(rows), pa.int32()), "_rank": pa.array(ranks, pa.int64())}
+            yield extend(batch, "__text", new, rows)
+            row += batch.num_rows
 
-    pieces = materialize(kept.mapInPandas(tokenize, cut))
+    pieces = materialize(kept.mapInArrow(tokenize, cut))
     per_task = pieces.groupBy("_length", "_task").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("_length").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1))
     offsets = per_task.select("_length", "_task", F.coalesce(before, F.lit(0)).alias("_before"), "n")
@@ -239,35 +240,36 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, id_col: str = "doc
     histogram = {r["_length"]: r["n"] for r in offsets.groupBy("_length").agg(F.sum("n").alias("n")).collect()}
     plan = make_plan(histogram, window)  # at most `window` lengths came in
     shared = spark.sparkContext.broadcast(plan)
-    result = docs.select(*carry).schema.add("start", "long").add("length", "long").add("ids_crc32", "long").add("doc_tokens", "long").add("sequence_id", "long").add("offset", "long")
+    result = docs.select(*carry).schema.add("row_id", "long").add("start", "long").add("length", "long").add("ids_crc32", "long").add("doc_tokens", "long").add("sequence_id", "long").add("offset", "long")
     result = result.add("ids", "binary") if ids else result
 
     def assign(batches):
         from zlib import crc32
 
+        import pyarrow as pa
+
         plan = shared.value
-        for pdf in batches:
+        for batch in batches:
+            rank = batch.column("_rank").to_numpy() + batch.column("_before").to_numpy()
+            length = batch.column("_length").to_numpy()
             parts = []
-            rank = (pdf["_rank"] + pdf["_before"]).to_numpy()
-            length = pdf["_length"].to_numpy()
             for n in np.unique(length):
                 mine = np.flatnonzero(length == n)
-                for which, start, size, seq, off in place(plan, int(n), rank[mine]):
-                    parts.append(pd.DataFrame({"row": mine[which], "at": start, "size": size, "sequence_id": seq, "offset": off}))
+                parts += [(mine[which], *np.broadcast_arrays(start, size, seq, off, which)[:4]) for which, start, size, seq, off in place(plan, int(n), rank[mine])]
             if not parts:
                 continue
-            got = pd.concat(parts, ignore_index=True)
-            src = pdf.iloc[got["row"].to_numpy()].reset_index(drop=True)
-            out = src[bare].copy()
-            blobs = [spread(b)[4 * a : 4 * (a + n)] for b, a, n in zip(src["_ids"], got["at"], got["size"])]
-            out["start"], out["length"] = src["_start"] + got["at"], got["size"]
-            out["ids_crc32"], out["doc_tokens"] = [crc32(b) for b in blobs], src["_total"]
-            out["sequence_id"], out["offset"] = got["sequence_id"], got["offset"]
+            row, at, size, seq, off = (np.concatenate(x).astype(np.int64) for x in zip(*parts))
+            whole, blobs = batch.column("_ids").to_pylist(), []
+            for i, a, n in zip(row.tolist(), at.tolist(), size.tolist()):
+                blobs.append(spread(whole[i])[4 * a : 4 * (a + n)])
+            new = {"start": batch.column("_start").to_numpy()[row] + at, "length": size, "ids_crc32": np.fromiter(map(crc32, blobs), np.int64, len(blobs))}
+            new |= {"doc_tokens": batch.column("_total").to_numpy()[row], "sequence_id": seq, "offset": off}
+            columns = {k: pa.array(v, pa.int64()) for k, v in new.items()}
             if ids:
-                out["ids"] = blobs
-            yield out
+                columns["ids"] = pa.array(blobs, pa.binary())
+            yield extend(batch.select(bare), "", columns, row)
 
-    return pieces.join(offsets.drop("n"), ["_length", "_task"]).mapInPandas(assign, result)
+    return pieces.join(offsets.drop("n"), ["_length", "_task"]).mapInArrow(assign, result)
 
 
 def squeeze(blob: bytes) -> bytes:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quiver.llm._common import table
+from quiver.llm.secret_scan import ACCESS, ASSIGN, CANDIDATE, ENDPOINT, HEX, REACH
 
 
 _USABLE = """SELECT vec_id, CAST(embedding AS DOUBLE[]) v FROM embeddings
@@ -31,6 +32,30 @@ r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sc
 SELECT * FROM r WHERE "rank" <= 10"""
 
 
+def _spans(kind: str, pattern: str, value: int, extra: str = "true") -> str:
+    """SQL list of (s, k, e, v) of a pattern's matches in ``t``, v being group ``value``."""
+    found, group = f"regexp_extract_all(t, $${pattern}$$, 0)", f"regexp_extract_all(t, $${pattern}$$, {value})"
+    before = f"len(list_aggregate(list_prepend('', list_concat(string_split_regex(t, $${pattern}$$)[1:i], {found}[1:i - 1])), 'string_agg', ''))"
+    item = f"{{'s': {before}, 'k': {kind}, 'e': {before} + len({found}[i]), 'v': {group}[i]}}"
+    return f"list_filter(list_transform(range(1, len({found}) + 1), lambda i: {item}), lambda x: {extra})"
+
+
+OP2_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') t FROM documents),
+b AS (SELECT doc_id, t, {_spans("0", ASSIGN, 1, "len(x.v) >= 6")} a, {_spans("1", ACCESS, 0)} ac, {_spans("2", HEX, 0)} h FROM d),
+w AS (SELECT *, list_sort(list_concat(list_concat(a, ac), h)) base,
+  CASE WHEN len(ac) > 0 THEN {_spans("3", CANDIDATE, 0, "regexp_matches(x.v, '[0-9]') AND regexp_matches(x.v, '[a-z]') AND regexp_matches(x.v, '[A-Z]')")} ELSE [] END c,
+  CASE WHEN len(ac) > 0 THEN {_spans("4", ENDPOINT, 0)} ELSE [] END ep FROM b),
+l AS (SELECT *, list_filter(c, lambda x: len(list_filter(ac, lambda y: y.s - {REACH} < x.e AND x.s < y.e + {REACH})) > 0) c2 FROM w),
+m AS (SELECT *, list_filter(ep, lambda x: len(list_filter(ac, lambda y: y.s - {REACH} < x.e AND x.s < y.e + {REACH})) > 0
+  AND len(list_filter(list_concat(list_concat(a, h), c2), lambda y: y.s - {REACH} < x.e AND x.s < y.e + {REACH})) > 0) e2 FROM l),
+j AS (SELECT doc_id, a, ac, h, base, list_sort(list_concat(list_concat(base, c2), e2)) al FROM m),
+f AS (SELECT doc_id, a, ac, h,
+  array_to_string(list_transform(base, lambda x: (['assign','access','hex','secret','endpoint'])[x.k + 1] || ':' || x.s || ':' || x.e), ',') bj,
+  array_to_string(list_transform(al, lambda x: (['assign','access','hex','secret','endpoint'])[x.k + 1] || ':' || x.s || ':' || x.e), ',') aj FROM j)
+SELECT doc_id, CAST(len(a) AS BIGINT) n_assign, CAST(len(ac) AS BIGINT) n_access, CAST(len(h) AS BIGINT) n_hex, sha256(bj) base_sha256, aj spans FROM f"""
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -43,6 +68,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quiver.llm.secret_scan import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
 def op3_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quiver.llm.metric_join import similarity_join
 
@@ -94,11 +125,11 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     found = (
-        op1_language_id, op3_metric_join, op4_packing, op5_toxicity, op6_lm_scoring, op7_html_extraction,
+        op1_language_id, op2_secret_scan, op3_metric_join, op4_packing, op5_toxicity, op6_lm_scoring, op7_html_extraction,
         op8_mixing, op9_simhash_dedup, op10_nearest,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_metric_join": OP3_SQL, "op10_nearest": OP10_SQL}
+    return {"op2_secret_scan": OP2_SQL, "op3_metric_join": OP3_SQL, "op10_nearest": OP10_SQL}

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiver.llm._common import bounded_batches, connected_components, materialize
+from quiver.llm._common import bounded_batches, connected_components, extend, materialize
 
 BITS = 64
 #: Rows of one chunk of a bucket; larger buckets are split.
@@ -55,17 +55,17 @@ def with_fingerprints(docs: DataFrame, carry: list[str], text: str = "text", wid
     schema = docs.select(*[F.col(c) for c in carry]).schema.add("_uid", "long").add("_fp", "long")
 
     def run(batches):
+        import pyarrow as pa
         from pyspark import TaskContext
 
         at = TaskContext.get().partitionId() << 33
-        for pdf in batches:
-            fps = np.fromiter((text_fingerprint(t, width) for t in pdf.pop("__text")), dtype=np.uint64, count=len(pdf))
-            pdf["_uid"] = np.arange(at, at + len(pdf), dtype=np.int64)
-            pdf["_fp"] = fps.view(np.int64)
-            at += len(pdf)
-            yield pdf
+        for batch in batches:
+            n = batch.num_rows
+            fps = np.fromiter((text_fingerprint(t, width) for t in batch.column("__text").to_pylist()), np.uint64, n)
+            yield extend(batch, "__text", {"_uid": pa.array(np.arange(at, at + n)), "_fp": pa.array(fps.view(np.int64))})
+            at += n
 
-    return docs.select(*carry, F.col(text).alias("__text")).mapInPandas(run, schema)
+    return docs.select(*carry, F.col(text).alias("__text")).mapInArrow(run, schema)
 
 
 # ---- planning -------------------------------------------------------------

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiver.llm._common import bounded_batches, id_remainder
+from quiver.llm._common import bounded_batches, extend, id_remainder
 
 BITS = 20
 SIZE = 1 << BITS
@@ -128,22 +128,23 @@ def predict(docs: DataFrame, model, text: str = "text") -> DataFrame:
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("score", "predicted")])
-    schema = docs.select("*").schema.add("score", "double").add("predicted", "integer")
+    schema = docs.schema.add("score", "double").add("predicted", "integer")
     shared = spark.sparkContext.broadcast(model)  # at most 2**BITS coordinates
 
     def run(batches):
+        import pyarrow as pa
+
         at, w, bias = shared.value
         dense = np.zeros(SIZE, np.float32)
         dense[at] = w
-        for pdf in batches:
-            pdf["score"] = score_dense(pdf[text], dense, bias)
-            pdf["predicted"] = (pdf["score"] >= 0.5).astype(np.int32)
-            yield pdf
+        for batch in batches:
+            score = score_dense(batch.column("__text").to_pylist(), dense, bias)
+            yield extend(batch, "__text", {"score": pa.array(score, pa.float64()), "predicted": pa.array((score >= 0.5).astype(np.int32))})
 
-    return docs.mapInPandas(run, schema)
+    return docs.withColumn("__text", F.col(text)).mapInArrow(run, schema)
 
 
 def score(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, mod: int = 5, rest: int = 0) -> DataFrame:
     """doc_id, held_out, score, predicted; labels of held-out ids are not used."""
     model = train(docs, labels.where(id_remainder("doc_id", mod) != rest), max_rows)
-    return predict(docs.select("doc_id", (id_remainder("doc_id", mod) == rest).alias("held_out"), "text"), model).drop("text")
+    return predict(docs.select("doc_id", (id_remainder("doc_id", mod) == rest).alias("held_out"), F.col("text")), model).drop("text")

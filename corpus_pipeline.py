@@ -1,8 +1,74 @@
-"""The corpus pipeline (stages follow)."""
+"""The corpus pipeline: five stages over ``documents``, each a table of its own.
 
-STAGES = []
+language_id    texts without a letter, and those the models are at a loss with, go
+simhash_dedup  one document of each group of near copies stays, the smallest id
+secret_scan    every span found is replaced by a mark
+mixing         documents repeat, or shrink to the stretch drawn, by source targets
+packing        pieces of at most 1024 tokens, placed in sequences
+
+A stage takes (spark, docs, sf_dir) and returns the columns of ``docs``, but for
+the last, which returns the pieces.  Nulls, empty texts, repeated rows, empty
+tables and extra columns are handled as the operators state; ``n_chars``, where
+there is one, follows the text.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quiver.llm import language_id, mixing, packing, secret_scan, simhash_dedup
+from quiver.llm._common import materialize, table
+from quiver.llm.queries import tokenizer_path
+
+#: Language scores below this are rejected.
+MIN_SCORE = 0.2
+
+
+def with_length(docs: DataFrame) -> DataFrame:
+    if "n_chars" not in docs.columns:
+        return docs
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = language_id.train(docs.where(~language_id.held_out()))
+    judged = language_id.predict(docs.withColumnsRenamed({c: f"_in_{c}" for c in docs.columns}), model, "_in_text")
+    kept = judged.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE))
+    return kept.select(*[F.col(f"_in_{c}").alias(c) for c in docs.columns])
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    groups = simhash_dedup.simhash_groups(docs, carry=docs.columns)
+    return groups.where("kept").select(*docs.columns)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return with_length(secret_scan.redact(docs))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return with_length(mixing.mix_texts(docs))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, tokenizer_path())
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("simhash_dedup", drop_near_copies),
+    ("secret_scan", mask_secrets),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: Trained models, fingerprints and tokens cannot be said in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

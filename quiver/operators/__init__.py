@@ -1 +1 @@
-
+"""Operators over tables, positioned vectors, nested cells and matrices."""

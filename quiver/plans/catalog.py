@@ -1,24 +1,666 @@
-"""Every query of the library's own operators, with the SQL that checks it."""
+"""Every query of the library's own operators, each with the SQL that checks it.
+
+A query is registered under its function's name by ``@query(sql)``; without SQL
+only its rows are checked here, and tests hold it against known results.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quiver.functions import codec, dates, draws, numtheory as nt, text
+from quiver.functions import expr as e
+from quiver.operators import cells as c
+from quiver.operators import linalg as la
+from quiver.operators import tables as t
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(fn):
+        _QUERIES[fn.__name__] = fn
+        if sql is not None:
+            _SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
 
-def _read(spark, sf_dir, name):
+def read(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def simple(name: str, table: str, columns: dict, sql: str, where: str | None = None):
+    """Register a projection: ``columns`` maps names to zero-argument builders."""
+
+    def run(spark, sf_dir):
+        df = read(spark, sf_dir, table)
+        return (df.where(where) if where else df).select(*[b().alias(n) for n, b in columns.items()])
+
+    run.__name__ = name
+    query(f"SELECT {sql} FROM {table}" + (f" WHERE {where}" if where else ""))(run)
+
+
+def line(name, build, sql, out="v"):
+    simple(name, "lineitem", {"l_orderkey": lambda: F.col("l_orderkey"), out: build}, f"l_orderkey, {sql} AS {out}")
+
+
+def order(name, build, sql, out="v"):
+    simple(name, "orders", {"o_orderkey": lambda: F.col("o_orderkey"), out: build}, f"o_orderkey, {sql} AS {out}")
+
+
+def part(name, build, sql, out="v"):
+    simple(name, "part", {"p_partkey": lambda: F.col("p_partkey"), out: build}, f"p_partkey, {sql} AS {out}")
+
+
+# ---- arithmetic and predicates ---------------------------------------------------
+
+price, qty, disc, tax = "l_extendedprice", "l_quantity", "l_discount", "l_tax"
+line("arith_plus", lambda: F.col(price) + F.col(tax), "l_extendedprice + l_tax")
+line("arith_minus", lambda: F.col(price) - F.col(qty), "l_extendedprice - l_quantity")
+line("arith_times", lambda: F.round(F.col(price) * (1 - F.col(disc)), 4), "round(l_extendedprice * (1 - l_discount), 4)")
+line("arith_divide", lambda: e.divide(price, F.col(disc)), "l_extendedprice / l_discount")
+line("reciprocal", lambda: e.reciprocal(tax), "1 / l_tax")
+line("negate", lambda: -F.col(price), "-l_extendedprice")
+line("min_and", lambda: e.minimum(qty, F.lit(25.0)), "least(l_quantity, 25.0::DOUBLE)")
+line("max_or", lambda: e.maximum(qty, F.lit(25.0)), "greatest(l_quantity, 25.0::DOUBLE)")
+line("less", lambda: e.less(disc, tax), "(l_discount < l_tax)::INT")
+line("greater", lambda: e.more(disc, tax), "(l_discount > l_tax)::INT")
+line("equal", lambda: e.equal("l_returnflag", F.lit("R")), "(l_returnflag = 'R')::INT")
+line("match", lambda: e.match(disc, tax), "(l_discount IS NOT DISTINCT FROM l_tax)::INT")
+line("not_mask", lambda: e.not_(tax), "(l_tax = 0)::INT")
+line("floor", lambda: e.floor(price), "floor(l_extendedprice)::BIGINT")
+line("round_to_multiple", lambda: e.round_down(0.5, qty), "floor(l_quantity / 0.5) * 0.5")
+line("round_half_even", lambda: e.round_even(10.0, qty), "10.0::DOUBLE * round_even(l_quantity / 10.0, 0)")
+line("conditional", lambda: e.cond(F.col(qty) > 40, F.lit("high"), F.col(qty) > 20, F.lit("mid"), F.lit("low")), "CASE WHEN l_quantity > 40 THEN 'high' WHEN l_quantity > 20 THEN 'mid' ELSE 'low' END")
+order("mod_floored", lambda: e.modulo(F.col("o_orderkey"), F.lit(-7).cast("bigint")), "CASE WHEN o_orderkey % -7 <> 0 AND o_orderkey % -7 > 0 THEN o_orderkey % -7 - 7 ELSE o_orderkey % -7 END")
+order("int_div", lambda: e.int_divide(F.col("o_orderkey"), F.lit(7).cast("bigint")), "(o_orderkey // 7)::BIGINT")
+order("bit_and", lambda: F.col("o_orderkey").bitwiseAND(F.col("o_custkey")), "o_orderkey & o_custkey")
+order("bit_or", lambda: F.col("o_orderkey").bitwiseOR(F.col("o_custkey")), "o_orderkey | o_custkey")
+order("bit_xor", lambda: F.col("o_orderkey").bitwiseXOR(F.col("o_custkey")), "xor(o_orderkey, o_custkey)")
+order("bit_not", lambda: F.bitwise_not("o_orderkey"), "~o_orderkey")
+order("shift_left", lambda: e.shift("o_orderkey", 3), "o_orderkey << 3")
+order("shift_right", lambda: e.shift("o_orderkey", -3), "o_orderkey >> 3")
+order("rotate_bits", lambda: e.rotate_bits("o_orderkey", 5), "(o_orderkey << 5)")
+order("power", lambda: F.round(e.power(F.col("o_totalprice"), F.lit(0.5)), 6), "round(pow(o_totalprice, 0.5), 6)")
+part("choose", lambda: F.round(e.choose(F.col("p_size"), F.lit(2)), 4), "round(p_size * (p_size - 1) / 2.0::DOUBLE, 4)")
+part("math_log", lambda: F.round(e.log("p_retailprice"), 9), "round(ln(p_retailprice), 9)")
+part("math_exp", lambda: F.round(F.exp(F.col("p_size") / 100), 9), "round(exp(p_size / 100), 9)")
+part("math_sqrt", lambda: F.round(F.sqrt("p_retailprice"), 9), "round(sqrt(p_retailprice), 9)")
+part("math_sqr", lambda: F.col("p_size").cast("double") * F.col("p_size"), "p_size::DOUBLE * p_size")
+part("math_abs", lambda: F.abs(F.col("p_size") - 25), "abs(p_size - 25)")
+part("math_ceil", lambda: F.ceil("p_retailprice").cast("double"), "ceil(p_retailprice)")
+part("math_trunc", lambda: e.trunc(F.col("p_retailprice") - 1500), "trunc(p_retailprice - 1500)")
+part("math_rint", lambda: F.rint(F.col("p_size") / 2), "round_even(p_size / 2, 0)")
+for fn in ("sin", "cos", "tan", "atan", "sinh", "cosh", "tanh"):
+    part(f"math_{fn}", lambda fn=fn: F.round(getattr(F, fn)(F.col("p_size") / 10), 8), f"round({fn}(p_size / 10), 8)")
+for fn in ("asin", "acos"):
+    part(f"math_{fn}", lambda fn=fn: F.round(getattr(F, fn)(F.col("p_size") / 100), 9), f"round({fn}(p_size / 100), 9)")
+part("math_atan2", lambda: F.round(F.atan2(F.col("p_size").cast("double"), F.col("p_retailprice")), 9), "round(atan2(p_size, p_retailprice), 9)")
+part("math_hypot", lambda: F.round(F.hypot(F.col("p_size").cast("double"), F.col("p_retailprice")), 7), "round(sqrt(p_size::DOUBLE * p_size + p_retailprice * p_retailprice), 7)")
+part("math_gamma", lambda: F.round(e.gamma(F.col("p_size") / 10 + 0.05), 8), "round(gamma(p_size / 10 + 0.05::DOUBLE), 8)")
+part("math_lgamma", lambda: F.round(e.lgamma(F.col("p_size") + 0.5), 8), "round(lgamma(p_size + 0.5::DOUBLE), 8)")
+
+
+@query()
+def math_erf(spark, sf_dir):
+    return read(spark, sf_dir, "part").select("p_partkey", F.round(e.erf(F.col("p_size") / 20), 9).alias("erf"), F.round(e.erfc(F.col("p_size") / 20), 9).alias("erfc"))
+
+
+# ---- filters, folds, groups --------------------------------------------------------
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 200000")
+def where_filter(spark, sf_dir):
+    return read(spark, sf_dir, "orders").where("o_totalprice > 200000").select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT pos FROM (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 pos, o_totalprice FROM orders) WHERE o_totalprice > 200000")
+def where_index(spark, sf_dir):
+    return t.with_pos(read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"]).where("o_totalprice > 200000").select("pos")
+
+
+@query("SELECT round(sum(l_extendedprice), 2) s, round(min(l_discount), 4) mn, max(l_quantity) mx, count(*) n, bool_and(l_quantity > 0) al, bool_or(l_tax > 0.07) an FROM lineitem")
+def over_fold(spark, sf_dir):
+    return t.over(read(spark, sf_dir, "lineitem"), s=F.round(F.sum(price), 2), mn=F.round(F.min(disc), 4), mx=F.max(qty), n=F.count("*"), al=F.bool_and(F.col(qty) > 0), an=F.bool_or(F.col(tax) > 0.07))
+
+
+@query("SELECT r_regionkey, product(n_nationkey + 1)::DOUBLE p FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+def over_product(spark, sf_dir):
+    n = read(spark, sf_dir, "nation")
+    return n.groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.product(F.col("n_nationkey") + 1).alias("p"))
+
+
+@query("SELECT 0::BIGINT s, 1::DOUBLE p, 0::BIGINT n")
+def over_empty(spark, sf_dir):
+    empty = read(spark, sf_dir, "orders").where("o_orderkey < 0")
+    return empty.agg(F.coalesce(F.sum("o_orderkey"), F.lit(0)).cast("long").alias("s"), F.coalesce(F.product("o_totalprice"), F.lit(1.0)).alias("p"), F.count("*").alias("n"))
+
+
+@query("SELECT c_nationkey, CAST(2 * min_by(c_custkey, c_custkey) - sum(c_custkey) AS BIGINT) folded FROM customer GROUP BY 1")
+def over_minus(spark, sf_dir):
+    cust = read(spark, sf_dir, "customer").withColumn("pos", F.col("c_custkey"))
+    lists = cust.groupBy("c_nationkey").agg(F.sort_array(F.collect_list("c_custkey")).alias("l"))
+    return lists.select("c_nationkey", c.over(lambda x, y: x - y, "l").alias("folded"))
+
+
+@query("SELECT l_returnflag, round(sum(l_extendedprice), 2) s, count(*) n FROM lineitem WHERE l_quantity > 30 GROUP BY 1")
 def group_agg(spark, sf_dir):
-    return (
-        _read(spark, sf_dir, "lineitem").where("l_quantity > 30").groupBy("l_returnflag")
-        .agg(F.round(F.sum("l_extendedprice"), 2).alias("s"), F.count("*").alias("n"))
-    )
+    return t.group_agg(read(spark, sf_dir, "lineitem").where(F.col(qty) > 30), ["l_returnflag"], s=F.round(F.sum(price), 2), n=F.count("*"))
+
+
+@query("SELECT l_returnflag, l_linestatus, sum(l_quantity) q, round(avg(l_discount), 8) d, count(*) n FROM lineitem GROUP BY 1, 2")
+def multi_key_group(spark, sf_dir):
+    return t.group_agg(read(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], q=F.sum(qty), d=F.round(F.avg(disc), 8), n=F.count("*"))
+
+
+@query("SELECT n_regionkey, min(n_nationkey)::INT AS \"first\", list_sort(list(n_nationkey)) positions FROM nation GROUP BY 1")
+def group_positions(spark, sf_dir):
+    return t.group(read(spark, sf_dir, "nation"), "n_regionkey", "n_nationkey")
+
+
+@query("SELECT event_type, min(event_id) AS \"first\" FROM events GROUP BY 1")
+def group_first_seen(spark, sf_dir):
+    return t.distinct_first(read(spark, sf_dir, "events"), "event_type", "event_id")
+
+
+@query("SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem")
+def distinct(spark, sf_dir):
+    return read(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus").distinct()
+
+
+@query("SELECT count(DISTINCT l_partkey) parts, count(DISTINCT l_suppkey) supps FROM lineitem")
+def count_distinct(spark, sf_dir):
+    return read(spark, sf_dir, "lineitem").agg(F.countDistinct("l_partkey").alias("parts"), F.countDistinct("l_suppkey").alias("supps"))
+
+
+@query("SELECT floor(o_totalprice / 50000)::BIGINT bucket, count(*) n FROM orders GROUP BY 1")
+def histogram(spark, sf_dir):
+    return t.histogram(read(spark, sf_dir, "orders"), F.floor(F.col("o_totalprice") / 50000).cast("long"))
+
+
+@query("SELECT l_returnflag, round(sum(l_extendedprice * l_quantity) / sum(l_quantity), 6) m FROM lineitem GROUP BY 1")
+def weighted_mean(spark, sf_dir):
+    return read(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.round(t.weighted_mean(price, qty), 6).alias("m"))
+
+
+@query("SELECT p_brand, round(var_pop(p_retailprice), 4) v, round(stddev_pop(p_retailprice), 6) s, round(median(p_retailprice), 6) m, round(avg(p_retailprice), 6) a FROM part GROUP BY 1")
+def statistics(spark, sf_dir):
+    p = "p_retailprice"
+    return read(spark, sf_dir, "part").groupBy("p_brand").agg(F.round(F.var_pop(p), 4).alias("v"), F.round(F.stddev_pop(p), 6).alias("s"), F.round(F.median(p), 6).alias("m"), F.round(F.avg(p), 6).alias("a"))
+
+
+@query("SELECT round(regr_slope(p_retailprice, p_size), 8) slope, round(regr_intercept(p_retailprice, p_size), 6) base FROM part")
+def linear_fit(spark, sf_dir):
+    return read(spark, sf_dir, "part").agg(F.round(F.regr_slope("p_retailprice", "p_size"), 8).alias("slope"), F.round(F.regr_intercept("p_retailprice", "p_size"), 6).alias("base"))
+
+
+@query("SELECT round(sum(l_quantity * l_extendedprice), 2) dot, round(sqrt(sum(l_quantity * l_quantity)), 6) mag FROM lineitem")
+def dot_and_mag(spark, sf_dir):
+    return read(spark, sf_dir, "lineitem").agg(F.round(F.sum(F.col(qty) * F.col(price)), 2).alias("dot"), F.round(F.sqrt(F.sum(F.col(qty) * F.col(qty))), 6).alias("mag"))
+
+
+@query("SELECT o_custkey, round(max(o_totalprice) - min(o_totalprice), 4) range, mode(o_orderstatus) IS NOT NULL has FROM orders GROUP BY 1")
+def group_spread(spark, sf_dir):
+    return read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.round(F.max("o_totalprice") - F.min("o_totalprice"), 4).alias("range"), F.mode("o_orderstatus").isNotNull().alias("has"))
+
+
+# ---- windows ------------------------------------------------------------------------
+
+BY, BY_TS = ["user_id"], ["ts", "event_id"]
+_W = "(PARTITION BY user_id ORDER BY ts, event_id"
+
+
+def event(name, build, sql):
+    def run(spark, sf_dir):
+        return read(spark, sf_dir, "events").select("event_id", build().alias("v"))
+
+    run.__name__ = name
+    query(f"SELECT event_id, {sql} v FROM events")(run)
+
+
+event("scan_sum", lambda: F.round(t.scan(F.sum, "value", BY, BY_TS), 4), f"round(sum(value) OVER {_W} ROWS UNBOUNDED PRECEDING), 4)")
+event("scan_max", lambda: t.scan(F.max, "value", BY, BY_TS), f"max(value) OVER {_W} ROWS UNBOUNDED PRECEDING)")
+event("scan_min", lambda: t.scan(F.min, "value", BY, BY_TS), f"min(value) OVER {_W} ROWS UNBOUNDED PRECEDING)")
+event("first_diff", lambda: t.each_prior(lambda x, p: x - p, "value", BY, BY_TS), f"value - lag(value) OVER {_W})")
+event("ratio", lambda: F.round(t.each_prior(lambda x, p: e.divide(x, p), "value", BY, BY_TS), 6), f"round(value / lag(value) OVER {_W}), 6)")
+event("shift_back", lambda: F.lag("value", 2, 0.0).over(t.ordered(BY, BY_TS)), f"lag(value, 2, 0) OVER {_W})")
+event("shift_ahead", lambda: F.lead("value", 1).over(t.ordered(BY, BY_TS)), f"lead(value) OVER {_W})")
+event("moving_sum", lambda: F.round(t.moving(F.sum, "value", 3, BY, BY_TS), 4), f"round(sum(value) OVER {_W} ROWS 2 PRECEDING), 4)")
+event("moving_max", lambda: t.moving(F.max, "value", 5, BY, BY_TS), f"max(value) OVER {_W} ROWS 4 PRECEDING)")
+event("segment_of", lambda: t.segments(F.col("event_type") == "purchase", BY, BY_TS), f"CAST(sum((event_type = 'purchase')::INT) OVER {_W} ROWS UNBOUNDED PRECEDING) AS BIGINT)")
+event("running_parity", lambda: t.segments(F.col("event_type") == "error", BY, BY_TS) % 2, f"CAST(sum((event_type = 'error')::INT) OVER {_W} ROWS UNBOUNDED PRECEDING) AS BIGINT) % 2")
+
+
+@query(f"SELECT event_id, round(sum(value) OVER (PARTITION BY user_id, seg ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 4) v FROM (SELECT *, sum((event_type = 'purchase')::INT) OVER {_W} ROWS UNBOUNDED PRECEDING) seg FROM events)")
+def segmented_scan(spark, sf_dir):
+    ev = read(spark, sf_dir, "events").withColumn("seg", t.segments(F.col("event_type") == "purchase", BY, BY_TS))
+    return ev.select("event_id", F.round(t.scan(F.sum, "value", ["user_id", "seg"], BY_TS), 4).alias("v"))
+
+
+@query(f"SELECT event_id, slid FROM (SELECT event_id, row_number() OVER {_W}) - 1 n, lead(value) OVER {_W}) - value slid FROM events) WHERE n % 2 = 0 AND slid IS NOT NULL")
+def slide_pairs(spark, sf_dir):
+    return t.slide(read(spark, sf_dir, "events"), lambda x, y: y - x, "value", BY, BY_TS, 2).select("event_id", "slid")
+
+
+@query(f"SELECT user_id, event_type, length, count(*) n FROM (SELECT user_id, run, event_type, count(*) length FROM (SELECT *, sum(m) OVER {_W} ROWS UNBOUNDED PRECEDING) run FROM (SELECT *, (event_type IS DISTINCT FROM lag(event_type) OVER {_W}))::INT m FROM events)) GROUP BY 1, 2, 3) GROUP BY 1, 2, 3")
+def run_lengths(spark, sf_dir):
+    return t.runs(read(spark, sf_dir, "events"), "event_type", BY, BY_TS).groupBy("user_id", "event_type", "length").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, round(sum(value) OVER (ORDER BY event_id), 2) running FROM events")
+def global_scan(spark, sf_dir):
+    out = t.global_scan(read(spark, sf_dir, "events").select("event_id", "value"), "value", ["event_id"])
+    return out.select("event_id", F.round("running", 2).alias("running"))
+
+
+# ---- order ---------------------------------------------------------------------------
+
+
+@query("SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1 AS \"rank\" FROM customer")
+def grade_up(spark, sf_dir):
+    ranked = t.with_pos(read(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), ["c_acctbal", "c_custkey"], "rank")
+    return ranked.select("c_custkey", "rank")
+
+
+@query("SELECT c_custkey, row_number() OVER (ORDER BY -c_acctbal, c_custkey) - 1 AS \"rank\" FROM customer")
+def grade_down(spark, sf_dir):
+    down = read(spark, sf_dir, "customer").select("c_custkey", (-F.col("c_acctbal")).alias("k"))
+    return t.with_pos(down, ["k", "c_custkey"], "rank").select("c_custkey", "rank")
+
+
+@query("SELECT c_custkey, rank() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) - 1 r, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment, c_custkey) - 1 d FROM customer")
+def rank_shareable(spark, sf_dir):
+    w = Window.partitionBy("c_nationkey")
+    return read(spark, sf_dir, "customer").select("c_custkey", (F.rank().over(w.orderBy("c_mktsegment")) - 1).cast("long").alias("r"), (F.row_number().over(w.orderBy("c_mktsegment", "c_custkey")) - 1).cast("long").alias("d"))
+
+
+@query("SELECT c_custkey, row_number() OVER (ORDER BY c_nationkey, c_mktsegment, c_custkey) - 1 AS \"rank\" FROM customer")
+def multi_key_sort(spark, sf_dir):
+    cols = ["c_nationkey", "c_mktsegment", "c_custkey"]
+    return t.with_pos(read(spark, sf_dir, "customer").select(*cols), cols, "rank").select("c_custkey", "rank")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
+def topk(spark, sf_dir):
+    return t.top(read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), 10, F.desc("o_totalprice"), "o_orderkey")
+
+
+@query("SELECT o_orderkey FROM orders ORDER BY o_orderkey DESC LIMIT 7")
+def take_tail(spark, sf_dir):
+    return t.top(read(spark, sf_dir, "orders").select("o_orderkey"), 7, F.desc("o_orderkey"))
+
+
+@query("SELECT c_custkey, (row_number() OVER (ORDER BY list_position(['MACHINERY','AUTOMOBILE','BUILDING','HOUSEHOLD','FURNITURE'], c_mktsegment), c_custkey) - 1) AS \"rank\" FROM customer")
+def sort_by_table(spark, sf_dir):
+    order_ = F.array_position(F.array(*[F.lit(x) for x in ("MACHINERY", "AUTOMOBILE", "BUILDING", "HOUSEHOLD", "FURNITURE")]), F.col("c_mktsegment"))
+    keyed = read(spark, sf_dir, "customer").select("c_custkey", order_.alias("k"))
+    return t.with_pos(keyed, ["k", "c_custkey"], "rank").select("c_custkey", "rank")
+
+
+# ---- lookups, joins, sets ---------------------------------------------------------------
+
+
+@query("SELECT o_orderkey, coalesce(p, (SELECT count(*) FROM customer WHERE c_custkey % 2 = 0)) found FROM orders LEFT JOIN (SELECT c_custkey, c_custkey p FROM customer WHERE c_custkey % 2 = 0) ON o_custkey = c_custkey")
+def find_lookup(spark, sf_dir):
+    a = read(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.col("c_custkey").alias("pos"))
+    return t.find(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), a, "o_custkey", "k", "pos").select("o_orderkey", "found")
+
+
+@query("SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def gather_join(spark, sf_dir):
+    n = read(spark, sf_dir, "nation").withColumnRenamed("n_nationkey", "c_nationkey")
+    r = read(spark, sf_dir, "region").withColumnRenamed("r_regionkey", "n_regionkey")
+    return t.gather(t.gather(read(spark, sf_dir, "customer"), n, "c_nationkey"), r, "n_regionkey").select("c_custkey", "n_name", "r_name")
+
+
+@query("SELECT o_orderkey FROM orders SEMI JOIN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000) ON o_custkey = c_custkey")
+def semi_lin(spark, sf_dir):
+    rich = read(spark, sf_dir, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("o_custkey"))
+    return t.members(read(spark, sf_dir, "orders"), rich, "o_custkey").select("o_orderkey")
+
+
+@query("SELECT o_orderkey FROM orders ANTI JOIN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000) ON o_custkey = c_custkey")
+def anti_dvl(spark, sf_dir):
+    rich = read(spark, sf_dir, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("o_custkey"))
+    return t.without(read(spark, sf_dir, "orders"), rich, "o_custkey").select("o_orderkey")
+
+
+@query("SELECT o_orderkey, (o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000))::INT mask FROM orders")
+def member_mask(spark, sf_dir):
+    rich = read(spark, sf_dir, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("o_custkey"), F.lit(1).alias("mask"))
+    return read(spark, sf_dir, "orders").join(rich, "o_custkey", "left").select("o_orderkey", F.coalesce("mask", F.lit(0)).alias("mask"))
+
+
+@query("SELECT s_suppkey FROM supplier WHERE s_suppkey NOT IN (1, 5, 7)")
+def delete_index(spark, sf_dir):
+    gone = spark.createDataFrame([(1,), (5,), (7,)], "s_suppkey long")
+    return t.delete_at(read(spark, sf_dir, "supplier"), gone, "s_suppkey").select("s_suppkey")
+
+
+@query("SELECT a.n_nationkey a, b.r_regionkey b, (a.n_nationkey < b.r_regionkey)::INT AS \"value\" FROM nation a, region b")
+def cross_each(spark, sf_dir):
+    a = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("a"))
+    b = read(spark, sf_dir, "region").select(F.col("r_regionkey").alias("b"))
+    return t.pairs(a, b, (F.col("a") < F.col("b")).cast("int"))
+
+
+@query("SELECT c_custkey k, c_acctbal + s_acctbal v FROM customer JOIN supplier ON c_custkey = s_suppkey")
+def zip_each(spark, sf_dir):
+    a = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), "c_acctbal")
+    b = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), "s_acctbal")
+    return a.join(b, "k").select("k", (F.col("c_acctbal") + F.col("s_acctbal")).alias("v"))
+
+
+@query("SELECT c_custkey, (SELECT count(*) FROM supplier WHERE s_nationkey = c_nationkey AND s_acctbal < c_acctbal) cell FROM customer")
+def asof_bin(spark, sf_dir):
+    cust = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("k"), F.col("c_acctbal").alias("x"))
+    supp = read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"), F.col("s_acctbal").alias("y"))
+    return t.bin_below(cust, supp, "x", "y", ["k"]).select("c_custkey", F.col("cell").cast("long").alias("cell"))
+
+
+@query("SELECT o_orderkey, ((o_totalprice > 50000)::INT + (o_totalprice > 100000)::INT + (o_totalprice > 250000)::INT) cell FROM orders")
+def classify_bin(spark, sf_dir):
+    return t.classify(read(spark, sf_dir, "orders"), "o_totalprice", [50000, 100000, 250000]).select("o_orderkey", "cell")
+
+
+@query("SELECT c_nationkey k FROM customer UNION SELECT s_nationkey FROM supplier")
+def union_distinct(spark, sf_dir):
+    return read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")).union(read(spark, sf_dir, "supplier").select("s_nationkey")).distinct()
+
+
+@query("SELECT c_nationkey k FROM customer UNION ALL SELECT s_nationkey FROM supplier")
+def union_all(spark, sf_dir):
+    return read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")).union(read(spark, sf_dir, "supplier").select("s_nationkey"))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 8000)")
+def difference(spark, sf_dir):
+    s = read(spark, sf_dir, "supplier").where("s_acctbal > 8000").select(F.col("s_nationkey").alias("c_nationkey"))
+    return t.without(read(spark, sf_dir, "customer"), s, "c_nationkey").select("c_custkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 8000)")
+def intersection(spark, sf_dir):
+    s = read(spark, sf_dir, "supplier").where("s_acctbal > 8000").select(F.col("s_nationkey").alias("c_nationkey"))
+    return t.members(read(spark, sf_dir, "customer"), s, "c_nationkey").select("c_custkey")
+
+
+@query("SELECT NOT EXISTS (SELECT 1 FROM orders ANTI JOIN customer ON o_custkey = c_custkey) AS subset")
+def subset(spark, sf_dir):
+    cust = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"))
+    return t.without(read(spark, sf_dir, "orders"), cust, "o_custkey").agg((F.count("*") == 0).alias("subset"))
+
+
+@query("WITH RECURSIVE p(a, b) AS (SELECT n_nationkey, (n_nationkey * 3 + 1) % 25 FROM nation UNION SELECT p.a, (p.b * 3 + 1) % 25 FROM p) SELECT a, b FROM p")
+def transitive_closure(spark, sf_dir):
+    edges = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("a"), ((F.col("n_nationkey") * 3 + 1) % 25).alias("b"))
+    return t.closure(edges)
+
+
+# ---- cells ---------------------------------------------------------------------------------
+
+
+def cell(name, build, sql):
+    def run(spark, sf_dir):
+        v = F.col("embedding").cast("array<double>")
+        return read(spark, sf_dir, "embeddings").withColumn("v", v).select("vec_id", build("v").alias("r"))
+
+    run.__name__ = name
+    query(f"SELECT vec_id, {sql} r FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) v FROM embeddings)")(run)
+
+
+cell("take", lambda v: c.take(5, v), "v[1:5]")
+cell("take_last", lambda v: c.take(-3, v), "v[62:64]")
+cell("take_cyclic", lambda v: c.take(70, v), "list_concat(v, v[1:6])")
+cell("drop", lambda v: c.drop(60, v), "v[61:]")
+cell("drop_last", lambda v: c.drop(-60, v), "v[1:4]")
+cell("reverse", lambda v: c.reverse(v), "list_reverse(v)")
+cell("rotate", lambda v: c.rotate(3, v), "list_concat(v[4:], v[1:3])")
+cell("enlist", lambda v: c.enlist(F.get(F.col(v), 0)), "[v[1]]")
+cell("first", lambda v: c.first(v), "v[1]")
+cell("count_items", lambda v: c.count(v), "len(v)::INT")
+cell("join", lambda v: F.size(c.join(v, v)), "len(list_concat(v, v))::INT")
+cell("cut", lambda v: c.cut([0, 10, 60], v), "[v[1:10], v[11:60], v[61:64]]")
+cell("raze", lambda v: c.raze(c.cut([0, 10, 60], v)), "v")
+cell("reshape_rows", lambda v: c.reshape(v, None, 24), "[v[1:24], v[25:48], v[49:64]]")
+cell("reshape_parts", lambda v: c.reshape(v, 3, None), "[v[1:21], v[22:42], v[43:64]]")
+cell("flip", lambda v: c.flip(c.reshape(F.slice(F.col(v), 1, 4), 2, 2)), "[[v[1], v[3]], [v[2], v[4]]]")
+cell("shape", lambda v: c.shape(c.reshape(v, 8, 8)), "[8, 8]")
+cell("amend_at", lambda v: c.take(4, c.amend(v, [1, 2], lambda x: x * 0)), "[v[1], v[2] * 0, v[3] * 0, v[4]]")
+cell("amend_path", lambda v: c.amend_path(c.reshape(F.slice(F.col(v), 1, 4), 2, 2), 1, 0, lambda x: -x), "[[v[1], v[2]], [-v[3], v[4]]]")
+cell("delete_items", lambda v: c.take(3, c.delete_at(v, [0, 2])), "[v[2], v[4], v[5]]")
+cell("at_null", lambda v: c.at(v, 99), "v[100]")
+cell("gather_items", lambda v: c.gather(v, F.array(F.lit(5), F.lit(0))), "[v[6], v[1]]")
+cell("where_positive", lambda v: c.where(F.transform(F.col(v), lambda x: (x > 0.2).cast("int"))), "list_filter(list_transform(range(0, 64), lambda i: CASE WHEN v[i + 1] > 0.2 THEN i::INT END), lambda x: x IS NOT NULL)")
+cell("find_item", lambda v: c.find(v, F.get(F.col(v), 7)), "(list_position(v, v[8]) - 1)::BIGINT")
+cell("member_items", lambda v: c.members(F.slice(F.col(v), 1, 2), F.slice(F.col(v), 2, 5)), "[(v[1] IN (v[2], v[3], v[4], v[5], v[6]))::INT, 1]")
+cell("without_items", lambda v: F.size(c.without(v, F.slice(F.col(v), 1, 4))), "len(list_filter(v, lambda x: x NOT IN (v[1], v[2], v[3], v[4])))::INT")
+cell("grade_cell", lambda v: c.grade(v), "list_transform(list_grade_up(v), lambda x: (x - 1)::INT)")
+cell("bin_cell", lambda v: c.below(F.array(*[F.lit(x) for x in (-0.2, 0.0, 0.2)]), F.get(F.col(v), 0)), "((v[1] > -0.2::DOUBLE)::INT + (v[1] > 0)::INT + (v[1] > 0.2::DOUBLE)::INT)")
+cell("each", lambda v: F.slice(c.each(lambda x: x * x, v), 1, 3), "[v[1] * v[1], v[2] * v[2], v[3] * v[3]]")
+cell("each_pair", lambda v: F.slice(c.each2(lambda x, y: x - y, v, c.reverse(v)), 1, 2), "[v[1] - v[64], v[2] - v[63]]")
+cell("each_right", lambda v: c.each_right(lambda x, y: F.get(x, 0) + y, v, F.slice(F.col(v), 1, 2)), "[v[1] + v[1], v[1] + v[2]]")
+cell("outer_table", lambda v: c.table_of(lambda x, y: x * y, F.slice(F.col(v), 1, 2), F.slice(F.col(v), 3, 2)), "[[v[1] * v[3], v[1] * v[4]], [v[2] * v[3], v[2] * v[4]]]")
+cell("fold_lambda", lambda v: F.round(c.over(lambda a, b: a * 0.5 + b, v), 9), "round(list_reduce(v, lambda a, b: a * 0.5 + b), 9)")
+cell("seeded_fold", lambda v: F.round(c.over(lambda a, b: a + b, v, F.lit(10.0)), 9), "round(list_reduce(list_prepend(10.0::DOUBLE, v), lambda a, b: a + b), 9)")
+cell("fold_many", lambda v: F.round(c.fold_many(lambda a, x, y: a + x * y, F.lit(0.0), v, c.reverse(v)), 9), "round(list_sum(list_transform(range(1, 65), lambda i: v[i] * v[65 - i])), 9)")
+cell("scan_lambda", lambda v: F.slice(c.scan(lambda a, b: a + b, F.slice(F.col(v), 1, 4)), 2, 2), "[v[1] + v[2], v[1] + v[2] + v[3]]")
+cell("do_over", lambda v: F.round(c.do(5, lambda x: x * 2 + 1, F.get(F.col(v), 0)), 9), "round(v[1] * 32 + 31, 9)")
+cell("while_over", lambda v: c.while_(lambda x: x < 100, lambda x: x * 2 + 1, F.lit(3).cast("long")), "127::BIGINT")
+cell("slide_cell", lambda v: c.slide(lambda x, y: y - x, F.slice(F.col(v), 1, 4)), "[v[2] - v[1], v[3] - v[2], v[4] - v[3]]")
+cell("dot_cell", lambda v: F.round(c.dot(v, c.reverse(v)), 8), "round(list_dot_product(v, list_reverse(v)), 8)")
+cell("mag_cell", lambda v: F.round(c.mag(v), 8), "round(sqrt(list_dot_product(v, v)), 8)")
+cell("poly_value", lambda v: F.round(c.poly(F.slice(F.col(v), 1, 3), F.lit(2.0)), 9), "round(v[1] * 4 + v[2] * 2 + v[3], 9)")
+
+
+@query("SELECT user_id, [x FOR x IN list_transform(['click','error','purchase','signup','view'], lambda y: len(list_filter(l, lambda z: z = y))) ] counts FROM (SELECT user_id, list(event_type) l FROM events GROUP BY 1)")
+def group_cell(spark, sf_dir):
+    lists = read(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list("event_type").alias("l"))
+    kinds = F.array(*[F.lit(x) for x in ("click", "error", "purchase", "signup", "view")])
+    return lists.select("user_id", F.transform(kinds, lambda y: F.size(F.filter("l", lambda z: z == y)).cast("long")).alias("counts"))
+
+
+@query("SELECT row, items FROM (SELECT floor(o_orderkey / 1000)::BIGINT row, list(o_custkey ORDER BY o_orderkey) items FROM orders GROUP BY 1)")
+def reshape_table(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pos"), "o_custkey")
+    return t.reshape_rows(o, 1000, "o_custkey")
+
+
+@query("SELECT ((n_nationkey >= 5)::INT + (n_nationkey >= 12)::INT) - 1 AS piece, list(n_name ORDER BY n_nationkey) items FROM nation WHERE n_nationkey >= 5 GROUP BY 1")
+def cut_table(spark, sf_dir):
+    return t.cut_rows(read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("pos"), "n_name"), [5, 12], "n_name")
+
+
+@query("SELECT s_suppkey pos, CASE WHEN s_suppkey IN (2, 3) THEN 0.0::DOUBLE ELSE s_acctbal END s_acctbal FROM supplier")
+def amend_table(spark, sf_dir):
+    s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("pos"), "s_acctbal")
+    return t.amend(s, spark.createDataFrame([(2, 0.0), (3, 0.0)], "pos long, s_acctbal double"), "s_acctbal")
+
+
+@query("SELECT (s_suppkey - 10 + n) % n pos, s_name FROM supplier, (SELECT count(*) n FROM supplier)")
+def rotate_table(spark, sf_dir):
+    s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("pos"), "s_name")
+    return t.rotate(s, 10, s.count())
+
+
+# ---- text, codecs, dates, numbers ---------------------------------------------------------------
+
+
+def doc(name, build, sql):
+    simple(name, "documents", {"doc_id": lambda: F.col("doc_id"), "r": build}, f"doc_id, {sql} r")
+
+
+doc("str_find_first", lambda: text.find_first("text", "the").cast("long"), "(strpos(text, 'the') - 1)::BIGINT")
+doc("str_glob", lambda: text.matches("source", "src[1-3]*"), "regexp_full_match(source, 'src[1-3].*')::INT")
+doc("str_find_all", lambda: F.size(text.find_all(F.substring("text", 1, 200), "th?")).cast("long"), "len(regexp_extract_all(substring(text, 1, 200), '(?s)th.'))")
+doc("str_replace", lambda: F.md5(text.replace("text", "the", "THE")), "md5(replace(text, 'the', 'THE'))")
+doc("pad_left", lambda: text.pad(10, "source"), "lpad(source, 10, ' ')")
+doc("pad_right", lambda: text.pad(-10, "source"), "rpad(source, 10, ' ')")
+doc("pad_cut", lambda: text.pad(3, "source"), "right(source, 3)")
+doc("char_code", lambda: text.char_code("text"), "ascii(text)::INT")
+doc("char_codes", lambda: text.char_codes("lang"), "[ascii(lang[1])::INT, ascii(lang[2])::INT]")
+doc("from_codes", lambda: text.from_codes(text.char_codes("source")), "source")
+doc("md5_hex", lambda: codec.md5("text"), "md5(text)")
+doc("sha1_hex", lambda: codec.sha1("text"), "sha1(text)")
+doc("sha256_hex", lambda: codec.sha2("text"), "sha256(text)")
+doc("hex_bytes", lambda: codec.to_hex("source"), "lower(hex(source))")
+doc("unhex_bytes", lambda: codec.from_hex(codec.to_hex("source")).cast("string"), "source")
+doc("compress_round", lambda: F.md5(codec.decompress(codec.compress("text"))), "md5(text)")
+doc("serialize_round", lambda: codec.deserialize(codec.serialize("source"), "string"), "source")
+doc("trim_blanks", lambda: F.length(F.regexp_replace("text", "  +", " ")).cast("long"), "length(regexp_replace(text, '  +', ' ', 'g'))")
+part("format_number", lambda: text.number(12, 2, "p_retailprice"), "lpad(printf('%.2f', p_retailprice), 12, ' ')")
+part("format_overflow", lambda: text.number(3, 2, "p_retailprice"), "'***'")
+part("cast_int", lambda: text.parse(F.regexp_extract("p_brand", "([0-9]+)", 1), "int"), "TRY_CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS INT)")
+part("cast_bad", lambda: text.parse("p_name", "double"), "TRY_CAST(p_name AS DOUBLE)")
+part("base_encode", lambda: text.encode_base(2, "p_size", 8), "list_transform(range(7, -1, -1), lambda i: ((p_size >> i) & 1)::BIGINT)")
+part("base_decode", lambda: text.decode_base(2, text.encode_base(2, "p_size", 8)), "p_size::BIGINT")
+part("radix_encode", lambda: text.encode_mixed([24, 60, 60], F.col("p_partkey")), "[(p_partkey // 3600)::BIGINT, (p_partkey // 60 % 60)::BIGINT, (p_partkey % 60)::BIGINT]")
+part("radix_decode", lambda: text.decode_base([24, 60, 60], text.encode_mixed([24, 60, 60], F.col("p_partkey"))), "p_partkey")
+order("jd_day", lambda: dates.day_number(dates.yyyymmdd("o_orderdate")), "date_diff('day', DATE '2035-01-01', o_orderdate::DATE)::INT")
+order("dj_date", lambda: dates.from_day(dates.day_number(dates.yyyymmdd("o_orderdate"))), "strftime(o_orderdate, '%Y%m%d')::INT")
+order("leap_year", lambda: dates.leap(F.year("o_orderdate")), "((year(o_orderdate) % 4 = 0 AND year(o_orderdate) % 100 <> 0) OR year(o_orderdate) % 400 = 0)::INT")
+order("days_in_month", lambda: dates.days_in_month("o_orderdate"), "day(last_day(o_orderdate))::INT")
+simple("gtime", "events", {"event_id": lambda: F.col("event_id"), "day": lambda: dates.clock(dates.seconds("ts"))["day"], "time": lambda: dates.clock(dates.seconds("ts"))["time"]}, "event_id, strftime(ts, '%Y%m%d')::INT AS \"day\", strftime(ts, '%H%M%S')::INT AS \"time\"")
+simple("local_round", "events", {"event_id": lambda: F.col("event_id"), "s": lambda: dates.to_gmt(dates.to_local(dates.seconds("ts"), "Asia/Tokyo"), "Asia/Tokyo")}, "event_id, (floor(epoch(ts))::BIGINT - 2051222400) s")
+part("prime_flag", lambda: nt.prime("p_partkey"), "(p_partkey > 1 AND len(list_filter(range(2, 64), lambda d: d < p_partkey AND p_partkey % d = 0)) = 0)::INT")
+part("gcd", lambda: nt.gcd("p_partkey", "p_size"), "gcd(p_partkey, p_size)::BIGINT")
+part("lcm", lambda: nt.lcm(F.col("p_partkey") + 1, "p_size"), "lcm(p_partkey + 1, p_size)::BIGINT")
+
+
+@query()
+def factor_list(spark, sf_dir):
+    return read(spark, sf_dir, "part").select("p_partkey", nt.factor(F.col("p_partkey") + 2).alias("factors"))
+
+
+@query("SELECT p_partkey, CASE WHEN gcd(p_partkey, 101) = 1 THEN [x FOR x IN range(1, 101) IF p_partkey % 101 * x % 101 = 1][1] ELSE -1 END inv FROM part")
+def modinv(spark, sf_dir):
+    return read(spark, sf_dir, "part").select("p_partkey", nt.modinv("p_partkey", F.lit(101)).alias("inv"))
+
+
+@query()
+def aes_counter(spark, sf_dir):
+    key, iv = "00" * 31 + "01", "00" * 15 + "07"
+    d = read(spark, sf_dir, "documents").select("doc_id", codec.aes_ctr("source", key, iv).alias("sealed"))
+    return d.select("doc_id", "sealed", F.unhex(codec.aes_ctr(F.unhex("sealed"), key, iv)).cast("string").alias("opened"))
+
+
+@query("SELECT count(*) n, count(*) FILTER (WHERE c_custkey >= 0) ok FROM (SELECT c_custkey FROM customer LIMIT 20)")
+def deal(spark, sf_dir):
+    d = draws.deal(read(spark, sf_dir, "customer").select("c_custkey"), 20, 7, "c_custkey")
+    return d.agg(F.countDistinct("c_custkey").alias("n"), F.count(F.when(F.col("c_custkey") >= 0, 1)).alias("ok"))
+
+
+@query("SELECT count(*) n, true AS ok FROM orders")
+def roll(spark, sf_dir):
+    d = read(spark, sf_dir, "orders").select(draws.roll(6, 3).alias("r"), draws.uniform(5).alias("u"))
+    return d.agg(F.count("*").alias("n"), (F.bool_and((F.col("r") >= 0) & (F.col("r") < 6) & (F.col("u") >= 0) & (F.col("u") < 1))).alias("ok"))
+
+
+# ---- matrices ---------------------------------------------------------------------------------------
+
+
+def _coo(spark, sf_dir, n=None):
+    v = read(spark, sf_dir, "embeddings")
+    return la.coordinates(v.where(f"vec_id < {n}") if n else v, "vec_id", F.col("embedding").cast("array<double>"))
+
+
+@query("WITH e AS (SELECT vec_id i, generate_subscripts(embedding, 1) - 1 j, unnest(embedding)::DOUBLE v FROM embeddings) SELECT a.j::INT i, b.j::INT j, round(sum(a.v * b.v), 6) v FROM e a JOIN e b ON a.i = b.i GROUP BY 1, 2")
+def gram(spark, sf_dir):
+    x = _coo(spark, sf_dir)
+    return la.mul(la.flip(x), x).select("i", "j", F.round("v", 6).alias("v"))
+
+
+@query("WITH e AS (SELECT vec_id i, generate_subscripts(embedding, 1) - 1 j, unnest(embedding)::DOUBLE v FROM embeddings WHERE vec_id < 20) SELECT a.i, b.i j, round(sum(a.v * b.v), 8) v FROM e a JOIN e b ON a.j = b.j GROUP BY 1, 2")
+def matmul_coo(spark, sf_dir):
+    x = _coo(spark, sf_dir, 20)
+    return la.mul(x, la.flip(x)).select("i", "j", F.round("v", 8).alias("v"))
+
+
+@query("SELECT generate_subscripts(embedding, 1)::INT - 1 i, vec_id j, unnest(embedding)::DOUBLE v FROM embeddings WHERE vec_id < 50")
+def mat_transpose(spark, sf_dir):
+    return la.flip(_coo(spark, sf_dir, 50))
+
+
+def _matrices(spark, sf_dir):
+    """A well-conditioned 8 x 8 matrix per vector: its reshape plus 3 on the diagonal."""
+    v = read(spark, sf_dir, "embeddings").where("vec_id < 100").withColumn("v", F.col("embedding").cast("array<double>"))
+    m = c.reshape("v", 8, 8)
+    lifted = F.transform(m, lambda r, i: F.transform(r, lambda x, j: x + F.when(i == j, 3.0).otherwise(0.0)))
+    return v.select("vec_id", lifted.alias("m"))
+
+
+def _near(a, b):
+    flat = lambda m: F.flatten(m)
+    return F.forall(F.zip_with(flat(a), flat(b), lambda x, y: F.abs(x - y) < 1e-8), lambda ok: ok)
+
+
+def _rebuilt(name, kind, factors):
+    def run(spark, sf_dir):
+        d = _matrices(spark, sf_dir).withColumn("f", la.decompose(kind, "m"))
+        product = F.get("f", 0)
+        for i in range(1, factors):
+            d = d.withColumn(f"p{i}", la.matmul(product, F.get("f", i)))
+            product = F.col(f"p{i}")
+        return d.select("vec_id", _near(product, F.col("m")).alias("ok"))
+
+    run.__name__ = name
+    query("SELECT vec_id, true AS ok FROM embeddings WHERE vec_id < 100")(run)
+
+
+_rebuilt("lu", "lu", 3)
+_rebuilt("ldu", "ldu", 4)
+_rebuilt("qr", "qr", 2)
+_rebuilt("svd", "svd", 3)
+
+
+@query("SELECT vec_id, true AS ok FROM embeddings WHERE vec_id < 100")
+def inv(spark, sf_dir):
+    d = _matrices(spark, sf_dir).withColumn("i", F.get(la.decompose("inv", "m"), 0)).withColumn("p", la.matmul("m", "i"))
+    unit = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda a: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda b: F.when(a == b, 1.0).otherwise(0.0)))
+    return d.select("vec_id", _near(F.col("p"), unit).alias("ok"))
+
+
+@query("SELECT vec_id, round((v[1] + 3) * (v[4] + 3) - v[2] * v[3], 8) d FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) v FROM embeddings)")
+def det(spark, sf_dir):
+    v = read(spark, sf_dir, "embeddings").withColumn("v", F.col("embedding").cast("array<double>"))
+    m = F.array(F.array(F.get("v", 0) + 3, F.get("v", 1)), F.array(F.get("v", 2), F.get("v", 3) + 3))
+    return v.select("vec_id", F.round(F.get(F.get(F.get(la.decompose("det", m), 0), 0), 0), 8).alias("d"))
+
+
+@query("SELECT vec_id, true AS ok FROM embeddings WHERE vec_id < 100")
+def rref(spark, sf_dir):
+    d = _matrices(spark, sf_dir).withColumn("r", F.get(la.decompose("rref", "m"), 0)).withColumn("p", la.matmul("r", "m"))
+    return d.select("vec_id", _near(F.col("p"), F.col("m")).alias("ok"))
+
+
+@query("SELECT p_brand, round(regr_intercept(p_retailprice, p_size), 5) a, round(regr_slope(p_retailprice, p_size), 6) b FROM part GROUP BY 1")
+def lsq(spark, sf_dir):
+    rows = read(spark, sf_dir, "part").groupBy("p_brand").agg(F.collect_list(F.struct(F.array(F.lit(1.0), F.col("p_size").cast("double")).alias("x"), F.col("p_retailprice").alias("y"))).alias("l"))
+    s = rows.select("p_brand", la.solve(F.transform("l", lambda r: r["x"]), F.transform("l", lambda r: r["y"])).alias("s"))
+    return s.select("p_brand", F.round(F.get("s", 0), 5).alias("a"), F.round(F.get("s", 1), 6).alias("b"))
+
+
+# ---- streams: whole tables through Structured Streaming ------------------------------------------------
+
+
+@query("SELECT event_type, count(*) n FROM events GROUP BY 1")
+def stream_windows(spark, sf_dir):
+    from quiver.streaming import live
+
+    ev = read(spark, sf_dir, "events")
+    stream = live.files(spark, f"{sf_dir}/events.parquet*", ev)
+    name = f"q_windows_{abs(hash(sf_dir)) % 10**8}_{spark.sparkContext._jvm.System.nanoTime()}"
+    got = live.drain(live.windows(stream, "ts", "1 hour", "10 minutes", ["event_type"]), name, "complete")
+    return got.groupBy("event_type").agg(F.sum("n").alias("n"))
 
 
-def queries():
-    return {"group_agg": group_agg}
+def queries() -> dict:
+    return dict(_QUERIES)
 
 
-def oracle_sql():
-    return {"group_agg": "SELECT l_returnflag, round(sum(l_extendedprice),2) s, count(*) n FROM lineitem WHERE l_quantity>30 GROUP BY 1"}
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)

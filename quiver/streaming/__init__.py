@@ -1 +1 @@
-
+"""Recurring callbacks, triggers, message handlers and event-time windows."""

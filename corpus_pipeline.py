@@ -25,30 +25,38 @@ from quiver.llm.queries import tokenizer_path
 MIN_SCORE = 0.2
 
 
-def with_length(docs: DataFrame) -> DataFrame:
+def boxed(docs: DataFrame, *beside: str) -> DataFrame:
+    """``text`` and the columns ``beside`` as they are, and every column but the
+    text in one struct, where no name can clash with an operator's own."""
+    box = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_box")
+    return docs.select(box, "text", *beside)
+
+
+def unboxed(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` again, ``n_chars`` following the text."""
+    out = df.select(*[F.col("text") if c == "text" else F.col("_box").getField(c).alias(c) for c in docs.columns])
     if "n_chars" not in docs.columns:
-        return docs
-    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+        return out
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_id.train(docs.where(~language_id.held_out()))
-    judged = language_id.predict(docs.withColumnsRenamed({c: f"_in_{c}" for c in docs.columns}), model, "_in_text")
-    kept = judged.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE))
-    return kept.select(*[F.col(f"_in_{c}").alias(c) for c in docs.columns])
+    judged = language_id.predict(boxed(docs), model)
+    return unboxed(judged.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = simhash_dedup.simhash_groups(docs, carry=docs.columns)
-    return groups.where("kept").select(*docs.columns)
+    groups = simhash_dedup.simhash_groups(boxed(docs, "doc_id"), carry=["_box", "text", "doc_id"])
+    return unboxed(groups.where("kept"), docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return with_length(secret_scan.redact(docs))
+    return unboxed(secret_scan.redact(boxed(docs)), docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return with_length(mixing.mix_texts(docs))
+    return unboxed(mixing.mix_texts(boxed(docs, "doc_id", "source")), docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

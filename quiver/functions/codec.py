@@ -33,22 +33,20 @@ def from_hex(a) -> Column:
     return F.when(F.length(a) % 2 != 0, F.raise_error(F.lit("length")).cast("binary")).otherwise(F.unhex(a))
 
 
-@F.pandas_udf("binary")
-def _deflate(s: pd.Series) -> pd.Series:
-    return s.map(lambda b: zlib.compress(bytes(b)), na_action="ignore")
+def _each(fn, a) -> Column:
+    @F.pandas_udf("binary")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda b: fn(bytes(b)), na_action="ignore")
 
-
-@F.pandas_udf("binary")
-def _inflate(s: pd.Series) -> pd.Series:
-    return s.map(lambda b: zlib.decompress(bytes(b)), na_action="ignore")
+    return run(a)
 
 
 def compress(a) -> Column:
-    return _deflate(col(a).cast("binary"))
+    return _each(zlib.compress, col(a).cast("binary"))
 
 
 def decompress(a) -> Column:
-    return _inflate(col(a))
+    return _each(zlib.decompress, col(a))
 
 
 def serialize(a) -> Column:

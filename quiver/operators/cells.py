@@ -99,7 +99,7 @@ def flip(m) -> Column:
     width = F.size(F.get(m, 0))
     even = F.forall(m, lambda r: F.size(r) == width)
     out = F.transform(index(width), lambda j: F.transform(m, lambda r: F.get(r, j)))
-    return F.when(F.assert_true(even, F.lit("length")).isNull(), out)
+    return F.when(even, out).otherwise(F.raise_error(F.lit("length")))
 
 
 def at(a, i) -> Column:
@@ -110,7 +110,7 @@ def at(a, i) -> Column:
 def at_strict(a, i) -> Column:
     a, i = col(a), col(i)
     ok = (i >= 0) & (i < F.size(a))
-    return F.when(F.assert_true(ok, F.lit("index")).isNull(), F.get(a, i))
+    return F.when(ok, F.get(a, i)).otherwise(F.raise_error(F.lit("index")))
 
 
 def gather(a, idx) -> Column:
@@ -184,7 +184,7 @@ def each(f: Callable[[Column], Column], a) -> Column:
 def each2(f: Callable[[Column, Column], Column], a, b) -> Column:
     """Item by item; unequal lengths are a length error."""
     a, b = col(a), col(b)
-    return F.when(F.assert_true(F.size(a) == F.size(b), F.lit("length")).isNull(), F.zip_with(a, b, f))
+    return F.when(F.size(a) == F.size(b), F.zip_with(a, b, f)).otherwise(F.raise_error(F.lit("length")))
 
 
 def each_right(f, a, b) -> Column:

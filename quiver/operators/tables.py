@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quiver.functions.expr import col
 
@@ -19,7 +20,7 @@ def with_pos(df: DataFrame, order_by: list[str], pos: str = "pos", parts: int |
     n = parts or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranged = df.repartitionByRange(n, *order_by).sortWithinPartitions(*order_by)
     numbered = ranged.rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    return df.sparkSession.createDataFrame(numbered, df.schema.add(pos, "long"))
+    return df.sparkSession.createDataFrame(numbered, StructType([*df.schema.fields, StructField(pos, LongType())]))
 
 
 def global_scan(df: DataFrame, value: str, order_by: list[str], out: str = "running", parts: int | None = None) -> DataFrame:

@@ -34,13 +34,13 @@ def fixed_text(spark: SparkSession, path: str, types: str, widths: list[int]) ->
     that do not parse are null; a line of another length is a length error."""
     check_schema(types, widths, TEXT_TYPES)
     lines = read_lines(spark, path)
-    fine = F.assert_true(F.length("line") == sum(widths), F.lit("length")).isNull()
+    fine = F.length("line") == sum(widths)
     at, fields = 1, []
     for n, (t, w) in enumerate(zip(types, widths)):
         raw = F.substring("line", at, w)
         if t != " ":
             value = raw if t == "C" else F.trim(raw) if t == "S" else F.trim(raw).try_cast(TEXT_TYPES[t])
-            fields.append(F.when(fine, value).alias(f"c{n}"))
+            fields.append(F.when(fine, value).otherwise(F.raise_error(F.lit("length"))).alias(f"c{n}"))
         at += w
     return lines.select(*fields)
 

@@ -1,0 +1,83 @@
+import struct
+import time
+
+import pytest
+from pyspark.sql import functions as F
+
+from quiver.plans.session import ERRORS, Namespace, signal, timed, trap
+from quiver.sources import files
+from quiver.streaming import live
+
+
+def test_lines(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes(b"one\r\ntwo\n\nthree")
+    got = files.read_lines(spark, str(tmp_path / "a.txt"))
+    assert [r.line for r in got.collect()] == ["one", "two", "", "three"]
+    files.write_lines(got, str(tmp_path / "out"))
+    assert files.read_lines(spark, str(tmp_path / "out")).count() == 4
+
+
+def test_fixed_text(spark, tmp_path):
+    (tmp_path / "f.txt").write_text("   1 2.50ab \n  xx 3.00cd \n")
+    rows = files.fixed_text(spark, str(tmp_path / "f.txt"), "IFS ", [4, 5, 2, 1]).collect()
+    assert [tuple(r) for r in rows] == [(1, 2.5, "ab"), (None, 3.0, "cd")]
+    with pytest.raises(ERRORS["length"]):
+        files.fixed_text(spark, "x", "IF", [1])
+    with pytest.raises(ERRORS["type"]):
+        files.fixed_text(spark, "x", "Q", [1])
+    with pytest.raises(Exception, match="length"):
+        files.fixed_text(spark, str(tmp_path / "f.txt"), "I", [3]).collect()
+
+
+def test_fixed_binary(spark, tmp_path):
+    blob = b"".join(struct.pack("<cifd5s", b"x", i, 1.5, 10.5 * i, b"ab") for i in (1, 2))
+    (tmp_path / "b.bin").write_bytes(blob)
+    rows = files.fixed_binary(spark, str(tmp_path / "b.bin"), "ciefS", [1, 4, 4, 8, 5]).collect()
+    assert [tuple(r) for r in rows] == [("x", 1, 1.5, 10.5, "ab"), ("x", 2, 1.5, 21.0, "ab")]
+    with pytest.raises(ERRORS["length"]):
+        files.fixed_binary(spark, "x", "i", [2])
+    (tmp_path / "v.bin").write_bytes(struct.pack("<4i", 7, 8, 9, 10))
+    assert [tuple(r) for r in files.vector(spark, str(tmp_path / "v.bin"), "i", 4, 8).collect()] == [(0, 8), (1, 9)]
+
+
+def test_append_and_names(spark, tmp_path):
+    p = str(tmp_path / "t")
+    assert files.append(spark.range(3), p) == 3 and files.append(spark.range(2), p) == 5
+    with pytest.raises(ERRORS["type"]):
+        files.append(spark.range(1).selectExpr("cast(id as string) id"), p)
+    assert files.rename(spark, p, p + "2") and "t2" in files.list_dir(spark, str(tmp_path)) and files.delete(spark, p + "2")
+
+
+def test_watch_and_state(spark, tmp_path):
+    p = str(tmp_path / "s")
+    spark.createDataFrame([("a", 1.0), ("b", 2.0), ("a", 3.0)], "k string, v double").write.parquet(p)
+    seen = []
+    q = live.watch(live.files(spark, p, spark.read.parquet(p)), lambda df, n: seen.append(df.count()))
+    q.awaitTermination()
+    assert seen == [3]
+    got = live.drain(live.running(live.files(spark, p, spark.read.parquet(p)), "k", "v"), "t_running", "update")
+    assert {tuple(r) for r in got.collect()} == {("a", 2, 4.0), ("b", 1, 2.0)}
+
+
+def test_timer(spark):
+    ticks = []
+    q = live.timer(spark, 0.2, ticks.append)
+    end = time.time() + 20
+    while len(ticks) < 2 and time.time() < end:
+        time.sleep(0.1)
+    q.stop()
+    assert ticks[:2] == [0, 1]
+
+
+def test_namespace():
+    ns, log = Namespace(None), []
+    ns.watch("x", log.append)
+    ns.watch("x", lambda v: ns.assign("x", v + 1) if v < 3 else None)
+    ns.assign("x", 1)
+    assert ns.get("x") == 2 and log == [1] and ns.names() == ["x"]
+    ns.amend("x", lambda a, b: a + b, 10)
+    assert ns.get("x") == 12
+    assert trap(ns.get, "y")[0] == 1 and trap(lambda: 5) == (0, 5)
+    with pytest.raises(ERRORS["rank"]):
+        signal("rank")
+    assert timed(lambda: 1)[1] == 1

@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 
 from quiver.llm._common import bounded_batches, connected_components, materialize
 from quiver.llm.simhash_dedup import local_roots
-from quiver.llm.vectors import cosine, matrix, unit, usable
+from quiver.llm.vectors import cosine, matrix, packed, unit, usable
 
 #: Vectors of a home chunk, and of a chunk that meets it.
-HOME, GUEST = 2_048, 8_192
+HOME, GUEST = 1_024, 2_048
 
 
 def chunk_links(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, t: float, triangle: bool):
@@ -71,50 +71,55 @@ def similarity_join(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     """
     spark = vectors.sparkSession
     bounded_batches(spark, 8192)
-    rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
-    good = usable(vectors, id_col, vec_col)
+    good = materialize(packed(vectors, id_col, vec_col))
     # one row per distinct vector; its number is its class
-    classes = good.groupBy("v").agg(F.count("*").alias("copies"), F.min("id").alias("least"))
+    classes = good.groupBy("v", "kind").agg(F.count("*").alias("copies"), F.min("id").alias("least"))
     classes = materialize(classes.withColumn("cls", F.monotonically_increasing_id()))
     n = classes.count()
-    k = pivots or max(1, min(4096, math.ceil(math.sqrt(n) / 4)))
-    picked = classes.orderBy(F.xxhash64("v", F.lit(seed)), "cls").limit(k).select("v").toPandas()["v"]
-    by_width: dict[int, np.ndarray] = {}
-    for width in {len(v) for v in picked}:
-        by_width[width] = unit(np.array([v for v in picked if len(v) == width]))
+    k = pivots or max(1, min(4096, math.ceil(math.sqrt(n) / 8)))
+    picked = classes.orderBy(F.xxhash64("v", F.lit(seed)), "cls").limit(k).select("v", "kind").toPandas()
+    by_width = {int(w): unit(matrix(p["v"].tolist(), p["kind"].iloc[0])) for w, p in picked.groupby(picked["v"].map(len))}
     shared = spark.sparkContext.broadcast(by_width)  # at most 4096 vectors
     r = math.sqrt(max(0.0, 2 - 2 * threshold))
+    bounded_batches(spark, 1024)  # a batch grows by its replicas
+
+    def places(pdf):
+        """(row, width, cell, home) of each vector at home and in the cells it
+        must visit; a length without pivots is a cell of its own."""
+        widths, out = pdf["v"].map(len).to_numpy(), []
+        for width in np.unique(widths):
+            at = np.flatnonzero(widths == width)
+            p = shared.value.get(int(width))
+            if p is None:
+                out.append((at, np.full(len(at), width), np.zeros(len(at), np.int64), np.ones(len(at), bool)))
+                continue
+            x = unit(matrix(pdf["v"].iloc[at].tolist(), pdf["kind"].iloc[0]))
+            sq = np.maximum(2 - 2 * (x @ p.T), 0)
+            home = sq.argmin(axis=1)
+            between = np.sqrt(np.maximum(2 - 2 * (p @ p.T), 0))[home]
+            border = (sq - sq[np.arange(len(at)), home][:, None]) / np.maximum(2 * between, 1e-12)
+            i, c = np.nonzero((border <= r + 1e-6) & (np.arange(len(p))[None, :] < home[:, None]))
+            out.append((at, np.full(len(at), width), home, np.ones(len(at), bool)))
+            out.append((at[i], np.full(len(i), width), c, np.zeros(len(i), bool)))
+        return pd.DataFrame({n: np.concatenate(x) for n, x in zip(("row", "width", "cell", "home"), zip(*out))})
+
+    def tally(batches):
+        for pdf in batches:
+            if len(pdf):
+                yield places(pdf).groupby(["width", "cell"], as_index=False).agg(own=("home", "sum"), every=("home", "size"))
 
     def deal(batches):
-        """Each vector at home and in the cells it must visit; a width without
-        pivots is a cell of its own."""
         for pdf in batches:
-            cells, rows_, homes = [], [], []
-            widths = pdf["v"].map(len).to_numpy()
-            for width in np.unique(widths):
-                at = np.flatnonzero(widths == width)
-                p = shared.value.get(int(width))
-                if p is None:
-                    cells.append(np.zeros(len(at), np.int64)), rows_.append(at), homes.append(np.ones(len(at), bool))
-                    continue
-                x = unit(matrix(pdf["v"].iloc[at]))
-                sq = np.maximum(2 - 2 * (x @ p.T), 0)
-                home = sq.argmin(axis=1)
-                between = np.sqrt(np.maximum(2 - 2 * (p @ p.T), 0))[home]
-                border = (sq - sq[np.arange(len(at)), home][:, None]) / np.maximum(2 * between, 1e-12)
-                visit = (border <= r + 1e-6) & (np.arange(len(p))[None, :] < home[:, None])
-                i, c = np.nonzero(visit)
-                cells += [home, c]
-                rows_ += [at, at[i]]
-                homes += [np.ones(len(at), bool), np.zeros(len(i), bool)]
-            got = pdf.iloc[np.concatenate(rows_)].reset_index(drop=True)
-            yield got.assign(width=widths[np.concatenate(rows_)], cell=np.concatenate(cells), home=np.concatenate(homes))
-
-    placed = classes.select("cls", "copies", "v").mapInPandas(deal, "cls long, copies long, v array<double>, width int, cell long, home boolean")
-    placed = materialize(placed)
-    sizes = placed.groupBy("width", "cell").agg(F.sum(F.col("home").cast("int")).alias("own"), F.sum((~F.col("home")).cast("int")).alias("out"))
+            if len(pdf):
+                got = places(pdf)
+                yield pd.concat([pdf.iloc[got["row"].to_numpy()].reset_index(drop=True), got.drop(columns="row")], axis=1)
+
+    sizes = classes.select("v", "kind").mapInPandas(tally, "width int, cell long, own long, every long")
+    sizes = sizes.groupBy("width", "cell").agg(F.sum("own").alias("own"), (F.sum("every") - F.sum("own")).alias("out"))
     sizes = sizes.select("width", "cell", F.greatest(F.ceil(F.col("own") / HOME), F.lit(1)).cast("int").alias("hc"), F.ceil(F.col("out") / GUEST).cast("int").alias("gc"))
-    chunked = placed.join(sizes, ["width", "cell"])
+    placed = classes.select("cls", "copies", "v", "kind").mapInPandas(deal, "cls long, copies long, v binary, kind string, width int, cell long, home boolean")
+    # a row per cell, of which there are no more than pivots and vector lengths
+    chunked = placed.join(F.broadcast(materialize(sizes)), ["width", "cell"])
     mine = F.when(F.col("home"), F.pmod(F.xxhash64("cls"), F.col("hc"))).otherwise(F.pmod(F.xxhash64("cls"), F.greatest("gc", F.lit(1)))).cast("int")
     chunked = chunked.withColumn("mine", mine)
     # tasks (h, o): home chunk h with home chunk o >= h, or with guest chunk hc + o
@@ -123,7 +128,7 @@ def similarity_join(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     as_other = F.filter(as_other, lambda x: x["h"] < x["o"])
     as_guest = F.transform(F.sequence(F.lit(0), F.col("hc") - 1), lambda h: F.struct(h.alias("h"), (F.col("hc") + F.col("mine")).alias("o"), F.lit(1).alias("side")))
     tasks = F.when(F.col("home"), F.concat(as_home, as_other)).otherwise(as_guest)
-    dealt = chunked.withColumn("t", F.explode(tasks)).select("width", "cell", "t.h", "t.o", "t.side", "cls", "copies", "v")
+    dealt = chunked.withColumn("t", F.explode(tasks)).select("width", "cell", "t.h", "t.o", "t.side", "cls", "copies", "v", "kind")
 
     def join(pdf):
         a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
@@ -132,7 +137,7 @@ def similarity_join(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
         if not len(a) or (not len(b) and not triangle):
             return empty
         b = a if triangle else b
-        la, lb, root = chunk_links(matrix(a["v"]), matrix(b["v"]), a["copies"].to_numpy(), b["copies"].to_numpy(), threshold, triangle)
+        la, lb, root = chunk_links(matrix(a["v"].tolist(), a["kind"].iloc[0]), matrix(b["v"].tolist(), a["kind"].iloc[0]), a["copies"].to_numpy(), b["copies"].to_numpy(), threshold, triangle)
         cls = a["cls"].to_numpy() if triangle else np.concatenate([a["cls"], b["cls"]])
         links = la + lb if triangle else np.concatenate([la, lb])
         some = links > 0
@@ -142,10 +147,13 @@ def similarity_join(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     found = materialize(found)
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
     roots = connected_components(found.select(F.col("cls").alias("a"), F.col("root").alias("b")))
-    named = classes.join(links, "cls", "left").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
-    named = materialize(named.select("cls", "v", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "cls").alias("root")))
+    named = classes.drop("kind").join(links, "cls", "left").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
+    named = materialize(named.select("v", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "cls").alias("root")))
     heads = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    answer = named.join(heads, "root").select("v", "n_links", "component_id")
-    out = rows.join(answer, "v", "left")
-    component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    answer = named.join(heads, "root").select("v", "n_links", F.col("component_id"))
+    told = good.select(F.col("id").alias("vec_id"), "v").join(answer, "v").drop("v")
+    # rows whose vector links with nothing are their own answer
+    alone = vectors.select(F.col(id_col).cast("long").alias("vec_id"), usable(vec_col).alias("fine")).where("not fine")
+    alone = alone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    out = told.select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id").unionByName(alone)
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

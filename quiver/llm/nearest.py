@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quiver.llm._common import bounded_batches, materialize
-from quiver.llm.vectors import matrix, usable
+from quiver.llm.vectors import matrix, packed
 
 #: Rows of a candidate and of a query slab.
 CANDIDATES, QUERIES = 16_384, 2_048
@@ -79,7 +79,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     """query_id, rank, vec_id, score (Euclidean distance) of the ``k`` nearest
     rows of ``vectors`` other than the query's own id; ties go to the smaller id.
 
-    Both sides have the columns ``id_col`` and ``vec_col``.  Null and zero vectors
+    Both sides have the columns ``id_col`` and ``vec_col``, of the same type.  Null and zero vectors
     and those with null or non-finite components take no part, nor do null ids.
     With fewer than ``k`` candidates all are returned; a repeated id counts once,
     as its nearest row.  Vectors of another length than the query's are not
@@ -87,24 +87,25 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     """
     spark = vectors.sparkSession
     bounded_batches(spark, 8192)
-    c = materialize(usable(vectors, id_col, vec_col).where("id is not null"))
-    q = materialize(usable(queries, id_col, vec_col).where("id is not null").dropDuplicates(["id"]))
+    c = materialize(packed(vectors, id_col, vec_col).where("id is not null"))
+    q = materialize(packed(queries, id_col, vec_col).where("id is not null").dropDuplicates(["id"]))
     n_c, n_q = c.count(), q.count()
     slabs_c, slabs_q = max(1, -(-n_c // CANDIDATES)), max(1, -(-n_q // QUERIES))
     # enough tiles for every core, while each stays a block product
     slabs_c = max(slabs_c, min(-(-n_c // 512), int(spark.conf.get("spark.sql.shuffle.partitions"))))
     slab = lambda n: F.pmod(F.xxhash64("id", F.lit(n)), F.lit(n)).cast("int")
     across = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = q.select(F.col("id").alias("qid"), F.col("v").alias("qv"), slab(slabs_q).alias("qs"), across(slabs_c).alias("cs"))
-    right = c.select("id", "v", slab(slabs_c).alias("c_s"), across(slabs_q).alias("q_s"))
+    left = q.select(F.col("id").alias("qid"), F.col("v").alias("qv"), F.col("kind").alias("qk"), slab(slabs_q).alias("qs"), across(slabs_c).alias("cs"))
+    right = c.select("id", "v", "kind", slab(slabs_c).alias("c_s"), across(slabs_q).alias("q_s"))
 
     def tile(left, right):
         parts = []
         for width, part in left.groupby(left["qv"].map(len)):
             other = right[right["v"].map(len) == width]
             if len(other):
+                kq, kc = part["qk"].iloc[0], other["kind"].iloc[0]
                 qid, cid = part["qid"].to_numpy(), other["id"].to_numpy()
-                i, ids, d = tile_nearest(qid, matrix(part["qv"]), cid, matrix(other["v"]), k)
+                i, ids, d = tile_nearest(qid, matrix(part["qv"], kq), cid, matrix(other["v"], kc), k)
                 parts.append(pd.DataFrame({"query_id": qid[i], "vec_id": ids, "score": d}))
         return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": int, "vec_id": int, "score": float})
 

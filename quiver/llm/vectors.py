@@ -3,21 +3,41 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, v array<double>) of rows whose vector is non-null, not zero, and
-    without null or non-finite components."""
-    v = F.col("v")
+def usable(vec_col: str) -> Column:
+    """Whether a vector takes part: non-null, not zero, no null or non-finite component."""
+    v = F.col(vec_col).cast("array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
-    out = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    return out.where(F.coalesce(F.when(v.isNull(), False).otherwise(fine), F.lit(False)))
+    return F.coalesce(F.when(v.isNull(), False).otherwise(fine), F.lit(False))
 
 
-def matrix(column) -> np.ndarray:
-    return np.array(column.tolist(), np.float64)
+def packed(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """(id, v, kind) of rows whose vector is usable; v is its components as
+    little-endian doubles, or as floats where the column holds floats."""
+    single = vectors.schema[vec_col].dataType.simpleString() == "array<float>"
+    rows = vectors.where(usable(vec_col)).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    kind = "<f4" if single else "<f8"
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            lists = batch.column("v")
+            blob = lists.flatten().to_numpy(zero_copy_only=False).astype(kind).tobytes()
+            ends = (np.cumsum(pc.list_value_length(lists).to_numpy()) * int(kind[-1])).tolist()
+            parts = [blob[a:b] for a, b in zip([0, *ends], ends)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(parts, pa.binary())], names=["id", "v"])
+
+    return rows.mapInArrow(run, "id long, v binary").withColumn("kind", F.lit(kind))
+
+
+def matrix(blobs, kind: str) -> np.ndarray:
+    """Blobs of one length as the rows of a matrix of doubles."""
+    return np.frombuffer(b"".join(blobs), kind).reshape(len(blobs), -1).astype(np.float64)
 
 
 def unit(x: np.ndarray) -> np.ndarray:

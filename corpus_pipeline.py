@@ -18,45 +18,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quiver.llm import language_id, mixing, packing, secret_scan, simhash_dedup
-from quiver.llm._common import materialize, table
+from quiver.llm._common import box, materialize, table, unbox
 from quiver.llm.queries import tokenizer_path
 
 #: Language scores below this are rejected.
 MIN_SCORE = 0.2
 
 
-def boxed(docs: DataFrame, *beside: str) -> DataFrame:
-    """``text`` and the columns ``beside`` as they are, and every column but the
-    text in one struct, where no name can clash with an operator's own."""
-    box = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_box")
-    return docs.select(box, "text", *beside)
-
-
-def unboxed(df: DataFrame, docs: DataFrame) -> DataFrame:
-    """The columns of ``docs`` again, ``n_chars`` following the text."""
-    out = df.select(*[F.col("text") if c == "text" else F.col("_box").getField(c).alias(c) for c in docs.columns])
+def lengths(docs: DataFrame) -> DataFrame:
+    """``n_chars``, where there is one, made to follow the text."""
     if "n_chars" not in docs.columns:
-        return out
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+        return docs
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_id.train(docs.where(~language_id.held_out()))
-    judged = language_id.predict(boxed(docs), model)
-    return unboxed(judged.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)), docs)
+    judged = language_id.predict(box(docs, "text"), model)
+    return unbox(judged.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = simhash_dedup.simhash_groups(boxed(docs, "doc_id"), carry=["_box", "text", "doc_id"])
-    return unboxed(groups.where("kept"), docs)
+    groups = simhash_dedup.simhash_groups(box(docs, "text", "doc_id"), carry=["_box", "text", "doc_id"])
+    return unbox(groups.where("kept"), docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return unboxed(secret_scan.redact(boxed(docs)), docs)
+    return lengths(secret_scan.redact(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return unboxed(mixing.mix_texts(boxed(docs, "doc_id", "source")), docs)
+    return lengths(mixing.mix_texts(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ def materialize(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared scratch folder and read back: the
     lineage is cut, a lost executor costs a re-read and no recomputation."""
     path = f"{scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -52,6 +52,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def box(docs: DataFrame, text: str, *beside: str) -> DataFrame:
+    """``text`` and the columns ``beside`` as they are, and every column but the
+    text in the struct ``_box``, where no name can clash with an operator's own."""
+    inside = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text] or [F.lit(None).cast("int").alias("none")])
+    return docs.select(inside.alias("_box"), text, *[b for b in dict.fromkeys(beside) if b != text])
+
+
+def unbox(df: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+    """The columns of ``docs``, in order, from what became of its :func:`box`."""
+    return df.select(*[F.col(text) if c == text else F.col("_box").getField(c).alias(c) for c in docs.columns])
+
+
 def extend(batch, drop: str, add: dict, take=None):
     """An Arrow batch without column ``drop``, its rows picked by ``take`` if
     given, and the columns ``add`` behind; values carried along stay as they are."""

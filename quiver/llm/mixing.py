@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quiver.llm._common import SPACE, bounded_batches, materialize
+from quiver.llm._common import SPACE, bounded_batches, box, materialize, unbox
 
 #: Hash cells of a source; a source's word positions are sums over cells.
 CELLS = 4096
@@ -107,7 +107,7 @@ def shard_counts(slots: list[int], shard: int, seed: int) -> np.ndarray:
             got = got + np.minimum(rng.multinomial(lack, spare / spare.sum()), spare)
         rows.append(got)
         left = left - got
-    return np.array(rows, np.int64).reshape(-1, len(slots))
+    return np.array(rows, np.int64) if rows else np.zeros((0, len(slots)), np.int64)
 
 
 def mix(docs: DataFrame, block: int = 1024, shard: int = 4096, cap: float = 3.0, weights: list[float] | None = None, seed: int = 42, id_col: str = "doc_id", source_col: str = "source", text: str = "text", carry: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -178,19 +178,20 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
     return documents.join(taken, "_uid", "left").select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def mix_texts(docs: DataFrame, text: str = "text", **options) -> DataFrame:
+def mix_texts(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
     """The mix as documents: for each pass over a source, a drawn document once
     for every unbroken stretch of its words that was drawn, ``text`` being that
     stretch (the whole text where all words were drawn).  Columns keep names and
     order; documents without words are in no mix."""
-    columns = docs.columns
-    documents, draws = mix(docs, text=text, carry=columns, **options)
+    boxed = box(docs, text, id_col, source_col)
+    columns = ["_box", text]
+    documents, draws = mix(boxed, text=text, id_col=id_col, source_col=source_col, carry=columns, **options)
     order = Window.partitionBy("_uid", "epoch").orderBy("from_word")
     run = F.col("from_word") - F.coalesce(F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     stretches = draws.withColumn("run", run).groupBy("_uid", "epoch", "run")
     stretches = stretches.agg(F.min("from_word").alias("_from"), F.sum("words").alias("_words")).drop("epoch", "run")
     asked = documents.select(*columns, "_uid", "_size", F.col(text).alias("__text")).join(stretches, "_uid").drop("_uid")
-    schema = docs.select(*columns).schema
+    schema = boxed.select(*columns).schema
     bounded_batches(docs.sparkSession)
 
     def cut(batches):
@@ -209,4 +210,4 @@ def mix_texts(docs: DataFrame, text: str = "text", **options) -> DataFrame:
             arrays = [pa.array(out, batch.schema.field(c).type) if c == text else batch.column(c) for c in columns]
             yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
-    return asked.mapInArrow(cut, schema)
+    return unbox(asked.mapInArrow(cut, schema), docs, text)

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quiver.llm._common import SPACE, materialize
+from quiver.llm._common import SPACE, box, materialize, unbox
 
 #: Patterns by kind, strong ones first; the order is the order of kinds.
 ASSIGN = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -137,7 +137,8 @@ def report(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, text: str = "text", mark: str = MARK) -> DataFrame:
     """``docs`` with every span of :func:`scan` replaced by ``mark``, overlapping
     ones by a single mark; null texts stay null.  Columns keep names and order."""
-    out = scan(docs, text, docs.columns)
+    boxed = box(docs, text)
+    out = scan(boxed, text, boxed.columns)
     merged = F.aggregate(
         F.col("spans"),
         F.array().cast("array<struct<start:int,end:int>>"),
@@ -150,4 +151,4 @@ def redact(docs: DataFrame, text: str = "text", mark: str = MARK) -> DataFrame:
     from_, until = lambda i: F.when(i == 0, 0).otherwise(F.get("__m", i - 1)["end"]), lambda i: F.coalesce(F.get("__m", i)["start"], F.length(text))
     pieces = F.transform(F.sequence(F.lit(0), F.size("__m")), lambda i: F.substring(F.col(text), from_(i) + 1, until(i) - from_(i)))
     clean = F.when(F.col("__m").isNull(), F.col(text)).otherwise(F.array_join(pieces, mark))
-    return out.withColumn(text, clean).select(*docs.columns)
+    return unbox(out.withColumn(text, clean), docs, text)

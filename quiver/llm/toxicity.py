@@ -78,7 +78,10 @@ def sigmoid(x):
 
 
 def fit(rows: list[tuple[np.ndarray, int]], epochs: int = 5, seed: int = 7) -> tuple[np.ndarray, np.ndarray, float]:
-    """(coordinates, weights, bias) from (distinct coordinates, label) rows."""
+    """(coordinates, weights, bias) from (distinct coordinates, label) rows;
+    without rows nothing is taken for toxic."""
+    if not rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.float32), -35.0
     model, rng = Ftrl(), np.random.default_rng(seed)
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
@@ -104,7 +107,7 @@ def score_dense(texts, dense: np.ndarray, bias: float) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, id_col: str = "doc_id", text: str = "text", label: str = "toxic"):
     """Model from at most ``max_rows`` labelled rows, the first by a hash of the
     id; rows with a null id or label teach nothing, an id labelled twice counts
-    as 1 if any label is 1.  Without rows the model is empty."""
+    as 1 if any label is 1.  """
     bounded_batches(docs.sparkSession)
     marks = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label).cast("int")).alias("y"))
     marks = marks.orderBy(F.xxhash64("id"), "id").limit(max_rows)

@@ -659,8 +659,11 @@ def stream_windows(spark, sf_dir):
 
 
 def queries() -> dict:
+    from quiver.plans import idioms  # noqa: F401  registers its queries here
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)

@@ -39,8 +39,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = simhash_dedup.simhash_groups(box(docs, "text", "doc_id"), carry=["_box", "text", "doc_id"])
-    return unbox(groups.where("kept"), docs)
+    kept = simhash_dedup.simhash_dedup(box(docs, "text", "doc_id"), ["_box", "text", "doc_id"])
+    return unbox(kept, docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -131,7 +131,7 @@ def mix(docs: DataFrame, block: int = 1024, shard: int = 4096, cap: float = 3.0,
     goal = targets(sizes, weights or [1 + i % 3 for i in range(len(sums))], cap)
     drawn = [draw_slots(s, t, block, i, seed) for i, (s, t) in enumerate(zip(sizes, goal))]
     sources = spark.createDataFrame([(r[0], i, sizes[i], goal[i]) for i, r in enumerate(sums)], "_source string, _no int, _source_size long, _target double")
-    known = base.join(F.broadcast(sources), base["_source"].eqNullSafe(sources["_source"])).drop("_source")
+    known = base.join(sources, base["_source"].eqNullSafe(sources["_source"])).drop("_source")
 
     # word positions: rows in (cell, tie) order within a source, from sums of whole cells
     cell = F.pmod("_tie", F.lit(CELLS)).cast("int")

@@ -237,18 +237,24 @@ def link_edges(distinct: DataFrame, radius: int = 4) -> DataFrame:
     return dealt.mapInPandas(verify, "a long, b long")
 
 
-def cluster(prints: DataFrame, radius: int = 4, id_col: str = "doc_id") -> DataFrame:
-    """``prints`` (from :func:`with_fingerprints`, written) with ``component_id``
-    (smallest id linked, null ids last) and ``kept`` (one row of each group:
-    that of the smallest id, the first written among equals)."""
+def classes(prints: DataFrame, radius: int, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """(labelled, heads): root of each distinct fingerprint, and of each root the
+    smallest (null?, id, _uid) of its rows."""
     first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_uid").alias("uid")))
     distinct = materialize(prints.groupBy("_fp").agg(first.alias("rep")))
     roots = connected_components(materialize(link_edges(distinct.select("_fp"), radius)))
     labelled = distinct.join(roots.withColumnRenamed("node", "_fp"), "_fp", "left")
     labelled = materialize(labelled.select("_fp", "rep", F.coalesce("root", "_fp").alias("root")))
-    heads = labelled.groupBy("root").agg(F.min("rep").alias("head"))
-    label = materialize(labelled.join(heads, "root").select("_fp", F.col("head.id").alias("component_id"), F.col("head.uid").alias("head_uid")))
-    return prints.join(label, "_fp").withColumn("kept", F.col("_uid") == F.col("head_uid")).drop("head_uid")
+    return labelled, labelled.groupBy("root").agg(F.min("rep").alias("head"))
+
+
+def simhash_dedup(docs: DataFrame, carry: list[str], radius: int = 4, width: int = 4, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each group of near copies: the ``carry`` columns of the row
+    with the smallest id (null ids last, the first read among equals).  Rows are
+    picked by their numbers, which no two rows share, so no group is hot."""
+    prints = materialize(with_fingerprints(docs, carry, text, width))
+    _, heads = classes(prints, radius, id_col)
+    return prints.join(heads.select(F.col("head.uid").alias("_uid")), "_uid", "left_semi").select(*carry)
 
 
 def simhash_groups(docs: DataFrame, radius: int = 4, width: int = 4, id_col: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -261,5 +267,7 @@ def simhash_groups(docs: DataFrame, radius: int = 4, width: int = 4, id_col: str
     Columns of ``docs`` outside ``carry`` are ignored, whatever their names.
     """
     prints = materialize(with_fingerprints(docs, carry or [id_col], text, width))
-    out = cluster(prints, radius, id_col)
-    return out.withColumn("fingerprint", F.lpad(F.lower(F.hex("_fp")), 16, "0")).drop("_fp", "_uid")
+    labelled, heads = classes(prints, radius, id_col)
+    label = materialize(labelled.join(heads, "root").select("_fp", F.col("head.id").alias("component_id"), F.col("head.uid").alias("head_uid")))
+    out = prints.join(label, "_fp").withColumn("kept", F.col("_uid") == F.col("head_uid"))
+    return out.withColumn("fingerprint", F.lpad(F.lower(F.hex("_fp")), 16, "0")).drop("_fp", "_uid", "head_uid")

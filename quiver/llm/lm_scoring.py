@@ -9,8 +9,8 @@ over the blank before a token, so a byte's code length depends on one gram of at
 most ORDER + 1 bytes, and the cost of a text is a sum over its tokens' grams.
 
 Documents are read once and dealt into blocks of bounded text.  A block keeps its
-documents as token numbers and asks, once per distinct token and gram, for counts
-and code lengths; counts are sums over blocks, the trie is an aggregation of the
+texts and asks, once per distinct token and gram, for counts and code lengths;
+tokens are known by a 64-bit hash in this; counts are sums over blocks, the trie is an aggregation of the
 counted grams, and both are joined back to the blocks that asked.  Nothing is
 broadcast or collected; the trie may grow with the corpus.
 
@@ -19,17 +19,19 @@ Grams and contexts are longs: byte count in the top byte, then the bytes.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiver.llm._common import bounded_batches, id_remainder, materialize
 
 #: Longest context in bytes (at most 6: a gram fits a long).
-ORDER = 6
-#: Text bytes of a block.
-BLOCK = 8_000_000
+ORDER = 5
+#: Text bytes of a block, and tokens of a block worked on at once.
+BLOCK, RUN = 24_000_000, 65_536
 #: Symbols: 256 byte values and one to spare.
 ALPHABET = 257
 
@@ -52,57 +54,75 @@ def token_grams(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Block:
-    """Documents gathered until the block is full."""
+    """Documents gathered until the block is full; tokens are numbered as they
+    first appear, so the numbers come out again from the texts."""
 
     def __init__(self):
         self.lids: dict[bytes, int] = {b"": 0}
-        self.ids, self.held, self.docs, self.bytes = [], [], [], 0
+        self.ids, self.held, self.texts, self.train, self.bytes = [], [], [], [], 0
+
+    def number(self, raw: bytes) -> np.ndarray:
+        put, lids = self.lids.setdefault, self.lids
+        return np.array([put(t, len(lids)) for t in raw.split()] + [0], np.int32)
 
     def add(self, doc_id, held: bool, text: str | None) -> None:
         raw = (text or "").encode("utf-8", "replace").lower()
-        put, lids = self.lids.setdefault, self.lids
-        self.docs.append(np.array([put(t, len(lids)) for t in raw.split()] + [0], np.int32))
+        lids = self.number(raw)
+        if not held:
+            self.train.append(lids)
         self.ids.append(doc_id)
         self.held.append(held)
+        self.texts.append(raw)
         self.bytes += len(raw) + 32
 
-    def rows(self, block: int) -> pd.DataFrame:
-        tokens = list(self.lids)
-        grams, starts = token_grams(tokens)
-        distinct, which = np.unique(grams, return_inverse=True)
-        train = [d for d, h in zip(self.docs, self.held) if not h]
-        count = np.bincount(np.concatenate(train), minlength=len(tokens)) if train else np.zeros(len(tokens), np.int64)
-        weight = np.bincount(which, np.repeat(count, np.diff(np.append(starts, len(grams)))), len(distinct)).astype(np.int64)
-        head = {
-            "block": [block], "kind": [0], "lid": [0], "token": [None], "gram": [0], "n": [0], "ids": [self.ids], "held": [self.held],
-            "sizes": [[len(d) for d in self.docs]], "docs": [np.concatenate(self.docs).tobytes()],
-            "starts": [starts.astype(np.int32).tobytes()], "grams": [which.astype(np.int32).tobytes()],
-        }
-        empty = {c: None for c in ("ids", "held", "sizes", "docs", "starts", "grams")}
-        toks = pd.DataFrame({"block": block, "kind": 1, "lid": np.arange(len(tokens)), "token": tokens, "gram": 0, "n": count} | empty)
-        asked = pd.DataFrame({"block": block, "kind": 2, "lid": np.arange(len(distinct)), "token": None, "gram": distinct, "n": weight} | empty)
-        return pd.concat([pd.DataFrame(head), toks, asked], ignore_index=True)
+    def grams(self, count: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The block's distinct grams, sorted, with their sums of ``count`` over
+        tokens; worked out over bounded runs of tokens."""
+        tokens, keys, sums = list(self.lids), [], []
+        for a in range(0, len(tokens), RUN):
+            grams, starts = token_grams(tokens[a : a + RUN])
+            distinct, which = np.unique(grams, return_inverse=True)
+            per = np.zeros(len(grams)) if count is None else np.repeat(count[a : a + RUN], np.diff(np.append(starts, len(grams))))
+            keys.append(distinct)
+            sums.append(np.bincount(which, per, len(distinct)))
+        distinct, which = np.unique(np.concatenate(keys), return_inverse=True)
+        return distinct, np.bincount(which, np.concatenate(sums), len(distinct)).astype(np.int64)
+
+    def rows(self, block: int):
+        import xxhash
+
+        count = np.bincount(np.concatenate(self.train), minlength=len(self.lids)) if self.train else np.zeros(len(self.lids), np.int64)
+        none = {"ids": None, "held": None, "sizes": None, "text": None}
+        text = zlib.compress(b"".join(self.texts), 1)
+        yield pd.DataFrame({"kind": [0], "slot": [block << 24], "key": [0], "n": [0], "ids": [self.ids], "held": [self.held], "sizes": [[len(t) for t in self.texts]], "text": [text]})
+        keys = np.fromiter(map(xxhash.xxh64_intdigest, self.lids), np.uint64, len(self.lids)).view(np.int64)
+        distinct, weight = self.grams(count)
+        for kind, key, n in ((1, keys, count), (2, distinct, weight)):
+            yield pd.DataFrame({"kind": kind, "slot": (block << 24) + np.arange(len(key)), "key": key, "n": n} | none)
 
 
-PARTS = "block long, kind int, lid int, token binary, gram long, n long, ids array<long>, held array<boolean>, sizes array<int>, docs binary, starts binary, grams binary"
+PARTS = "kind int, slot long, key long, n long, ids array<long>, held array<boolean>, sizes array<int>, text binary"
 
 
 def blocks_of(docs: DataFrame, id_col: str, text: str, mod: int, rest: int) -> DataFrame:
+    """A row of kind 0 per block; a row of kind 1 per distinct token of a block
+    (``key`` its XXH64) and of kind 2 per distinct gram, ``n`` counting it in the
+    block's training texts.  A slot is block << 24 | number."""
     bounded_batches(docs.sparkSession)
-    narrow = docs.select(F.col(id_col).cast("long").alias("id"), (id_remainder(id_col, mod) == rest).alias("held"), F.col(text).alias("text"))
+    narrow = docs.select(F.col(id_col).cast("long").cast("string").alias("id"), (id_remainder(id_col, mod) == rest).alias("held"), F.col(text).alias("text"))
 
     def run(batches):
         from pyspark import TaskContext
 
-        at, block = TaskContext.get().partitionId() << 32, Block()
+        at, block = TaskContext.get().partitionId() << 12, Block()
         for pdf in batches:
             for i, h, t in zip(pdf["id"], pdf["held"], pdf["text"]):
-                block.add(None if pd.isna(i) else int(i), bool(h), t)
+                block.add(None if i is None else int(i), bool(h), t)
                 if block.bytes >= BLOCK:
-                    yield block.rows(at)
+                    yield from block.rows(at)
                     at, block = at + 1, Block()
-        if block.docs:
-            yield block.rows(at)
+        if block.ids:
+            yield from block.rows(at)
 
     return narrow.mapInPandas(run, PARTS)
 
@@ -188,28 +208,38 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mod: int
     spark = docs.sparkSession
     parts = materialize(blocks_of(docs, id_col, text, mod, rest))
     bounded_batches(spark, 20000)
-    tokens = materialize(parts.where("kind = 1").groupBy("token").agg(F.sum("n").alias("c")))
-    total, kinds = tokens.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
-    grams = materialize(parts.where("kind = 2").groupBy("gram").agg(F.sum("n").alias("n")))
+    same = Window.partitionBy("key")
+    asked = parts.where("kind = 1").select("slot", "key", "n")
+    first = F.row_number().over(same.orderBy("slot")) == 1
+    counted = materialize(asked.select("slot", F.sum("n").over(same).alias("c"), first.alias("first")))
+    total, kinds = counted.where("first and c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    grams = materialize(parts.where("kind = 2").groupBy(F.col("key").alias("gram")).agg(F.sum("n").alias("n")))
     costs = materialize(gram_costs(grams))
-    answers = (
-        parts.where("kind = 1").select("block", "kind", "lid", "token").join(tokens, "token").select("block", "kind", "lid", F.col("c").cast("double").alias("x"))
-    ).union(parts.where("kind = 2").select("block", "kind", "lid", "gram").join(costs, "gram").select("block", "kind", "lid", F.col("logp").alias("x")))
-    heads = parts.where("kind = 0").select(F.col("block").alias("home"), "ids", "held", "sizes", "docs", "starts", "grams")
+    paid = parts.where("kind = 2").select("slot", F.col("key").alias("gram")).join(costs, "gram")
+    block = F.shiftright("slot", 24).alias("block")
+    answers = counted.select(block, F.lit(1).alias("kind"), "slot", F.col("c").cast("double").alias("x"))
+    answers = answers.union(paid.select(block, F.lit(2).alias("kind"), "slot", F.col("logp").alias("x")))
+    heads = parts.where("kind = 0").select(F.shiftright("slot", 24).alias("home"), "ids", "held", "sizes", "text")
 
     def finish(key, head, told):
-        told = told.sort_values("lid")
+        told = told.sort_values("slot", kind="stable")
         kind, x = told["kind"].to_numpy(), told["x"].to_numpy()
-        c, logp = x[kind == 1], x[kind == 2]
-        h = head.iloc[0]
-        lids, sizes = np.frombuffer(h["docs"], np.int32), np.asarray(h["sizes"], np.int64)
+        c, logp, h, numbers = x[kind == 1], x[kind == 2], head.iloc[0], Block()
+        ends = np.cumsum(np.asarray(h["sizes"], np.int64))
+        text = zlib.decompress(h["text"])
+        docs = [numbers.number(text[e - n : e]) for e, n in zip(ends.tolist(), h["sizes"])]
+        sizes, lids = np.array([len(d) for d in docs]), np.concatenate(docs)
         first = np.cumsum(sizes) - sizes
-        per_token = np.add.reduceat(logp[np.frombuffer(h["grams"], np.int32)], np.frombuffer(h["starts"], np.int32))
+        distinct, _ = numbers.grams()
+        tokens, per_token = list(numbers.lids), []
+        for a in range(0, len(tokens), RUN):
+            grams, starts = token_grams(tokens[a : a + RUN])
+            per_token.append(np.add.reduceat(logp[np.searchsorted(distinct, grams)], starts))
         base = np.log10((c + 0.1) / (total + 0.1 * (kinds + 1)))
         return pd.DataFrame({
             "doc_id": pd.array(list(h["ids"]), dtype="Int64"), "held_out": np.asarray(h["held"], bool), "n_tokens": sizes,
             "n_known": np.add.reduceat((c > 0).astype(np.int64)[lids], first), "train_tokens": total,
-            "base_score": np.add.reduceat(base[lids], first), "score": np.add.reduceat(per_token[lids], first),
+            "base_score": np.add.reduceat(base[lids], first), "score": np.add.reduceat(np.concatenate(per_token)[lids], first),
         })
 
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

@@ -74,7 +74,7 @@ event("first_of_run", lambda: ((flag() == 1) & (prior() == 0)).cast("int"), f"({
 event("last_of_run", lambda: ((flag() == 1) & (F.lead(flag(), 1, 0).over(t.ordered(BY, BY_TS)) == 0)).cast("int"), f"({FLAG} = 1 AND coalesce(lead({FLAG}) OVER {_W}), 0) = 0)::INT")
 event("smear", lambda: t.scan(F.max, flag(), BY, BY_TS), f"max({FLAG}) OVER {_W} ROWS UNBOUNDED PRECEDING)")
 event("invert_after_first", lambda: (1 - t.scan(F.max, flag(), BY, BY_TS)), f"1 - max({FLAG}) OVER {_W} ROWS UNBOUNDED PRECEDING)")
-event("running_mean", lambda: F.round(t.scan(F.avg, "value", BY, BY_TS), 3), f"round(avg(value) OVER {_W} ROWS UNBOUNDED PRECEDING), 3)")
+event("running_mean", lambda: t.scan(F.avg, "event_id", BY, BY_TS), f"avg(event_id) OVER {_W} ROWS UNBOUNDED PRECEDING)")
 event("count_before", lambda: (t.scan(F.count, "value", BY, BY_TS) - 1), f"count(value) OVER {_W} ROWS UNBOUNDED PRECEDING) - 1")
 event("last_seen_value", lambda: F.last(F.when(flag() == 1, F.col("value")), True).over(t.ordered(BY, BY_TS).rowsBetween(Window.unboundedPreceding, 0)), f"last_value(CASE WHEN event_type = 'view' THEN value END IGNORE NULLS) OVER {_W} ROWS UNBOUNDED PRECEDING)")
 

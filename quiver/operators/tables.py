@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from quiver.functions.expr import col
+from quiver.plans.scratch import materialize
 
 # ---- positions ---------------------------------------------------------------
 
@@ -225,12 +226,13 @@ def bin_below(values: DataFrame, cuts: DataFrame, value: str, cut: str, by: list
 
 
 def closure(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """Transitive closure of (a, b): paths double each round until none is new."""
-    paths = edges.select("a", "b").distinct()
+    """Transitive closure of (a, b): paths double each round until none is new.
+    Each round is a written table, so its plan does not grow."""
+    paths = materialize(edges.select("a", "b").distinct())
     n = paths.count()
     for _ in range(rounds):
         step = paths.select("a", F.col("b").alias("m")).join(paths.select(F.col("a").alias("m"), "b"), "m").select("a", "b")
-        paths = paths.union(step).distinct().checkpoint() if paths.sparkSession.sparkContext.getCheckpointDir() else paths.union(step).distinct()
+        paths = materialize(paths.union(step).distinct())
         if (now := paths.count()) == n:
             break
         n = now

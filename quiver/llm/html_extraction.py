@@ -39,6 +39,10 @@ BOILER = set(
     "share sharing shares social sidebar sidenav sponsor sponsored subscribe subscription tags tagcloud toolbar topbar widget widgets contentinfo complementary search login signup "
     "replies reply discussion disclaimer copyright colophon skip".split()
 )
+#: Those that an article uses for its own parts.
+ARTICLE_PARTS = {"header", "masthead", "banner", "search", "copyright", "widget", "tags"}
+#: Prefixes of class words that say how a page is laid out.
+LAYOUT = ("no-", "has-", "with-", "without-", "is-")
 ARTICLE = {"article", "main"}
 ARTICLE_WORDS = {"articlebody", "article-body", "post-content", "entry-content", "article-content", "story-body"}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
@@ -46,7 +50,7 @@ _NAMED = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden|style)\s*(?:=
 _SPACES = re.compile(r"\s+")
 
 
-def _kind(tag: str, attrs: str) -> str:
+def _kind(tag: str, attrs: str, in_article: bool) -> str:
     """'skip', 'article' or '' for an opening tag."""
     if tag in SKIP:
         return "skip"
@@ -60,8 +64,10 @@ def _kind(tag: str, attrs: str) -> str:
                 words = value.split()
                 if any(w in ARTICLE_WORDS for w in words):
                     kind = "article"
-                elif tag not in ("html", "body", *ARTICLE) and any(w in BOILER or BOILER.intersection(re.split(r"[-_:]+", w)) for w in words):
-                    return "skip"
+                elif tag not in ("html", "body", *ARTICLE):
+                    named = {x for w in words if not w.startswith(LAYOUT) for x in (w, *re.split(r"[-_:]+", w))}
+                    if (BOILER - ARTICLE_PARTS if in_article else BOILER).intersection(named):
+                        return "skip"
     return kind
 
 
@@ -132,7 +138,7 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
         if tag == "header":
             kind = "skip" if not articles else ""
         else:
-            kind = _kind(tag, m[3])
+            kind = _kind(tag, m[3], articles > 0)
         stack.append((tag, kind))
         skips += kind == "skip"
         articles += kind == "article"

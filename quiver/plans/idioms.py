@@ -167,3 +167,28 @@ def payback(spark, sf_dir):
 @query("SELECT event_id, try_cast(json_extract_string(props, '$.k') AS INT) k FROM events")
 def props_value(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
+
+
+# ---- the text front-end ---------------------------------------------------------------------
+
+
+@query("SELECT l_returnflag, round(sum(l_extendedprice * (1 - l_discount)), 2) s, max(l_quantity) m FROM lineitem WHERE l_quantity > 30 GROUP BY 1")
+def notation_fold(spark, sf_dir):
+    from quiver.plans import notation
+
+    got = notation.fold(read(spark, sf_dir, "lineitem"), ["l_returnflag"], where="l_quantity>30", s="+/l_extendedprice*1-l_discount", m="|/l_quantity")
+    return got.select("l_returnflag", F.round("s", 2).alias("s"), "m")
+
+
+@query("SELECT p_partkey, 2 * (p_size + 1) a, (p_size > 10)::INT b, p_retailprice / p_size c FROM part")
+def notation_select(spark, sf_dir):
+    from quiver.plans import notation
+
+    return notation.select(read(spark, sf_dir, "part"), p_partkey="p_partkey", a="2*p_size+1", b="p_size>10", c="p_retailprice%p_size")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_custkey % 7 < 0 THEN o_custkey % 7 + 7 ELSE o_custkey % 7 END r, greatest(o_orderkey, o_custkey) g FROM orders")
+def notation_modulo(spark, sf_dir):
+    from quiver.plans import notation
+
+    return notation.select(read(spark, sf_dir, "orders"), o_orderkey="o_orderkey", r="o_custkey!7", g="o_orderkey|o_custkey")

@@ -104,7 +104,7 @@ def score_dense(texts, dense: np.ndarray, bias: float) -> np.ndarray:
     return sigmoid(np.bincount(pair >> BITS, dense[pair & (SIZE - 1)], minlength=len(texts)) + bias)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, id_col: str = "doc_id", text: str = "text", label: str = "toxic"):
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 12000, id_col: str = "doc_id", text: str = "text", label: str = "toxic"):
     """Model from at most ``max_rows`` labelled rows, the first by a hash of the
     id; rows with a null id or label teach nothing, an id labelled twice counts
     as 1 if any label is 1.  """
@@ -147,7 +147,7 @@ def predict(docs: DataFrame, model, text: str = "text") -> DataFrame:
     return docs.withColumn("__text", F.col(text)).mapInArrow(run, schema)
 
 
-def score(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, mod: int = 5, rest: int = 0) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, max_rows: int = 12000, mod: int = 5, rest: int = 0) -> DataFrame:
     """doc_id, held_out, score, predicted; labels of held-out ids are not used."""
     model = train(docs, labels.where(id_remainder("doc_id", mod) != rest), max_rows)
     return predict(docs.select("doc_id", (id_remainder("doc_id", mod) == rest).alias("held_out"), F.col("text")), model).drop("text")

@@ -31,7 +31,7 @@ from quiver.llm._common import bounded_batches, id_remainder, materialize
 #: Longest context in bytes (at most 6: a gram fits a long).
 ORDER = 5
 #: Text bytes of a block, and tokens of a block worked on at once.
-BLOCK, RUN = 24_000_000, 65_536
+BLOCK, RUN = 16_000_000, 65_536
 #: Symbols: 256 byte values and one to spare.
 ALPHABET = 257
 

@@ -21,6 +21,8 @@ from quiver.llm._common import SPACE, bounded_batches, box, materialize, unbox
 
 #: Hash cells of a source; a source's word positions are sums over cells.
 CELLS = 4096
+#: Sources whose table of one row each is broadcast.
+FEW = 100_000
 MASK = (1 << 32) - 1
 
 
@@ -131,6 +133,8 @@ def mix(docs: DataFrame, block: int = 1024, shard: int = 4096, cap: float = 3.0,
     goal = targets(sizes, weights or [1 + i % 3 for i in range(len(sums))], cap)
     drawn = [draw_slots(s, t, block, i, seed) for i, (s, t) in enumerate(zip(sizes, goal))]
     sources = spark.createDataFrame([(r[0], i, sizes[i], goal[i]) for i, r in enumerate(sums)], "_source string, _no int, _source_size long, _target double")
+    if len(sums) <= FEW:
+        sources = F.broadcast(sources)  # else a join, which the hottest source skews
     known = base.join(sources, base["_source"].eqNullSafe(sources["_source"])).drop("_source")
 
     # word positions: rows in (cell, tie) order within a source, from sums of whole cells

@@ -107,7 +107,7 @@ class Model:
 
     def fit(self, x: np.ndarray, lang: np.ndarray) -> "Model":
         self.scale = 1.0 / max(float(np.sqrt((x**2).sum(axis=1)).mean()), 1e-9) if len(x) else 1.0
-        x = x * np.float32(self.scale)
+        x *= np.float32(self.scale)
         at = np.array([self.langs.index(v) for v in lang])
         fam = np.array([self.families.index(self.family[i]) for i in at])
         for k in range(len(self.families)):
@@ -157,13 +157,13 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", max_rows:
     def vectors(batches):
         for pdf in batches:
             out = [text_vector(t) for t in pdf["text"]]
-            yield pd.DataFrame({"lang": pdf["lang"], "h": pdf["h"], "at": [np.flatnonzero(v).astype(np.int32).tolist() for v in out], "v": [v[v > 0].tolist() for v in out]})
+            yield pd.DataFrame({"lang": pdf["lang"], "h": pdf["h"], "at": [np.flatnonzero(v).astype(np.int32).tobytes() for v in out], "v": [v[v > 0].tobytes() for v in out]})
 
-    got = sample.mapInPandas(vectors, "lang string, h long, at array<int>, v array<float>").limit(2 * each * len(kinds)).toPandas()
+    got = sample.mapInPandas(vectors, "lang string, h long, at binary, v binary").limit(2 * each * len(kinds)).toPandas()
     got = got.sort_values(["lang", "h"], kind="stable").reset_index(drop=True)
     x = np.zeros((len(got), DIMS), np.float32)
     for i, (at, v) in enumerate(zip(got["at"], got["v"])):
-        x[i, np.asarray(at, int)] = v
+        x[i, np.frombuffer(at, np.int32)] = np.frombuffer(v, np.float32)
     return Model(kinds).fit(x, got["lang"].to_numpy())
 
 

@@ -3,12 +3,14 @@
 Markup is stripped by one pass of a tolerant tokeniser: block tags end a line,
 text of elements that are never content (scripts, menus, forms, and elements
 whose class, id or role names boilerplate) is left out, and lines keep how much
-of them is link text and whether an article element holds them.  Over the lines,
+of them is link text and which article elements hold them.  Over the lines,
 text lengths are summed in windows of ``WINDOW`` lines; a window sum that rises
 above the page's threshold is a surge, one that falls to nothing a dive, and the
-stretch between with the most text is kept.  A stretch that meets an article
-element grows to that element's ends; without any surge the densest stretch, or
-the article as it stands, is kept, so short pages are not lost.
+stretch between with the most text is kept.  Stretches end where an outermost
+article element does, and one that meets an article element grows to that
+element's ends, but not into articles inside it that it does not meet.  Without
+any surge the articles as they stand, or all lines but link lists, are kept, so
+short pages are not lost.
 """
 
 from __future__ import annotations
@@ -71,12 +73,14 @@ def _kind(tag: str, attrs: str, in_article: bool) -> str:
     return kind
 
 
-def page_lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, letters inside links, inside an article) of each non-empty line."""
-    lines: list[tuple[str, int, bool]] = []
+def page_lines(page: str) -> list[tuple[str, int, tuple[int, ...]]]:
+    """(text, letters inside links, numbers of the article elements around it,
+    outermost first) of each non-empty line."""
+    lines: list[tuple[str, int, tuple[int, ...]]] = []
     buffer: list[str] = []
     stack: list[tuple[str, str]] = []
-    skips = articles = links = linked = 0
+    articles: list[int] = []
+    skips = links = linked = numbered = 0
     at, end = 0, len(page)
 
     def flush():
@@ -84,16 +88,17 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
         if buffer:
             text = _SPACES.sub(" ", "".join(buffer)).strip()
             if text:
-                lines.append((text, linked, articles > 0))
+                lines.append((text, linked, tuple(articles)))
             buffer.clear()
         linked = 0
 
     def pop(n):
-        nonlocal skips, articles, links
+        nonlocal skips, links
         while len(stack) > n:
             tag, kind = stack.pop()
             skips -= kind == "skip"
-            articles -= kind == "article"
+            if kind == "article":
+                articles.pop()
             links -= tag == "a"
 
     while at < end:
@@ -138,43 +143,50 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
         if tag == "header":
             kind = "skip" if not articles else ""
         else:
-            kind = _kind(tag, m[3], articles > 0)
+            kind = _kind(tag, m[3], bool(articles))
         stack.append((tag, kind))
         skips += kind == "skip"
-        articles += kind == "article"
+        if kind == "article":
+            articles.append(numbered)
+            numbered += 1
         links += tag == "a"
     flush()
     return lines
 
 
+def stretches(lines: list, weight: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of each stretch between a surge and a dive."""
+    threshold = max(40.0, 0.5 * weight.sum() / len(lines) * WINDOW / 2)
+    outer = [a[:1] for *_, a in lines]
+    edges = [0, *(i for i in range(1, len(lines)) if outer[i] != outer[i - 1]), len(lines)]
+    found = []
+    for low, high in zip(edges, edges[1:]):
+        sums = np.convolve(weight[low:high], np.ones(WINDOW, int))[WINDOW - 1 :]  # each window from its first line
+        start = None
+        for i in range(low, high + 1):
+            if start is None and i < high and sums[i - low] > threshold and weight[i]:
+                start = i
+            elif start is not None and (i == high or (weight[i] == 0 and sums[i - low] < threshold)):
+                found.append((start, i))
+                start = None
+    return found
+
+
 def main_text(page: str | None) -> str:
     lines = page_lines(page or "")
     if not lines:
         return ""
-    if any(a for *_, a in lines):
-        lines = [x for x in lines if x[2]] or lines
-        inside = True
-    else:
-        inside = False
     # link lists carry no weight in the distribution
     weight = np.array([0 if k * 2 > len(t) else len(t) for t, k, _ in lines])
-    sums = np.convolve(weight, np.ones(WINDOW, int))[WINDOW - 1 :]  # each window from its first line
-    threshold = max(40.0, 0.5 * weight.sum() / len(lines) * WINDOW / 2)
-    best, start, surge = (0, 0, 0), None, False
-    for i, s in enumerate([*sums, 0]):
-        if start is None and s > threshold and i < len(lines) and weight[i]:
-            start = i
-        elif start is not None and (i == len(lines) or (weight[i] == 0 and s < threshold)):
-            size = int(weight[start:i].sum())
-            best, surge = max(best, (size, -start, i)), True
-            start = None
-    if inside:
-        keep = range(len(lines))  # the stretch lies in the article and grows to its ends
-    elif surge:
-        keep = range(-best[1], best[2])
+    found = stretches(lines, weight)
+    if found:
+        start, end = max(found, key=lambda f: (weight[f[0] : f[1]].sum(), -f[0]))
+        kept = {i for i in range(start, end) if weight[i]}
+        met = {a[:n] for *_, a in lines[start:end] for n in range(1, len(a) + 1)}
+        keep = [i for i, (*_, a) in enumerate(lines) if i in kept or a in met]
     else:
-        keep = [i for i, w in enumerate(weight) if w]
-    return "\n".join(lines[i][0] for i in keep if inside or weight[i])
+        keep = [i for i, (*_, a) in enumerate(lines) if a] or [i for i, w in enumerate(weight) if w]
+    return "\n".join(lines[i][0] for i in keep)
 
 
 def extract(pages: DataFrame, html: str = "html", carry: list[str] | None = None) -> DataFrame:

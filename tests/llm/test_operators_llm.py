@@ -285,6 +285,15 @@ def test_pages_against_template(spark, sf_dir):
         assert html_extraction.main_text(r.html) == want
 
 
+def test_pages_article_beside_main_text():
+    long = [f"Paragraph {i} of the main text is long enough to say a thing or two about it." for i in range(6)]
+    body = "".join(f"<p>{x}</p>" for x in long)
+    card = "<article><a href=#>Card</a></article>"
+    assert html_extraction.main_text(f"<div>{body}</div>{card}").split("\n") == long
+    assert html_extraction.main_text(f"<main><h1>Head</h1>{body}{card}</main><p>Imprint").split("\n") == ["Head", *long]
+    assert html_extraction.main_text("<p>Menu<article><p>Short.</article>") == "Short."
+
+
 # ---- 8 mixing ------------------------------------------------------------------------
 
 

@@ -5,8 +5,9 @@ text of elements that are never content (scripts, menus, forms, and elements
 whose class, id or role names boilerplate) is left out, and lines keep how much
 of them is link text and which article elements hold them.  Over the lines,
 text lengths are summed in windows of ``WINDOW`` lines; a window sum that rises
-above the page's threshold is a surge, one that falls to nothing a dive, and the
-stretch between with the most text is kept.  Stretches end where an outermost
+above the page's threshold is a surge, one that falls to nothing a dive, and every
+line of each stretch between is kept, as are the lines between two stretches that
+share a container (a link list within a text).  Stretches end where an outermost
 article element does, and one that meets an article element grows to that
 element's ends, but not into articles inside it that it does not meet.  Without
 any surge the articles as they stand, or all lines but link lists, are kept, so
@@ -46,6 +47,8 @@ ARTICLE_PARTS = {"header", "masthead", "banner", "search", "copyright", "widget"
 #: Prefixes of class words that say how a page is laid out.
 LAYOUT = ("no-", "has-", "with-", "without-", "is-")
 ARTICLE = {"article", "main"}
+#: Block tags that hold paragraphs, headings and lists.
+CONTAINER = {"article", "blockquote", "body", "center", "dd", "div", "main", "section", "td"}
 ARTICLE_WORDS = {"articlebody", "article-body", "post-content", "entry-content", "article-content", "story-body"}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _NAMED = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -73,13 +76,14 @@ def _kind(tag: str, attrs: str, in_article: bool) -> str:
     return kind
 
 
-def page_lines(page: str) -> list[tuple[str, int, tuple[int, ...]]]:
-    """(text, letters inside links, numbers of the article elements around it,
-    outermost first) of each non-empty line."""
-    lines: list[tuple[str, int, tuple[int, ...]]] = []
+def page_lines(page: str) -> list[tuple[str, int, int, tuple[int, ...]]]:
+    """(text, letters inside links, number of the container, numbers of the article
+    elements around it, outermost first) of each non-empty line."""
+    lines: list[tuple[str, int, int, tuple[int, ...]]] = []
     buffer: list[str] = []
     stack: list[tuple[str, str]] = []
     articles: list[int] = []
+    containers = [-1]
     skips = links = linked = numbered = 0
     at, end = 0, len(page)
 
@@ -88,7 +92,7 @@ def page_lines(page: str) -> list[tuple[str, int, tuple[int, ...]]]:
         if buffer:
             text = _SPACES.sub(" ", "".join(buffer)).strip()
             if text:
-                lines.append((text, linked, tuple(articles)))
+                lines.append((text, linked, containers[-1], tuple(articles)))
             buffer.clear()
         linked = 0
 
@@ -99,6 +103,8 @@ def page_lines(page: str) -> list[tuple[str, int, tuple[int, ...]]]:
             skips -= kind == "skip"
             if kind == "article":
                 articles.pop()
+            if tag in CONTAINER:
+                containers.pop()
             links -= tag == "a"
 
     while at < end:
@@ -146,28 +152,38 @@ def page_lines(page: str) -> list[tuple[str, int, tuple[int, ...]]]:
             kind = _kind(tag, m[3], bool(articles))
         stack.append((tag, kind))
         skips += kind == "skip"
+        numbered += 1
         if kind == "article":
             articles.append(numbered)
-            numbered += 1
+        if tag in CONTAINER:
+            containers.append(numbered)
         links += tag == "a"
     flush()
     return lines
 
 
 def stretches(lines: list, weight: np.ndarray) -> list[tuple[int, int]]:
-    """(start, end) of each stretch between a surge and a dive."""
+    """(start, end) of each stretch between a surge and a dive, those that share a
+    container made one."""
     threshold = max(40.0, 0.5 * weight.sum() / len(lines) * WINDOW / 2)
     outer = [a[:1] for *_, a in lines]
     edges = [0, *(i for i in range(1, len(lines)) if outer[i] != outer[i - 1]), len(lines)]
-    found = []
+    found: list[tuple[int, int]] = []
     for low, high in zip(edges, edges[1:]):
         sums = np.convolve(weight[low:high], np.ones(WINDOW, int))[WINDOW - 1 :]  # each window from its first line
-        start = None
+        start, home = None, {}  # home: the stretch that last had lines of a container
         for i in range(low, high + 1):
             if start is None and i < high and sums[i - low] > threshold and weight[i]:
                 start = i
             elif start is not None and (i == high or (weight[i] == 0 and sums[i - low] < threshold)):
+                held = {c for _, _, c, _ in lines[start:i]}
+                n = min((home[c] for c in held if c in home), default=len(found))
+                if n < len(found):
+                    start = found[n][0]
+                    del found[n:]
+                    held |= {c for c, k in home.items() if k >= n}
                 found.append((start, i))
+                home.update(dict.fromkeys(held, n))
                 start = None
     return found
 
@@ -177,12 +193,11 @@ def main_text(page: str | None) -> str:
     if not lines:
         return ""
     # link lists carry no weight in the distribution
-    weight = np.array([0 if k * 2 > len(t) else len(t) for t, k, _ in lines])
+    weight = np.array([0 if k * 2 > len(t) else len(t) for t, k, *_ in lines])
     found = stretches(lines, weight)
     if found:
-        start, end = max(found, key=lambda f: (weight[f[0] : f[1]].sum(), -f[0]))
-        kept = {i for i in range(start, end) if weight[i]}
-        met = {a[:n] for *_, a in lines[start:end] for n in range(1, len(a) + 1)}
+        kept = {i for start, end in found for i in range(start, end)}
+        met = {a[:n] for a in {lines[i][-1] for i in kept} for n in range(1, len(a) + 1)}
         keep = [i for i, (*_, a) in enumerate(lines) if i in kept or a in met]
     else:
         keep = [i for i, (*_, a) in enumerate(lines) if a] or [i for i, w in enumerate(weight) if w]

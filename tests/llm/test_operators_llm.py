@@ -294,6 +294,18 @@ def test_pages_article_beside_main_text():
     assert html_extraction.main_text("<p>Menu<article><p>Short.</article>") == "Short."
 
 
+def test_pages_keep_every_stretch():
+    text = [f"Paragraph {i} of the main text is long enough to say a thing or two about it." for i in range(6)]
+    links = [f"See also {i}" for i in range(4)]
+    some, rest = ("".join(f"<p>{x}</p>" for x in half) for half in (text[:4], text[4:]))
+    ul = "<ul>" + "".join(f"<li><a href=#>{x}</a></li>" for x in links) + "</ul>"
+    whole = [*text[:4], *links, *text[4:]]
+    assert html_extraction.main_text(f"<div>{some}{ul}{rest}</div>").split("\n") == whole
+    assert html_extraction.main_text(f"<div>{some}</div><div>{ul}</div><div>{rest}</div>").split("\n") == text
+    one = "<p><a href=#>A sentence that is a link</a></p>"
+    assert html_extraction.main_text(f"<div>{some}{one}{rest}</div>").split("\n") == [*text[:4], "A sentence that is a link", *text[4:]]
+
+
 # ---- 8 mixing ------------------------------------------------------------------------
 
 

@@ -12,6 +12,10 @@ article element does, and one that meets an article element grows to that
 element's ends, but not into articles inside it that it does not meet.  Without
 any surge the articles as they stand, or all lines but link lists, are kept, so
 short pages are not lost.
+
+Inside an article a name is only a doubt: it must be a whole class word (or the id
+of no heading or section), and an element with a long line of text is kept all the
+same.
 """
 
 from __future__ import annotations
@@ -43,7 +47,11 @@ BOILER = set(
     "replies reply discussion disclaimer copyright colophon skip".split()
 )
 #: Those that an article uses for its own parts.
-ARTICLE_PARTS = {"header", "masthead", "banner", "search", "copyright", "widget", "tags"}
+ARTICLE_PARTS = {"header", "masthead", "banner", "search", "copyright", "widget", "tags", "discussion", "notice", "notices", "alert", "alerts", "footnotes", "disclaimer", "skip"}
+#: Elements of an article whose id names their subject.
+TITLED = {"h1", "h2", "h3", "h4", "h5", "h6", "section"}
+#: Letters of a line in an article that no box beside the text reaches.
+LONG = 120
 #: Prefixes of class words that say how a page is laid out.
 LAYOUT = ("no-", "has-", "with-", "without-", "is-")
 ARTICLE = {"article", "main"}
@@ -56,8 +64,8 @@ _SPACES = re.compile(r"\s+")
 
 
 def _kind(tag: str, attrs: str, in_article: bool) -> str:
-    """'skip', 'article' or '' for an opening tag."""
-    if tag in SKIP:
+    """'skip', 'article', 'doubt' or '' for an opening tag."""
+    if tag in SKIP and not (in_article and tag == "figcaption"):
         return "skip"
     kind = "article" if tag in ARTICLE else ""
     if attrs:
@@ -69,17 +77,23 @@ def _kind(tag: str, attrs: str, in_article: bool) -> str:
                 words = value.split()
                 if any(w in ARTICLE_WORDS for w in words):
                     kind = "article"
+                elif in_article and tag not in ARTICLE:
+                    if not (name == "id" and tag in TITLED) and (BOILER - ARTICLE_PARTS).intersection(words):
+                        kind = kind or "doubt"
                 elif tag not in ("html", "body", *ARTICLE):
                     named = {x for w in words if not w.startswith(LAYOUT) for x in (w, *re.split(r"[-_:]+", w))}
-                    if (BOILER - ARTICLE_PARTS if in_article else BOILER).intersection(named):
+                    if BOILER.intersection(named):
                         return "skip"
     return kind
 
 
 def page_lines(page: str) -> list[tuple[str, int, int, tuple[int, ...]]]:
     """(text, letters inside links, number of the container, numbers of the article
-    elements around it, outermost first) of each non-empty line."""
+    elements around it, outermost first) of each non-empty line, without those of
+    doubted elements that hold no long line."""
     lines: list[tuple[str, int, int, tuple[int, ...]]] = []
+    doubts: list[int] = []  # of each line, the outermost doubted element around it, or 0
+    doubted: list[int] = []
     buffer: list[str] = []
     stack: list[tuple[str, str]] = []
     articles: list[int] = []
@@ -93,6 +107,7 @@ def page_lines(page: str) -> list[tuple[str, int, int, tuple[int, ...]]]:
             text = _SPACES.sub(" ", "".join(buffer)).strip()
             if text:
                 lines.append((text, linked, containers[-1], tuple(articles)))
+                doubts.append(doubted[0] if doubted else 0)
             buffer.clear()
         linked = 0
 
@@ -103,6 +118,8 @@ def page_lines(page: str) -> list[tuple[str, int, int, tuple[int, ...]]]:
             skips -= kind == "skip"
             if kind == "article":
                 articles.pop()
+            if kind == "doubt":
+                doubted.pop()
             if tag in CONTAINER:
                 containers.pop()
             links -= tag == "a"
@@ -155,11 +172,14 @@ def page_lines(page: str) -> list[tuple[str, int, int, tuple[int, ...]]]:
         numbered += 1
         if kind == "article":
             articles.append(numbered)
+        if kind == "doubt":
+            doubted.append(numbered)
         if tag in CONTAINER:
             containers.append(numbered)
         links += tag == "a"
     flush()
-    return lines
+    sure = {0} | {d for (text, k, *_), d in zip(lines, doubts) if len(text) >= LONG and k * 2 <= len(text)}
+    return [x for x, d in zip(lines, doubts) if d in sure]
 
 
 def stretches(lines: list, weight: np.ndarray) -> list[tuple[int, int]]:

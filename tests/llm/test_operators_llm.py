@@ -306,6 +306,16 @@ def test_pages_keep_every_stretch():
     assert html_extraction.main_text(f"<div>{some}{one}{rest}</div>").split("\n") == [*text[:4], "A sentence that is a link", *text[4:]]
 
 
+def test_pages_names_inside_article():
+    own = [
+        '<section id="discussion"><p>Discussed.</section>', '<h2 id="related-work">Related work</h2>', '<h2 id="skip-lists">Skip lists</h2>', '<p class="alert">Take care.</p>',
+        '<div id="social-policy">Policy.</div>', "<figure><img src=x><figcaption>A figure.</figcaption></figure>", '<div class="related"><p>' + "Long text of the article. " * 8 + "</div>",
+    ]
+    boxes = '<div class="share">Tell others</div><ul class="social"><li>Follow us</ul><div id="comments"><p>First!</div>'
+    want = ["Discussed.", "Related work", "Skip lists", "Take care.", "Policy.", "A figure.", ("Long text of the article. " * 8).strip()]
+    assert html_extraction.main_text(f"<article>{''.join(own)}{boxes}</article>").split("\n") == want
+
+
 # ---- 8 mixing ------------------------------------------------------------------------
 
 

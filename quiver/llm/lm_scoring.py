@@ -4,9 +4,10 @@ A byte-context trie, trained on the corpus, gives each byte of a token the
 probability of the longest known context: ``(2c - 1) / 2T`` for a byte seen c times
 among T there (d distinct), else the escape ``d / 2T`` times the probability
 in the next shorter context, where the bytes already ruled out are excluded; past
-the empty context, bytes are uniform.  Contexts reach back ``ORDER`` bytes but not
-over the blank before a token, so a byte's code length depends on one gram of at
-most ORDER + 1 bytes, and the cost of a text is a sum over its tokens' grams.
+the empty context, bytes are uniform.  Contexts reach back ``ORDER`` bytes, over the
+blanks of the text or, if asked, not over the blank before a token; so a byte's code
+length depends on one gram of at most ORDER + 1 bytes, and the cost of a text is a
+sum over the grams of its units: itself, or its tokens.
 
 Documents are read once and dealt into blocks of bounded text.  A block keeps its
 texts and asks, once per distinct token and gram, for counts and code lengths;
@@ -30,34 +31,59 @@ from quiver.llm._common import bounded_batches, id_remainder, materialize
 
 #: Longest context in bytes (at most 6: a gram fits a long).
 ORDER = 5
-#: Text bytes of a block, and tokens of a block worked on at once.
+#: Text bytes of a block, and of a block's text worked on at once.
 BLOCK, RUN = 16_000_000, 65_536
 #: Symbols: 256 byte values and one to spare.
 ALPHABET = 257
 
 
-def token_grams(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Grams of all tokens end to end, and the start of each token's.  A token is
-    its bytes and a blank, in the context of a blank; an empty one stands for the
-    end of a text, a single line feed."""
-    flat = np.frombuffer(b"".join(b" " + (t + b" " if t else b"\n") for t in tokens), np.uint8).astype(np.uint64)
-    sizes = np.fromiter((len(t) + 2 for t in tokens), np.int64, len(tokens))
-    starts = np.cumsum(sizes) - sizes
-    at = np.arange(len(flat)) - np.repeat(starts, sizes)  # place in the token, the leading blank being 0
+def runs(units):
+    """The grams of all units end to end, in bounded runs of (grams, unit of each).
+    A unit's first byte is context only; long units are cut, each piece with the
+    context before it."""
+    pieces, size = [], 0
+    for i, unit in enumerate(units):
+        for a in range(1, len(unit), RUN):
+            low = max(0, a - ORDER)
+            pieces.append((i, unit[low : a + RUN], a - low))
+            size += len(pieces[-1][1])
+            if size >= RUN:
+                yield grams_of(pieces)
+                pieces, size = [], 0
+    if pieces:
+        yield grams_of(pieces)
+
+
+def grams_of(pieces: list[tuple[int, bytes, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Grams of pieces (unit, bytes, how many of them are context only)."""
+    flat = np.frombuffer(b"".join(p for _, p, _ in pieces), np.uint8).astype(np.uint64)
+    unit, sizes, skip = np.array([(i, len(p), k) for i, p, k in pieces]).T
+    at = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)  # place in the piece
     key = np.zeros(len(flat), np.uint64)
     for back in range(ORDER, -1, -1):
         byte = np.zeros(len(flat), np.uint64)
         byte[back:] = flat[: len(flat) - back]
         key = np.where(at >= back, (key << np.uint64(8)) | byte, key)
     key |= np.minimum(at + 1, ORDER + 1).astype(np.uint64) << np.uint64(56)
-    return key[at > 0].astype(np.int64), starts - np.arange(len(tokens))
+    asked = at >= np.repeat(skip, sizes)
+    return key[asked].astype(np.int64), np.repeat(unit, sizes)[asked]
+
+
+def merged(keys: list, sums: list) -> tuple[list, list]:
+    """One sorted array of distinct keys and one of their sums."""
+    key, total = np.concatenate(keys), np.concatenate(sums)
+    order = np.argsort(key, kind="stable")
+    key, total = key[order], total[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    return [key[first]], [np.add.reduceat(total, first)]
 
 
 class Block:
     """Documents gathered until the block is full; tokens are numbered as they
     first appear, so the numbers come out again from the texts."""
 
-    def __init__(self):
+    def __init__(self, over_blanks: bool):
+        self.over_blanks = over_blanks
         self.lids: dict[bytes, int] = {b"": 0}
         self.ids, self.held, self.texts, self.train, self.bytes = [], [], [], [], 0
 
@@ -75,18 +101,35 @@ class Block:
         self.texts.append(raw)
         self.bytes += len(raw) + 32
 
-    def grams(self, count: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def units(self):
+        """Texts, or distinct tokens: each token is its bytes and a blank, in the
+        context of a blank; the end of a text is a line feed."""
+        if self.over_blanks:
+            return (b" ".join([b"", *t.split(), b"\n"]) for t in self.texts)
+        return (b" " + (t + b" " if t else b"\n") for t in self.lids)
+
+    def grams(self, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The block's distinct grams, sorted, with their sums of ``count`` over
-        tokens; worked out over bounded runs of tokens."""
-        tokens, keys, sums = list(self.lids), [], []
-        for a in range(0, len(tokens), RUN):
-            grams, starts = token_grams(tokens[a : a + RUN])
+        units."""
+        keys, sums, waiting = [np.zeros(0, np.int64)], [np.zeros(0)], 0
+        for grams, unit in runs(self.units()):
             distinct, which = np.unique(grams, return_inverse=True)
-            per = np.zeros(len(grams)) if count is None else np.repeat(count[a : a + RUN], np.diff(np.append(starts, len(grams))))
             keys.append(distinct)
-            sums.append(np.bincount(which, per, len(distinct)))
-        distinct, which = np.unique(np.concatenate(keys), return_inverse=True)
-        return distinct, np.bincount(which, np.concatenate(sums), len(distinct)).astype(np.int64)
+            sums.append(np.bincount(which, count[unit], len(distinct)))
+            waiting += len(distinct)
+            if waiting > max(len(keys[0]), 1 << 19):
+                keys, sums, waiting = *merged(keys, sums), 0
+        (distinct,), (total,) = merged(keys, sums)
+        return distinct, total.astype(np.int64)
+
+    def costs(self, distinct: np.ndarray, logp: np.ndarray) -> np.ndarray:
+        """Sum of each unit's code lengths, ``logp`` being those of ``distinct``."""
+        out = np.zeros(len(self.texts) if self.over_blanks else len(self.lids))
+        for grams, unit in runs(self.units()):
+            own, which = np.unique(grams, return_inverse=True)
+            sums = np.bincount(unit - unit[0], logp[np.searchsorted(distinct, own)][which])
+            out[unit[0] : unit[0] + len(sums)] += sums
+        return out
 
     def rows(self, block: int):
         import xxhash
@@ -96,15 +139,17 @@ class Block:
         text = zlib.compress(b"".join(self.texts), 1)
         yield pd.DataFrame({"kind": [0], "slot": [block << 24], "key": [0], "n": [0], "ids": [self.ids], "held": [self.held], "sizes": [[len(t) for t in self.texts]], "text": [text]})
         keys = np.fromiter(map(xxhash.xxh64_intdigest, self.lids), np.uint64, len(self.lids)).view(np.int64)
-        distinct, weight = self.grams(count)
+        distinct, weight = self.grams(~np.array(self.held, bool) if self.over_blanks else count)
         for kind, key, n in ((1, keys, count), (2, distinct, weight)):
-            yield pd.DataFrame({"kind": kind, "slot": (block << 24) + np.arange(len(key)), "key": key, "n": n} | none)
+            for a in range(0, len(key), RUN):
+                part = slice(a, a + RUN)
+                yield pd.DataFrame({"kind": kind, "slot": (block << 24) + np.arange(a, a + len(key[part])), "key": key[part], "n": n[part]} | none)
 
 
 PARTS = "kind int, slot long, key long, n long, ids array<long>, held array<boolean>, sizes array<int>, text binary"
 
 
-def blocks_of(docs: DataFrame, id_col: str, text: str, mod: int, rest: int) -> DataFrame:
+def blocks_of(docs: DataFrame, id_col: str, text: str, mod: int, rest: int, over_blanks: bool) -> DataFrame:
     """A row of kind 0 per block; a row of kind 1 per distinct token of a block
     (``key`` its XXH64) and of kind 2 per distinct gram, ``n`` counting it in the
     block's training texts.  A slot is block << 24 | number."""
@@ -114,13 +159,13 @@ def blocks_of(docs: DataFrame, id_col: str, text: str, mod: int, rest: int) -> D
     def run(batches):
         from pyspark import TaskContext
 
-        at, block = TaskContext.get().partitionId() << 12, Block()
+        at, block = TaskContext.get().partitionId() << 12, Block(over_blanks)
         for pdf in batches:
             for i, h, t in zip(pdf["id"], pdf["held"], pdf["text"]):
                 block.add(None if i is None else int(i), bool(h), t)
                 if block.bytes >= BLOCK:
                     yield from block.rows(at)
-                    at, block = at + 1, Block()
+                    at, block = at + 1, Block(over_blanks)
         if block.ids:
             yield from block.rows(at)
 
@@ -178,12 +223,14 @@ def code_length(levels: list) -> float:
 
 
 def gram_costs(grams: DataFrame) -> DataFrame:
-    """(gram, logp) of every gram asked for; ``n`` is its training count."""
+    """(gram, logp) of every gram asked for; ``n`` is its training count.  Short
+    grams, of where a unit begins, also occur inside longer ones."""
     seen, nodes = trie(grams)
+    whole = F.expr(f"n > 0 and shiftright(gram, 56) = {ORDER + 1}")
     top = F.expr("shiftleft(shiftright(gram, 56) - 1, 56) | shiftright(gram & 72057594037927935L, 8)")
-    known = grams.where("n > 0").withColumn("ctx", top).join(nodes.select("ctx", "t"), "ctx")
+    known = grams.where(whole).withColumn("ctx", top).join(nodes.select("ctx", "t"), "ctx")
     known = known.select("gram", F.log10((2 * F.col("n") - 1) / (2 * F.col("t"))).alias("logp"))
-    new = spread_orders(grams.where("n = 0").select("gram")).join(nodes, "ctx", "left").join(seen, ["ctx", "sym"], "left")
+    new = spread_orders(grams.where(~whole).select("gram")).join(nodes, "ctx", "left").join(seen, ["ctx", "sym"], "left")
     new = new.groupBy("gram").agg(F.sort_array(F.collect_list(F.struct("_k", "c", "t", "d", "xt", "xd")), asc=False).alias("levels"))
 
     def cost(batches):
@@ -194,7 +241,7 @@ def gram_costs(grams: DataFrame) -> DataFrame:
     return known.union(new.mapInPandas(cost, "gram long, logp double"))
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mod: int = 10, rest: int = 0) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mod: int = 10, rest: int = 0, over_blanks: bool = False) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score.
 
@@ -202,11 +249,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mod: int
     id counts as empty text there and stays null in the result.  A token is a run
     of non-blanks, A-Z lowered, and one end per text; null text is an empty one.
     ``score`` is the log10 probability of those tokens, blanks between them being
-    one symbol.  Repeated rows are scored, and counted in training, each on its
+    one symbol; contexts reach ``over_blanks`` or start anew at each token, which
+    makes the score one of the words in any order.  Repeated rows are scored, and counted in training, each on its
     own.  An empty table gives none; other columns are ignored.
     """
     spark = docs.sparkSession
-    parts = materialize(blocks_of(docs, id_col, text, mod, rest))
+    parts = materialize(blocks_of(docs, id_col, text, mod, rest, over_blanks))
     bounded_batches(spark, 20000)
     same = Window.partitionBy("key")
     asked = parts.where("kind = 1").select("slot", "key", "n")
@@ -218,28 +266,25 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mod: int
     paid = parts.where("kind = 2").select("slot", F.col("key").alias("gram")).join(costs, "gram")
     block = F.shiftright("slot", 24).alias("block")
     answers = counted.select(block, F.lit(1).alias("kind"), "slot", F.col("c").cast("double").alias("x"))
-    answers = answers.union(paid.select(block, F.lit(2).alias("kind"), "slot", F.col("logp").alias("x")))
+    answers = answers.union(paid.select(block, F.lit(2).alias("kind"), F.col("gram").alias("slot"), F.col("logp").alias("x")))
     heads = parts.where("kind = 0").select(F.shiftright("slot", 24).alias("home"), "ids", "held", "sizes", "text")
 
     def finish(key, head, told):
         told = told.sort_values("slot", kind="stable")
         kind, x = told["kind"].to_numpy(), told["x"].to_numpy()
-        c, logp, h, numbers = x[kind == 1], x[kind == 2], head.iloc[0], Block()
+        c, logp, h, numbers = x[kind == 1], x[kind == 2], head.iloc[0], Block(over_blanks)
         ends = np.cumsum(np.asarray(h["sizes"], np.int64))
         text = zlib.decompress(h["text"])
-        docs = [numbers.number(text[e - n : e]) for e, n in zip(ends.tolist(), h["sizes"])]
+        numbers.texts = [text[e - n : e] for e, n in zip(ends.tolist(), h["sizes"])]
+        docs = [numbers.number(t) for t in numbers.texts]
         sizes, lids = np.array([len(d) for d in docs]), np.concatenate(docs)
         first = np.cumsum(sizes) - sizes
-        distinct, _ = numbers.grams()
-        tokens, per_token = list(numbers.lids), []
-        for a in range(0, len(tokens), RUN):
-            grams, starts = token_grams(tokens[a : a + RUN])
-            per_token.append(np.add.reduceat(logp[np.searchsorted(distinct, grams)], starts))
+        costs = numbers.costs(told["slot"].to_numpy()[kind == 2], logp)
         base = np.log10((c + 0.1) / (total + 0.1 * (kinds + 1)))
         return pd.DataFrame({
             "doc_id": pd.array(list(h["ids"]), dtype="Int64"), "held_out": np.asarray(h["held"], bool), "n_tokens": sizes,
             "n_known": np.add.reduceat((c > 0).astype(np.int64)[lids], first), "train_tokens": total,
-            "base_score": np.add.reduceat(base[lids], first), "score": np.add.reduceat(np.concatenate(per_token)[lids], first),
+            "base_score": np.add.reduceat(base[lids], first), "score": costs if over_blanks else np.add.reduceat(costs[lids], first),
         })
 
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

@@ -95,7 +95,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quiver.llm.lm_scoring import score
 
-    return score(table(spark, sf_dir, "documents"))
+    return score(table(spark, sf_dir, "documents"), over_blanks=True)
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -252,6 +252,43 @@ def test_lm_against_brute_force(spark, docs, empty, sf_dir, monkeypatch):
     assert all(r.held_out == (crc(r.doc_id) % 10 == 0) for r in got) and lm_scoring.score(empty).count() == 0
 
 
+def test_lm_reaches_over_blanks(spark, monkeypatch):
+    from quiver.llm import queries as q
+
+    monkeypatch.setattr(lm_scoring, "BLOCK", 300)
+    monkeypatch.setattr(lm_scoring, "RUN", 50)
+    words = "the cat sat on the mat and the dog lay by the door of the old house".split()
+    rows = [(i, " ".join(words[i % 5 :] + words[: i % 3])) for i in range(40)] + [(41, None), (42, " a  b\n")]
+    rows += [(100 + i, " ".join(words[::s])) for i in range(30) for s in (1, -1)]
+    monkeypatch.setattr(q, "table", lambda *_: spark.createDataFrame(rows, "doc_id long, text string"))
+    stream = lambda t: b" " + b"".join(w + b" " for w in (t or "").encode().split()) + b"\n"
+    trie = defaultdict(Counter)
+    for i, t in rows:
+        s = stream(t)
+        for at in range(1, len(s) if crc(i) % 10 else 0):
+            for k in range(min(at, lm_scoring.ORDER) + 1):
+                trie[s[at - k : at]][s[at]] += 1
+
+    def cost(s):
+        total = 0.0
+        for at in range(1, len(s)):
+            out = set()
+            for k in range(min(at, lm_scoring.ORDER), -1, -1):
+                left = {x: n for x, n in trie.get(s[at - k : at], {}).items() if x not in out}
+                if s[at] in left:
+                    total += math.log10((2 * left[s[at]] - 1) / (2 * sum(left.values())))
+                    break
+                if left:
+                    total += math.log10(len(left) / (2 * sum(left.values())))
+                    out |= set(left)
+            else:
+                total -= math.log10(257 - len(out))
+        return total
+
+    got = sorted((r.doc_id, round(r.score, 5)) for r in q.op6_lm_scoring(spark, "").collect())
+    assert got == sorted((i, round(cost(stream(t)), 5)) for i, t in rows)
+
+
 # ---- 7 pages ------------------------------------------------------------------------
 
 

@@ -241,8 +241,12 @@ def do_fold(n: int, f, x) -> Column:
 
 
 def while_(cond, f, x, most: int = 64) -> Column:
-    """f while cond holds, at most ``most`` times."""
-    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), col(x), lambda acc, _: F.when(cond(acc), f(acc)).otherwise(acc))
+    """f while cond holds; an error if it still holds after ``most`` times."""
+    unfinished = F.raise_error(F.lit(f"while_: the condition still holds after {most} rounds"))
+    return F.aggregate(
+        F.sequence(F.lit(1), F.lit(most)), col(x), lambda acc, _: F.when(cond(acc), f(acc)).otherwise(acc),
+        lambda acc: F.when(cond(acc), unfinished).otherwise(acc),
+    )
 
 
 def slide(f, a, step: int = 1) -> Column:

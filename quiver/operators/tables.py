@@ -240,11 +240,12 @@ def closure(edges: DataFrame, rounds: int = 64) -> DataFrame:
 
 
 def fixpoint(f, x: DataFrame, same, rounds: int = 64) -> DataFrame:
-    """f applied until ``same(new, old)`` holds, or it is back where it began."""
+    """f applied until ``same(new, old)`` holds, or it is back where it began;
+    an error if neither comes about in ``rounds`` rounds."""
     start = x
     for _ in range(rounds):
         new = f(x)
         if same(new, x) or same(new, start):
             return new
         x = new
-    return x
+    raise RuntimeError(f"fixpoint: not reached after {rounds} rounds")

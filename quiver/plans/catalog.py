@@ -451,6 +451,7 @@ cell("fold_many", lambda v: F.round(c.fold_many(lambda a, x, y: a + x * y, F.lit
 cell("scan_lambda", lambda v: F.slice(c.scan(lambda a, b: a + b, F.slice(F.col(v), 1, 4)), 2, 2), "[v[1] + v[2], v[1] + v[2] + v[3]]")
 cell("do_over", lambda v: F.round(c.do(5, lambda x: x * 2 + 1, F.get(F.col(v), 0)), 9), "round(v[1] * 32 + 31, 9)")
 cell("while_over", lambda v: c.while_(lambda x: x < 100, lambda x: x * 2 + 1, F.lit(3).cast("long")), "127::BIGINT")
+cell("while_over_column", lambda v: c.while_(lambda x: x < 100, lambda x: x * 2 + 1, F.floor(F.abs(F.get(F.col(v), 0)) * 50).cast("long")), "list_min([(floor(abs(v[1]) * 50)::BIGINT + 1) * (1 << k) - 1 FOR k IN range(0, 8) IF (floor(abs(v[1]) * 50)::BIGINT + 1) * (1 << k) > 100])::BIGINT")
 cell("slide_cell", lambda v: c.slide(lambda x, y: y - x, F.slice(F.col(v), 1, 4)), "[v[2] - v[1], v[3] - v[2], v[4] - v[3]]")
 cell("dot_cell", lambda v: F.round(c.dot(v, c.reverse(v)), 8), "round(list_dot_product(v, list_reverse(v)), 8)")
 cell("mag_cell", lambda v: F.round(c.mag(v), 8), "round(sqrt(list_dot_product(v, v)), 8)")

@@ -68,6 +68,16 @@ def test_closure_and_fixpoint(spark):
     assert got.first().v == 0
 
 
+def test_unfinished_loops_fail(spark):
+    x = spark.createDataFrame([(0,)], "v int")
+    up = lambda a: a + 1
+    assert x.select(c.while_(lambda a: a < 64, up, F.col("v")).alias("v")).first().v == 64
+    with pytest.raises(Exception, match="still holds after 64 rounds"):
+        x.select(c.while_(lambda a: a < 65, up, F.col("v")).alias("v")).collect()
+    with pytest.raises(RuntimeError, match="not reached"):
+        t.fixpoint(lambda d: d.select((F.col("v") + 1).alias("v")), x, lambda a, b: False, rounds=3)
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([], "k int, pos long, v double")
     assert t.group(df, "k", "pos").count() == 0 and t.global_scan(df, "v", ["pos"]).count() == 0

@@ -498,6 +498,7 @@ def doc(name, build, sql):
 doc("str_find_first", lambda: text.find_first("text", "the").cast("long"), "(strpos(text, 'the') - 1)::BIGINT")
 doc("str_glob", lambda: text.matches("source", "src[1-3]*"), "regexp_full_match(source, 'src[1-3].*')::INT")
 doc("str_find_all", lambda: F.size(text.find_all(F.substring("text", 1, 200), "th?")).cast("long"), "len(regexp_extract_all(substring(text, 1, 200), '(?s)th.'))")
+doc("str_find_all_whole", lambda: F.size(text.find_all("text", "th?")).cast("long"), "len(regexp_extract_all(text, '(?s)th.'))")
 doc("str_replace", lambda: F.md5(text.replace("text", "the", "THE")), "md5(replace(text, 'the', 'THE'))")
 doc("pad_left", lambda: text.pad(10, "source"), "lpad(source, 10, ' ')")
 doc("pad_right", lambda: text.pad(-10, "source"), "rpad(source, 10, ' ')")

@@ -37,6 +37,12 @@ doc("change_letters", lambda: F.translate("source", "src", "SRC"), "translate(so
 doc("is_palindrome", lambda: (F.col("lang") == F.reverse("lang")).cast("int"), "(lang = reverse(lang))::INT")
 doc("quoted", lambda: F.concat(F.lit('"'), F.col("source"), F.lit('"')), "'\"' || source || '\"'")
 
+# the same over the whole text, long results hashed
+doc("remove_blanks_whole", lambda: F.md5(F.regexp_replace("text", " ", "")), "md5(replace(text, ' ', ''))")
+doc("words_of_line_whole", lambda: F.size(F.split("text", " ")), "len(string_split(text, ' '))::INT")
+doc("count_letter_whole", lambda: (F.length("text") - F.length(F.regexp_replace("text", "e", ""))).cast("long"), "(length(text) - length(replace(text, 'e', '')))")
+doc("reverse_text_whole", lambda: F.md5(F.reverse("text")), "md5(reverse(text))")
+
 # ---- number representation ----------------------------------------------------------
 
 part("binary_text", lambda: F.bin("p_size"), "bin(p_size)")

@@ -11,6 +11,13 @@ def test_against_sql(spark, sf_dir, name):
     check(catalog.queries()[name](spark, sf_dir), catalog.oracle_sql()[name], sf_dir)
 
 
+def test_whole_texts(spark, tmp_path):
+    long = "the hen " * 200
+    spark.createDataFrame([(1, long)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {n: catalog.queries()[f"{n}_whole"](spark, str(tmp_path)).first().r for n in ("words_of_line", "count_letter", "str_find_all")}
+    assert got == {"words_of_line": 401, "count_letter": 400, "str_find_all": 200}
+
+
 def test_rows_only(spark, sf_dir):
     q = catalog.queries()
     for r in q["math_erf"](spark, sf_dir).limit(50).collect():

@@ -587,9 +587,14 @@ def mat_transpose(spark, sf_dir):
     return la.flip(_coo(spark, sf_dir, 50))
 
 
-def _matrices(spark, sf_dir):
+@query("SELECT generate_subscripts(embedding, 1)::INT - 1 i, vec_id j, unnest(embedding)::DOUBLE v FROM embeddings")
+def mat_transpose_whole(spark, sf_dir):
+    return la.flip(_coo(spark, sf_dir))
+
+
+def _matrices(spark, sf_dir, where="vec_id < 100"):
     """A well-conditioned 8 x 8 matrix per vector: its reshape plus 3 on the diagonal."""
-    v = read(spark, sf_dir, "embeddings").where("vec_id < 100").withColumn("v", F.col("embedding").cast("array<double>"))
+    v = read(spark, sf_dir, "embeddings").where(where).withColumn("v", F.col("embedding").cast("array<double>"))
     m = c.reshape("v", 8, 8)
     lifted = F.transform(m, lambda r, i: F.transform(r, lambda x, j: x + F.when(i == j, 3.0).otherwise(0.0)))
     return v.select("vec_id", lifted.alias("m"))
@@ -600,9 +605,9 @@ def _near(a, b):
     return F.forall(F.zip_with(flat(a), flat(b), lambda x, y: F.abs(x - y) < 1e-8), lambda ok: ok)
 
 
-def _rebuilt(name, kind, factors):
+def _rebuilt(name, kind, factors, where="vec_id < 100"):
     def run(spark, sf_dir):
-        d = _matrices(spark, sf_dir).withColumn("f", la.decompose(kind, "m"))
+        d = _matrices(spark, sf_dir, where).withColumn("f", la.decompose(kind, "m"))
         product = F.get("f", 0)
         for i in range(1, factors):
             d = d.withColumn(f"p{i}", la.matmul(product, F.get("f", i)))
@@ -610,22 +615,29 @@ def _rebuilt(name, kind, factors):
         return d.select("vec_id", _near(product, F.col("m")).alias("ok"))
 
     run.__name__ = name
-    query("SELECT vec_id, true AS ok FROM embeddings WHERE vec_id < 100")(run)
+    query(f"SELECT vec_id, true AS ok FROM embeddings WHERE {where}")(run)
 
 
 _rebuilt("lu", "lu", 3)
 _rebuilt("ldu", "ldu", 4)
 _rebuilt("qr", "qr", 2)
 _rebuilt("svd", "svd", 3)
+for _kind, _n in (("lu", 3), ("ldu", 4), ("qr", 2), ("svd", 3)):
+    _rebuilt(f"{_kind}_whole", _kind, _n, "true")
 
 
 @query("SELECT vec_id, true AS ok FROM embeddings WHERE vec_id < 100")
-def inv(spark, sf_dir):
-    d = _matrices(spark, sf_dir).withColumn("i", F.get(la.decompose("inv", "m"), 0)).withColumn("p", la.matmul("m", "i"))
+def inv(spark, sf_dir, where="vec_id < 100"):
+    d = _matrices(spark, sf_dir, where).withColumn("i", F.get(la.decompose("inv", "m"), 0)).withColumn("p", la.matmul("m", "i"))
     unit = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda a: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda b: F.when(a == b, 1.0).otherwise(0.0)))
     return d.select("vec_id", _near(F.col("p"), unit).alias("ok"))
 
 
+@query("SELECT vec_id, true AS ok FROM embeddings")
+def inv_whole(spark, sf_dir):
+    return inv(spark, sf_dir, "true")
+
+
 @query("SELECT vec_id, round((v[1] + 3) * (v[4] + 3) - v[2] * v[3], 8) d FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) v FROM embeddings)")
 def det(spark, sf_dir):
     v = read(spark, sf_dir, "embeddings").withColumn("v", F.col("embedding").cast("array<double>"))
@@ -634,11 +646,16 @@ def det(spark, sf_dir):
 
 
 @query("SELECT vec_id, true AS ok FROM embeddings WHERE vec_id < 100")
-def rref(spark, sf_dir):
-    d = _matrices(spark, sf_dir).withColumn("r", F.get(la.decompose("rref", "m"), 0)).withColumn("p", la.matmul("r", "m"))
+def rref(spark, sf_dir, where="vec_id < 100"):
+    d = _matrices(spark, sf_dir, where).withColumn("r", F.get(la.decompose("rref", "m"), 0)).withColumn("p", la.matmul("r", "m"))
     return d.select("vec_id", _near(F.col("p"), F.col("m")).alias("ok"))
 
 
+@query("SELECT vec_id, true AS ok FROM embeddings")
+def rref_whole(spark, sf_dir):
+    return rref(spark, sf_dir, "true")
+
+
 @query("SELECT p_brand, round(regr_intercept(p_retailprice, p_size), 5) a, round(regr_slope(p_retailprice, p_size), 6) b FROM part GROUP BY 1")
 def lsq(spark, sf_dir):
     rows = read(spark, sf_dir, "part").groupBy("p_brand").agg(F.collect_list(F.struct(F.array(F.lit(1.0), F.col("p_size").cast("double")).alias("x"), F.col("p_retailprice").alias("y"))).alias("l"))

@@ -18,6 +18,13 @@ def test_whole_texts(spark, tmp_path):
     assert got == {"words_of_line": 401, "count_letter": 400, "str_find_all": 200}
 
 
+def test_whole_matrices(spark, sf_dir):
+    n = spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
+    assert n > 100
+    for name in ("lu", "ldu", "qr", "svd", "inv", "rref"):
+        assert [r.ok for r in catalog.queries()[f"{name}_whole"](spark, sf_dir).collect()] == [True] * n
+
+
 def test_rows_only(spark, sf_dir):
     q = catalog.queries()
     for r in q["math_erf"](spark, sf_dir).limit(50).collect():

@@ -33,6 +33,8 @@ from quiver.llm._common import bounded_batches, id_remainder, materialize
 ORDER = 5
 #: Text bytes of a block, and of a block's text worked on at once.
 BLOCK, RUN = 16_000_000, 65_536
+#: Bits of a slot that number a block's tokens or grams.
+NUMBER = 32
 #: Symbols: 256 byte values and one to spare.
 ALPHABET = 257
 
@@ -137,13 +139,15 @@ class Block:
         count = np.bincount(np.concatenate(self.train), minlength=len(self.lids)) if self.train else np.zeros(len(self.lids), np.int64)
         none = {"ids": None, "held": None, "sizes": None, "text": None}
         text = zlib.compress(b"".join(self.texts), 1)
-        yield pd.DataFrame({"kind": [0], "slot": [block << 24], "key": [0], "n": [0], "ids": [self.ids], "held": [self.held], "sizes": [[len(t) for t in self.texts]], "text": [text]})
+        yield pd.DataFrame({"kind": [0], "slot": [block << NUMBER], "key": [0], "n": [0], "ids": [self.ids], "held": [self.held], "sizes": [[len(t) for t in self.texts]], "text": [text]})
         keys = np.fromiter(map(xxhash.xxh64_intdigest, self.lids), np.uint64, len(self.lids)).view(np.int64)
         distinct, weight = self.grams(~np.array(self.held, bool) if self.over_blanks else count)
+        if max(len(keys), len(distinct)) >> NUMBER or block >> (63 - NUMBER):
+            raise OverflowError("a block's tokens or grams, or the blocks, do not fit a slot")
         for kind, key, n in ((1, keys, count), (2, distinct, weight)):
             for a in range(0, len(key), RUN):
                 part = slice(a, a + RUN)
-                yield pd.DataFrame({"kind": kind, "slot": (block << 24) + np.arange(a, a + len(key[part])), "key": key[part], "n": n[part]} | none)
+                yield pd.DataFrame({"kind": kind, "slot": (block << NUMBER) + np.arange(a, a + len(key[part])), "key": key[part], "n": n[part]} | none)
 
 
 PARTS = "kind int, slot long, key long, n long, ids array<long>, held array<boolean>, sizes array<int>, text binary"
@@ -152,7 +156,7 @@ PARTS = "kind int, slot long, key long, n long, ids array<long>, held array<bool
 def blocks_of(docs: DataFrame, id_col: str, text: str, mod: int, rest: int, over_blanks: bool) -> DataFrame:
     """A row of kind 0 per block; a row of kind 1 per distinct token of a block
     (``key`` its XXH64) and of kind 2 per distinct gram, ``n`` counting it in the
-    block's training texts.  A slot is block << 24 | number."""
+    block's training texts.  A slot is block << NUMBER | number."""
     bounded_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_col).cast("long").cast("string").alias("id"), (id_remainder(id_col, mod) == rest).alias("held"), F.col(text).alias("text"))
 
@@ -264,10 +268,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mod: int
     grams = materialize(parts.where("kind = 2").groupBy(F.col("key").alias("gram")).agg(F.sum("n").alias("n")))
     costs = materialize(gram_costs(grams))
     paid = parts.where("kind = 2").select("slot", F.col("key").alias("gram")).join(costs, "gram")
-    block = F.shiftright("slot", 24).alias("block")
+    block = F.shiftright("slot", NUMBER).alias("block")
     answers = counted.select(block, F.lit(1).alias("kind"), "slot", F.col("c").cast("double").alias("x"))
     answers = answers.union(paid.select(block, F.lit(2).alias("kind"), F.col("gram").alias("slot"), F.col("logp").alias("x")))
-    heads = parts.where("kind = 0").select(F.shiftright("slot", 24).alias("home"), "ids", "held", "sizes", "text")
+    heads = parts.where("kind = 0").select(F.shiftright("slot", NUMBER).alias("home"), "ids", "held", "sizes", "text")
 
     def finish(key, head, told):
         told = told.sort_values("slot", kind="stable")

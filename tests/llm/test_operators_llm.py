@@ -289,6 +289,15 @@ def test_lm_reaches_over_blanks(spark, monkeypatch):
     assert got == sorted((i, round(cost(stream(t)), 5)) for i, t in rows)
 
 
+def test_lm_slots_stay_in_their_block(monkeypatch):
+    many = np.arange((1 << 24) + 2)
+    monkeypatch.setattr(lm_scoring.Block, "grams", lambda self, count: (many, many))
+    block = lm_scoring.Block(True)
+    block.add(1, False, "a b")
+    *_, last = block.rows(5)
+    assert last["slot"].iloc[-1] >> lm_scoring.NUMBER == 5 and len(set(last["slot"])) == len(last)
+
+
 # ---- 7 pages ------------------------------------------------------------------------
 
 

@@ -6,16 +6,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiver.plans.scratch import materialize
+from quiver.plans.scratch import discard, materialize
 
 #: White space of the word contracts.
 SPACE = r"\x20\x09-\x0D"
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most ``rows`` rows, so that a batch of long texts
-    stays small in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def portions(batches, column: str, most: int = 4 << 20, rows: int = 4096):
+    """Arrow batches cut to at most ``rows`` rows and, but for a single longer
+    item, ``most`` bytes of the text or binary ``column``, so that what a worker makes
+    of them stays small.  Spark itself bounds the bytes of what it sends."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(size)
+        a = 0
+        while a < batch.num_rows:
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, side="right")))
+            b = min(b, a + rows, batch.num_rows)
+            yield batch.slice(a, b - a)
+            a = b
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,3 +99,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if nxt.where("moved").isEmpty():
             return parents.withColumnRenamed("f", "root")
     raise RuntimeError("components did not settle")
+
+
+def bounded_batches(spark, rows=1000):
+    pass

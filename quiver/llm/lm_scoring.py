@@ -1,294 +1,424 @@
 """Language-model scoring by prediction by partial matching.
 
-A byte-context trie, trained on the corpus, gives each byte of a token the
+A byte-context trie, trained on the corpus, gives each byte of a text the
 probability of the longest known context: ``(2c - 1) / 2T`` for a byte seen c times
 among T there (d distinct), else the escape ``d / 2T`` times the probability
 in the next shorter context, where the bytes already ruled out are excluded; past
-the empty context, bytes are uniform.  Contexts reach back ``ORDER`` bytes, over the
-blanks of the text or, if asked, not over the blank before a token; so a byte's code
-length depends on one gram of at most ORDER + 1 bytes, and the cost of a text is a
-sum over the grams of its units: itself, or its tokens.
+the empty context, bytes are uniform.  Contexts reach ``ORDER`` bytes back, over the
+blanks between tokens; before a text lie line feeds and a blank.  So a byte's code
+length depends on one gram of ORDER + 1 bytes, and a text's on the sum over its grams.
 
 Documents are read once and dealt into blocks of bounded text.  A block keeps its
-texts and asks, once per distinct token and gram, for counts and code lengths;
-tokens are known by a 64-bit hash in this; counts are sums over blocks, the trie is an aggregation of the
-counted grams, and both are joined back to the blocks that asked.  Nothing is
-broadcast or collected; the trie may grow with the corpus.
-
-Grams and contexts are longs: byte count in the top byte, then the bytes.
+texts and asks, once per distinct token and gram, for counts and code lengths.  What
+it asks is filed under buckets: tokens by a hash, grams by a hash of the last
+``NEAR`` bytes of their context, so that the contexts longer than that lie in
+one bucket whole.  A bucket adds up what all blocks counted, and answers them.  The
+counts of shorter contexts are a table of at most 2**24 entries whatever the
+corpus, and are broadcast.  Sorted keys go as packed differences, one row for each block
+and bucket; a gram or token that every text holds is one entry in one row of a
+block, so no bucket is hot.  The trie grows with the corpus.
+
+A gram is a long: its context from the nearest byte back, then the byte itself.
 """
 
 from __future__ import annotations
 
-import zlib
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiver.llm._common import bounded_batches, id_remainder, materialize
+from quiver.llm._common import id_remainder, materialize, portions
 
-#: Longest context in bytes (at most 6: a gram fits a long).
+#: Longest context in bytes.
 ORDER = 5
-#: Text bytes of a block, and of a block's text worked on at once.
-BLOCK, RUN = 16_000_000, 65_536
-#: Bits of a slot that number a block's tokens or grams.
-NUMBER = 32
+#: Bytes of a context that name its bucket; shorter contexts are broadcast.
+NEAR = 3
+#: Text bytes of a block, and places of its text worked on at once.
+BLOCK, RUN = 16_000_000, 1 << 18
 #: Symbols: 256 byte values and one to spare.
 ALPHABET = 257
+#: What lies before a text.
+BEFORE = b"\n" * (ORDER - 1) + b" "
 
 
-def runs(units):
-    """The grams of all units end to end, in bounded runs of (grams, unit of each).
-    A unit's first byte is context only; long units are cut, each piece with the
-    context before it."""
-    pieces, size = [], 0
-    for i, unit in enumerate(units):
-        for a in range(1, len(unit), RUN):
-            low = max(0, a - ORDER)
-            pieces.append((i, unit[low : a + RUN], a - low))
-            size += len(pieces[-1][1])
-            if size >= RUN:
-                yield grams_of(pieces)
-                pieces, size = [], 0
-    if pieces:
-        yield grams_of(pieces)
-
-
-def grams_of(pieces: list[tuple[int, bytes, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Grams of pieces (unit, bytes, how many of them are context only)."""
-    flat = np.frombuffer(b"".join(p for _, p, _ in pieces), np.uint8).astype(np.uint64)
-    unit, sizes, skip = np.array([(i, len(p), k) for i, p, k in pieces]).T
-    at = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)  # place in the piece
-    key = np.zeros(len(flat), np.uint64)
-    for back in range(ORDER, -1, -1):
-        byte = np.zeros(len(flat), np.uint64)
-        byte[back:] = flat[: len(flat) - back]
-        key = np.where(at >= back, (key << np.uint64(8)) | byte, key)
-    key |= np.minimum(at + 1, ORDER + 1).astype(np.uint64) << np.uint64(56)
-    asked = at >= np.repeat(skip, sizes)
-    return key[asked].astype(np.int64), np.repeat(unit, sizes)[asked]
-
-
-def merged(keys: list, sums: list) -> tuple[list, list]:
-    """One sorted array of distinct keys and one of their sums."""
-    key, total = np.concatenate(keys), np.concatenate(sums)
-    order = np.argsort(key, kind="stable")
-    key, total = key[order], total[order]
-    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
-    return [key[first]], [np.add.reduceat(total, first)]
+# ---- packed arrays ----------------------------------------------------------
 
 
-class Block:
-    """Documents gathered until the block is full; tokens are numbered as they
-    first appear, so the numbers come out again from the texts."""
-
-    def __init__(self, over_blanks: bool):
-        self.over_blanks = over_blanks
-        self.lids: dict[bytes, int] = {b"": 0}
-        self.ids, self.held, self.texts, self.train, self.bytes = [], [], [], [], 0
-
-    def number(self, raw: bytes) -> np.ndarray:
-        put, lids = self.lids.setdefault, self.lids
-        return np.array([put(t, len(lids)) for t in raw.split()] + [0], np.int32)
-
-    def add(self, doc_id, held: bool, text: str | None) -> None:
-        raw = (text or "").encode("utf-8", "replace").lower()
-        lids = self.number(raw)
-        if not held:
-            self.train.append(lids)
-        self.ids.append(doc_id)
-        self.held.append(held)
-        self.texts.append(raw)
-        self.bytes += len(raw) + 32
-
-    def units(self):
-        """Texts, or distinct tokens: each token is its bytes and a blank, in the
-        context of a blank; the end of a text is a line feed."""
-        if self.over_blanks:
-            return (b" ".join([b"", *t.split(), b"\n"]) for t in self.texts)
-        return (b" " + (t + b" " if t else b"\n") for t in self.lids)
-
-    def grams(self, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The block's distinct grams, sorted, with their sums of ``count`` over
-        units."""
-        keys, sums, waiting = [np.zeros(0, np.int64)], [np.zeros(0)], 0
-        for grams, unit in runs(self.units()):
-            distinct, which = np.unique(grams, return_inverse=True)
-            keys.append(distinct)
-            sums.append(np.bincount(which, count[unit], len(distinct)))
-            waiting += len(distinct)
-            if waiting > max(len(keys[0]), 1 << 19):
-                keys, sums, waiting = *merged(keys, sums), 0
-        (distinct,), (total,) = merged(keys, sums)
-        return distinct, total.astype(np.int64)
-
-    def costs(self, distinct: np.ndarray, logp: np.ndarray) -> np.ndarray:
-        """Sum of each unit's code lengths, ``logp`` being those of ``distinct``."""
-        out = np.zeros(len(self.texts) if self.over_blanks else len(self.lids))
-        for grams, unit in runs(self.units()):
-            own, which = np.unique(grams, return_inverse=True)
-            sums = np.bincount(unit - unit[0], logp[np.searchsorted(distinct, own)][which])
-            out[unit[0] : unit[0] + len(sums)] += sums
-        return out
+@lru_cache(1)
+def _codec():
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+
+
+def planes(a: np.ndarray) -> bytes:
+    """The bytes of eight-byte items, lowest bytes of all items first."""
+    return np.ascontiguousarray(a).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def from_planes(b: bytes, kind) -> np.ndarray:
+    return np.frombuffer(b, np.uint8).reshape(8, -1).T.copy().view(kind).reshape(-1)
+
+
+def pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted unsigned keys, as differences, and their counts."""
+    return _codec()[0].compress(planes(np.diff(keys, prepend=np.uint64(0)).astype(np.uint64)) + planes(counts.astype(np.int64)))
+
+
+def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = _codec()[1].decompress(blob)
+    half = len(raw) // 2
+    return np.cumsum(from_planes(raw[:half], np.uint64), dtype=np.uint64), from_planes(raw[half:], np.int64)
+
+
+def pack_values(x: np.ndarray) -> bytes:
+    """Doubles, of which many are equal: the distinct ones and places in them."""
+    kinds, at = np.unique(x, return_inverse=True)
+    return _codec()[0].compress(np.int64(len(kinds)).tobytes() + kinds.astype(np.float64).tobytes() + planes(at.astype(np.int64)))
+
+
+def unpack_values(blob: bytes) -> np.ndarray:
+    raw = _codec()[1].decompress(blob)
+    end = 8 + 8 * int(np.frombuffer(raw, np.int64, 1)[0])
+    return np.frombuffer(raw[8:end], np.float64)[from_planes(raw[end:], np.int64)]
+
+
+# ---- blocks -----------------------------------------------------------------
+
+
+def totals(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and the sums of their ``n``."""
+    if not len(keys):
+        return keys, n
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[first], np.add.reduceat(n, first)
+
+
+def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket numbers of 32-bit values."""
+    mixed = (hashes.astype(np.uint64) * np.uint64(0x9E3779B1)) & np.uint64(0xFFFFFFFF)
+    return ((mixed * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+
 
-    def rows(self, block: int):
+class Block:
+    """Texts with their tokens numbered and their places laid end to end."""
+
+    def __init__(self, texts: list[bytes], held: np.ndarray, buckets: int):
+        known: dict[bytes, int] = {b"": 0}  # the end of a text
+        put, lids, units = known.setdefault, [], []
+        for t in texts:
+            words = t.split()
+            lids.append(np.array([put(w, len(known)) for w in words] + [0], np.int32))
+            units.append(b" ".join([BEFORE[:-1], *words, b"\n"]))
+        self.lids, self.words, self.buckets = lids, known, buckets
+        self.held, self.sizes = np.asarray(held, bool), np.array([len(u) for u in units], np.int64)
+        self.flat = np.frombuffer(b"".join(units), np.uint8)
+
+    def runs(self):
+        """(grams, number of the text of each) of the places, run by run."""
+        ends = np.cumsum(self.sizes)
+        starts = ends - self.sizes
+        for a in range(ORDER, len(self.flat), RUN):
+            b = min(len(self.flat), a + RUN)
+            f, n = self.flat[a - ORDER : b].astype(np.uint64), b - a
+            key = f[ORDER : ORDER + n].copy()
+            for back in range(1, ORDER + 1):
+                key |= f[ORDER - back : ORDER - back + n] << np.uint64(8 * (ORDER + 1 - back))
+            at = np.arange(a, b)
+            text = np.searchsorted(ends, at, side="right")
+            inside = at - starts[text] >= ORDER  # what lies before a text is context only
+            yield key[inside], text[inside]
+
+    def grams(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct grams by (bucket, gram), and how often training texts hold them."""
+        keys, sums = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for key, text in self.runs():
+            marked = np.sort(key << np.uint64(1) | ~self.held[text])
+            first = np.flatnonzero(np.append(True, marked[1:] != marked[:-1]))
+            n = np.diff(np.append(first, len(marked)))
+            keys.append(marked[first] >> np.uint64(1))
+            sums.append(np.where(marked[first] & np.uint64(1), n, 0))
+            if sum(map(len, keys[1:])) > max(len(keys[0]), 1 << 21):
+                keys, sums = ([x] for x in totals(np.concatenate(keys), np.concatenate(sums)))
+        key, n = totals(np.concatenate(keys), np.concatenate(sums))
+        order = np.argsort(self.gram_bucket(key), kind="stable")
+        return key[order], n[order]
+
+    def gram_bucket(self, key: np.ndarray) -> np.ndarray:
+        return bucket_of(key >> np.uint64(8 * (ORDER + 1 - NEAR)), self.buckets)
+
+    def tokens(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hashes of the tokens by bucket and hash, how often training texts hold
+        them, number of each)."""
         import xxhash
 
-        count = np.bincount(np.concatenate(self.train), minlength=len(self.lids)) if self.train else np.zeros(len(self.lids), np.int64)
-        none = {"ids": None, "held": None, "sizes": None, "text": None}
-        text = zlib.compress(b"".join(self.texts), 1)
-        yield pd.DataFrame({"kind": [0], "slot": [block << NUMBER], "key": [0], "n": [0], "ids": [self.ids], "held": [self.held], "sizes": [[len(t) for t in self.texts]], "text": [text]})
-        keys = np.fromiter(map(xxhash.xxh64_intdigest, self.lids), np.uint64, len(self.lids)).view(np.int64)
-        distinct, weight = self.grams(~np.array(self.held, bool) if self.over_blanks else count)
-        if max(len(keys), len(distinct)) >> NUMBER or block >> (63 - NUMBER):
-            raise OverflowError("a block's tokens or grams, or the blocks, do not fit a slot")
-        for kind, key, n in ((1, keys, count), (2, distinct, weight)):
-            for a in range(0, len(key), RUN):
-                part = slice(a, a + RUN)
-                yield pd.DataFrame({"kind": kind, "slot": (block << NUMBER) + np.arange(a, a + len(key[part])), "key": key[part], "n": n[part]} | none)
+        h = np.fromiter(map(xxhash.xxh64_intdigest, self.words), np.uint64, len(self.words))
+        train = [x for x, out in zip(self.lids, self.held) if not out]
+        n = np.bincount(np.concatenate(train), minlength=len(h)) if train else np.zeros(len(h), np.int64)
+        order = np.lexsort((h, self.token_bucket(h)))
+        return h[order], n[order], order
+
+    def token_bucket(self, h: np.ndarray) -> np.ndarray:
+        return bucket_of(h >> np.uint64(32), self.buckets)
+
+
+PARTS = "kind int, block long, bucket int, blob binary, ids array<long>, held array<boolean>, sizes array<int>"
+HEAD, TOKENS, GRAMS, SHORT = range(4)
+
+
+def filed(block: int, raw: list[bytes], ids: list, held: list, buckets: int):
+    """The rows of a block."""
+    import pyarrow as pa
 
+    b, rows = Block(raw, held, buckets), []
+    none = {"ids": None, "held": None, "sizes": None}
+    rows.append({"kind": HEAD, "bucket": 0, "blob": _codec()[0].compress(b"".join(raw)), "ids": ids, "held": held, "sizes": [len(t) for t in raw]})
 
-PARTS = "kind int, slot long, key long, n long, ids array<long>, held array<boolean>, sizes array<int>, text binary"
+    def file(kind, key, n, bucket):
+        edge = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
+        for low, high in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            rows.append({"kind": kind, "bucket": int(bucket[low]), "blob": pack(key[low:high], n[low:high])} | none)
 
+    h, n, _ = b.tokens()
+    file(TOKENS, h, n, b.token_bucket(h))
+    g, n = b.grams()
+    if len(g):
+        file(GRAMS, g, n, b.gram_bucket(g))
+    near = (g >> np.uint64(8 * (ORDER + 2 - NEAR))) << np.uint64(8) | (g & np.uint64(255))
+    near, n = totals(near[n > 0], n[n > 0])
+    rows.append({"kind": SHORT, "bucket": 0, "blob": pack(near, n)} | none)
+    schema = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("bucket", pa.int32()), ("blob", pa.binary()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32()))])
+    yield pa.RecordBatch.from_pylist([r | {"block": block} for r in rows], schema)
 
-def blocks_of(docs: DataFrame, id_col: str, text: str, mod: int, rest: int, over_blanks: bool) -> DataFrame:
-    """A row of kind 0 per block; a row of kind 1 per distinct token of a block
-    (``key`` its XXH64) and of kind 2 per distinct gram, ``n`` counting it in the
-    block's training texts.  A slot is block << NUMBER | number."""
-    bounded_batches(docs.sparkSession)
-    narrow = docs.select(F.col(id_col).cast("long").cast("string").alias("id"), (id_remainder(id_col, mod) == rest).alias("held"), F.col(text).alias("text"))
+
+def blocks_of(docs: DataFrame, id_col: str, text: str, mod: int, rest: int, buckets: int) -> DataFrame:
+    """A row HEAD per block with its texts, rows TOKENS and GRAMS per block and
+    bucket with what it asks and counts, and a row SHORT with its counts in
+    contexts shorter than ``NEAR``."""
+    narrow = docs.select(F.col(id_col).cast("long").alias("id"), (id_remainder(id_col, mod) == rest).alias("held"), F.col(text).alias("text"))
 
     def run(batches):
         from pyspark import TaskContext
 
-        at, block = TaskContext.get().partitionId() << 12, Block(over_blanks)
-        for pdf in batches:
-            for i, h, t in zip(pdf["id"], pdf["held"], pdf["text"]):
-                block.add(None if i is None else int(i), bool(h), t)
-                if block.bytes >= BLOCK:
-                    yield from block.rows(at)
-                    at, block = at + 1, Block(over_blanks)
-        if block.ids:
-            yield from block.rows(at)
-
-    return narrow.mapInPandas(run, PARTS)
-
-
-def context(gram, order) -> "F.Column":
-    """The context of ``order`` bytes before a gram's last byte."""
-    return F.shiftleft(order.cast("long"), 56).bitwiseOR(
-        F.shiftright(gram, 8).bitwiseAND(F.expr("case when 8 * _k >= 48 then 281474976710655L else shiftleft(1L, 8 * _k) - 1 end"))
-    )
-
-
-def shorter(ctx) -> "F.Column":
-    """A context without its first byte."""
-    k = F.shiftright(ctx, 56) - 1
-    return F.shiftleft(k, 56).bitwiseOR(ctx.bitwiseAND(F.expr("shiftleft(1L, cast(8 * (shiftright(ctx, 56) - 1) as int)) - 1")))
-
-
-def spread_orders(grams: DataFrame) -> DataFrame:
-    top = F.expr("cast(shiftright(gram, 56) - 1 as int)")
-    each = grams.withColumn("_k", F.explode(F.sequence(F.lit(0), top)))
-    return each.withColumn("ctx", context(F.col("gram"), F.col("_k"))).withColumn("sym", F.col("gram").bitwiseAND(F.lit(255)))
-
-
-def trie(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Counts (ctx, sym, c) and nodes (ctx, t, d, xt, xd): total and distinct
-    symbols, and what of the next shorter context is left once the node's own
-    symbols are excluded."""
-    seen = materialize(spread_orders(grams.where("n > 0")).groupBy("ctx", "sym").agg(F.sum("n").alias("c")))
-    nodes = seen.groupBy("ctx").agg(F.sum("c").alias("t"), F.count("*").alias("d"))
-    below = seen.where("ctx <> 0").select("ctx", "sym", shorter(F.col("ctx")).alias("up"))
-    ruled = below.join(seen.select(F.col("ctx").alias("up"), "sym", F.col("c").alias("uc")), ["up", "sym"])
-    ruled = ruled.groupBy("ctx", "up").agg(F.sum("uc").alias("s"), F.count("*").alias("own"))
-    up = nodes.select(F.col("ctx").alias("up"), F.col("t").alias("ut"), F.col("d").alias("ud"))
-    left = ruled.join(up, "up").select("ctx", (F.col("ut") - F.col("s")).alias("xt"), (F.col("ud") - F.col("own")).alias("xd"))
-    return seen, materialize(nodes.join(left, "ctx", "left"))
-
-
-def code_length(levels: list) -> float:
-    """log10 probability of a symbol from its contexts, longest first; a level is
-    (order, c, t, d, xt, xd), t null for an unknown context."""
-    logp, ruled, total, kinds = 0.0, False, 0, 0
-    last = 0
-    for _, c, t, d, xt, xd in levels:
-        if t is None:
-            continue
-        t, d = (total, kinds) if ruled else (t, d)
-        if c is not None:
-            return logp + float(np.log10((2 * c - 1) / (2 * t)))
-        if d:
-            logp += float(np.log10(d / (2 * t)))
-        last, ruled, total, kinds = last + d, True, xt, xd
-    return logp - float(np.log10(ALPHABET - last))
-
-
-def gram_costs(grams: DataFrame) -> DataFrame:
-    """(gram, logp) of every gram asked for; ``n`` is its training count.  Short
-    grams, of where a unit begins, also occur inside longer ones."""
-    seen, nodes = trie(grams)
-    whole = F.expr(f"n > 0 and shiftright(gram, 56) = {ORDER + 1}")
-    top = F.expr("shiftleft(shiftright(gram, 56) - 1, 56) | shiftright(gram & 72057594037927935L, 8)")
-    known = grams.where(whole).withColumn("ctx", top).join(nodes.select("ctx", "t"), "ctx")
-    known = known.select("gram", F.log10((2 * F.col("n") - 1) / (2 * F.col("t"))).alias("logp"))
-    new = spread_orders(grams.where(~whole).select("gram")).join(nodes, "ctx", "left").join(seen, ["ctx", "sym"], "left")
-    new = new.groupBy("gram").agg(F.sort_array(F.collect_list(F.struct("_k", "c", "t", "d", "xt", "xd")), asc=False).alias("levels"))
-
-    def cost(batches):
-        for pdf in batches:
-            values = [code_length([(x["_k"], x["c"], x["t"], x["d"], x["xt"], x["xd"]) for x in levels]) for levels in pdf["levels"]]
-            yield pd.DataFrame({"gram": pdf["gram"], "logp": values})
-
-    return known.union(new.mapInPandas(cost, "gram long, logp double"))
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mod: int = 10, rest: int = 0, over_blanks: bool = False) -> DataFrame:
+        at, raw, ids, held, size = TaskContext.get().partitionId() << 24, [], [], [], 0
+        for batch in portions(batches, "text"):
+            for i, h, t in zip(*(batch.column(c).to_pylist() for c in ("id", "held", "text"))):
+                raw.append((t or "").encode("utf-8", "replace").lower())
+                ids.append(i)
+                held.append(h)
+                size += len(raw[-1]) + 64
+                if size >= BLOCK:
+                    yield from filed(at, raw, ids, held, buckets)
+                    at, raw, ids, held, size = at + 1, [], [], [], 0
+        if ids:
+            yield from filed(at, raw, ids, held, buckets)
+
+    return narrow.mapInArrow(run, PARTS)
+
+
+# ---- the trie ---------------------------------------------------------------
+
+
+class Level:
+    """Counts ``c`` of (context, byte) keys, sorted, and of each context: total
+    ``t``, distinct bytes ``d``, and what of the next shorter context is left
+    (``xt``, ``xd``) once the bytes seen here are excluded."""
+
+    def __init__(self, key: np.ndarray, c: np.ndarray, shorter: "Level | None", parent):
+        self.key, self.c = key, c
+        ctx = key >> np.uint64(8)
+        first = np.flatnonzero(np.append(True, ctx[1:] != ctx[:-1])) if len(key) else np.zeros(0, np.int64)
+        self.node = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
+        self.t, self.d = (np.add.reduceat(x, first) if len(key) else np.zeros(0, np.int64) for x in (c, (c > 0).astype(np.int64)))
+        self.xt = self.xd = np.zeros(len(first), np.int64)
+        if shorter is not None and len(key):
+            up = shorter.at(parent(key))
+            above = shorter.found(up, key.shape)
+            ruled = np.add.reduceat(np.where(c > 0, above, 0), first)
+            node = up[first]
+            some = node < len(shorter.key)
+            node = shorter.node[np.minimum(node, len(shorter.key) - 1)] if len(shorter.key) else np.zeros(len(first), np.int64)
+            self.xt = np.where(some, shorter.t[node] - ruled, 0) if len(shorter.key) else self.xt
+            self.xd = np.where(some, shorter.d[node] - self.d, 0) if len(shorter.key) else self.xd
+
+    def at(self, key: np.ndarray) -> np.ndarray:
+        """Place of each (context, byte), or of another byte of its context, or
+        the number of keys where the context is unknown."""
+        if not len(self.key):
+            return np.zeros(len(key), np.int64)
+        i = np.searchsorted(self.key, key)
+        inside = np.minimum(i, len(self.key) - 1)
+        same = self.key[inside] >> np.uint64(8) == key >> np.uint64(8)
+        before = np.maximum(i - 1, 0)
+        back = self.key[before] >> np.uint64(8) == key >> np.uint64(8)
+        return np.where(same, inside, np.where(back, before, len(self.key)))
+
+    def found(self, at: np.ndarray, shape) -> np.ndarray:
+        """Counts at places; 0 where there is none."""
+        if not len(self.key):
+            return np.zeros(shape, np.int64)
+        return np.where(at < len(self.key), self.c[np.minimum(at, len(self.key) - 1)], 0)
+
+    def asked(self, key: np.ndarray):
+        """(c, t, d, xt, xd) of (context, byte) keys; t is 0 for an unknown context."""
+        at = self.at(key)
+        if not len(self.key):
+            return (np.zeros(len(key), np.int64),) * 5
+        known, inside = at < len(self.key), np.minimum(at, len(self.key) - 1)
+        node = self.node[inside]
+        c = np.where(known & (self.key[inside] == key), self.c[inside], 0)
+        return (c, *(np.where(known, x[node], 0) for x in (self.t, self.d, self.xt, self.xd)))
+
+
+def shorter_key(key: np.ndarray) -> np.ndarray:
+    """(context, byte) without the context's farthest byte."""
+    return (key >> np.uint64(16)) << np.uint64(8) | (key & np.uint64(255))
+
+
+def short_levels(key: np.ndarray, n: np.ndarray) -> list[Level]:
+    """Levels of the contexts of 0 .. NEAR - 1 bytes, from the counts of the longest."""
+    tables = [(key, n)]
+    for _ in range(NEAR - 1):
+        tables.append(totals(shorter_key(tables[-1][0]), tables[-1][1]))
+    out: list[Level] = []
+    for k, c in reversed(tables):
+        out.append(Level(k, c, out[-1] if out else None, shorter_key))
+    return out
+
+
+_HELD: dict = {}
+
+
+def levels_of(counts: tuple[np.ndarray, np.ndarray]) -> list[Level]:
+    """Short levels, worked out once in a worker."""
+    if _HELD.get("of") is not counts:
+        _HELD.update(of=counts, levels=short_levels(*counts))
+    return _HELD["levels"]
+
+
+def code_lengths(gram: np.ndarray, n: np.ndarray, short: list[Level]) -> np.ndarray:
+    """log10 probability of each gram's last byte, for the distinct sorted grams
+    of whole NEAR-byte contexts with their training counts."""
+    tables = [(gram, n)]
+    for _ in range(ORDER - NEAR):
+        tables.append(totals(shorter_key(tables[-1][0]), tables[-1][1]))
+    levels = list(short)
+    for k, c in reversed(tables):
+        levels.append(Level(k, c, levels[-1], shorter_key))
+    logp, left, key = np.zeros(len(gram)), np.arange(len(gram)), gram
+    ruled = np.zeros(len(gram), bool)
+    rest_t, rest_d, out = (np.zeros(len(gram), np.int64) for _ in range(3))
+    for k in range(ORDER, -1, -1):
+        c, t, d, xt, xd = levels[k].asked(key)
+        t_, d_ = np.where(ruled, rest_t, t), np.where(ruled, rest_d, d)
+        known = t > 0
+        hit, miss = known & (c > 0), known & (c == 0)
+        logp[left[hit]] += np.log10((2 * c[hit] - 1) / (2 * t_[hit]))
+        escape = miss & (d_ > 0)
+        logp[left[escape]] += np.log10(d_[escape] / (2 * t_[escape]))
+        out, rest_t, rest_d, ruled = np.where(miss, d, out), np.where(miss, xt, rest_t), np.where(miss, xd, rest_d), ruled | miss
+        go = ~hit
+        left, key, ruled, rest_t, rest_d, out = left[go], shorter_key(key[go]), ruled[go], rest_t[go], rest_d[go], out[go]
+        if not len(left):
+            return logp
+    logp[left] -= np.log10(ALPHABET - out)
+    return logp
+
+
+# ---- operator ---------------------------------------------------------------
+
+
+def short_counts(parts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Counts in contexts of NEAR - 1 bytes: at most 2**24 entries."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        keys, sums = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for batch in batches:
+            for blob in batch.column("blob").to_pylist():
+                k, n = unpack(blob)
+                keys, sums = totals(np.concatenate([keys, k]), np.concatenate([sums, n]))
+        yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(sums)], names=["key", "n"])
+
+    each = parts.where(F.col("kind") == SHORT).select("blob").mapInArrow(run, "key int, n long")
+    got = each.groupBy("key").agg(F.sum("n").alias("n")).toPandas().sort_values("key")
+    return got["key"].to_numpy(np.uint64), got["n"].to_numpy(np.int64)
+
+
+ANSWER = "kind int, block long, bucket int, blob binary, total long, kinds long"
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mod: int = 10, rest: int = 0) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score.
 
     Trains on documents whose id's crc32 modulo ``mod`` is not ``rest``; a null
     id counts as empty text there and stays null in the result.  A token is a run
     of non-blanks, A-Z lowered, and one end per text; null text is an empty one.
-    ``score`` is the log10 probability of those tokens, blanks between them being
-    one symbol; contexts reach ``over_blanks`` or start anew at each token, which
-    makes the score one of the words in any order.  Repeated rows are scored, and counted in training, each on its
-    own.  An empty table gives none; other columns are ignored.
+    ``score`` is the log10 probability of those tokens in their order, blanks
+    between them being one symbol.  Repeated rows are scored, and counted in
+    training, each on its own.  Texts of any length are worked on in runs; a long
+    one is a block of its own.  An empty table gives none; other columns are ignored.
     """
     spark = docs.sparkSession
-    parts = materialize(blocks_of(docs, id_col, text, mod, rest, over_blanks))
-    bounded_batches(spark, 20000)
-    same = Window.partitionBy("key")
-    asked = parts.where("kind = 1").select("slot", "key", "n")
-    first = F.row_number().over(same.orderBy("slot")) == 1
-    counted = materialize(asked.select("slot", F.sum("n").over(same).alias("c"), first.alias("first")))
-    total, kinds = counted.where("first and c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    grams = materialize(parts.where("kind = 2").groupBy(F.col("key").alias("gram")).agg(F.sum("n").alias("n")))
-    costs = materialize(gram_costs(grams))
-    paid = parts.where("kind = 2").select("slot", F.col("key").alias("gram")).join(costs, "gram")
-    block = F.shiftright("slot", NUMBER).alias("block")
-    answers = counted.select(block, F.lit(1).alias("kind"), "slot", F.col("c").cast("double").alias("x"))
-    answers = answers.union(paid.select(block, F.lit(2).alias("kind"), F.col("gram").alias("slot"), F.col("logp").alias("x")))
-    heads = parts.where("kind = 0").select(F.shiftright("slot", NUMBER).alias("home"), "ids", "held", "sizes", "text")
+    buckets = min(1 << 16, max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    parts = materialize(blocks_of(docs, id_col, text, mod, rest, buckets))
+
+    def add_up(pdf):
+        asked = [unpack(b) for b in pdf["blob"]]
+        key, n = totals(np.concatenate([k for k, _ in asked]), np.concatenate([n for _, n in asked]))
+        return key, n, [np.searchsorted(key, k) for k, _ in asked]
+
+    def told(pdf, values, n, at):
+        out = pd.DataFrame({"kind": pdf["kind"], "block": pdf["block"], "bucket": pdf["bucket"], "blob": [pack_values(values[i]) for i in at], "total": 0, "kinds": 0})
+        out.loc[out.index[:1], ["total", "kinds"]] = [int(n.sum()), int((n > 0).sum())]
+        return out
+
+    def count(pdf):
+        _, n, at = add_up(pdf)
+        return told(pdf, n.astype(np.float64), n, at)
+
+    asked = parts.select("kind", "block", "bucket", "blob")
+    counted = materialize(asked.where(F.col("kind") == TOKENS).groupBy("bucket").applyInPandas(count, ANSWER))
+    total, kinds = counted.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+    shared = spark.sparkContext.broadcast(short_counts(parts))  # at most 2**24 entries
+
+    def cost(pdf):
+        key, n, at = add_up(pdf)
+        return told(pdf, code_lengths(key, n, levels_of(shared.value)), n, at)
+
+    paid = asked.where(F.col("kind") == GRAMS).groupBy("bucket").applyInPandas(cost, ANSWER)
+    answers = counted.union(paid).select("kind", "block", "bucket", "blob")
+    heads = parts.where(F.col("kind") == HEAD).select(F.col("block").alias("home"), "ids", "held", "sizes", "blob")
 
     def finish(key, head, told):
-        told = told.sort_values("slot", kind="stable")
-        kind, x = told["kind"].to_numpy(), told["x"].to_numpy()
-        c, logp, h, numbers = x[kind == 1], x[kind == 2], head.iloc[0], Block(over_blanks)
-        ends = np.cumsum(np.asarray(h["sizes"], np.int64))
-        text = zlib.decompress(h["text"])
-        numbers.texts = [text[e - n : e] for e, n in zip(ends.tolist(), h["sizes"])]
-        docs = [numbers.number(t) for t in numbers.texts]
-        sizes, lids = np.array([len(d) for d in docs]), np.concatenate(docs)
+        told = told.sort_values(["kind", "bucket"])
+        h = head.iloc[0]
+        c, logp = (np.concatenate([np.zeros(0), *map(unpack_values, told["blob"][told["kind"] == k])]) for k in (TOKENS, GRAMS))
+        ends, raw = np.cumsum(np.asarray(h["sizes"], np.int64)).tolist(), _codec()[1].decompress(h["blob"])
+        b = Block([raw[e - n : e] for e, n in zip(ends, h["sizes"])], h["held"], buckets)
+        costs, (distinct, _) = np.zeros(len(ends)), b.grams()
+        order = np.argsort(distinct)
+        distinct, logp = distinct[order], logp[order]
+        for grams, text in b.runs():
+            own, which = np.unique(grams, return_inverse=True)
+            sums = np.bincount(text - text[:1], logp[np.searchsorted(distinct, own)][which])
+            costs[int(text[0]) : int(text[0]) + len(sums)] += sums
+        counts = np.zeros(len(c))
+        counts[b.tokens()[2]] = c
+        sizes, lids = np.array([len(x) for x in b.lids]), np.concatenate(b.lids)
         first = np.cumsum(sizes) - sizes
-        costs = numbers.costs(told["slot"].to_numpy()[kind == 2], logp)
-        base = np.log10((c + 0.1) / (total + 0.1 * (kinds + 1)))
+        base = np.log10((counts + 0.1) / (total + 0.1 * (kinds + 1)))
         return pd.DataFrame({
             "doc_id": pd.array(list(h["ids"]), dtype="Int64"), "held_out": np.asarray(h["held"], bool), "n_tokens": sizes,
-            "n_known": np.add.reduceat((c > 0).astype(np.int64)[lids], first), "train_tokens": total,
-            "base_score": np.add.reduceat(base[lids], first), "score": costs if over_blanks else np.add.reduceat(costs[lids], first),
+            "n_known": np.add.reduceat((counts > 0).astype(np.int64)[lids], first), "train_tokens": total,
+            "base_score": np.add.reduceat(base[lids], first), "score": costs,
         })
 
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

@@ -2,14 +2,14 @@
 
 Cosine >= t between vectors is Euclidean distance <= r = sqrt(2 - 2t) between
 their unit vectors.  Distinct vectors stand for their copies.  Pivots, sampled
-from the vectors, split space into the cells of the nearest pivot.  By the
-triangle inequality a vector can have a partner in cell j only if it lies within
-r of the border to it: (d(x, p_j)^2 - d(x, p_home)^2) / (2 d(p_j, p_home)) <= r;
-it is replicated to those cells (of smaller number than its own, so a pair meets
-in one cell).  Cells join independently, in chunks of bounded size: a block
-product finds candidates with a margin for its rounding, each is checked in
-double precision on the original components.  A chunk pair reports link counts
-per vector and a star per local component; no pair of the join is a row.
+from the vectors and at least r apart, split space into the cells of the nearest
+pivot.  By the triangle inequality a vector can have a partner in cell j only if it
+lies within r of the border to it, (x - m).(p_home - p_j) / |p_home - p_j| <= r with
+m their midpoint; it is replicated to those cells (of smaller number than its
+own, so a pair meets in one cell).  Cells join independently, in chunks of bounded
+bytes: a block product finds candidates with a margin for its rounding, each is
+checked in double precision on the original components.  A chunk pair reports link
+counts per vector and a star per local component; no pair of the join is a row.
 """
 
 from __future__ import annotations
@@ -21,12 +21,35 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiver.llm._common import bounded_batches, connected_components, materialize
+from quiver.llm._common import connected_components, discard, materialize
 from quiver.llm.simhash_dedup import local_roots
 from quiver.llm.vectors import cosine, matrix, packed, unit, usable
 
-#: Vectors of a home chunk, and of a chunk that meets it.
-HOME, GUEST = 1_024, 2_048
+#: Vectors of a home chunk, and of a chunk that meets it, and bytes of either.
+HOME, GUEST, CHUNK_BYTES = 8_192, 16_384, 32 << 20
+#: Vectors whose places are worked out at once.
+ROWS = 1_024
+
+
+def apart(p: np.ndarray, least: float) -> np.ndarray:
+    """The rows, in order, that lie at least ``least`` from every row taken before."""
+    taken: list[int] = []
+    for i in range(len(p)):
+        if not taken or ((p[taken] - p[i]) ** 2).sum(axis=1).min() >= least * least:
+            taken.append(i)
+    return p[taken]
+
+
+def border_distance(x: np.ndarray, p: np.ndarray, home: np.ndarray) -> np.ndarray:
+    """How far each row of x lies on its home pivot's side of the border to every pivot."""
+    out = np.empty((len(x), len(p)))
+    for h in np.unique(home):
+        gap = p[h] - p  # from the difference itself: exact however close the pivots are
+        between = np.sqrt((gap * gap).sum(axis=1))
+        middle = (((p[h] + p) / 2) * gap).sum(axis=1)
+        at = home == h
+        out[at] = (x[at] @ gap.T - middle) / np.where(between > 0, between, 1.0)
+    return out
 
 
 def chunk_links(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, t: float, triangle: bool):
@@ -70,7 +93,6 @@ def similarity_join(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     a component's smallest id.  Other columns are ignored.
     """
     spark = vectors.sparkSession
-    bounded_batches(spark, 8192)
     good = materialize(packed(vectors, id_col, vec_col))
     # one row per distinct vector; its number is its class
     classes = good.groupBy("v", "kind").agg(F.count("*").alias("copies"), F.min("id").alias("least"))
@@ -78,10 +100,9 @@ def similarity_join(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     n = classes.count()
     k = pivots or max(1, min(4096, math.ceil(math.sqrt(n) / 8)))
     picked = classes.orderBy(F.xxhash64("v", F.lit(seed)), "cls").limit(k).select("v", "kind").toPandas()
-    by_width = {int(w): unit(matrix(p["v"].tolist(), p["kind"].iloc[0])) for w, p in picked.groupby(picked["v"].map(len))}
-    shared = spark.sparkContext.broadcast(by_width)  # at most 4096 vectors
     r = math.sqrt(max(0.0, 2 - 2 * threshold))
-    bounded_batches(spark, 1024)  # a batch grows by its replicas
+    by_width = {int(w): apart(unit(matrix(p["v"].tolist(), p["kind"].iloc[0])), max(r, 1e-4)) for w, p in picked.groupby(picked["v"].map(len))}
+    shared = spark.sparkContext.broadcast(by_width)  # at most 4096 vectors
 
     def places(pdf):
         """(row, width, cell, home) of each vector at home and in the cells it
@@ -94,32 +115,35 @@ def similarity_join(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
                 out.append((at, np.full(len(at), width), np.zeros(len(at), np.int64), np.ones(len(at), bool)))
                 continue
             x = unit(matrix(pdf["v"].iloc[at].tolist(), pdf["kind"].iloc[0]))
-            sq = np.maximum(2 - 2 * (x @ p.T), 0)
-            home = sq.argmin(axis=1)
-            between = np.sqrt(np.maximum(2 - 2 * (p @ p.T), 0))[home]
-            border = (sq - sq[np.arange(len(at)), home][:, None]) / np.maximum(2 * between, 1e-12)
+            home = (x @ p.T).argmax(axis=1)
+            border = border_distance(x, p, home)
             i, c = np.nonzero((border <= r + 1e-6) & (np.arange(len(p))[None, :] < home[:, None]))
             out.append((at, np.full(len(at), width), home, np.ones(len(at), bool)))
             out.append((at[i], np.full(len(i), width), c, np.zeros(len(i), bool)))
         return pd.DataFrame({n: np.concatenate(x) for n, x in zip(("row", "width", "cell", "home"), zip(*out))})
 
-    def tally(batches):
+    def bounded(batches):
         for pdf in batches:
-            if len(pdf):
-                yield places(pdf).groupby(["width", "cell"], as_index=False).agg(own=("home", "sum"), every=("home", "size"))
+            for a in range(0, len(pdf), ROWS):
+                yield pdf.iloc[a : a + ROWS].reset_index(drop=True)
+
+    def tally(batches):
+        for pdf in bounded(batches):
+            yield places(pdf).groupby(["width", "cell"], as_index=False).agg(own=("home", "sum"), every=("home", "size"))
 
     def deal(batches):
-        for pdf in batches:
-            if len(pdf):
-                got = places(pdf)
-                yield pd.concat([pdf.iloc[got["row"].to_numpy()].reset_index(drop=True), got.drop(columns="row")], axis=1)
+        for pdf in bounded(batches):
+            got = places(pdf)
+            yield pd.concat([pdf.iloc[got["row"].to_numpy()].reset_index(drop=True), got.drop(columns="row")], axis=1)
 
     sizes = classes.select("v", "kind").mapInPandas(tally, "width int, cell long, own long, every long")
     sizes = sizes.groupBy("width", "cell").agg(F.sum("own").alias("own"), (F.sum("every") - F.sum("own")).alias("out"))
-    sizes = sizes.select("width", "cell", F.greatest(F.ceil(F.col("own") / HOME), F.lit(1)).cast("int").alias("hc"), F.ceil(F.col("out") / GUEST).cast("int").alias("gc"))
+    most = lambda rows: F.least(F.lit(rows), F.greatest(F.lit(1), F.floor(F.lit(CHUNK_BYTES) / F.col("width"))))
+    sizes = sizes.select("width", "cell", F.greatest(F.ceil(F.col("own") / most(HOME)), F.lit(1)).cast("int").alias("hc"), F.ceil(F.col("out") / most(GUEST)).cast("int").alias("gc"))
     placed = classes.select("cls", "copies", "v", "kind").mapInPandas(deal, "cls long, copies long, v binary, kind string, width int, cell long, home boolean")
     # a row per cell, of which there are no more than pivots and vector lengths
-    chunked = placed.join(F.broadcast(materialize(sizes)), ["width", "cell"])
+    shared_sizes = materialize(sizes)
+    chunked = placed.join(F.broadcast(shared_sizes), ["width", "cell"])
     mine = F.when(F.col("home"), F.pmod(F.xxhash64("cls"), F.col("hc"))).otherwise(F.pmod(F.xxhash64("cls"), F.greatest("gc", F.lit(1)))).cast("int")
     chunked = chunked.withColumn("mine", mine)
     # tasks (h, o): home chunk h with home chunk o >= h, or with guest chunk hc + o
@@ -145,10 +169,12 @@ def similarity_join(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
 
     found = dealt.groupBy("width", "cell", "h", "o").applyInPandas(join, "cls long, links long, root long")
     found = materialize(found)
+    discard(shared_sizes)
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
     roots = connected_components(found.select(F.col("cls").alias("a"), F.col("root").alias("b")))
     named = classes.drop("kind").join(links, "cls", "left").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
-    named = materialize(named.select("v", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "cls").alias("root")))
+    was, named = classes, materialize(named.select("v", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "cls").alias("root")))
+    discard(was, found)
     heads = named.groupBy("root").agg(F.min("least").alias("component_id"))
     answer = named.join(heads, "root").select("v", "n_links", F.col("component_id"))
     told = good.select(F.col("id").alias("vec_id"), "v").join(answer, "v").drop("v")

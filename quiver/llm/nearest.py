@@ -18,115 +18,132 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiver.llm._common import bounded_batches, materialize
+from quiver.llm._common import materialize
 from quiver.llm.vectors import matrix, packed
 
-#: Rows of a candidate and of a query slab.
-CANDIDATES, QUERIES = 16_384, 2_048
-#: Rows of a candidate block inside a tile.
-ROWS = 4_096
+#: Rows of a candidate and of a query slab, and bytes of either.
+CANDIDATES, QUERIES, SLAB_BYTES = 65_536, 8_192, 64 << 20
+#: Candidates and queries of a block inside a tile.
+ROWS, HEADS = 4_096, 1_024
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(codes, scale, error): x = scale * codes + rest, |rest| = error, row by row."""
+    """(codes, scale, error): x = scale * codes + rest, |rest| = error, row by row;
+    rows too small for a scale have zero codes."""
     scale = np.abs(x).max(axis=1) / 127.0
+    scale = np.where(scale > 1e-140, scale, 1.0)
     codes = np.rint(x / scale[:, None]).astype(np.int8)
     return codes, scale, np.sqrt(((x - codes * scale[:, None]) ** 2).sum(axis=1))
 
 
+def exponent(x: np.ndarray) -> np.ndarray:
+    """Per row, the power of two above its largest component."""
+    return np.frexp(np.abs(x).max(axis=1))[1]
+
+
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row by row, components added in order."""
-    total = np.zeros(len(a))
+    """Row by row, components added in order; scaled by powers of two, which are
+    exact, so that no square leaves the range of doubles."""
+    e = np.maximum(exponent(a), exponent(b)) + 1
+    gap = np.ldexp(a, -e[:, None]) - np.ldexp(b, -e[:, None])
+    small = np.frexp(np.abs(gap).max(axis=1))[1]
+    gap, total = np.ldexp(gap, -small[:, None]), np.zeros(len(a))
     for j in range(a.shape[1]):
-        d = a[:, j] - b[:, j]
-        total += d * d
-    return np.sqrt(total)
+        total += gap[:, j] * gap[:, j]
+    with np.errstate(over="ignore"):
+        return np.ldexp(np.sqrt(total), small + e)
 
 
-def tile_nearest(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query position, candidate id, distance) of the k nearest of each query."""
-    qc, qs, qe = quantise(q)
-    cc, cs, ce = quantise(c)
+def tile_nearest(quid: np.ndarray, q: np.ndarray, cuid: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query position, candidate position, distance) of the k nearest of each
+    query among the rows other than its own."""
+    top = int(max(exponent(q).max(), exponent(c).max()))
+    qs_, cs_ = np.ldexp(q, -top), np.ldexp(c, -top)  # components of at most 1 bound the squares
+    cc, cs, ce = quantise(cs_)
     # float32 adds products of int8 codes exactly up to 1040 dimensions; doubles hold the rest
     kind = np.float32 if q.shape[1] <= 1040 else np.float64
-    qn, cn = (q * q).sum(axis=1), (c * c).sum(axis=1)
-    q_hat, c_hat = np.sqrt(qn) + qe, np.sqrt(cn) + ce
-    cut = np.full(len(q), np.inf)
-    keep: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for a in range(0, len(c), ROWS):
-        b = min(len(c), a + ROWS)
-        dots = (qc.astype(kind) @ cc[a:b].astype(kind).T) * qs[:, None] * cs[None, a:b]
-        near = qn[:, None] + cn[None, a:b] - 2 * dots
-        # q.c differs from the product of codes by at most |q||c rest| + |q rest||c| + |q rest||c rest|
-        slack = 2 * (q_hat[:, None] * ce[None, a:b] + qe[:, None] * c_hat[None, a:b]) + 1e-6 * (qn[:, None] + cn[None, a:b])
-        same = qid[:, None] == cid[None, a:b]
-        upper = np.where(same, np.inf, near + slack)
-        if b - a >= k:
-            cut = np.minimum(cut, np.partition(upper, k - 1, axis=1)[:, k - 1])
-        i, j = np.nonzero(~same & (near - slack <= cut[:, None]))
-        keep.append((i, j + a, (near - slack)[i, j]))
-    i, j, low = (np.concatenate(x) for x in zip(*keep))
-    ok = low <= cut[i]
-    i, j = i[ok], j[ok]
-    d = np.concatenate([distance(q[i[s : s + 65536]], c[j[s : s + 65536]]) for s in range(0, len(i), 65536)]) if len(i) else np.zeros(0)
-    order = np.lexsort((cid[j], d, i))
-    i, j, d = i[order], j[order], d[order]
-    rank = np.arange(len(i)) - np.searchsorted(i, i)
-    return i[rank < k], cid[j[rank < k]], d[rank < k]
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    cn, codes = (cs_ * cs_).sum(axis=1), cc.astype(kind)
+    c_hat = np.sqrt(cn) + ce
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for head in range(0, len(q), HEADS):
+        rows = slice(head, min(len(q), head + HEADS))
+        qc, qs, qe = quantise(qs_[rows])
+        qn = (qs_[rows] * qs_[rows]).sum(axis=1)
+        q_hat, qc = np.sqrt(qn) + qe, qc.astype(kind)
+        cut = np.full(len(qn), np.inf)
+        keep: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for a in range(0, len(c), ROWS):
+            b = min(len(c), a + ROWS)
+            near = qn[:, None] + cn[None, a:b] - 2 * ((qc @ codes[a:b].T) * qs[:, None] * cs[None, a:b])
+            # q.c differs from the product of codes by at most |q||c rest| + |q rest||c| + |q rest||c rest|
+            slack = 2 * (q_hat[:, None] * ce[None, a:b] + qe[:, None] * c_hat[None, a:b]) + 1e-6 * (qn[:, None] + cn[None, a:b]) + 1e-280
+            same = quid[rows][:, None] == cuid[None, a:b]
+            upper = np.where(same, np.inf, near + slack)
+            if b - a >= k:
+                cut = np.minimum(cut, np.partition(upper, k - 1, axis=1)[:, k - 1])
+            i, j = np.nonzero(~same & (near - slack <= cut[:, None]))
+            keep.append((i, j + a, (near - slack)[i, j]))
+        i, j, low = (np.concatenate(x) for x in zip(*keep))
+        ok = low <= cut[i]
+        i, j = i[ok] + head, j[ok]
+        d = np.concatenate([np.zeros(0), *(distance(q[i[s : s + 65536]], c[j[s : s + 65536]]) for s in range(0, len(i), 65536))])
+        order = np.lexsort((cuid[j], cid[j], d, i))
+        i, j, d = i[order], j[order], d[order]
+        first = np.arange(len(i)) - np.searchsorted(i, i) < k
+        out.append((i[first], j[first], d[first]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def nearest(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score (Euclidean distance) of the ``k`` nearest
-    rows of ``vectors`` other than the query's own id; ties go to the smaller id.
-
-    Both sides have the columns ``id_col`` and ``vec_col``, of the same type.  Null and zero vectors
-    and those with null or non-finite components take no part, nor do null ids.
-    With fewer than ``k`` candidates all are returned; a repeated id counts once,
-    as its nearest row.  Vectors of another length than the query's are not
-    compared.  Other columns are ignored.
+    other rows of each row of ``vectors`` where ``is_query`` (a condition) holds;
+    ties go to the smaller id.
+
+    Null and zero vectors and those with null or non-finite components take no part,
+    nor do null ids.  With fewer than ``k`` candidates all are returned.  Rows with a
+    repeated id are queries and candidates each on its own, so their ids may
+    come more than once.  Vectors of another length than the query's are not compared.
+    Magnitudes may be any: bounds and distances are worked out under powers of two.
+    Other columns are ignored.
     """
     spark = vectors.sparkSession
-    bounded_batches(spark, 8192)
-    c = materialize(packed(vectors, id_col, vec_col).where("id is not null"))
-    q = materialize(packed(queries, id_col, vec_col).where("id is not null").dropDuplicates(["id"]))
-    n_c, n_q = c.count(), q.count()
-    slabs_c, slabs_q = max(1, -(-n_c // CANDIDATES)), max(1, -(-n_q // QUERIES))
+    c = packed(vectors.withColumn("__q", F.expr(is_query) if isinstance(is_query, str) else is_query), id_col, vec_col, "__q").where("id is not null")
+    c = materialize(c.withColumn("uid", F.monotonically_increasing_id()))
+    q = c.where("__q")
+    n_c, width = c.agg(F.count("*"), F.coalesce(F.max(F.octet_length("v")), F.lit(8))).first()
+    n_q = q.count()
+    most = lambda rows: max(1, min(rows, SLAB_BYTES // max(8, width)))
+    slabs_c, slabs_q = max(1, -(-n_c // most(CANDIDATES))), max(1, -(-n_q // most(QUERIES)))
     # enough tiles for every core, while each stays a block product
     slabs_c = max(slabs_c, min(-(-n_c // 512), int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    slab = lambda n: F.pmod(F.xxhash64("id", F.lit(n)), F.lit(n)).cast("int")
+    slab = lambda n: F.pmod(F.xxhash64("uid", F.lit(n)), F.lit(n)).cast("int")
     across = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = q.select(F.col("id").alias("qid"), F.col("v").alias("qv"), F.col("kind").alias("qk"), slab(slabs_q).alias("qs"), across(slabs_c).alias("cs"))
-    right = c.select("id", "v", "kind", slab(slabs_c).alias("c_s"), across(slabs_q).alias("q_s"))
+    left = q.select(*[F.col(x).alias(f"q_{x}") for x in ("uid", "id", "v", "kind")], slab(slabs_q).alias("qs"), across(slabs_c).alias("cs"))
+    right = c.select("uid", "id", "v", "kind", slab(slabs_c).alias("c_s"), across(slabs_q).alias("q_s"))
+    columns = ["query_uid", "query_id", "tile", "uid", "vec_id", "score"]
 
-    def tile(left, right):
+    def tile(key, left, right):
         parts = []
-        for width, part in left.groupby(left["qv"].map(len)):
-            other = right[right["v"].map(len) == width]
+        for size, part in left.groupby(left["q_v"].map(len)):
+            other = right[right["v"].map(len) == size]
             if len(other):
-                kq, kc = part["qk"].iloc[0], other["kind"].iloc[0]
-                qid, cid = part["qid"].to_numpy(), other["id"].to_numpy()
-                i, ids, d = tile_nearest(qid, matrix(part["qv"], kq), cid, matrix(other["v"], kc), k)
-                parts.append(pd.DataFrame({"query_id": qid[i], "vec_id": ids, "score": d}))
-        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": int, "vec_id": int, "score": float})
+                quid, qid, kq, kc = part["q_uid"].to_numpy(), part["q_id"].to_numpy(), part["q_kind"].iloc[0], other["kind"].iloc[0]
+                uid, ids = other["uid"].to_numpy(), other["id"].to_numpy()
+                i, j, d = tile_nearest(quid, matrix(part["q_v"], kq), uid, ids, matrix(other["v"], kc), k)
+                parts.append(pd.DataFrame(dict(zip(columns, (quid[i], qid[i], key[1], uid[j], ids[j], d)))))
+        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({n: np.zeros(0) for n in columns})
 
-    found = left.groupBy("qs", "cs").cogroup(right.groupBy("q_s", "c_s")).applyInPandas(tile, "query_id long, vec_id long, score double")
+    found = left.groupBy("qs", "cs").cogroup(right.groupBy("q_s", "c_s")).applyInPandas(tile, "query_uid long, query_id long, tile int, uid long, vec_id long, score double")
     # lists of one query meet in one group of queries: at most k rows of each candidate slab
-    share = F.pmod(F.xxhash64("query_id"), F.lit(max(1, n_q // 64))).alias("share")
+    share = F.pmod(F.xxhash64("query_uid"), F.lit(max(1, n_q // 64))).alias("share")
 
     def merge(pdf):
         rows = []
-        for query, part in pdf.groupby("query_id", sort=True):
-            lists = [list(zip(x["score"], x["vec_id"])) for _, x in part.groupby("tile")]
-            rank, seen = 0, set()
-            for score, vec in heapq.merge(*lists):
-                if vec not in seen:
-                    seen.add(vec)
-                    rank += 1
-                    rows.append((query, rank, vec, score))
-                if rank == k:
-                    break
+        pdf = pdf.sort_values(["query_uid", "tile", "score", "vec_id", "uid"])
+        for _, part in pdf.groupby("query_uid", sort=True):
+            lists = [list(zip(x["score"], x["vec_id"], x["uid"], x["query_id"])) for _, x in part.groupby("tile")]
+            for rank, (score, vec, _, query) in zip(range(1, k + 1), heapq.merge(*lists)):
+                rows.append((query, rank, vec, score))
         return pd.DataFrame(rows, columns=["query_id", "rank", "vec_id", "score"])
 
-    tagged = found.withColumn("tile", F.pmod(F.xxhash64("vec_id", F.lit(slabs_c)), F.lit(slabs_c)).cast("int"))
-    merged = tagged.groupBy(share).applyInPandas(lambda pdf: merge(pdf.sort_values(["query_id", "tile", "score", "vec_id"])), "query_id long, rank int, vec_id long, score double")
-    return merged
+    return found.groupBy(share).applyInPandas(merge, "query_id long, rank int, vec_id long, score double")

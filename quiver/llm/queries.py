@@ -120,7 +120,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quiver.llm.nearest import nearest
 
     vectors = table(spark, sf_dir, "embeddings")
-    return nearest(vectors, vectors.where("vec_id % 100 = 0"))
+    return nearest(vectors, "vec_id % 100 = 0")
 
 
 def queries() -> dict:

@@ -79,8 +79,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
     for _ in range(max_rounds):
         up = parents.select(F.col("node").alias("f"), F.col("f").alias("g"))
-        grand = parents.join(up, "f").select("node", "f", "g")
-        grand = materialize(grand)
+        grand = materialize(parents.join(up, "f").select("node", "f", "g"))
+        discard(parents)
         seen = (
             both.join(grand.select(F.col("node").alias("b"), "g"), "b")
             .groupBy(F.col("a").alias("node"))
@@ -94,12 +94,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .agg(F.min("f").alias("f"))
         )
         was = grand.select("node", F.col("f").alias("was"), "g")
-        nxt = materialize(nxt.join(was, "node").select("node", "f", (F.col("f") != F.col("was")).alias("moved")))
-        parents = nxt.select("node", "f")
-        if nxt.where("moved").isEmpty():
-            return parents.withColumnRenamed("f", "root")
+        parents = materialize(nxt.join(was, "node").select("node", "f", (F.col("f") != F.col("was")).alias("moved")))
+        discard(grand)
+        if parents.where("moved").isEmpty():
+            discard(both)
+            return parents.select("node", F.col("f").alias("root"))
     raise RuntimeError("components did not settle")
-
-
-def bounded_batches(spark, rows=1000):
-    pass

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiver.llm._common import bounded_batches, connected_components, extend, materialize
+from quiver.llm._common import connected_components, discard, extend, materialize, portions
 
 BITS = 64
 #: Rows of one chunk of a bucket; larger buckets are split.
@@ -51,7 +51,6 @@ def text_fingerprint(text: str | None, width: int = 4) -> int:
 def with_fingerprints(docs: DataFrame, carry: list[str], text: str = "text", width: int = 4) -> DataFrame:
     """``carry`` columns, ``_uid`` (unique per row) and ``_fp`` (the fingerprint
     as a signed long)."""
-    bounded_batches(docs.sparkSession)
     schema = docs.select(*[F.col(c) for c in carry]).schema.add("_uid", "long").add("_fp", "long")
 
     def run(batches):
@@ -59,7 +58,7 @@ def with_fingerprints(docs: DataFrame, carry: list[str], text: str = "text", wid
         from pyspark import TaskContext
 
         at = TaskContext.get().partitionId() << 33
-        for batch in batches:
+        for batch in portions(batches, "__text"):
             n = batch.num_rows
             fps = np.fromiter((text_fingerprint(t, width) for t in batch.column("__text").to_pylist()), np.uint64, n)
             yield extend(batch, "__text", {"_uid": pa.array(np.arange(at, at + n)), "_fp": pa.array(fps.view(np.int64))})
@@ -187,7 +186,6 @@ def link_edges(distinct: DataFrame, radius: int = 4) -> DataFrame:
     """Edges (a, b) over distinct fingerprints (column ``_fp``) whose components
     are those of all pairs within ``radius`` bits."""
     spark = distinct.sparkSession
-    bounded_batches(spark, 20000)  # short rows from here on
     n = distinct.count()
     sample = distinct.orderBy(F.xxhash64("_fp")).limit(SAMPLE).toPandas()["_fp"].to_numpy(np.int64).view(np.uint64)
     chosen = plan(sample, n, radius)
@@ -198,7 +196,7 @@ def link_edges(distinct: DataFrame, radius: int = 4) -> DataFrame:
             for part, key, fp, probe in bucket_rows(fps, chosen):
                 yield pd.DataFrame({"part": np.int32(part), "key": key.view(np.int64), "fp": fp.view(np.int64), "probe": np.int8(probe)}, index=range(len(fp)))
 
-    filed = distinct.select("_fp").mapInPandas(file, "part int, key long, fp long, probe byte")
+    filed = materialize(distinct.select("_fp").mapInPandas(file, "part int, key long, fp long, probe byte"))
     hot = filed.groupBy("part", "key").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET)
     hot = hot.select("part", "key", F.ceil(F.col("n") / BUCKET).cast("int").alias("chunks"))
     chunks = F.coalesce("chunks", F.lit(1))
@@ -234,7 +232,9 @@ def link_edges(distinct: DataFrame, radius: int = 4) -> DataFrame:
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     dealt = dealt.repartition(width, "cell").sortWithinPartitions("cell")
-    return dealt.mapInPandas(verify, "a long, b long")
+    edges = materialize(dealt.mapInPandas(verify, "a long, b long"))
+    discard(filed)
+    return edges
 
 
 def classes(prints: DataFrame, radius: int, id_col: str) -> tuple[DataFrame, DataFrame]:
@@ -242,7 +242,7 @@ def classes(prints: DataFrame, radius: int, id_col: str) -> tuple[DataFrame, Dat
     smallest (null?, id, _uid) of its rows."""
     first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_uid").alias("uid")))
     distinct = materialize(prints.groupBy("_fp").agg(first.alias("rep")))
-    roots = connected_components(materialize(link_edges(distinct.select("_fp"), radius)))
+    roots = connected_components(link_edges(distinct.select("_fp"), radius))
     labelled = distinct.join(roots.withColumnRenamed("node", "_fp"), "_fp", "left")
     labelled = materialize(labelled.select("_fp", "rep", F.coalesce("root", "_fp").alias("root")))
     return labelled, labelled.groupBy("root").agg(F.min("rep").alias("head"))

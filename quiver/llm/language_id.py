@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quiver.llm._common import bounded_batches, extend, id_remainder
+from quiver.llm._common import extend, id_remainder, portions
 
 #: Families of language codes; a code not listed is a family of its own.
 FAMILIES = {
@@ -140,31 +140,51 @@ class Model:
         return best, sure * wins[np.arange(len(margins)), best]
 
 
+def sample(rows: DataFrame, sizes: dict[str, int], each: int) -> DataFrame:
+    """(lang, u, id, text): the first ``each`` distinct rows of every language by
+    ``u``, a hash.  Only rows of a hash below a bound that about twice as many
+    pass are ordered, so no language is one task's; where repeated rows leave too
+    few, the bound grows."""
+    spark, share = rows.sparkSession, {k: (2 * each + 64) / n for k, n in sizes.items()}
+    while True:
+        limits = spark.createDataFrame(list(share.items()), "lang string, _share double")  # a row per language
+        near = rows.join(F.broadcast(limits), "lang").where(F.col("u") < F.col("_share") * 2.0**53)
+        near = near.groupBy("lang", "u", "id").agg(F.min("text").alias("text"))
+        found = {r["lang"]: r["count"] for r in near.groupBy("lang").count().collect()}
+        short = [k for k, x in share.items() if found.get(k, 0) < each and x < 1]
+        if not short:
+            break
+        share |= {k: 8 * share[k] for k in short}
+    first = Window.partitionBy("lang").orderBy("u", "id", "text")
+    return near.withColumn("r", F.row_number().over(first)).where(F.col("r") <= each).drop("r")
+
+
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", max_rows: int = 2000, tie: str = "doc_id") -> Model | None:
     """Model of the non-null ``lang`` values of ``labelled``, from at most
     ``max_rows`` rows (the first of each language by a hash of ``tie`` and text,
-    an even number each, 8 at least); None without labelled rows."""
-    bounded_batches(labelled.sparkSession)
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.xxhash64(F.col(tie)).alias("h"), F.col(tie).alias("id"), F.col(text).alias("text"))
-    kinds = [r[0] for r in rows.select("lang").distinct().collect()]
-    if not kinds:
+    an even number each, 8 at least); None without labelled rows.  Rows alike in
+    language, tie and text count once; null ties are ties like others; null texts
+    teach nothing.  Reruns pick the same rows."""
+    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    rows = rows.select(F.col(lang).alias("lang"), F.shiftrightunsigned(F.xxhash64(tie, text), 11).alias("u"), F.col(tie).alias("id"), F.col(text).alias("text"))
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if not sizes:
         return None
-    each = max(8, max_rows // len(kinds))
-    first = Window.partitionBy("lang").orderBy("h", "id")
-    picked = rows.select("lang", "h", "id").withColumn("r", F.row_number().over(first)).where(F.col("r") <= each).select("lang", "id")
-    sample = rows.join(F.broadcast(picked.distinct()), ["lang", "id"], "left_semi")  # at most max_rows ids
 
     def vectors(batches):
-        for pdf in batches:
-            out = [text_vector(t) for t in pdf["text"]]
-            yield pd.DataFrame({"lang": pdf["lang"], "h": pdf["h"], "at": [np.flatnonzero(v).astype(np.int32).tobytes() for v in out], "v": [v[v > 0].tobytes() for v in out]})
+        import pyarrow as pa
+
+        for batch in portions(batches, "text"):
+            out = [text_vector(t) for t in batch.column("text").to_pylist()]
+            at, v = [np.flatnonzero(v).astype(np.int32).tobytes() for v in out], [v[v > 0].tobytes() for v in out]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("u"), pa.array(at, pa.binary()), pa.array(v, pa.binary())], names=["lang", "u", "at", "v"])
 
-    got = sample.mapInPandas(vectors, "lang string, h long, at binary, v binary").limit(2 * each * len(kinds)).toPandas()
-    got = got.sort_values(["lang", "h"], kind="stable").reset_index(drop=True)
+    got = sample(rows, sizes, max(8, max_rows // len(sizes))).select("lang", "u", "text").mapInArrow(vectors, "lang string, u long, at binary, v binary").toPandas()
+    got = got.sort_values(["lang", "u", "at", "v"], kind="stable").reset_index(drop=True)
     x = np.zeros((len(got), DIMS), np.float32)
     for i, (at, v) in enumerate(zip(got["at"], got["v"])):
         x[i, np.frombuffer(at, np.int32)] = np.frombuffer(v, np.float32)
-    return Model(kinds).fit(x, got["lang"].to_numpy())
+    return Model(list(sizes)).fit(x, got["lang"].to_numpy())
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
@@ -175,7 +195,6 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
     language, with a low score.  All columns and repeated rows are kept.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # fixed size: DIMS x machines
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")])
     schema = docs.schema.add("lang_pred", "string").add("score", "double")
@@ -184,7 +203,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
         import pyarrow as pa
 
         model = shared.value
-        for batch in batches:
+        for batch in portions(batches, "__text"):
             names, scores = np.full(batch.num_rows, "und", object), np.zeros(batch.num_rows)
             rows, lids, counts, known = [], [], [], {}
             put = known.setdefault

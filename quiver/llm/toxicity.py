@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiver.llm._common import bounded_batches, extend, id_remainder
+from quiver.llm._common import extend, id_remainder, portions
 
 BITS = 20
 SIZE = 1 << BITS
@@ -105,22 +105,26 @@ def score_dense(texts, dense: np.ndarray, bias: float) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 12000, id_col: str = "doc_id", text: str = "text", label: str = "toxic"):
-    """Model from at most ``max_rows`` labelled rows, the first by a hash of the
-    id; rows with a null id or label teach nothing, an id labelled twice counts
-    as 1 if any label is 1.  """
-    bounded_batches(docs.sparkSession)
+    """Model from at most ``max_rows`` labelled ids, the first by a hash; rows with a
+    null id or label teach nothing, an id labelled twice counts as 1 if any label
+    is 1, and of several documents of an id the text of the smallest hash teaches.
+    Reruns pick the same rows, in the same order."""
     marks = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label).cast("int")).alias("y"))
     marks = marks.orderBy(F.xxhash64("id"), "id").limit(max_rows)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(F.broadcast(marks), "id")  # at most max_rows ids
+    rows = rows.groupBy("id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))
 
     def features(batches):
-        for pdf in batches:
-            doc, at = batch_features(pdf["text"])
+        import pyarrow as pa
+
+        for batch in portions(batches, "text"):
+            doc, at = batch_features(batch.column("text").to_pylist())
             pair = np.unique(doc << BITS | at)
-            cut = np.searchsorted(pair >> BITS, np.arange(1, len(pdf)))
-            yield pd.DataFrame({"id": pdf["id"], "y": pdf["y"], "at": [x.astype(np.int32).tobytes() for x in np.split(pair & (SIZE - 1), cut)]})
+            cut = np.searchsorted(pair >> BITS, np.arange(1, batch.num_rows))
+            at = [x.astype(np.int32).tobytes() for x in np.split(pair & (SIZE - 1), cut)]
+            yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.int64()), batch.column("y"), pa.array(at, pa.binary())], names=["id", "y", "at"])
 
-    got = rows.mapInPandas(features, "id long, y int, at binary").limit(2 * max_rows).toPandas().sort_values(["id", "at"], kind="stable")
+    got = rows.mapInArrow(features, "id long, y int, at binary").toPandas().sort_values("id", kind="stable")
     return fit([(np.frombuffer(a, np.int32), int(y)) for a, y in zip(got["at"], got["y"])])
 
 
@@ -129,7 +133,6 @@ def predict(docs: DataFrame, model, text: str = "text") -> DataFrame:
     whole text; null, empty and wordless texts get the score of the bias alone.
     Other columns, ties and repeated rows are kept as they are."""
     spark = docs.sparkSession
-    bounded_batches(spark)
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("score", "predicted")])
     schema = docs.schema.add("score", "double").add("predicted", "integer")
     shared = spark.sparkContext.broadcast(model)  # at most 2**BITS coordinates
@@ -140,7 +143,7 @@ def predict(docs: DataFrame, model, text: str = "text") -> DataFrame:
         at, w, bias = shared.value
         dense = np.zeros(SIZE, np.float32)
         dense[at] = w
-        for batch in batches:
+        for batch in portions(batches, "__text"):
             score = score_dense(batch.column("__text").to_pylist(), dense, bias)
             yield extend(batch, "__text", {"score": pa.array(score, pa.float64()), "predicted": pa.array((score >= 0.5).astype(np.int32))})
 

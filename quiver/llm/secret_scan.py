@@ -31,6 +31,36 @@ REACH = 256
 MARK = "[REDACTED]"
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def steps(n: Column) -> Column:
+    """0 .. n - 1, empty for n = 0."""
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def running(values: Column, op) -> Column:
+    """Running ``op`` (associative) over an array of integers, in pieces of about the
+    root of its length, so that a long array is not copied for each of its items."""
+    def scan(a: Column) -> Column:
+        def step(acc, x):
+            return F.concat(acc, F.array(F.coalesce(op(F.get(acc, F.size(acc) - 1), x), x)))
+
+        return F.aggregate(a, F.array().cast("array<int>"), step)
+
+    def pieces(v: Column) -> Column:
+        width = F.greatest(F.lit(8), F.ceil(F.sqrt(F.size(v)))).cast("int")
+        return F.transform(steps(F.ceil(F.size(v) / width).cast("int")), lambda i: scan(F.slice(v, i * width + 1, width)))
+
+    def joined_up(parts: Column) -> Column:
+        ends = scan(F.transform(parts, lambda p: F.get(p, F.size(p) - 1)))
+        return let(ends, lambda e: F.flatten(F.transform(parts, lambda p, i: F.transform(p, lambda x: F.coalesce(op(F.get(e, i - 1), x), x)))))
+
+    return let(values, lambda v: let(pieces(v), joined_up))
+
+
 def matches(text: Column, pattern: str, rank: int, accept=None) -> Column:
     """array<struct<start, rank, end>> of a pattern's leftmost non-overlapping
     matches; ``accept`` filters them by (match, first group) and still lets a
@@ -41,23 +71,15 @@ def matches(text: Column, pattern: str, rank: int, accept=None) -> Column:
 
     def positions(found: Column) -> Column:
         gaps = F.transform(F.split(text, pattern, -1), F.length)
-        sizes = F.transform(found, F.length)
-        steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), sizes, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-        start = F.struct(F.lit(0).alias("at"), none.alias("out"))
-        walk = F.aggregate(
-            steps,
-            start,
-            lambda acc, x: F.struct(
-                (acc["at"] + x["g"] + x["m"]).alias("at"),
-                F.concat(acc["out"], F.array(F.struct((acc["at"] + x["g"]).alias("start"), F.lit(rank).alias("rank"), (acc["at"] + x["g"] + x["m"]).alias("end")))).alias("out"),
-            ),
-        )["out"]
+        reach = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: g + F.length(m))
+        ends = running(reach, lambda a, x: a + x)
+        spans = F.zip_with(ends, found, lambda e, m: F.struct((e - F.length(m)).alias("start"), F.lit(rank).alias("rank"), e.alias("end")))
         if accept is None:
-            return walk
-        good = F.zip_with(walk, F.arrays_zip(found.alias("f"), inner.alias("i")), lambda s, m: F.when(accept(m["f"], m["i"]), s))
+            return spans
+        good = F.zip_with(spans, F.arrays_zip(found.alias("f"), inner.alias("i")), lambda s, m: F.when(accept(m["f"], m["i"]), s))
         return F.filter(good, lambda s: s.isNotNull())
 
-    return F.when(F.size(found) > 0, positions(found)).otherwise(none)
+    return let(found, lambda f: F.when(F.size(f) > 0, positions(f)).otherwise(none))
 
 
 def joined(spans: Column) -> Column:
@@ -139,16 +161,29 @@ def redact(docs: DataFrame, text: str = "text", mark: str = MARK) -> DataFrame:
     ones by a single mark; null texts stay null.  Columns keep names and order."""
     boxed = box(docs, text)
     out = scan(boxed, text, boxed.columns)
-    merged = F.aggregate(
-        F.col("spans"),
-        F.array().cast("array<struct<start:int,end:int>>"),
-        lambda acc, s: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= s["start"]),
-            F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end")))),
-        ).otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))),
-    )
-    out = out.withColumn("__m", F.when(F.size("spans") > 0, merged))
-    from_, until = lambda i: F.when(i == 0, 0).otherwise(F.get("__m", i - 1)["end"]), lambda i: F.coalesce(F.get("__m", i)["start"], F.length(text))
-    pieces = F.transform(F.sequence(F.lit(0), F.size("__m")), lambda i: F.substring(F.col(text), from_(i) + 1, until(i) - from_(i)))
-    clean = F.when(F.col("__m").isNull(), F.col(text)).otherwise(F.array_join(pieces, mark))
-    return unbox(out.withColumn(text, clean), docs, text)
+    tops = running(F.transform("spans", lambda s: s["end"]), lambda a, x: F.greatest(a, x))
+    out = out.withColumn("__m", F.when(F.size("spans") > 0, let(tops, lambda t: merged(F.col("spans"), t))))
+    return unbox(out.withColumn(text, F.when(F.col("__m").isNull(), F.col(text)).otherwise(cut_out(F.col(text), F.col("__m"), mark))), docs, text)
+
+
+def merged(spans: Column, tops: Column) -> Column:
+    """Spans sorted by start, ``tops`` their running ends, as separate stretches."""
+    marked = F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), F.get(tops, i - 1).alias("before")))
+    firsts = F.filter(marked, lambda x: x["before"].isNull() | (x["start"] > x["before"]))
+    last = F.get(tops, F.size(tops) - 1)
+    return let(firsts, lambda f: F.transform(f, lambda x, i: F.struct(x["start"].alias("start"), F.coalesce(F.get(f, i + 1)["before"], last).alias("end"))))
+
+
+def cut_out(text: Column, m: Column, mark: str) -> Column:
+    """``text`` with ``mark`` for each of the stretches ``m``.  A place of a text is found
+    from its start, so pieces are cut from about as many parts as each part has."""
+    from_, until = lambda i: F.when(i == 0, 0).otherwise(F.get(m, i - 1)["end"]), lambda i: F.coalesce(F.get(m, i)["start"], F.length(text))
+    n = F.size(m) + 1
+    width = F.ceil(F.sqrt(n)).cast("int")
+
+    def part(g: Column) -> Column:
+        a, b = g * width, F.least((g + 1) * width, n)
+        whole = F.substring(text, from_(a) + 1, until(b - 1) - from_(a))
+        return let(whole, lambda w: F.transform(F.sequence(a, b - 1), lambda i: F.substring(w, from_(i) - from_(a) + 1, until(i) - from_(i))))
+
+    return F.array_join(F.flatten(F.transform(steps(F.ceil(n / width).cast("int")), part)), mark)

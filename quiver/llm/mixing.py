@@ -4,8 +4,10 @@ Each source's words, its documents in a fixed pseudorandom order end to end, are
 cut into blocks of ``block`` words.  The target of a source (see :func:`targets`)
 is a number of passes over its blocks and a part of one more, whose last block
 is cut so that the target is met to the word.  Output shards of ``shard`` slots
-draw their source counts from the multinomial over what each source still has to
-give.  Slot j of a source is block perm(j) of pass j div blocks, perm being a
+draw their source counts from what each source still has to give: a tree halves the
+range of shards and draws how the slots of every source fall to either half, from
+a seed of that range, so that a task draws its own shards and no table of shards is
+held anywhere.  Slot j of a source is block perm(j) of pass j div blocks, perm being a
 keyed permutation of the source's block indexes; slots meet blocks, and blocks
 the documents they cover, by equi-joins on (source, block).
 """
@@ -17,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quiver.llm._common import SPACE, bounded_batches, box, materialize, unbox
+from quiver.llm._common import SPACE, box, materialize, portions, unbox
 
 #: Hash cells of a source; a source's word positions are sums over cells.
 CELLS = 4096
@@ -48,22 +50,29 @@ def targets(sizes: list[int], weights: list[float], cap: float = 3.0) -> list[fl
             fixed.add(i)
 
 
-def permute(x: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Keyed permutation of 0..n-1, element by element: a four-round Feistel
-    network on the least even number of bits that hold n, walked until inside."""
+def permute(x: np.ndarray, n: np.ndarray, key: np.ndarray, back: bool = False) -> np.ndarray:
+    """Keyed permutation of 0..n-1, element by element, or its inverse: a four-round
+    Feistel network on the least even number of bits that hold n, walked until inside."""
     x, n, key = (np.asarray(a, np.uint64) for a in (x, n, key))
     bits = np.maximum(np.ceil(np.log2(np.maximum(n, 2).astype(float))), 2).astype(np.uint64)
     half = (bits + np.uint64(1)) // np.uint64(2)
     low = (np.uint64(1) << half) - np.uint64(1)
     out, todo = x.copy(), np.arange(len(x))
+
+    def mixed(b, r, k):
+        f = (b + np.uint64(r + 1) * np.uint64(0x9E3779B9) + k) & np.uint64(MASK)
+        for _ in range(2):
+            f = ((f ^ (f >> np.uint64(16))) * np.uint64(0x45D9F3B)) & np.uint64(MASK)
+        return f ^ (f >> np.uint64(16))
+
     while len(todo):
         h, m, k = half[todo], low[todo], key[todo]
         a, b = out[todo] >> h, out[todo] & m
         for r in range(4):
-            f = (b + np.uint64(r + 1) * np.uint64(0x9E3779B9) + k) & np.uint64(MASK)
-            f = ((f ^ (f >> np.uint64(16))) * np.uint64(0x45D9F3B)) & np.uint64(MASK)
-            f = ((f ^ (f >> np.uint64(16))) * np.uint64(0x45D9F3B)) & np.uint64(MASK)
-            a, b = b, a ^ ((f ^ (f >> np.uint64(16))) & m)
+            if back:
+                a, b = b ^ (mixed(a, 3 - r, k) & m), a
+            else:
+                a, b = b, a ^ (mixed(b, r, k) & m)
         out[todo] = (a << h) | b
         todo = todo[out[todo] >= n[todo]]
     return out.astype(np.int64)
@@ -82,12 +91,9 @@ def draw_slots(size: int, target: float, block: int, source: int, seed: int) ->
     passes, rest = divmod(words, size)
     if not rest:
         return passes * n, (size - (n - 1) * block if n == 1 else block)
-    order = permute(np.arange(n), np.full(n, n), key_of(source, np.full(n, passes), seed)) if n <= 1 << 20 else None
     tail = size - (n - 1) * block
-    if order is not None:
-        at = int(np.flatnonzero(order == n - 1)[0])
-    else:  # the one short block is found block by block, in bounded pieces
-        at = next(s + int(np.flatnonzero(p == n - 1)[0]) for s in range(0, n, 1 << 20) if (p := permute(x := np.arange(s, min(n, s + (1 << 20))), np.full(len(x), n), key_of(source, np.full(len(x), passes), seed))).max() == n - 1)
+    # the place of the one short block in this pass
+    at = int(permute(np.array([n - 1]), np.array([n]), key_of(source, np.array([passes]), seed), back=True)[0])
     if rest <= at * block:
         k = -(-rest // block)
         return passes * n + k, rest - (k - 1) * block
@@ -97,19 +103,35 @@ def draw_slots(size: int, target: float, block: int, source: int, seed: int) ->
     return passes * n + k, rest - tail - (k - 2) * block
 
 
-def shard_counts(slots: list[int], shard: int, seed: int) -> np.ndarray:
-    """Counts (shards x sources): each shard's multinomial over the slots that
-    are left, cut to what is left and made up from there, so columns add up."""
-    rng, left, rows = np.random.default_rng(seed), np.array(slots, np.int64), []
-    while left.sum():
-        want = int(min(shard, left.sum()))
-        got = np.minimum(rng.multinomial(want, left / left.sum()), left)
-        while (lack := want - int(got.sum())) > 0:
-            spare = left - got
-            got = got + np.minimum(rng.multinomial(lack, spare / spare.sum()), spare)
-        rows.append(got)
-        left = left - got
-    return np.array(rows, np.int64) if rows else np.zeros((0, len(slots)), np.int64)
+def draw(left: np.ndarray, want: int, rng) -> np.ndarray:
+    """How many of each source are among ``want`` slots drawn from ``left``."""
+    if left.sum() < 10**9:
+        return rng.multivariate_hypergeometric(left, want, method="marginals")
+    got = np.minimum(rng.multinomial(want, left / left.sum()), left)
+    while (lack := want - int(got.sum())) > 0:
+        spare = left - got
+        got = got + np.minimum(rng.multinomial(lack, spare / spare.sum()), spare)
+    return got
+
+
+def shard_counts(slots: list[int], shard: int, seed: int, low: int = 0, high: int | None = None):
+    """(shard, its slots of every source, those of the shards before it) for the
+    shards low .. high - 1.  Each range of shards is halved by a draw of its own,
+    so any part of them costs only the draws on the way to it."""
+    total = sum(slots)
+    many = -(-total // shard)
+    todo = [(0, many, np.array(slots, np.int64), np.zeros(len(slots), np.int64))] if total else []
+    while todo:
+        a, b, own, before = todo.pop()
+        if b <= low or (high is not None and a >= high):
+            continue
+        if b - a == 1:
+            yield a, own, before
+            continue
+        mid = (a + b) // 2
+        left = draw(own, (mid - a) * shard, np.random.default_rng([seed, a, b]))
+        todo.append((mid, b, own - left, before + left))
+        todo.append((a, mid, left, before))
 
 
 def mix(docs: DataFrame, block: int = 1024, shard: int = 4096, cap: float = 3.0, weights: list[float] | None = None, seed: int = 42, id_col: str = "doc_id", source_col: str = "source", text: str = "text", carry: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -121,7 +143,7 @@ def mix(docs: DataFrame, block: int = 1024, shard: int = 4096, cap: float = 3.0,
     drawn.  A null source is a source of its own, last in order.  Sources by code
     point weigh 1, 2, 3, repeating, unless ``weights`` are given.  The order of a
     source's documents follows a hash of id and text, so reruns agree; only rows
-    equal in both are interchangeable.  One row per source reaches the driver.
+    equal in both are interchangeable.  One row per source reaches the driver, nothing else.
     """
     spark, carry = docs.sparkSession, carry or [id_col]
     tie = F.xxhash64(F.col(id_col), F.col(text))
@@ -150,24 +172,28 @@ def mix(docs: DataFrame, block: int = 1024, shard: int = 4096, cap: float = 3.0,
     cover = cover.withColumn("blk", F.explode(F.sequence(F.floor(F.col("lo") / block), F.floor((F.col("hi") - 1) / block))))
 
     # slots of every shard, each with its place in its source's order of draws
-    counts = shard_counts([d[0] for d in drawn], shard, seed)
-    before = np.cumsum(counts, axis=0) - counts
-    width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    blocks = [-(-s // block) for s in sizes]
-    runs = [(int(s), int(i), int(before[s, i]), int(counts[s, i])) for s, i in zip(*np.nonzero(counts))]
-    bounded_batches(spark, 20000)
+    given, blocks = [d[0] for d in drawn], [-(-s // block) for s in sizes]
+    many = -(-sum(given) // shard)
+    width = max(1, min(many, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
     def slots(batches):
-        for pdf in batches:
-            for s, i, first, n in pdf.itertuples(index=False):
-                j = np.arange(first, first + n)
-                epoch = j // blocks[i]
-                b = permute(j % blocks[i], np.full(n, blocks[i]), key_of(i, epoch, seed))
-                words = np.where(j == drawn[i][0] - 1, drawn[i][1], block)
-                yield pd.DataFrame({"_no": np.int32(i), "blk": b, "shard": s, "slot": np.arange(n), "epoch": epoch, "limit": words})
-
-    asked = spark.createDataFrame(pd.DataFrame(runs, columns=["s", "i", "first", "n"]) if runs else [], "s long, i int, first long, n long")
-    asked = asked.repartition(width).mapInPandas(slots, "_no int, blk long, shard long, slot long, epoch long, `limit` long")
+        import pyarrow as pa
+
+        for batch in batches:
+            for w in batch.column("id").to_pylist():
+                for s, counts, before in shard_counts(given, shard, seed, w * many // width, (w + 1) * many // width):
+                    out = []
+                    for i in np.flatnonzero(counts).tolist():
+                        n = int(counts[i])
+                        j = np.arange(before[i], before[i] + n)
+                        epoch = j // blocks[i]
+                        b = permute(j % blocks[i], np.full(n, blocks[i]), key_of(i, epoch, seed))
+                        words = np.where(j == given[i] - 1, drawn[i][1], block)
+                        out.append(pd.DataFrame({"_no": np.int32(i), "blk": b, "shard": s, "slot": np.arange(n), "epoch": epoch, "limit": words}))
+                    yield pa.RecordBatch.from_pandas(pd.concat(out), preserve_index=False)
+
+    asked = spark.range(0, width, 1, width).mapInArrow(slots, "_no int, blk long, shard long, slot long, epoch long, `limit` long")
+    asked = asked.hint("merge")  # it grows with the mix, which Spark cannot tell from the range it comes of
     hit = cover.join(asked, ["_no", "blk"])
     start = F.greatest(F.col("lo"), F.col("blk") * block)
     end = F.least(F.col("hi"), F.col("blk") * block + F.col("limit"))
@@ -196,7 +222,6 @@ def mix_texts(docs: DataFrame, text: str = "text", id_col: str = "doc_id", sourc
     stretches = stretches.agg(F.min("from_word").alias("_from"), F.sum("words").alias("_words")).drop("epoch", "run")
     asked = documents.select(*columns, "_uid", "_size", F.col(text).alias("__text")).join(stretches, "_uid").drop("_uid")
     schema = boxed.select(*columns).schema
-    bounded_batches(docs.sparkSession)
 
     def cut(batches):
         import re
@@ -204,7 +229,7 @@ def mix_texts(docs: DataFrame, text: str = "text", id_col: str = "doc_id", sourc
         import pyarrow as pa
 
         word = re.compile(f"[^{SPACE}]+")
-        for batch in batches:
+        for batch in portions(batches, "__text"):
             out = []
             for t, a, n, size in zip(*(batch.column(c).to_pylist() for c in ("__text", "_from", "_words", "_size"))):
                 if n < size:

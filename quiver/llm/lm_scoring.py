@@ -37,7 +37,7 @@ ORDER = 5
 #: Bytes of a context that name its bucket; shorter contexts are broadcast.
 NEAR = 3
 #: Text bytes of a block, and places of its text worked on at once.
-BLOCK, RUN = 16_000_000, 1 << 18
+BLOCK, RUN = 12_000_000, 1 << 18
 #: Symbols: 256 byte values and one to spare.
 ALPHABET = 257
 #: What lies before a text.

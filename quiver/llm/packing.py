@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quiver.llm._common import bounded_batches, extend, materialize
+from quiver.llm._common import extend, materialize, portions
 
 END_ID = 0
 
@@ -201,7 +201,6 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, id_col: str = "doc
     import tokenizers  # noqa: F401  fails early where it is missing
 
     spark, carry = docs.sparkSession, carry or [id_col]
-    bounded_batches(spark)
     kept = docs.select(*carry, F.coalesce(F.col(text), F.lit("")).alias("__text"))
     bare = [*carry, "row_id"]
     cut = docs.select(*carry).schema.add("row_id", "long").add("_start", "long").add("_length", "integer").add("_total", "long").add("_ids", "binary").add("_task", "integer").add("_rank", "long")
@@ -213,7 +212,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, id_col: str = "doc
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         task, seen, enc = TaskContext.get().partitionId(), [0] * (window + 1), Encoder(tokenizer)
         end, row = pack_ids([END_ID]), task << 33
-        for batch in batches:
+        for batch in portions(batches, "__text"):
             rows, starts, lengths, totals, blobs, ranks = [], [], [], [], [], []
             for i, t in enumerate(batch.column("__text").to_pylist()):
                 blob = enc.encode(t) + end
@@ -249,7 +248,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, id_col: str = "doc
         import pyarrow as pa
 
         plan = shared.value
-        for batch in batches:
+        for batch in portions(batches, "_ids"):
             rank = batch.column("_rank").to_numpy() + batch.column("_before").to_numpy()
             length = batch.column("_length").to_numpy()
             parts = []

@@ -123,21 +123,63 @@ def test_metric_join(spark, monkeypatch):
     assert metric_join.similarity_join(df.limit(0)).count() == 0
 
 
+def test_metric_join_near_equal_pivots(spark):
+    """Vectors all within the threshold of each other, two of them 1e-9 apart."""
+    rng = np.random.default_rng(2)
+    p, u = rng.normal(size=8), rng.normal(size=8)
+    p /= np.sqrt(p @ p)
+    u -= (u @ p) * p
+    u /= np.sqrt(u @ u)
+    rows = [(i, (p + s * u).tolist()) for i, s in enumerate([0, 1e-9, 0.05, -0.05, 0.1, -0.1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for seed in range(31, 36):
+        assert [(r.n_links, r.component_id) for r in metric_join.similarity_join(df, pivots=2, seed=seed).collect()] == [(5, 0)] * 6
+    x = np.stack([np.array(v) for _, v in rows])
+    home = np.arange(6) % 2
+    border = metric_join.border_distance(x, x[:2], home)
+    assert np.isfinite(border).all() and (np.abs(border) < 0.2).all()
+
+
+def test_metric_join_magnitudes(spark):
+    rows = [(1, [1e200, 1e200]), (2, [1e-200, 1e-200]), (3, [5e-324, 5e-324]), (4, [1.7e308, 1.7e308]), (5, [1e200, -1e200])]
+    got = metric_join.similarity_join(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert {r.vec_id: r.n_links for r in got.collect()} == {1: 3, 2: 3, 3: 3, 4: 3, 5: 0}
+
+
+def brute_nearest(rows, is_query, k=10):
+    good = [(i, np.array(v, float)) for i, v, *_ in rows if i is not None and fine(v)]
+    want = Counter()
+    for a, (q, x) in enumerate(good):
+        if is_query(q):
+            d = sorted((float(nearest.distance(x[None], y[None])[0]), i) for b, (i, y) in enumerate(good) if a != b and len(x) == len(y))
+            want.update((q, r + 1, i, s) for r, (s, i) in enumerate(d[:k]))
+    return want
+
+
 def test_nearest(spark, monkeypatch):
     rows = vec_rows(1)
     df = spark.createDataFrame(rows, VECS)
-    good = {i: np.array(v, float) for i, v, *_ in rows if fine(v) and len(v) == 8}
-    want = set()
-    for q in (0, 100, 200):
-        d = sorted((float(nearest.distance(good[q][None], x[None])[0]), i) for i, x in good.items() if i != q)
-        want |= {(q, r + 1, i, s) for r, (s, i) in enumerate(d[:10])}
+    plain = {(q, r, i): s for q, r, i, s in brute_nearest(rows, lambda i: i % 100 == 0 and i < 1000)}
+    good = {i: np.array(v, float) for i, v, *_ in rows if fine(v)}
+    assert all(s == math.sqrt(np.add.accumulate((good[q] - good[i]) ** 2)[-1]) for (q, _, i), s in plain.items())
     monkeypatch.setattr(nearest, "CANDIDATES", 64)
     monkeypatch.setattr(nearest, "QUERIES", 2)
-    got = nearest.nearest(df, df.where("vec_id % 100 = 0 and vec_id < 1000")).collect()
-    assert {tuple(r) for r in got} == want
-    few = nearest.nearest(df.where("vec_id < 4"), df.where("vec_id = 0")).collect()
+    monkeypatch.setattr(nearest, "HEADS", 1)
+    got = nearest.nearest(df, "vec_id % 100 = 0 and vec_id < 1000").collect()
+    assert Counter(map(tuple, got)) == brute_nearest(rows, lambda i: i % 100 == 0 and i < 1000)
+    few = nearest.nearest(df.where("vec_id < 4"), F.col("vec_id") == 0).collect()
     assert [r.rank for r in sorted(few, key=lambda r: r.rank)] == [1, 2, 3]
-    assert nearest.nearest(df.limit(0), df).count() == 0
+    assert nearest.nearest(df.limit(0), "true").count() == 0
+
+
+def test_nearest_repeated_ids_and_magnitudes(spark):
+    rng = np.random.default_rng(4)
+    rows = [(100, [1.0, 2.0]), (100, [1.0, 2.5]), (100, [1.0, 2.0]), (7, [3.0, 1.0]), (7, [3.0, 1.0]), (None, [1.0, 2.0])]
+    rows += [(200, [1e200, 1e200]), (201, [1e200, 2e200]), (300, [1e-310, 2e-310]), (301, [5e-324, 0.0]), (302, [1e-310, 3e-310]), (303, [-1.7e308, 1.7e308])]
+    rows += [(400 + i, (rng.normal(size=2) * 10.0 ** rng.integers(-300, 300)).tolist()) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = Counter(map(tuple, nearest.nearest(df, "vec_id % 100 = 0").collect()))
+    assert got == brute_nearest(rows, lambda i: i % 100 == 0) and sum(got.values()) == 60
 
 
 # ---- 4 packing -----------------------------------------------------------------

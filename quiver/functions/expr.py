@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -42,10 +41,13 @@ def modulo(a, b) -> Column:
 
 
 def int_divide(a, b) -> Column:
-    """Quotient cut toward zero; null for a zero divisor."""
-    a, b = col(a), col(b)
-    d = F.when(b != 0, b)
-    return ((a - a % d) / d).cast("long")
+    """Quotient cut toward zero.  A zero divisor gives the largest long with the
+    sign of the numerator, 0 by 0 null; the least long by -1 is a range error."""
+    a, b = col(a).cast("long"), col(b).cast("long")
+    zero = F.when(a > 0, F.lit(2**63 - 1)).when(a < 0, F.lit(-(2**63) + 1))
+    over = F.raise_error(F.lit("range")).cast("long")
+    whole = F.call_function("div", a, F.when(b != 0, b))
+    return F.when(b == 0, zero).when((b == -1) & (a == F.lit(-(2**63))), over).otherwise(whole)
 
 
 def less(a, b) -> Column:
@@ -97,9 +99,12 @@ def trunc(a) -> Column:
 
 def round_down(step: float, a) -> Column:
     """Largest multiple of a positive step not above a; smallest not below for a
-    negative one."""
-    q = col(a) / abs(step)
-    return (F.floor(q) if step > 0 else F.ceil(q)).cast("double") * abs(step)
+    negative one.  A quotient within a few units in the last place of a whole
+    number counts as that number."""
+    q = col(a).cast("double") / abs(step)
+    near = F.rint(q)
+    whole = F.floor(q) if step > 0 else F.ceil(q)
+    return F.when(F.abs(q - near) <= F.abs(q) * 4.5e-16, near).otherwise(whole.cast("double")) * abs(step)
 
 
 def round_even(step, a) -> Column:
@@ -181,6 +186,19 @@ def lgamma(a) -> Column:
     return _vector(_lgamma)(col(a))
 
 
-def f32_sum(values: np.ndarray) -> float:
-    """Running 32-bit sum, as the notation folds 32-bit floats."""
-    return float(np.add.accumulate(values.astype(np.float32))[-1]) if len(values) else 0.0
+#: Type codes of atoms by Spark type; a list of atoms is the negative.
+TYPE_CODES = {"int": 1, "double": 2, "string": 4, "bigint": 8, "float": 9}
+
+
+def type_code(df, column: str) -> int:
+    """Type code of a column, known when the plan is made: positive for atoms,
+    negative for lists of atoms, 5 for maps, 6 for null, 0 for other lists."""
+    kind = dict(df.dtypes)[column]
+    if kind.startswith("array<"):
+        return -TYPE_CODES.get(kind[6:-1], 0)
+    return 5 if kind.startswith(("map<", "struct<")) else 6 if kind == "void" else TYPE_CODES.get(kind, 0)
+
+
+def is_atom(df, column: str) -> int:
+    """1 for a column of atoms, 0 for one of lists or maps."""
+    return int(not dict(df.dtypes)[column].startswith(("array<", "map<", "struct<")))

@@ -69,22 +69,24 @@ def _split(m: int) -> int:
     return m
 
 
-def prime(a) -> Column:
-    @F.pandas_udf("int")
+def _known(fn, kind: str, a) -> Column:
+    """fn of every distinct number of a batch; numbers come as text, so that nulls
+    among them cost no digits."""
+
+    @F.pandas_udf(kind)
     def run(s: pd.Series) -> pd.Series:
-        known = {v: int(is_prime(int(v))) for v in s.dropna().unique()}
-        return s.map(known)
+        known = {v: fn(int(v)) for v in s.dropna().unique()}
+        return s.map(lambda v: known.get(v), na_action="ignore").astype(object)
 
-    return run(col(a).cast("long"))
+    return run(col(a).cast("long").cast("string"))
 
 
-def factor(a) -> Column:
-    @F.pandas_udf("array<long>")
-    def run(s: pd.Series) -> pd.Series:
-        known = {v: factors(int(v)) for v in s.dropna().unique()}
-        return s.map(known)
+def prime(a) -> Column:
+    return _known(lambda n: int(is_prime(n)), "int", a)
 
-    return run(col(a).cast("long"))
+
+def factor(a) -> Column:
+    return _known(factors, "array<long>", a)
 
 
 def gcd(a, b) -> Column:
@@ -96,17 +98,25 @@ def gcd(a, b) -> Column:
 
 def lcm(a, b) -> Column:
     """Least common multiple; beyond a long, the largest long."""
-    @F.pandas_udf("long")
-    def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([min(math.lcm(int(p), int(q)), LONG_MAX) for p, q in zip(x, y)])
-
-    return run(col(a).cast("long"), col(b).cast("long"))
+    x, y, g = F.abs(col(a).cast("long")), F.abs(col(b).cast("long")), gcd(a, b)
+    part = F.call_function("div", x, F.when(g != 0, g))
+    over = part > F.call_function("div", F.lit(LONG_MAX), F.when(y != 0, y))
+    return F.when(x.isNull() | y.isNull(), None).when((x == 0) | (y == 0), F.lit(0).cast("long")).when(over, F.lit(LONG_MAX)).otherwise(part * y)
 
 
 def modinv(a, m) -> Column:
-    """Inverse of a modulo m; -1 where there is none."""
-    @F.pandas_udf("long")
-    def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([pow(int(p), -1, int(q)) if q > 0 and math.gcd(int(p), int(q)) == 1 else -1 for p, q in zip(x, y)])
+    """Inverse of a modulo m; -1 where there is none.  A bounded Euclid fold."""
+    a, m = col(a).cast("long"), col(m).cast("long")
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    start = F.struct(m.alias("r"), F.pmod(a, F.when(m > 0, m)).alias("s"), zero.alias("t"), one.alias("u"))
+
+    def step(acc, _):
+        q = F.call_function("div", acc["r"], acc["s"])
+        nxt = F.struct(acc["s"].alias("r"), (acc["r"] - q * acc["s"]).alias("s"), acc["u"].alias("t"), (acc["t"] - q * acc["u"]).alias("u"))
+        return F.when(acc["s"] == 0, acc).otherwise(nxt)
+
+    from quiver.operators.cells import let
 
-    return run(col(a).cast("long"), col(m).cast("long"))
+    got = F.aggregate(F.sequence(F.lit(1), F.lit(92)), start, step)
+    value = let(got, lambda x: F.when(x["r"] == 1, F.pmod(x["t"], m)).otherwise(F.lit(-1).cast("long")))
+    return F.when(a.isNull() | m.isNull(), None).when(m <= 0, F.lit(-1).cast("long")).otherwise(value)

@@ -32,15 +32,20 @@ def matches(a, pattern: str) -> Column:
     return F.regexp_like(col(a), F.lit(f"^{glob(pattern)}$")).cast("int")
 
 
-def find_all(a, pattern: str) -> Column:
-    """Start positions, from 0, of the non-overlapping matches of a glob."""
-    rx = glob(pattern)
+def find_all(a, pattern: str, word: bool = False) -> Column:
+    """Start positions, from 0, of the non-overlapping matches of a glob; with
+    ``word`` only of whole words."""
+    from quiver.operators.cells import let, running
+
+    rx = rf"(?<!\w){glob(pattern)}(?!\w)" if word else glob(pattern)
     found = F.regexp_extract_all(col(a), F.lit(f"({rx})"), F.lit(1))
-    gaps = F.split(col(a), rx, -1)
-    n = F.size(found)
-    part = lambda xs, k: F.aggregate(F.slice(F.transform(xs, F.length), 1, k), F.lit(0), lambda x, y: x + y)
-    steps = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    return F.transform(steps, lambda i: part(gaps, i) + part(found, i - 1))
+
+    def starts(found: Column) -> Column:
+        gaps = F.slice(F.split(col(a), rx, -1), F.lit(1), F.size(found))
+        ends = running(F.zip_with(gaps, found, lambda g, m: F.length(g) + F.length(m)), lambda x, y: x + y)
+        return F.zip_with(ends, found, lambda e, m: e - F.length(m))
+
+    return let(found, starts)
 
 
 def find_first(a, needle: str) -> Column:
@@ -85,7 +90,6 @@ def exponential(width: int, digits: int, a) -> Column:
 
 def parse(a, kind: str, strict: bool = False) -> Column:
     """Text to int, long, double or float; bad text is null, or a domain error."""
-    out = F.expr("1")  # replaced below
     a = F.trim(col(a))
     out = a.try_cast(kind)
     return F.when(out.isNull() & a.isNotNull() & (a != ""), F.raise_error(F.lit("domain")).cast(kind)).otherwise(out) if strict else out
@@ -103,9 +107,15 @@ def from_codes(codes) -> Column:
     return F.array_join(F.transform(col(codes), lambda c: F.char(c)), "")
 
 
-def encode_base(base: int, a, width: int) -> Column:
-    """Digits of a non-negative number, ``width`` of them, highest first."""
-    return F.transform(F.sequence(F.lit(width - 1), F.lit(0)), lambda i: (F.floor(col(a) / F.pow(F.lit(float(base)), i)) % base).cast("long"))
+def encode_base(base: int, a, width: int = 1) -> Column:
+    """Digits of a non-negative number, highest first, at least ``width`` of them; a
+    negative number is a domain error."""
+    a = col(a).cast("long")
+    powers = F.array(*[F.lit(base**i).cast("long") for i in range(64) if base**i < 2**63])
+    need = F.greatest(F.lit(width), F.size(F.filter(powers, lambda p: p <= a)))
+    digit = lambda i: F.coalesce(F.call_function("div", a, F.get(powers, i)) % base, F.lit(0).cast("long"))
+    digits = F.transform(F.sequence(need - 1, F.lit(0)), digit)
+    return F.when(a < 0, F.raise_error(F.lit("domain"))).otherwise(digits)
 
 
 def decode_base(base, digits) -> Column:
@@ -123,3 +133,46 @@ def encode_mixed(bases: list[int], a) -> Column:
         out.append((rest % b).cast("long"))
         rest = F.floor(rest / b)
     return F.array(*[rest.cast("long"), *reversed(out)])
+
+
+def each(a, digits: int = 7) -> Column:
+    """Items of a list as text, numbers to ``digits`` significant digits, nulls empty."""
+    return F.transform(col(a), lambda x: F.coalesce(significant(x, digits), F.lit("")))
+
+
+def significant(a, digits: int = 7) -> Column:
+    """A number to so many significant digits, without trailing zeros."""
+    a = col(a).cast("double")
+    size = F.floor(F.log10(F.abs(a))).cast("int")
+    fixed = F.format_string("%s", F.bround(a.cast("decimal(38,18)"), 18))
+    plain = F.array(*[F.format_string(f"%.{k}f", a) for k in range(digits + 5)])
+    text = F.coalesce(F.get(plain, F.greatest(F.lit(digits - 1) - size, F.lit(0))), fixed)
+    trimmed = F.when(F.contains(text, F.lit(".")), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
+    science = F.regexp_replace(F.format_string(f"%.{digits - 1}e", a), r"\.?0*e", "e")
+    return F.when(a == 0, F.lit("0")).when((size < -4) | (size >= digits), science).otherwise(trimmed)
+
+
+#: Roman numerals, greatest first.
+ROMAN = [(1000, "M"), (900, "CM"), (500, "D"), (400, "CD"), (100, "C"), (90, "XC"), (50, "L"), (40, "XL"), (10, "X"), (9, "IX"), (5, "V"), (4, "IV"), (1, "I")]
+
+
+def to_roman(a) -> Column:
+    """Roman numeral of a positive number."""
+    rest, out = col(a).cast("int"), []
+    for n, letters in ROMAN:
+        out.append(F.repeat(F.lit(letters), F.floor(rest / n).cast("int")))
+        rest = rest % n
+    return F.concat(*out)
+
+
+def from_roman(a) -> Column:
+    """Value of a Roman numeral: a letter below the one after it counts against."""
+    value = F.create_map(*[x for n, t in ROMAN if len(t) == 1 for x in (F.lit(t), F.lit(n))])
+    digits = F.transform(F.filter(F.split(col(a), ""), lambda c: c != ""), lambda c: F.element_at(value, c))
+    signed = F.transform(digits, lambda d, i: F.when(d < F.coalesce(F.get(digits, i + 1), F.lit(0)), -d).otherwise(d))
+    return F.aggregate(signed, F.lit(0), lambda x, y: x + y)
+
+
+def between_quotes(a) -> Column:
+    """Texts between quotes."""
+    return F.regexp_extract_all(col(a), F.lit('"([^"]*)"'), F.lit(1))

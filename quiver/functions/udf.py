@@ -30,7 +30,7 @@ def project(fn, *args):
         full = list(args) + [OPEN] * (valence(fn) - len(args))
         for i, a in zip(holes, given):
             full[i] = a
-        return fn(*full) if OPEN not in full else project(fn, *full)
+        return project(fn, *full) if any(a is OPEN for a in full) else fn(*full)
 
     return rest
 
@@ -40,15 +40,22 @@ def compose(*fns):
     return functools.reduce(lambda f, g: lambda *x: f(g(*x)), fns)
 
 
-def column(fn, kind: str):
-    """A scalar Python function as an Arrow-batched Column function."""
+def column(fn, kind: str, vector: bool = False):
+    """A Python function of one or more columns as an Arrow-batched Column function:
+    of whole pandas Series with ``vector``, else of items; a null item gives null."""
+
+    def apply(*cols) -> Column:
+        names = [f"c{i}" for i in range(len(cols))]
 
-    def apply(*cols: Column) -> Column:
         @F.pandas_udf(kind)
-        def run(a: pd.Series) -> pd.Series:
-            return a.map(fn, na_action="ignore")
+        def run(rows: pd.DataFrame) -> pd.Series:
+            parts = [rows[n] for n in names]
+            if vector:
+                return fn(*parts)
+            some = rows.notna().all(axis=1)
+            return pd.Series([fn(*x) if ok else None for ok, *x in zip(some, *parts)], index=rows.index, dtype=object)
 
-        return run(*cols)
+        return run(F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(n) for c, n in zip(cols, names)]))
 
     return apply
 
@@ -73,3 +80,39 @@ def expand(df: DataFrame, fn, schema: str) -> DataFrame:
             yield pd.DataFrame([t for r in pdf.to_dict("records") for t in fn(r)], columns=names)
 
     return df.mapInPandas(run, schema)
+
+
+def save(fn, path: str) -> None:
+    """A function with the values it captures, as bytes in a file."""
+    from pyspark import cloudpickle
+
+    with open(path, "wb") as f:
+        f.write(cloudpickle.dumps(fn))
+
+
+def load(path: str):
+    """A function that :func:`save` wrote; only for files one trusts."""
+    from pyspark import cloudpickle
+
+    with open(path, "rb") as f:
+        return cloudpickle.loads(f.read())
+
+
+class Memo:
+    """A function that keeps what it has worked out, by its arguments; sent to a
+    worker, it starts empty there."""
+
+    def __init__(self, fn):
+        self.fn, self.known = fn, {}
+
+    def __call__(self, *args):
+        if args not in self.known:
+            self.known[args] = self.fn(*args)
+        return self.known[args]
+
+    def __getstate__(self):
+        return {"fn": self.fn, "known": {}}
+
+
+def memo(fn) -> Memo:
+    return Memo(fn)

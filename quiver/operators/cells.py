@@ -14,6 +14,35 @@ from pyspark.sql import functions as F
 from quiver.functions.expr import col
 
 
+def let(value, use) -> Column:
+    """``use`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def pieces(a: Column) -> Column:
+    """A list in parts of about the root of its length."""
+    n = F.size(a)
+    width = F.greatest(F.lit(8), F.ceil(F.sqrt(n))).cast("int")
+    return F.transform(index(F.ceil(n / width)), lambda i: F.slice(a, i * width + 1, width))
+
+
+def running(values, op) -> Column:
+    """Running ``op``, which must associate, over a list of integers; parts of the
+    list are scanned on their own, so that a long list is not copied for each item."""
+
+    def scan_(a: Column) -> Column:
+        def step(acc, x):
+            return F.concat(acc, F.array(F.coalesce(op(F.get(acc, F.size(acc) - 1), x), x)))
+
+        return F.aggregate(a, F.array().cast("array<int>"), step)
+
+    def joined(parts: Column) -> Column:
+        ends = scan_(F.transform(parts, lambda p: F.get(p, F.size(p) - 1)))
+        return let(ends, lambda e: F.flatten(F.transform(parts, lambda p, i: F.transform(p, lambda x: F.coalesce(op(F.get(e, i - 1), x), x)))))
+
+    return let(col(values), lambda v: let(F.transform(pieces(v), scan_), joined))
+
+
 def index(n) -> Column:
     """0 .. n-1, empty for n <= 0."""
     return F.when(col(n) > 0, F.sequence(F.lit(0), (col(n) - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
@@ -28,11 +57,21 @@ def count(a) -> Column:
     return F.size(col(a))
 
 
-def shape(m) -> Column:
-    """Dimensions of a regular matrix: rows and columns; only rows if ragged."""
+def shape(m, depth: int = 2) -> Column:
+    """Dimensions of a regular list nested ``depth`` deep; those above the first
+    ragged level only."""
     m = col(m)
-    width = F.size(F.get(m, 0))
-    return F.when(F.forall(m, lambda r: F.size(r) == width), F.array(F.size(m), width)).otherwise(F.array(F.size(m)))
+    out, level, even = F.array(F.size(m)), m, F.lit(True)
+
+    def regular(rows, width):
+        return F.coalesce(F.forall(rows, lambda r: F.size(r) == width), F.lit(False))
+
+    for _ in range(depth - 1):
+        width = F.size(F.get(level, 0))
+        even = even & regular(level, width)
+        out = F.when(even, F.concat(out, F.array(width))).otherwise(out)
+        level = F.flatten(level)
+    return out
 
 
 def enlist(a) -> Column:
@@ -43,14 +82,16 @@ def reverse(a) -> Column:
     return F.reverse(col(a))
 
 
-def take(n: int, a) -> Column:
-    """First n items, or last for negative n, starting over past the end."""
+def take(n: int, a, default=None) -> Column:
+    """First n items, or last for negative n, starting over past the end; of an
+    empty list, ``default`` n times (null unless given)."""
     a = col(a)
     size, w = F.size(a), abs(n)
     if not n:
         return F.slice(a, 1, 0)
     from_ = F.lit(0) if n > 0 else F.pmod(size * w - w, size)
-    return F.transform(index(F.lit(w)), lambda i: F.get(a, F.pmod(i + from_, size)))
+    out = F.transform(index(F.lit(w)), lambda i: F.get(a, F.pmod(i + from_, size)))
+    return out if default is None else F.when(size == 0, F.array_repeat(F.lit(default), w)).otherwise(out)
 
 
 def drop(n: int, a) -> Column:
@@ -210,14 +251,25 @@ def over(f, a, start=None) -> Column:
 
 
 def scan(f, a, start=None) -> Column:
-    """Every step of the fold."""
+    """Every step of the fold; part by part, so that a long list is not copied for
+    each item."""
     a = col(a)
     if start is None:
         rest = F.slice(a, F.lit(2), F.greatest(F.size(a) - 1, F.lit(0)))
-        seed = F.slice(a, F.lit(1), F.lit(1))
+        seed = F.get(a, 0)
     else:
-        rest, seed = a, F.array(col(start))
-    return F.aggregate(rest, seed, lambda acc, x: F.concat(acc, F.array(f(F.element_at(acc, -1), x))))
+        rest, seed = a, col(start)
+
+    def part(last, xs):  # the steps of xs from ``last`` on
+        got = F.aggregate(xs, F.array(last), lambda acc, x: F.concat(acc, F.array(f(F.element_at(acc, -1), x))))
+        return F.slice(got, F.lit(2), F.size(xs))
+
+    def whole(xs):
+        end = lambda acc: F.element_at(F.element_at(acc, -1), -1)
+        return F.flatten(F.aggregate(pieces(xs), F.array(F.array(seed)), lambda acc, p: F.concat(acc, F.array(part(end(acc), p)))))
+
+    out = let(rest, whole)
+    return F.when(F.size(a) > 0, out).otherwise(F.slice(a, 1, 0)) if start is None else out
 
 
 def fold_many(f, start, *lists) -> Column:
@@ -249,6 +301,110 @@ def while_(cond, f, x, most: int = 64) -> Column:
     )
 
 
+def do_scan(n: int, f, x) -> Column:
+    """x and every one of n applications of f."""
+    return F.aggregate(index(F.lit(n)), F.array(col(x)), lambda acc, _: F.concat(acc, F.array(f(F.element_at(acc, -1)))))
+
+
+def while_scan(cond, f, x, most: int = 64) -> Column:
+    """x and every application of f while ``cond`` holds of the last; an error if it
+    still holds after ``most``."""
+    unfinished = F.raise_error(F.lit(f"while_scan: the condition still holds after {most} rounds"))
+    more = lambda acc: F.concat(acc, F.array(f(F.element_at(acc, -1))))
+    return F.aggregate(
+        index(F.lit(most)), F.array(col(x)), lambda acc, _: F.when(cond(F.element_at(acc, -1)), more(acc)).otherwise(acc),
+        lambda acc: F.when(cond(F.element_at(acc, -1)), unfinished).otherwise(acc),
+    )
+
+
+def converge(f, x, most: int = 64) -> Column:
+    """f until it changes nothing or is back at the start; an error after ``most``."""
+    return F.element_at(converge_scan(f, x, most), -1)
+
+
+def converge_scan(f, x, most: int = 64) -> Column:
+    """x and every new value on the way to the fixed point."""
+    x = col(x)
+    over_ = lambda acc: f(F.element_at(acc, -1)).eqNullSafe(F.element_at(acc, -1)) | f(F.element_at(acc, -1)).eqNullSafe(F.get(acc, 0))
+    unfinished = F.raise_error(F.lit(f"converge: not reached after {most} rounds"))
+    return F.aggregate(
+        index(F.lit(most)), F.array(x), lambda acc, _: F.when(over_(acc), acc).otherwise(F.concat(acc, F.array(f(F.element_at(acc, -1))))),
+        lambda acc: F.when(over_(acc), acc).otherwise(unfinished),
+    )
+
+
+def each_n(f, *lists) -> Column:
+    """f of the items of several lists in step; unequal lengths are a length error."""
+    cols = [col(x) for x in lists]
+    names = [f"c{i}" for i in range(len(cols))]
+    even = F.lit(True)
+    for c in cols[1:]:
+        even = even & (F.size(c) == F.size(cols[0]))
+    zipped = F.arrays_zip(*[c.alias(n) for c, n in zip(cols, names)])
+    return F.when(even, F.transform(zipped, lambda x: f(*[x[n] for n in names]))).otherwise(F.raise_error(F.lit("length")))
+
+
+def match(a, b) -> Column:
+    """1 where two lists agree in length, items and nulls."""
+    return col(a).eqNullSafe(col(b)).cast("int")
+
+
+def set_equal(a, b) -> Column:
+    """1 where two lists hold the same items, however often."""
+    return ((F.size(F.array_except(col(a), col(b))) == 0) & (F.size(F.array_except(col(b), col(a))) == 0)).cast("int")
+
+
+def permuted(a, b) -> Column:
+    """1 where one list is the other in another order."""
+    return F.array_sort(col(a)).eqNullSafe(F.array_sort(col(b))).cast("int")
+
+
+def inverse(p) -> Column:
+    """Inverse of a permutation of 0 .. n-1: where each number stands."""
+    return grade(p)
+
+
+def is_sorted(a) -> Column:
+    """1 where no item is below the one before."""
+    a = col(a)
+    return F.forall(index(F.size(a) - 1), lambda i: F.get(a, i) <= F.get(a, i + 1)).cast("int")
+
+
+def path(m, *at) -> Column:
+    """Item at a path of positions and names; null where it leads nowhere."""
+    out = col(m)
+    for i in at:
+        out = out.getField(i) if isinstance(i, str) else F.get(out, i)
+    return out
+
+
+def spread(a, marks, width: int, fill) -> Column:
+    """Items at the marked places of a list of ``width``, ``fill`` elsewhere."""
+    a, marks = col(a), col(marks)
+    place = lambda i: F.array_position(marks, i)
+    return F.transform(index(F.lit(width)), lambda i: F.when(place(i) > 0, F.get(a, (place(i) - 1).cast("int"))).otherwise(fill))
+
+
+def reverse_infixes(a, lengths: list[int]) -> Column:
+    """Parts of given lengths, each reversed in its place."""
+    a, at, out = col(a), 0, []
+    for n in lengths:
+        out.append(F.reverse(F.slice(a, at + 1, n)))
+        at += n
+    return F.concat(*out)
+
+
+def partition_sums(a, marks) -> Column:
+    """Sum of each part of a list; a part starts at every mark."""
+    a, marks = col(a), col(marks)
+    starts = F.filter(F.transform(marks, lambda m, i: F.when(m != 0, i)), lambda i: i.isNotNull())
+
+    def sums(s):
+        return F.transform(s, lambda p, i: F.aggregate(F.slice(a, p + 1, F.coalesce(F.get(s, i + 1), F.size(a)) - p), F.lit(0.0), lambda x, y: x + y))
+
+    return let(starts, sums)
+
+
 def slide(f, a, step: int = 1) -> Column:
     """f of neighbours, every ``step`` places; a negative step swaps them."""
     a, s = col(a), abs(step)

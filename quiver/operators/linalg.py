@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from quiver.functions.expr import col
 
-EPS = 1e-12
+#: A pivot or singular value that counts as zero, and noise of a result.
+EPS, NOISE = 1e-12, 2.220446049250313e-16 * 1e6
 
 
 def mul(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -55,9 +56,11 @@ def ldu(a: np.ndarray):
 
 
 def svd(a: np.ndarray):
-    """(U, S, V') with each column of U led by its largest entry, positive."""
+    """(U, S, V') by falling singular values, the first entry of each column of U
+    that is not zero being positive."""
     u, s, vt = np.linalg.svd(a, full_matrices=False)
-    sign = np.sign(u[np.abs(u).argmax(axis=0), np.arange(u.shape[1])])
+    some = np.abs(u) > EPS
+    sign = np.sign(u[some.argmax(axis=0), np.arange(u.shape[1])])
     sign[sign == 0] = 1
     return u * sign, np.diag(s), vt * sign[:, None]
 
@@ -85,11 +88,23 @@ def det(a: np.ndarray) -> float:
 
 
 def lsq(a: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Least squares; a singular value of at most EPS makes every result NaN."""
+    """Least squares; a singular value of at most EPS makes every result NaN, and
+    noise is zero."""
     u, s, vt = np.linalg.svd(a, full_matrices=False)
     if (s <= EPS).any():
         return np.full(a.shape[1], np.nan)
-    return vt.T @ ((u.T @ y) / s)
+    x = vt.T @ ((u.T @ y) / s)
+    return np.where(np.abs(x) < NOISE, 0.0, x)
+
+
+def fit(df: DataFrame, keys: list[str], terms: list[Column], y: Column, out: str = "solution") -> DataFrame:
+    """Least squares per group from sums of products of the terms: what is shuffled
+    is one row a group, whatever the group's size."""
+    k = len(terms)
+    sums = {f"__a{i}_{j}": F.sum(terms[i] * terms[j]) for i in range(k) for j in range(i, k)} | {f"__b{i}": F.sum(terms[i] * y) for i in range(k)}
+    got = df.groupBy(*keys).agg(*[c.cast("double").alias(n) for n, c in sums.items()])
+    square = F.array(*[F.array(*[F.col(f"__a{min(i, j)}_{max(i, j)}") for j in range(k)]) for i in range(k)])
+    return got.select(*keys, solve(square, F.array(*[F.col(f"__b{i}") for i in range(k)])).alias(out))
 
 
 _FORMS = {
@@ -124,3 +139,19 @@ def matmul(a, b) -> Column:
         return pd.Series([(np.array([list(r) for r in p], float) @ np.array([list(r) for r in q], float)).tolist() for p, q in zip(x, y)])
 
     return run(col(a), col(b))
+
+
+def rebuilt(kind: str, a, digits: int = 15) -> Column:
+    """Product of the factors of a matrix, rounded; no zero is negative."""
+
+    @F.pandas_udf("array<array<double>>")
+    def run(s: pd.Series) -> pd.Series:
+        def product(m):
+            out, *parts = _FORMS[kind](np.array([list(r) for r in m], float))
+            for p in parts:
+                out = out @ p
+            return (np.round(out, digits) + 0.0).tolist()
+
+        return s.map(product, na_action="ignore")
+
+    return run(col(a))

@@ -5,46 +5,67 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from quiver.functions.expr import col
-from quiver.plans.scratch import materialize
+from quiver.plans.scratch import discard, materialize
 
 # ---- positions ---------------------------------------------------------------
 
 
-def with_pos(df: DataFrame, order_by: list[str], pos: str = "pos", parts: int | None = None) -> DataFrame:
-    """Positions 0, 1, ... by ``order_by``, without a window over the whole table:
-    ranges are sorted on their own and shifted by the rows before them."""
+def ranged(df: DataFrame, order_by: list, parts: int | None = None) -> DataFrame:
+    """``df`` sorted over ranges, written once: ``__range`` numbers a row's range and
+    ``__n`` its place there.  Ties keep the order they are read in, which also
+    cuts a frequent key; nulls come where the keys put them, first by default."""
     n = parts or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = df.repartitionByRange(n, *order_by).sortWithinPartitions(*order_by)
-    numbered = ranged.rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    return df.sparkSession.createDataFrame(numbered, StructType([*df.schema.fields, StructField(pos, LongType())]))
+    keys = [*order_by, "__read"]
+    sorted_ = df.withColumn("__read", F.monotonically_increasing_id()).repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop("__read")
+    # the number of a row holds its partition above 33 bits and its place there below
+    rows = materialize(sorted_.withColumn("__at", F.monotonically_increasing_id()))
+    return rows.withColumns({"__range": F.shiftright("__at", 33).cast("int"), "__n": F.col("__at").bitwiseAND((1 << 33) - 1)}).drop("__at")
 
 
-def global_scan(df: DataFrame, value: str, order_by: list[str], out: str = "running", parts: int | None = None) -> DataFrame:
+def before_range(rows: DataFrame, total: Column, kind: str) -> DataFrame:
+    """(__range, __before): ``total`` over the rows of all earlier ranges.  One row a
+    range reaches the driver."""
+    sums = sorted(tuple(r) for r in rows.groupBy("__range").agg(total).collect())
+    out, so_far = [], 0 if kind == "long" else 0.0
+    for r, x in sums:
+        out.append((r, so_far))
+        so_far += x or 0
+    return F.broadcast(rows.sparkSession.createDataFrame(out, f"__range int, __before {kind}"))
+
+
+def with_pos(df: DataFrame, order_by: list, pos: str = "pos", parts: int | None = None) -> DataFrame:
+    """Positions 0, 1, ... by ``order_by`` (names or sort keys), ties as they are
+    read: ranges are sorted on their own and shifted by the rows before them."""
+    rows = ranged(df, order_by, parts)
+    return rows.join(before_range(rows, F.count("*"), "long"), "__range").withColumn(pos, F.col("__n") + F.col("__before")).drop("__range", "__n", "__before")
+
+
+def global_scan(df: DataFrame, value: str, order_by: list, out: str = "running", parts: int | None = None) -> DataFrame:
     """Running sum over the whole table in order: each range sums its own rows,
-    and the sums of earlier ranges, a row a range, are added."""
-    n = parts or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    bounds = df.select(order_by[0]).approxQuantile(order_by[0], [i / n for i in range(1, n)], 0.01) if n > 1 else []
-    part = reduce(lambda c, b: c + (F.col(order_by[0]) > F.lit(b)).cast("int"), sorted(set(bounds)), F.lit(0))
-    tagged = df.withColumn("__p", part)
-    inside = Window.partitionBy("__p").orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
-    sums = tagged.groupBy("__p").agg(F.sum(value).alias("__s"))
-    earlier = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
-    offsets = sums.select("__p", F.coalesce(F.sum("__s").over(earlier), F.lit(0)).alias("__o"))
-    scanned = tagged.withColumn("__r", F.sum(value).over(inside)).join(F.broadcast(offsets), "__p")
-    return scanned.withColumn(out, F.col("__r") + F.col("__o")).drop("__p", "__r", "__o")
+    and the sums of earlier ranges, a row a range, are added.  Null values add
+    nothing; before the first value the sum is null."""
+    rows = ranged(df, order_by, parts)
+    kind = "long" if dict(df.dtypes)[value] in ("tinyint", "smallint", "int", "bigint") else "double"
+    offsets = before_range(rows, F.sum(value), kind)
+    inside = Window.partitionBy("__range").orderBy("__n").rowsBetween(Window.unboundedPreceding, 0)
+    scanned = rows.withColumn("__s", F.sum(value).over(inside)).join(offsets, "__range")
+    total = F.when(F.col("__s").isNotNull() | (F.col("__before") != 0), F.coalesce("__s", F.lit(0)) + F.col("__before"))
+    return scanned.withColumn(out, total).drop("__range", "__n", "__s", "__before")
 
 
 def take(df: DataFrame, n: int, pos: str = "pos") -> DataFrame:
-    """First n positions, last for negative n (no wrap)."""
-    if n >= 0:
-        return df.where(F.col(pos) < n)
-    top = df.agg(F.max(pos).alias("__m"))
-    return df.crossJoin(F.broadcast(top)).where(F.col(pos) > F.col("__m") + n).drop("__m")  # one row
+    """First n positions, last for negative n, starting over past the end; an empty
+    table gives none."""
+    size = df.agg(F.count("*").alias("__size"))
+    w = abs(n)
+    first = F.col(pos) if n >= 0 else F.pmod(F.col(pos) + w, F.col("__size"))
+    turns = F.sequence(F.lit(0), F.floor((F.lit(w - 1) - F.col("__first")) / F.col("__size")))
+    rows = df.crossJoin(F.broadcast(size)).withColumn("__first", first).where(F.col("__first") < w)  # one row
+    return rows.withColumn("__turn", F.explode(turns)).withColumn(pos, F.col("__first") + F.col("__turn") * F.col("__size")).drop("__size", "__first", "__turn")
 
 
 def drop(df: DataFrame, n: int, pos: str = "pos") -> DataFrame:
@@ -166,7 +187,24 @@ def runs(df: DataFrame, value: str, by: list[str], order: list) -> DataFrame:
 
 def grade(df: DataFrame, keys: list, pos: str, out: str = "rank") -> DataFrame:
     """Row ranks by the keys, ties by position."""
-    return df.withColumn(out, F.row_number().over(Window.orderBy(*keys, pos)) - 1)
+    return with_pos(df, [*keys, pos], out)
+
+
+def inverse(df: DataFrame, rank: str = "rank", pos: str = "pos") -> DataFrame:
+    """The inverse of a permutation held as (pos, rank) rows."""
+    return df.select(F.col(rank).alias(pos), F.col(pos).alias(rank))
+
+
+def is_sorted(df: DataFrame, key: str, order_by: list) -> DataFrame:
+    """One row, ``sorted``: whether ``key`` never falls in the order of ``order_by``;
+    range by range, and across the ends of ranges."""
+    rows = ranged(df.select(key, *[o for o in order_by if o != key]), order_by)
+    lag = F.lag(key).over(Window.partitionBy("__range").orderBy("__n"))
+    falls = rows.withColumn("__falls", F.coalesce(lag > F.col(key), F.lit(False)))
+    ends = falls.groupBy("__range").agg(F.bool_or("__falls"), F.min_by(key, "__n"), F.max_by(key, "__n")).collect()  # one row a range
+    ends = sorted(tuple(r) for r in ends)
+    fine = not any(f for _, f, *_ in ends) and all(a is None or b is None or a <= b for (*_, a), (_, _, b, _) in zip(ends, ends[1:]))
+    return df.sparkSession.createDataFrame([(fine,)], "sorted boolean")
 
 
 def top(df: DataFrame, n: int, *keys) -> DataFrame:
@@ -202,11 +240,28 @@ def without(a: DataFrame, b: DataFrame, on) -> DataFrame:
     return a.join(b, on, "left_anti")
 
 
+#: Rows that one side of a table of all pairs may have.
+PAIRS = 1_000_000
+
+
 def pairs(a: DataFrame, b: DataFrame, f: Column, out: str = "value") -> DataFrame:
-    """f over every pair; for small, stated operands."""
+    """f over every pair: the outer table of a verb.  ``b`` is the short operand;
+    more than ``PAIRS`` rows of it are a wsfull error."""
+    from quiver.plans.session import signal
+
+    if b.limit(PAIRS + 1).count() > PAIRS:
+        signal("wsfull", f"more than {PAIRS} rows")
     return a.crossJoin(b).withColumn(out, f)
 
 
+def zip_rows(a: DataFrame, b: DataFrame, pos: str = "pos") -> DataFrame:
+    """Rows of equal positions side by side; unequal counts are a length error."""
+    got = a.withColumn("__a", F.lit(1)).join(b.withColumn("__b", F.lit(1)), pos, "full")
+    bad = F.col("__a").isNull() | F.col("__b").isNull()
+    checked = F.when(bad, F.raise_error(F.lit("length")).cast("long")).otherwise(F.col(pos))
+    return got.withColumn(pos, checked).drop("__a", "__b")
+
+
 def classify(df: DataFrame, value: str, cuts: list[float], out: str = "cell") -> DataFrame:
     """How many of a few sorted cuts lie below the value."""
     c = F.array(*[F.lit(float(x)) for x in sorted(cuts)])
@@ -215,28 +270,41 @@ def classify(df: DataFrame, value: str, cuts: list[float], out: str = "cell") ->
 
 def bin_below(values: DataFrame, cuts: DataFrame, value: str, cut: str, by: list[str] | None = None, out: str = "cell") -> DataFrame:
     """How many cuts of the same ``by`` group lie below each value: values and
-    cuts merged in order, cuts counted as they pass.  Ties leave equal cuts out."""
+    cuts merged in order, cuts counted as they pass.  Ties leave equal cuts out.
+    Without ``by`` the order is cut into ranges; with it, a group is one window."""
     by = by or []
     v = values.select(*by, F.col(value).alias("__x"), F.lit(0).alias("__cut"), F.struct(*values.columns).alias("__row"))
     kind = v.schema["__row"].dataType
     c = cuts.select(*by, F.col(cut).alias("__x"), F.lit(1).alias("__cut"), F.lit(None).cast(kind).alias("__row"))
-    w = Window.partitionBy(*by).orderBy("__x", "__cut").rowsBetween(Window.unboundedPreceding, 0)
-    counted = v.unionByName(c).withColumn(out, F.sum("__cut").over(w)).where("__cut = 0")
-    return counted.select("__row.*", out)
+    both = v.unionByName(c)
+    if by:
+        w = Window.partitionBy(*by).orderBy("__x", "__cut").rowsBetween(Window.unboundedPreceding, 0)
+        counted = both.withColumn(out, F.sum("__cut").over(w))
+    else:
+        counted = global_scan(both, "__cut", ["__x", "__cut"], out)
+    return counted.where("__cut = 0").select("__row.*", out)
 
 
 def closure(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """Transitive closure of (a, b): paths double each round until none is new.
-    Each round is a written table, so its plan does not grow."""
-    paths = materialize(edges.select("a", "b").distinct())
-    n = paths.count()
+    """Transitive closure of (a, b): paths double each round until none is new, and
+    each round is one job, a written table counted as it is written; an error if
+    ``rounds`` doublings do not end it."""
+
+    def written(df):
+        seen = Observation()
+        out = materialize(df.observe(seen, F.count(F.lit(1)).alias("n")))
+        return out, seen.get["n"]
+
+    paths, n = written(edges.select("a", "b").distinct())
     for _ in range(rounds):
         step = paths.select("a", F.col("b").alias("m")).join(paths.select(F.col("a").alias("m"), "b"), "m").select("a", "b")
-        paths = materialize(paths.union(step).distinct())
-        if (now := paths.count()) == n:
-            break
+        longer, now = written(paths.union(step).distinct())
+        discard(paths)
+        paths = longer
+        if now == n:
+            return paths
         n = now
-    return paths
+    raise RuntimeError(f"closure: not reached after {rounds} rounds")
 
 
 def fixpoint(f, x: DataFrame, same, rounds: int = 64) -> DataFrame:
@@ -249,3 +317,42 @@ def fixpoint(f, x: DataFrame, same, rounds: int = 64) -> DataFrame:
             return new
         x = new
     raise RuntimeError(f"fixpoint: not reached after {rounds} rounds")
+
+
+def steps(f, x: DataFrame, same, rounds: int = 64) -> list[DataFrame]:
+    """Every step of :func:`fixpoint`, the first value first."""
+    out = [x]
+    for _ in range(rounds):
+        new = f(out[-1])
+        if same(new, out[-1]) or same(new, out[0]):
+            return out
+        out.append(new)
+    raise RuntimeError(f"steps: no end after {rounds} rounds")
+
+
+# ---- tests of whole vectors ---------------------------------------------------------
+
+
+def _counts(df: DataFrame, column: str) -> DataFrame:
+    return df.groupBy(F.col(column).alias("__v")).agg(F.count("*").alias("__n"))
+
+
+def match(a: DataFrame, b: DataFrame, value: str, pos: str = "pos") -> DataFrame:
+    """One row, ``match``: whether two positioned vectors agree item by item."""
+    l, r = a.select(pos, F.col(value).alias("__x"), F.lit(1).alias("__a")), b.select(pos, F.col(value).alias("__y"), F.lit(1).alias("__b"))
+    same = F.col("__a").isNotNull() & F.col("__b").isNotNull() & F.col("__x").eqNullSafe(F.col("__y"))
+    return l.join(r, pos, "full").agg(F.coalesce(F.bool_and(same), F.lit(True)).alias("match"))
+
+
+def set_equal(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
+    """One row, ``equal``: whether two vectors hold the same items, however often."""
+    l, r = (x.select(F.col(value).alias("__v")).distinct().withColumn(n, F.lit(1)) for x, n in ((a, "__a"), (b, "__b")))
+    both = l.join(r.withColumnRenamed("__v", "__w"), F.col("__v").eqNullSafe(F.col("__w")), "full")
+    return both.agg(F.coalesce(F.bool_and(F.col("__a").isNotNull() & F.col("__b").isNotNull()), F.lit(True)).alias("equal"))
+
+
+def permuted(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
+    """One row, ``permutation``: whether one vector is the other in another order."""
+    l, r = _counts(a, value), _counts(b, value).select(F.col("__v").alias("__w"), F.col("__n").alias("__m"))
+    both = l.join(r, F.col("__v").eqNullSafe(F.col("__w")), "full")
+    return both.agg(F.coalesce(F.bool_and(F.col("__n").eqNullSafe(F.col("__m"))), F.lit(True)).alias("permutation"))

@@ -77,14 +77,14 @@ line("round_to_multiple", lambda: e.round_down(0.5, qty), "floor(l_quantity / 0.
 line("round_half_even", lambda: e.round_even(10.0, qty), "10.0::DOUBLE * round_even(l_quantity / 10.0, 0)")
 line("conditional", lambda: e.cond(F.col(qty) > 40, F.lit("high"), F.col(qty) > 20, F.lit("mid"), F.lit("low")), "CASE WHEN l_quantity > 40 THEN 'high' WHEN l_quantity > 20 THEN 'mid' ELSE 'low' END")
 order("mod_floored", lambda: e.modulo(F.col("o_orderkey"), F.lit(-7).cast("bigint")), "CASE WHEN o_orderkey % -7 <> 0 AND o_orderkey % -7 > 0 THEN o_orderkey % -7 - 7 ELSE o_orderkey % -7 END")
-order("int_div", lambda: e.int_divide(F.col("o_orderkey"), F.lit(7).cast("bigint")), "(o_orderkey // 7)::BIGINT")
+order("int_div", lambda: e.int_divide(F.col("o_custkey") - 500, F.col("o_orderkey") % 3), "CASE WHEN o_orderkey % 3 <> 0 THEN ((o_custkey - 500) // (o_orderkey % 3))::BIGINT WHEN o_custkey > 500 THEN 9223372036854775807 WHEN o_custkey < 500 THEN -9223372036854775807 END")
 order("bit_and", lambda: F.col("o_orderkey").bitwiseAND(F.col("o_custkey")), "o_orderkey & o_custkey")
 order("bit_or", lambda: F.col("o_orderkey").bitwiseOR(F.col("o_custkey")), "o_orderkey | o_custkey")
 order("bit_xor", lambda: F.col("o_orderkey").bitwiseXOR(F.col("o_custkey")), "xor(o_orderkey, o_custkey)")
 order("bit_not", lambda: F.bitwise_not("o_orderkey"), "~o_orderkey")
 order("shift_left", lambda: e.shift("o_orderkey", 3), "o_orderkey << 3")
 order("shift_right", lambda: e.shift("o_orderkey", -3), "o_orderkey >> 3")
-order("rotate_bits", lambda: e.rotate_bits("o_orderkey", 5), "(o_orderkey << 5)")
+order("rotate_bits", lambda: e.rotate_bits("o_orderkey", 60), "CASE WHEN o_orderkey % 16 >= 8 THEN (o_orderkey % 16 - 16) * 1152921504606846976 ELSE o_orderkey % 16 * 1152921504606846976 END + (o_orderkey // 16)::BIGINT")
 order("power", lambda: F.round(e.power(F.col("o_totalprice"), F.lit(0.5)), 6), "round(pow(o_totalprice, 0.5), 6)")
 part("choose", lambda: F.round(e.choose(F.col("p_size"), F.lit(2)), 4), "round(p_size * (p_size - 1) / 2.0::DOUBLE, 4)")
 part("math_log", lambda: F.round(e.log("p_retailprice"), 9), "round(ln(p_retailprice), 9)")
@@ -105,9 +105,12 @@ part("math_gamma", lambda: F.round(e.gamma(F.col("p_size") / 10 + 0.05), 8), "ro
 part("math_lgamma", lambda: F.round(e.lgamma(F.col("p_size") + 0.5), 8), "round(lgamma(p_size + 0.5::DOUBLE), 8)")
 
 
-@query()
+_ERF = "1.1283791670955126 * list_sum([pow(-1, k) * pow(p_size / 20, 2 * k + 1) / (gamma(k + 1) * (2 * k + 1)) FOR k IN range(0, 60)])"
+
+
+@query(f"SELECT p_partkey, round({_ERF}, 8) erf, round(1 - {_ERF}, 8) erfc FROM part")
 def math_erf(spark, sf_dir):
-    return read(spark, sf_dir, "part").select("p_partkey", F.round(e.erf(F.col("p_size") / 20), 9).alias("erf"), F.round(e.erfc(F.col("p_size") / 20), 9).alias("erfc"))
+    return read(spark, sf_dir, "part").select("p_partkey", F.round(e.erf(F.col("p_size") / 20), 8).alias("erf"), F.round(e.erfc(F.col("p_size") / 20), 8).alias("erfc"))
 
 
 # ---- filters, folds, groups --------------------------------------------------------
@@ -423,39 +426,45 @@ cell("rotate", lambda v: c.rotate(3, v), "list_concat(v[4:], v[1:3])")
 cell("enlist", lambda v: c.enlist(F.get(F.col(v), 0)), "[v[1]]")
 cell("first", lambda v: c.first(v), "v[1]")
 cell("count_items", lambda v: c.count(v), "len(v)::INT")
-cell("join", lambda v: F.size(c.join(v, v)), "len(list_concat(v, v))::INT")
+cell("join", lambda v: c.join(v, c.reverse(v)), "list_concat(v, list_reverse(v))")
 cell("cut", lambda v: c.cut([0, 10, 60], v), "[v[1:10], v[11:60], v[61:64]]")
 cell("raze", lambda v: c.raze(c.cut([0, 10, 60], v)), "v")
 cell("reshape_rows", lambda v: c.reshape(v, None, 24), "[v[1:24], v[25:48], v[49:64]]")
 cell("reshape_parts", lambda v: c.reshape(v, 3, None), "[v[1:21], v[22:42], v[43:64]]")
-cell("flip", lambda v: c.flip(c.reshape(F.slice(F.col(v), 1, 4), 2, 2)), "[[v[1], v[3]], [v[2], v[4]]]")
+cell("flip", lambda v: c.flip(c.reshape(v, 8, 8)), "[[v[(i - 1) * 8 + j] FOR i IN range(1, 9)] FOR j IN range(1, 9)]")
 cell("shape", lambda v: c.shape(c.reshape(v, 8, 8)), "[8, 8]")
-cell("amend_at", lambda v: c.take(4, c.amend(v, [1, 2], lambda x: x * 0)), "[v[1], v[2] * 0, v[3] * 0, v[4]]")
-cell("amend_path", lambda v: c.amend_path(c.reshape(F.slice(F.col(v), 1, 4), 2, 2), 1, 0, lambda x: -x), "[[v[1], v[2]], [-v[3], v[4]]]")
-cell("delete_items", lambda v: c.take(3, c.delete_at(v, [0, 2])), "[v[2], v[4], v[5]]")
-cell("at_null", lambda v: c.at(v, 99), "v[100]")
+cell("amend_at", lambda v: c.amend(v, [1, 2], lambda x: x * 0), "[CASE WHEN i IN (2, 3) THEN v[i] * 0 ELSE v[i] END FOR i IN range(1, 65)]")
+cell("amend_path", lambda v: c.amend_path(c.reshape(v, 8, 8), 1, 0, lambda x: -x), "[[CASE WHEN i = 2 AND j = 1 THEN -v[9] ELSE v[(i - 1) * 8 + j] END FOR j IN range(1, 9)] FOR i IN range(1, 9)]")
+cell("delete_items", lambda v: c.delete_at(v, [0, 2]), "list_concat([v[2]], v[4:])")
+cell("at_null", lambda v: c.gather(v, F.array(F.lit(0), F.lit(99), F.lit(5))), "[v[1], v[100], v[6]]")
 cell("gather_items", lambda v: c.gather(v, F.array(F.lit(5), F.lit(0))), "[v[6], v[1]]")
 cell("where_positive", lambda v: c.where(F.transform(F.col(v), lambda x: (x > 0.2).cast("int"))), "list_filter(list_transform(range(0, 64), lambda i: CASE WHEN v[i + 1] > 0.2 THEN i::INT END), lambda x: x IS NOT NULL)")
 cell("find_item", lambda v: c.find(v, F.get(F.col(v), 7)), "(list_position(v, v[8]) - 1)::BIGINT")
-cell("member_items", lambda v: c.members(F.slice(F.col(v), 1, 2), F.slice(F.col(v), 2, 5)), "[(v[1] IN (v[2], v[3], v[4], v[5], v[6]))::INT, 1]")
-cell("without_items", lambda v: F.size(c.without(v, F.slice(F.col(v), 1, 4))), "len(list_filter(v, lambda x: x NOT IN (v[1], v[2], v[3], v[4])))::INT")
+cell("member_items", lambda v: c.members(v, c.drop(40, v)), "[list_contains(v[41:], x)::INT FOR x IN v]")
+cell("without_items", lambda v: c.without(v, F.filter(v, lambda x: x > 0.1)), "list_filter(v, lambda x: NOT list_contains(list_filter(v, lambda y: y > 0.1::DOUBLE), x))")
 cell("grade_cell", lambda v: c.grade(v), "list_transform(list_grade_up(v), lambda x: (x - 1)::INT)")
 cell("bin_cell", lambda v: c.below(F.array(*[F.lit(x) for x in (-0.2, 0.0, 0.2)]), F.get(F.col(v), 0)), "((v[1] > -0.2::DOUBLE)::INT + (v[1] > 0)::INT + (v[1] > 0.2::DOUBLE)::INT)")
-cell("each", lambda v: F.slice(c.each(lambda x: x * x, v), 1, 3), "[v[1] * v[1], v[2] * v[2], v[3] * v[3]]")
-cell("each_pair", lambda v: F.slice(c.each2(lambda x, y: x - y, v, c.reverse(v)), 1, 2), "[v[1] - v[64], v[2] - v[63]]")
-cell("each_right", lambda v: c.each_right(lambda x, y: F.get(x, 0) + y, v, F.slice(F.col(v), 1, 2)), "[v[1] + v[1], v[1] + v[2]]")
-cell("outer_table", lambda v: c.table_of(lambda x, y: x * y, F.slice(F.col(v), 1, 2), F.slice(F.col(v), 3, 2)), "[[v[1] * v[3], v[1] * v[4]], [v[2] * v[3], v[2] * v[4]]]")
+cell("each", lambda v: c.each(lambda x: x * x, v), "[x * x FOR x IN v]")
+cell("each_pair", lambda v: c.each2(lambda x, y: x - y, v, c.reverse(v)), "[v[i] - v[65 - i] FOR i IN range(1, 65)]")
+cell("each_right", lambda v: c.each_right(lambda x, y: F.get(x, 0) + y, v, v), "[v[1] + y FOR y IN v]")
+cell("each_left", lambda v: c.each_left(lambda x, y: x - F.get(y, 63), v, v), "[x - v[64] FOR x IN v]")
+cell("each_n", lambda v: c.each_n(lambda x, y, z: x + y * z, v, c.reverse(v), c.rotate(1, v)), "[v[i] + v[65 - i] * v[i % 64 + 1] FOR i IN range(1, 65)]")
+cell("outer_table", lambda v: c.table_of(lambda x, y: x * y, F.transform(c.reshape(v, 8, 8), F.array_max), F.transform(c.reshape(v, 8, 8), F.array_min)), "[[list_max(v[(i - 1) * 8 + 1:i * 8]) * list_min(v[(j - 1) * 8 + 1:j * 8]) FOR j IN range(1, 9)] FOR i IN range(1, 9)]")
 cell("fold_lambda", lambda v: F.round(c.over(lambda a, b: a * 0.5 + b, v), 9), "round(list_reduce(v, lambda a, b: a * 0.5 + b), 9)")
 cell("seeded_fold", lambda v: F.round(c.over(lambda a, b: a + b, v, F.lit(10.0)), 9), "round(list_reduce(list_prepend(10.0::DOUBLE, v), lambda a, b: a + b), 9)")
 cell("fold_many", lambda v: F.round(c.fold_many(lambda a, x, y: a + x * y, F.lit(0.0), v, c.reverse(v)), 9), "round(list_sum(list_transform(range(1, 65), lambda i: v[i] * v[65 - i])), 9)")
-cell("scan_lambda", lambda v: F.slice(c.scan(lambda a, b: a + b, F.slice(F.col(v), 1, 4)), 2, 2), "[v[1] + v[2], v[1] + v[2] + v[3]]")
+cell("scan_lambda", lambda v: F.transform(c.scan(lambda a, b: a + b, v), lambda x: F.round(x, 9)), "[round(list_sum(v[1:i]), 9) FOR i IN range(1, 65)]")
+cell("scan_seeded", lambda v: F.transform(c.scan(lambda a, b: a + b, v, F.lit(10.0)), lambda x: F.round(x, 9)), "list_prepend(10.0::DOUBLE, [round(10 + list_sum(v[1:i]), 9) FOR i IN range(1, 65)])")
+cell("scan_does", lambda v: c.do_scan(5, lambda x: x * 2 + 1, F.floor(F.get(v, 0) * 100).cast("long")), "[floor(v[1] * 100)::BIGINT * (1 << k) + (1 << k) - 1 FOR k IN range(0, 6)]")
+cell("scan_while", lambda v: c.while_scan(lambda x: x < 100, lambda x: x * 2 + 1, F.floor(F.abs(F.get(v, 0)) * 50).cast("long")), "[(floor(abs(v[1]) * 50)::BIGINT + 1) * (1 << k) - 1 FOR k IN range(0, 9) IF k = 0 OR (floor(abs(v[1]) * 50)::BIGINT + 1) * (1 << greatest(k - 1, 0)) - 1 < 100]")
+cell("scan_converge", lambda v: c.converge_scan(lambda x: F.floor(x / 2).cast("long"), F.floor(F.abs(F.get(v, 0)) * 1000).cast("long")), "[floor(abs(v[1]) * 1000)::BIGINT >> k FOR k IN range(0, 12) IF k = 0 OR floor(abs(v[1]) * 1000)::BIGINT >> greatest(k - 1, 0) > 0]")
+cell("converge", lambda v: c.converge(lambda x: F.floor((x + 100) / 2).cast("long"), F.floor(F.abs(F.get(v, 0)) * 50).cast("long")), "99::BIGINT")
 cell("do_over", lambda v: F.round(c.do(5, lambda x: x * 2 + 1, F.get(F.col(v), 0)), 9), "round(v[1] * 32 + 31, 9)")
-cell("while_over", lambda v: c.while_(lambda x: x < 100, lambda x: x * 2 + 1, F.lit(3).cast("long")), "127::BIGINT")
-cell("while_over_column", lambda v: c.while_(lambda x: x < 100, lambda x: x * 2 + 1, F.floor(F.abs(F.get(F.col(v), 0)) * 50).cast("long")), "list_min([(floor(abs(v[1]) * 50)::BIGINT + 1) * (1 << k) - 1 FOR k IN range(0, 8) IF (floor(abs(v[1]) * 50)::BIGINT + 1) * (1 << k) > 100])::BIGINT")
-cell("slide_cell", lambda v: c.slide(lambda x, y: y - x, F.slice(F.col(v), 1, 4)), "[v[2] - v[1], v[3] - v[2], v[4] - v[3]]")
+cell("while_over", lambda v: c.while_(lambda x: x < 100, lambda x: x * 2 + 1, F.floor(F.abs(F.get(F.col(v), 0)) * 50).cast("long")), "list_min([(floor(abs(v[1]) * 50)::BIGINT + 1) * (1 << k) - 1 FOR k IN range(0, 8) IF (floor(abs(v[1]) * 50)::BIGINT + 1) * (1 << k) > 100])::BIGINT")
+cell("slide_cell", lambda v: c.slide(lambda x, y: y - x, v), "[v[i + 1] - v[i] FOR i IN range(1, 64)]")
 cell("dot_cell", lambda v: F.round(c.dot(v, c.reverse(v)), 8), "round(list_dot_product(v, list_reverse(v)), 8)")
 cell("mag_cell", lambda v: F.round(c.mag(v), 8), "round(sqrt(list_dot_product(v, v)), 8)")
-cell("poly_value", lambda v: F.round(c.poly(F.slice(F.col(v), 1, 3), F.lit(2.0)), 9), "round(v[1] * 4 + v[2] * 2 + v[3], 9)")
+cell("poly_value", lambda v: F.round(c.poly(v, F.lit(0.5)), 9), "round(list_reduce(v, lambda a, b: a * 0.5::DOUBLE + b), 9)")
 
 
 @query("SELECT user_id, [x FOR x IN list_transform(['click','error','purchase','signup','view'], lambda y: len(list_filter(l, lambda z: z = y))) ] counts FROM (SELECT user_id, list(event_type) l FROM events GROUP BY 1)")
@@ -497,8 +506,8 @@ def doc(name, build, sql):
 
 doc("str_find_first", lambda: text.find_first("text", "the").cast("long"), "(strpos(text, 'the') - 1)::BIGINT")
 doc("str_glob", lambda: text.matches("source", "src[1-3]*"), "regexp_full_match(source, 'src[1-3].*')::INT")
-doc("str_find_all", lambda: F.size(text.find_all(F.substring("text", 1, 200), "th?")).cast("long"), "len(regexp_extract_all(substring(text, 1, 200), '(?s)th.'))")
-doc("str_find_all_whole", lambda: F.size(text.find_all("text", "th?")).cast("long"), "len(regexp_extract_all(text, '(?s)th.'))")
+doc("str_find_all", lambda: F.size(text.find_all("text", "th?")).cast("long"), "len(regexp_extract_all(text, '(?s)th.'))")
+doc("str_find_words", lambda: F.size(text.find_all("text", "en", word=True)).cast("long"), "len(regexp_extract_all(text, '\\ben\\b'))")
 doc("str_replace", lambda: F.md5(text.replace("text", "the", "THE")), "md5(replace(text, 'the', 'THE'))")
 doc("pad_left", lambda: text.pad(10, "source"), "lpad(source, 10, ' ')")
 doc("pad_right", lambda: text.pad(-10, "source"), "rpad(source, 10, ' ')")
@@ -515,11 +524,11 @@ doc("compress_round", lambda: F.md5(codec.decompress(codec.compress("text"))), "
 doc("serialize_round", lambda: codec.deserialize(codec.serialize("source"), "string"), "source")
 doc("trim_blanks", lambda: F.length(F.regexp_replace("text", "  +", " ")).cast("long"), "length(regexp_replace(text, '  +', ' ', 'g'))")
 part("format_number", lambda: text.number(12, 2, "p_retailprice"), "lpad(printf('%.2f', p_retailprice), 12, ' ')")
-part("format_overflow", lambda: text.number(3, 2, "p_retailprice"), "'***'")
+part("format_overflow", lambda: text.number(6, 2, "p_retailprice"), "CASE WHEN p_retailprice >= 999.995 THEN '******' ELSE lpad(printf('%.2f', p_retailprice), 6, ' ') END")
 part("cast_int", lambda: text.parse(F.regexp_extract("p_brand", "([0-9]+)", 1), "int"), "TRY_CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS INT)")
 part("cast_bad", lambda: text.parse("p_name", "double"), "TRY_CAST(p_name AS DOUBLE)")
-part("base_encode", lambda: text.encode_base(2, "p_size", 8), "list_transform(range(7, -1, -1), lambda i: ((p_size >> i) & 1)::BIGINT)")
-part("base_decode", lambda: text.decode_base(2, text.encode_base(2, "p_size", 8)), "p_size::BIGINT")
+part("base_encode", lambda: text.encode_base(2, "p_partkey", 8), "list_transform(range(greatest(8, len(bin(p_partkey))) - 1, -1, -1), lambda i: ((p_partkey >> i) & 1)::BIGINT)")
+part("base_decode", lambda: text.decode_base(2, text.encode_base(2, "p_partkey")), "p_partkey")
 part("radix_encode", lambda: text.encode_mixed([24, 60, 60], F.col("p_partkey")), "[(p_partkey // 3600)::BIGINT, (p_partkey // 60 % 60)::BIGINT, (p_partkey % 60)::BIGINT]")
 part("radix_decode", lambda: text.decode_base([24, 60, 60], text.encode_mixed([24, 60, 60], F.col("p_partkey"))), "p_partkey")
 order("jd_day", lambda: dates.day_number(dates.yyyymmdd("o_orderdate")), "date_diff('day', DATE '2035-01-01', o_orderdate::DATE)::INT")
@@ -530,10 +539,18 @@ simple("gtime", "events", {"event_id": lambda: F.col("event_id"), "day": lambda:
 simple("local_round", "events", {"event_id": lambda: F.col("event_id"), "s": lambda: dates.to_gmt(dates.to_local(dates.seconds("ts"), "Asia/Tokyo"), "Asia/Tokyo")}, "event_id, (floor(epoch(ts))::BIGINT - 2051222400) s")
 part("prime_flag", lambda: nt.prime("p_partkey"), "(p_partkey > 1 AND len(list_filter(range(2, 64), lambda d: d < p_partkey AND p_partkey % d = 0)) = 0)::INT")
 part("gcd", lambda: nt.gcd("p_partkey", "p_size"), "gcd(p_partkey, p_size)::BIGINT")
-part("lcm", lambda: nt.lcm(F.col("p_partkey") + 1, "p_size"), "lcm(p_partkey + 1, p_size)::BIGINT")
-
-
-@query()
+part("lcm", lambda: nt.lcm(F.col("p_partkey") + 1, F.when(F.col("p_size") != 7, F.col("p_size"))), "CASE WHEN p_size <> 7 THEN lcm(p_partkey + 1, p_size)::BIGINT END")
+part("floor_float", lambda: e.floor_float("p_retailprice"), "floor(p_retailprice)::DOUBLE")
+part("significant", lambda: text.significant(F.col("p_size") / 4, 7), "regexp_replace(printf('%.2f', p_size / 4), '\\.?0+$', '')")
+part("roman", lambda: text.to_roman("p_size"), "repeat('L', p_size // 50) || (['', 'X', 'XX', 'XXX', 'XL'])[p_size % 50 // 10 + 1] || (['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'])[p_size % 10 + 1]")
+part("arabic", lambda: text.from_roman(text.to_roman("p_size")), "p_size")
+
+
+@query(
+    "WITH RECURSIVE f(k, n, d, l) AS (SELECT p_partkey, p_partkey + 2, 2::BIGINT, []::BIGINT[] FROM part UNION ALL "
+    "SELECT k, CASE WHEN n % d = 0 THEN n // d ELSE n END::BIGINT, CASE WHEN n % d = 0 THEN d WHEN d = 2 THEN 3 ELSE d + 2 END::BIGINT, CASE WHEN n % d = 0 THEN list_append(l, d) ELSE l END FROM f WHERE d * d <= n) "
+    "SELECT k AS p_partkey, CASE WHEN n > 1 THEN list_append(l, n) ELSE l END AS factors FROM f WHERE d * d > n"
+)
 def factor_list(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", nt.factor(F.col("p_partkey") + 2).alias("factors"))
 
@@ -550,24 +567,29 @@ def aes_counter(spark, sf_dir):
     return d.select("doc_id", "sealed", F.unhex(codec.aes_ctr(F.unhex("sealed"), key, iv)).cast("string").alias("opened"))
 
 
-@query("SELECT count(*) n, count(*) FILTER (WHERE c_custkey >= 0) ok FROM (SELECT c_custkey FROM customer LIMIT 20)")
+_U = "(('0x' || substr(md5('{}:' || {}), 1, 13))::BIGINT / 4503599627370496)"
+
+
+@query("SELECT c_custkey FROM customer ORDER BY md5('7:' || c_custkey), c_custkey LIMIT 20")
 def deal(spark, sf_dir):
-    d = draws.deal(read(spark, sf_dir, "customer").select("c_custkey"), 20, 7, "c_custkey")
-    return d.agg(F.countDistinct("c_custkey").alias("n"), F.count(F.when(F.col("c_custkey") >= 0, 1)).alias("ok"))
+    return draws.deal(read(spark, sf_dir, "customer").select("c_custkey"), 20, 7, "c_custkey")
 
 
-@query("SELECT count(*) n, true AS ok FROM orders")
+@query(f"SELECT o_orderkey, floor(6 * {_U.format(3, 'o_orderkey')})::BIGINT r, {_U.format(5, 'o_orderkey')} u FROM orders")
 def roll(spark, sf_dir):
-    d = read(spark, sf_dir, "orders").select(draws.roll(6, 3).alias("r"), draws.uniform(5).alias("u"))
-    return d.agg(F.count("*").alias("n"), (F.bool_and((F.col("r") >= 0) & (F.col("r") < 6) & (F.col("u") >= 0) & (F.col("u") < 1))).alias("ok"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", draws.roll(6, 3, "o_orderkey").alias("r"), draws.uniform(5, "o_orderkey").alias("u"))
+
+
+@query("SELECT s_suppkey, [[floor(10 * " + _U.format(9, "s_suppkey || ',' || i || ',' || j") + ")::BIGINT FOR j IN range(0, 3)] FOR i IN range(0, 2)] r FROM supplier")
+def roll_shaped(spark, sf_dir):
+    return read(spark, sf_dir, "supplier").select("s_suppkey", draws.rolls([2, 3], 10, 9, "s_suppkey").alias("r"))
 
 
 # ---- matrices ---------------------------------------------------------------------------------------
 
 
-def _coo(spark, sf_dir, n=None):
-    v = read(spark, sf_dir, "embeddings")
-    return la.coordinates(v.where(f"vec_id < {n}") if n else v, "vec_id", F.col("embedding").cast("array<double>"))
+def _coo(spark, sf_dir):
+    return la.coordinates(read(spark, sf_dir, "embeddings"), "vec_id", F.col("embedding").cast("array<double>"))
 
 
 @query("WITH e AS (SELECT vec_id i, generate_subscripts(embedding, 1) - 1 j, unnest(embedding)::DOUBLE v FROM embeddings) SELECT a.j::INT i, b.j::INT j, round(sum(a.v * b.v), 6) v FROM e a JOIN e b ON a.i = b.i GROUP BY 1, 2")
@@ -576,109 +598,184 @@ def gram(spark, sf_dir):
     return la.mul(la.flip(x), x).select("i", "j", F.round("v", 6).alias("v"))
 
 
-@query("WITH e AS (SELECT vec_id i, generate_subscripts(embedding, 1) - 1 j, unnest(embedding)::DOUBLE v FROM embeddings WHERE vec_id < 20) SELECT a.i, b.i j, round(sum(a.v * b.v), 8) v FROM e a JOIN e b ON a.j = b.j GROUP BY 1, 2")
-def matmul_coo(spark, sf_dir):
-    x = _coo(spark, sf_dir, 20)
-    return la.mul(x, la.flip(x)).select("i", "j", F.round("v", 8).alias("v"))
-
-
-@query("SELECT generate_subscripts(embedding, 1)::INT - 1 i, vec_id j, unnest(embedding)::DOUBLE v FROM embeddings WHERE vec_id < 50")
-def mat_transpose(spark, sf_dir):
-    return la.flip(_coo(spark, sf_dir, 50))
-
-
 @query("SELECT generate_subscripts(embedding, 1)::INT - 1 i, vec_id j, unnest(embedding)::DOUBLE v FROM embeddings")
-def mat_transpose_whole(spark, sf_dir):
+def mat_transpose(spark, sf_dir):
     return la.flip(_coo(spark, sf_dir))
 
 
-def _matrices(spark, sf_dir, where="vec_id < 100"):
+def _matrices(spark, sf_dir):
     """A well-conditioned 8 x 8 matrix per vector: its reshape plus 3 on the diagonal."""
-    v = read(spark, sf_dir, "embeddings").where(where).withColumn("v", F.col("embedding").cast("array<double>"))
-    m = c.reshape("v", 8, 8)
-    lifted = F.transform(m, lambda r, i: F.transform(r, lambda x, j: x + F.when(i == j, 3.0).otherwise(0.0)))
-    return v.select("vec_id", lifted.alias("m"))
+    v = read(spark, sf_dir, "embeddings").withColumn("v", F.col("embedding").cast("array<double>"))
+    return v.select("vec_id", F.array(*[F.array(*[F.get("v", 8 * i + j) + (3.0 if i == j else 0.0) for j in range(8)]) for i in range(8)]).alias("m"))
 
 
-def _near(a, b):
-    flat = lambda m: F.flatten(m)
-    return F.forall(F.zip_with(flat(a), flat(b), lambda x, y: F.abs(x - y) < 1e-8), lambda ok: ok)
+def _rounded(m, digits=6):
+    return F.transform(F.flatten(m), lambda x: F.round(x, digits) + 0.0)
 
 
-def _rebuilt(name, kind, factors, where="vec_id < 100"):
-    def run(spark, sf_dir):
-        d = _matrices(spark, sf_dir, where).withColumn("f", la.decompose(kind, "m"))
-        product = F.get("f", 0)
-        for i in range(1, factors):
-            d = d.withColumn(f"p{i}", la.matmul(product, F.get("f", i)))
-            product = F.col(f"p{i}")
-        return d.select("vec_id", _near(product, F.col("m")).alias("ok"))
+_LIFTED = "[round(v[i] + CASE WHEN (i - 1) % 9 = 0 THEN 3 ELSE 0 END, 6) + 0.0::DOUBLE FOR i IN range(1, 65)]"
+_VECTORS = "(SELECT vec_id, CAST(embedding AS DOUBLE[]) v FROM embeddings)"
 
-    run.__name__ = name
-    query(f"SELECT vec_id, true AS ok FROM embeddings WHERE {where}")(run)
 
+def _rebuilt(name, kind):
+    """The product of the factors, which must be the matrix, value by value."""
+
+    def run(spark, sf_dir):
+        return _matrices(spark, sf_dir).select("vec_id", F.flatten(la.rebuilt(kind, "m", 6)).alias("r"))
 
-_rebuilt("lu", "lu", 3)
-_rebuilt("ldu", "ldu", 4)
-_rebuilt("qr", "qr", 2)
-_rebuilt("svd", "svd", 3)
-for _kind, _n in (("lu", 3), ("ldu", 4), ("qr", 2), ("svd", 3)):
-    _rebuilt(f"{_kind}_whole", _kind, _n, "true")
+    run.__name__ = name
+    query(f"SELECT vec_id, {_LIFTED} r FROM {_VECTORS}")(run)
 
 
-@query("SELECT vec_id, true AS ok FROM embeddings WHERE vec_id < 100")
-def inv(spark, sf_dir, where="vec_id < 100"):
-    d = _matrices(spark, sf_dir, where).withColumn("i", F.get(la.decompose("inv", "m"), 0)).withColumn("p", la.matmul("m", "i"))
-    unit = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda a: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda b: F.when(a == b, 1.0).otherwise(0.0)))
-    return d.select("vec_id", _near(F.col("p"), unit).alias("ok"))
+_rebuilt("lu", "lu")
+_rebuilt("ldu", "ldu")
+_rebuilt("qr", "qr")
+_rebuilt("svd", "svd")
 
 
-@query("SELECT vec_id, true AS ok FROM embeddings")
-def inv_whole(spark, sf_dir):
-    return inv(spark, sf_dir, "true")
+def _small(v):
+    """A 2 x 2 matrix of the first four components, 3 added on the diagonal."""
+    return F.array(F.array(F.get(v, 0) + 3, F.get(v, 1)), F.array(F.get(v, 2), F.get(v, 3) + 3))
 
 
-@query("SELECT vec_id, round((v[1] + 3) * (v[4] + 3) - v[2] * v[3], 8) d FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) v FROM embeddings)")
-def det(spark, sf_dir):
-    v = read(spark, sf_dir, "embeddings").withColumn("v", F.col("embedding").cast("array<double>"))
-    m = F.array(F.array(F.get("v", 0) + 3, F.get("v", 1)), F.array(F.get("v", 2), F.get("v", 3) + 3))
-    return v.select("vec_id", F.round(F.get(F.get(F.get(la.decompose("det", m), 0), 0), 0), 8).alias("d"))
+def _factor(name, kind, matrix, sql, which=0):
+    """A factor of a small matrix of each vector against its closed form."""
 
+    def run(spark, sf_dir):
+        v = read(spark, sf_dir, "embeddings").withColumn("v", F.col("embedding").cast("array<double>"))
+        d = v.select("vec_id", matrix("v").alias("m")).withColumn("f", F.get(la.decompose(kind, "m"), which))
+        return d.select("vec_id", _rounded(F.col("f")).alias("r"))
 
-@query("SELECT vec_id, true AS ok FROM embeddings WHERE vec_id < 100")
-def rref(spark, sf_dir, where="vec_id < 100"):
-    d = _matrices(spark, sf_dir, where).withColumn("r", F.get(la.decompose("rref", "m"), 0)).withColumn("p", la.matmul("r", "m"))
-    return d.select("vec_id", _near(F.col("p"), F.col("m")).alias("ok"))
+    run.__name__ = name
+    query(f"SELECT vec_id, [round(x, 6) + 0.0::DOUBLE FOR x IN {sql}] r FROM (SELECT vec_id, v, v[1] + 3 a, v[2] b, v[3] c, v[4] + 3 d FROM {_VECTORS})")(run)
 
 
-@query("SELECT vec_id, true AS ok FROM embeddings")
-def rref_whole(spark, sf_dir):
-    return rref(spark, sf_dir, "true")
+_factor("lu_lower", "lu", _small, "[1.0::DOUBLE, 0.0::DOUBLE, c / a, 1.0::DOUBLE]", 1)
+_factor("lu_upper", "lu", _small, "[a, b, 0.0::DOUBLE, d - c / a * b]", 2)
+_factor("ldu_diagonal", "ldu", _small, "[a, 0.0::DOUBLE, 0.0::DOUBLE, d - c / a * b]", 2)
+_factor("svd_values", "svd", _small, "[sqrt((a*a + b*b + c*c + d*d + sqrt(pow(a*a + b*b - c*c - d*d, 2) + 4 * pow(a*c + b*d, 2))) / 2), 0.0::DOUBLE, 0.0::DOUBLE, sqrt((a*a + b*b + c*c + d*d - sqrt(pow(a*a + b*b - c*c - d*d, 2) + 4 * pow(a*c + b*d, 2))) / 2)]", 1)
+_factor("inv", "inv", _small, "[d / (a * d - b * c), -b / (a * d - b * c), -c / (a * d - b * c), a / (a * d - b * c)]")
+_factor("det", "det", _small, "[a * d - b * c]")
+_factor("rref", "rref", lambda v: F.array(F.array(F.get(v, 0) + 3, F.get(v, 1), F.get(v, 4)), F.array(F.get(v, 2), F.get(v, 3) + 3, F.get(v, 5))), "[1.0::DOUBLE, 0.0::DOUBLE, (v[5] * d - b * v[6]) / (a * d - b * c), 0.0::DOUBLE, 1.0::DOUBLE, (a * v[6] - v[5] * c) / (a * d - b * c)]")
 
 
 @query("SELECT p_brand, round(regr_intercept(p_retailprice, p_size), 5) a, round(regr_slope(p_retailprice, p_size), 6) b FROM part GROUP BY 1")
 def lsq(spark, sf_dir):
-    rows = read(spark, sf_dir, "part").groupBy("p_brand").agg(F.collect_list(F.struct(F.array(F.lit(1.0), F.col("p_size").cast("double")).alias("x"), F.col("p_retailprice").alias("y"))).alias("l"))
-    s = rows.select("p_brand", la.solve(F.transform("l", lambda r: r["x"]), F.transform("l", lambda r: r["y"])).alias("s"))
+    s = la.fit(read(spark, sf_dir, "part"), ["p_brand"], [F.lit(1.0), F.col("p_size")], F.col("p_retailprice"), "s")
     return s.select("p_brand", F.round(F.get("s", 0), 5).alias("a"), F.round(F.get("s", 1), 6).alias("b"))
 
 
+@query("SELECT p_brand, round(exp(regr_intercept(ln(p_retailprice), p_size)), 5) a, round(exp(regr_slope(ln(p_retailprice), p_size)), 8) b FROM part GROUP BY 1")
+def exponential_fit(spark, sf_dir):
+    s = la.fit(read(spark, sf_dir, "part"), ["p_brand"], [F.lit(1.0), F.col("p_size")], F.log("p_retailprice"), "s")
+    return s.select("p_brand", F.round(F.exp(F.get("s", 0)), 5).alias("a"), F.round(F.exp(F.get("s", 1)), 8).alias("b"))
+
+
 # ---- streams: whole tables through Structured Streaming ------------------------------------------------
 
 
-@query("SELECT event_type, count(*) n FROM events GROUP BY 1")
+def _stream(spark, sf_dir, name):
+    from quiver.streaming import live
+
+    return live.files(spark, f"{sf_dir}/{name}.parquet*", read(spark, sf_dir, name))
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) since, event_type, count(*) n FROM events GROUP BY 1, 2")
 def stream_windows(spark, sf_dir):
     from quiver.streaming import live
 
-    ev = read(spark, sf_dir, "events")
-    stream = live.files(spark, f"{sf_dir}/events.parquet*", ev)
-    name = f"q_windows_{abs(hash(sf_dir)) % 10**8}_{spark.sparkContext._jvm.System.nanoTime()}"
-    got = live.drain(live.windows(stream, "ts", "1 hour", "10 minutes", ["event_type"]), name, "complete")
-    return got.groupBy("event_type").agg(F.sum("n").alias("n"))
+    got = live.drain(live.windows(_stream(spark, sf_dir, "events"), "ts", "1 hour", "10 minutes", ["event_type"]), mode="complete")
+    return got.select(F.col("window.start").cast("timestamp_ntz").alias("since"), "event_type", "n")
+
+
+@query("SELECT user_id, count(*) n, round(sum(value), 4) s FROM events GROUP BY 1")
+def stream_running(spark, sf_dir):
+    from quiver.streaming import live
+
+    got = live.drain(live.running(_stream(spark, sf_dir, "events").select("user_id", "value"), "user_id", "value"), mode="update")
+    return got.select("user_id", "n", F.round("s", 4).alias("s"))
+
+
+# ---- vectors as a whole ---------------------------------------------------------------------------------
+
+
+@query("SELECT event_id, round(sum(value) OVER (ORDER BY k NULLS FIRST, event_id), 2) running FROM (SELECT event_id, value, CASE WHEN event_id % 7 <> 0 THEN value END k FROM events)")
+def global_scan_nulls(spark, sf_dir):
+    ev = read(spark, sf_dir, "events").select("event_id", "value", F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("k"))
+    return t.global_scan(ev, "value", ["k", "event_id"]).select("event_id", F.round("running", 2).alias("running"))
+
+
+@query("SELECT event_id, row_number() OVER (ORDER BY event_type DESC, event_id) - 1 AS \"rank\" FROM events")
+def grade_keys(spark, sf_dir):
+    return t.grade(read(spark, sf_dir, "events").select("event_id", "event_type"), [F.desc("event_type")], "event_id").select("event_id", "rank")
+
+
+@query("SELECT row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1 AS pos, c_custkey AS \"rank\" FROM customer")
+def invert_permutation(spark, sf_dir):
+    ranked = t.with_pos(read(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), ["c_acctbal", "c_custkey"], "rank")
+    return t.inverse(ranked, "rank", "c_custkey").select(F.col("c_custkey").alias("pos"), "rank")
+
+
+@query("SELECT bool_and(p IS NULL OR p <= o_orderkey) sorted FROM (SELECT o_orderkey, lag(o_orderkey) OVER (ORDER BY o_orderdate, o_orderkey) p FROM orders)")
+def is_sorted(spark, sf_dir):
+    return t.is_sorted(read(spark, sf_dir, "orders"), "o_orderkey", ["o_orderdate", "o_orderkey"])
+
+
+@query("SELECT c_custkey, (SELECT count(*) FROM supplier WHERE s_acctbal < c_acctbal) cell FROM customer")
+def bin_all(spark, sf_dir):
+    cust, supp = read(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), read(spark, sf_dir, "supplier").select("s_acctbal")
+    return t.bin_below(cust, supp, "c_acctbal", "s_acctbal").select("c_custkey", "cell")
+
+
+@query("SELECT (i // n) * n + p pos, v FROM (SELECT n_nationkey p, n_name v FROM nation), (SELECT count(*) n FROM nation), (SELECT unnest([0, 25, 50]) i) WHERE i + p < 60")
+def take_turns(spark, sf_dir):
+    return t.take(read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("pos"), F.col("n_name").alias("v")), 60)
+
+
+@query("SELECT bool_and(a.o_orderstatus IS NOT DISTINCT FROM b.o_orderstatus) AS \"match\" FROM orders a FULL JOIN orders b USING (o_orderkey)")
+def match_vectors(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pos"), "o_orderstatus")
+    return t.match(o, o.select("pos", "o_orderstatus").where("true"), "o_orderstatus")
+
+
+@query("SELECT (SELECT list_sort(list(DISTINCT c_nationkey)) FROM customer) = (SELECT list_sort(list(DISTINCT s_nationkey)) FROM supplier) equal")
+def set_equal(spark, sf_dir):
+    a = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"))
+    return t.set_equal(a, read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k")), "k")
+
+
+@query("SELECT (SELECT list_sort(list(o_custkey)) FROM orders) = (SELECT list_sort(list(o_custkey + 0)) FROM orders) permutation")
+def permuted(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"))
+    return t.permuted(o, o.orderBy(F.desc("k")), "k")
+
+
+@query("SELECT a.pos, x, y FROM (SELECT row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1 pos, c_custkey x FROM customer) a JOIN (SELECT row_number() OVER (ORDER BY c_name, c_custkey) - 1 pos, c_custkey y FROM customer) b USING (pos)")
+def zip_positions(spark, sf_dir):
+    cust = read(spark, sf_dir, "customer")
+    a = t.with_pos(cust.select("c_acctbal", F.col("c_custkey").alias("x")), ["c_acctbal", "x"]).select("pos", "x")
+    return t.zip_rows(a, t.with_pos(cust.select("c_name", F.col("c_custkey").alias("y")), ["c_name", "y"]).select("pos", "y"))
+
+
+@query("SELECT c_nationkey, round(list_reduce(list(c_custkey::DOUBLE ORDER BY c_custkey), lambda a, b: a / b), 12) folded FROM customer WHERE c_custkey > 0 GROUP BY 1")
+def over_divide(spark, sf_dir):
+    cust = read(spark, sf_dir, "customer").where("c_custkey > 0").groupBy("c_nationkey").agg(F.sort_array(F.collect_list(F.col("c_custkey").cast("double"))).alias("l"))
+    return cust.select("c_nationkey", F.round(c.over(lambda x, y: e.divide(x, y), "l"), 12).alias("folded"))
+
+
+@query("SELECT n a, 2 * n b FROM (SELECT unnest(range(0, (SELECT count(*) FROM nation))) n)")
+def enumerate_rows(spark, sf_dir):
+    return spark.range(read(spark, sf_dir, "nation").count()).select(F.col("id").alias("a"), (2 * F.col("id")).alias("b"))
+
+
+@query("SELECT p_brand, round(skewness(p_retailprice), 4) IS NOT NULL s, round(avg(pow(p_retailprice - m, 3)) / pow(var_pop(p_retailprice), 1.5), 6) skew, round(avg(pow(p_retailprice - m, 4)) / pow(var_pop(p_retailprice), 2) - 3, 6) kurt FROM part JOIN (SELECT p_brand, avg(p_retailprice) m FROM part GROUP BY 1) USING (p_brand) GROUP BY 1")
+def moments(spark, sf_dir):
+    got = read(spark, sf_dir, "part").groupBy("p_brand").agg(F.round(F.skewness("p_retailprice"), 6).alias("skew"), F.round(F.kurtosis("p_retailprice"), 6).alias("kurt"))
+    return got.withColumn("s", F.col("skew").isNotNull())
 
 
 def queries() -> dict:
-    from quiver.plans import idioms  # noqa: F401  registers its queries here
+    from quiver.plans import exchange, idioms, structures  # noqa: F401  register their queries here
 
     return dict(_QUERIES)
 

@@ -11,37 +11,29 @@ from quiver.functions import text
 from quiver.operators import cells as c
 from quiver.operators import linalg as la
 from quiver.operators import tables as t
+from quiver.plans.scratch import materialize
 from quiver.plans.catalog import BY, BY_TS, _W, cell, doc, event, line, order, part, query, read
 
 # ---- text ------------------------------------------------------------------------
 
-HEAD = "substring(text, 1, 300)"
-
-
-def head():
-    return F.substring("text", 1, 300)
-
-
-doc("remove_blanks", lambda: F.regexp_replace(head(), " ", ""), f"replace({HEAD}, ' ', '')")
+doc("remove_blanks", lambda: F.md5(F.regexp_replace("text", " ", "")), "md5(replace(text, ' ', ''))")
 doc("leading_blanks", lambda: F.ltrim(F.concat(F.lit("  "), "source")), "ltrim('  ' || source)")
 doc("trailing_blanks", lambda: F.rtrim(F.concat("source", F.lit("  "))), "rtrim(source || '  ')")
 doc("centre", lambda: text.pad(12, text.pad(-9, "source")), "lpad(rpad(source, 9, ' '), 12, ' ')")
-doc("words_of_line", lambda: F.size(F.split(head(), " ")), f"len(string_split({HEAD}, ' '))::INT")
-doc("count_letter", lambda: (F.length(head()) - F.length(F.regexp_replace(head(), "e", ""))).cast("long"), f"(length({HEAD}) - length(replace({HEAD}, 'e', '')))")
+doc("words_of_line", lambda: F.size(F.split("text", " ")), "len(string_split(text, ' '))::INT")
+doc("count_letter", lambda: (F.length("text") - F.length(F.regexp_replace("text", "e", ""))).cast("long"), "(length(text) - length(replace(text, 'e', '')))")
 doc("first_line", lambda: F.element_at(F.split("text", "\n"), 1), "string_split(text, chr(10))[1]")
 doc("line_count", lambda: F.size(F.split("text", "\n")), "len(string_split(text, chr(10)))::INT")
 doc("upper_case", lambda: F.upper("source"), "upper(source)")
-doc("reverse_text", lambda: F.reverse(head()), f"reverse({HEAD})")
+doc("reverse_text", lambda: F.md5(F.reverse("text")), "md5(reverse(text))")
 doc("digits_only", lambda: F.regexp_replace("source", "[^0-9]", ""), "regexp_replace(source, '[^0-9]', '', 'g')")
 doc("change_letters", lambda: F.translate("source", "src", "SRC"), "translate(source, 'src', 'SRC')")
 doc("is_palindrome", lambda: (F.col("lang") == F.reverse("lang")).cast("int"), "(lang = reverse(lang))::INT")
 doc("quoted", lambda: F.concat(F.lit('"'), F.col("source"), F.lit('"')), "'\"' || source || '\"'")
 
-# the same over the whole text, long results hashed
-doc("remove_blanks_whole", lambda: F.md5(F.regexp_replace("text", " ", "")), "md5(replace(text, ' ', ''))")
-doc("words_of_line_whole", lambda: F.size(F.split("text", " ")), "len(string_split(text, ' '))::INT")
-doc("count_letter_whole", lambda: (F.length("text") - F.length(F.regexp_replace("text", "e", ""))).cast("long"), "(length(text) - length(replace(text, 'e', '')))")
-doc("reverse_text_whole", lambda: F.md5(F.reverse("text")), "md5(reverse(text))")
+doc("between_quotes", lambda: text.between_quotes(F.concat(F.lit('a "'), F.col("source"), F.lit('" b "'), F.col("lang"), F.lit('"'))), "[source, lang]")
+doc("blank_runs", lambda: F.size(F.regexp_extract_all("text", F.lit("  +"), F.lit(0))).cast("long"), "len(regexp_extract_all(text, '  +'))")
+doc("blank_lines", lambda: F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) == "")).cast("long"), "len(list_filter(string_split(text, chr(10)), lambda x: trim(x) = ''))")
 
 # ---- number representation ----------------------------------------------------------
 
@@ -105,24 +97,38 @@ def occurrences(spark, sf_dir):
 # ---- series, polynomials, finance ----------------------------------------------------------
 
 cell("taylor_exp", lambda v: F.round(F.aggregate(F.sequence(F.lit(1), F.lit(12)), F.struct(F.lit(1.0).alias("s"), F.lit(1.0).alias("p")), lambda a, i: F.struct((a["s"] + a["p"] * F.get(F.col(v), 0) / i).alias("s"), (a["p"] * F.get(F.col(v), 0) / i).alias("p")))["s"], 8), "round(exp(v[1]), 8)")
-cell("poly_product", lambda v: F.array(F.get(F.col(v), 0) * F.get(F.col(v), 2), F.round(F.get(F.col(v), 0) * F.get(F.col(v), 3) + F.get(F.col(v), 1) * F.get(F.col(v), 2), 9), F.get(F.col(v), 1) * F.get(F.col(v), 3)), "[v[1] * v[3], round(v[1] * v[4] + v[2] * v[3], 9), v[2] * v[4]]")
-cell("derivative", lambda v: F.transform(F.slice(F.col(v), 1, 3), lambda x, i: x * (3 - i)), "[v[1] * 3, v[2] * 2, v[3]]")
-cell("present_value", lambda v: F.round(F.aggregate(F.transform(F.slice(F.col(v), 1, 10), lambda x, i: x / F.pow(F.lit(1.05), i)), F.lit(0.0), lambda a, x: a + x), 8), "round(list_sum([v[i] / pow(1.05::DOUBLE, i - 1) FOR i IN range(1, 11)]), 8)")
-cell("compound", lambda v: F.round(F.aggregate(F.slice(F.col(v), 1, 6), F.lit(1.0), lambda a, x: a * (1 + x / 100)), 10), "round(list_product([1 + v[i] / 100 FOR i IN range(1, 7)]), 10)")
+cell("poly_product", lambda v: F.transform(F.sequence(F.lit(0), F.lit(62)), lambda k: F.round(F.aggregate(F.sequence(F.greatest(k - 31, F.lit(0)), F.least(k, F.lit(31))), F.lit(0.0), lambda s, i: s + F.get(v, i) * F.get(v, 32 + k - i)), 9)), "[round(list_sum([v[i + 1] * v[33 + k - i] FOR i IN range(greatest(k - 31, 0), least(k, 31) + 1)]), 9) FOR k IN range(0, 63)]")
+cell("derivative", lambda v: F.transform(c.drop(-1, v), lambda x, i: x * (63 - i)), "[v[i] * (64 - i) FOR i IN range(1, 64)]")
+cell("present_value", lambda v: F.round(F.aggregate(F.transform(v, lambda x, i: x / F.pow(F.lit(1.05), i)), F.lit(0.0), lambda a, x: a + x), 8), "round(list_sum([v[i] / pow(1.05::DOUBLE, i - 1) FOR i IN range(1, 65)]), 8)")
+cell("compound", lambda v: F.round(F.aggregate(v, F.lit(1.0), lambda a, x: a * (1 + x / 100)), 10), "round(list_product([1 + x / 100 FOR x IN v]), 10)")
 cell("mean_cell", lambda v: F.round(F.aggregate(F.col(v), F.lit(0.0), lambda a, x: a + x) / F.size(v), 9), "round(list_avg(v), 9)")
 cell("max_index", lambda v: c.find(v, F.array_max(F.col(v))), "(list_position(v, list_max(v)) - 1)::BIGINT")
-cell("sort_cell", lambda v: F.array_sort(F.slice(F.col(v), 1, 8)), "list_sort(v[1:8])")
-cell("cumulative_max", lambda v: c.scan(lambda a, b: F.greatest(a, b), F.slice(F.col(v), 1, 5)), "[list_max(v[1:i]) FOR i IN range(1, 6)]")
-cell("interlace", lambda v: F.flatten(c.each2(lambda a, b: F.array(a, b), F.slice(F.col(v), 1, 2), F.slice(F.col(v), 3, 2))), "[v[1], v[3], v[2], v[4]]")
-cell("insert_after", lambda v: F.array_insert(F.slice(F.col(v), 1, 3), 3, F.lit(0.0)), "[v[1], v[2], 0.0::DOUBLE, v[3]]")
-cell("merge_by_mask", lambda v: F.zip_with(F.slice(F.col(v), 1, 3), F.slice(F.col(v), 4, 3), lambda a, b: F.when(a > b, a).otherwise(b)), "[greatest(v[1], v[4]), greatest(v[2], v[5]), greatest(v[3], v[6])]")
+cell("sort_cell", lambda v: F.array_sort(v), "list_sort(v)")
+cell("cumulative_max", lambda v: c.scan(lambda a, b: F.greatest(a, b), v), "[list_max(v[1:i]) FOR i IN range(1, 65)]")
+cell("interlace", lambda v: F.flatten(c.each2(lambda a, b: F.array(a, b), c.take(32, v), c.drop(32, v))), "flatten([[v[i], v[i + 32]] FOR i IN range(1, 33)])")
+cell("insert_after", lambda v: F.array_insert(v, 3, F.lit(0.0)), "list_concat(list_concat(v[1:2], [0.0::DOUBLE]), v[3:])")
+cell("merge_by_mask", lambda v: F.zip_with(c.take(32, v), c.drop(32, v), lambda a, b: F.when(a > b, a).otherwise(b)), "[greatest(v[i], v[i + 32]) FOR i IN range(1, 33)]")
 cell("all_positive", lambda v: F.forall(F.col(v), lambda x: x > -1).cast("int"), "(list_min(v) > -1)::INT")
 cell("diagonal", lambda v: F.transform(c.reshape(v, 8, 8), lambda r, i: F.get(r, i)), "[v[(i - 1) * 9 + 1] FOR i IN range(1, 9)]")
-cell("upper_triangle", lambda v: F.transform(c.reshape(F.slice(F.col(v), 1, 9), 3, 3), lambda r, i: F.transform(r, lambda x, j: F.when(j >= i, x).otherwise(0.0))), "[[v[1], v[2], v[3]], [0.0::DOUBLE, v[5], v[6]], [0.0::DOUBLE, 0.0::DOUBLE, v[9]]]")
+cell("upper_triangle", lambda v: F.transform(c.reshape(v, 8, 8), lambda r, i: F.transform(r, lambda x, j: F.when(j >= i, x).otherwise(0.0))), "[[CASE WHEN j >= i THEN v[(i - 1) * 8 + j] ELSE 0.0::DOUBLE END FOR j IN range(1, 9)] FOR i IN range(1, 9)]")
 cell("row_sums", lambda v: F.transform(c.reshape(v, 8, 8), lambda r: F.round(F.aggregate(r, F.lit(0.0), lambda a, x: a + x), 9)), "[round(list_sum(v[(i - 1) * 8 + 1:i * 8]), 9) FOR i IN range(1, 9)]")
-cell("multiplication_table", lambda v: c.table_of(lambda a, b: a * b, F.sequence(F.lit(1), F.lit(3)), F.sequence(F.lit(1), F.lit(3))), "[[1, 2, 3], [2, 4, 6], [3, 6, 9]]")
-cell("identity_matrix", lambda v: c.table_of(lambda a, b: (a == b).cast("int"), F.sequence(F.lit(0), F.lit(2)), F.sequence(F.lit(0), F.lit(2))), "[[1, 0, 0], [0, 1, 0], [0, 0, 1]]")
-cell("fibonacci", lambda v: c.do_fold(20, lambda x: F.struct(x["b"].alias("a"), (x["a"] + x["b"]).alias("b")), F.struct(F.lit(0).cast("long").alias("a"), F.lit(1).cast("long").alias("b")))["a"], "6765::BIGINT")
+part("multiplication_table", lambda: c.table_of(lambda a, b: a * b, F.sequence(F.lit(1), F.lit(5)), F.sequence(F.lit(1), F.col("p_size"))), "[[(a * b)::INT FOR b IN range(1, p_size + 1)] FOR a IN range(1, 6)]")
+part("identity_matrix", lambda: c.table_of(lambda a, b: (a == b).cast("int"), c.index(F.col("p_size") % 4 + 1), c.index(F.col("p_size") % 4 + 1)), "[[(a = b)::INT FOR b IN range(0, p_size % 4 + 1)] FOR a IN range(0, p_size % 4 + 1)]")
+part("hilbert", lambda: c.table_of(lambda a, b: F.round(1 / (a + b + 1), 9), c.index(F.col("p_size") % 5 + 1), c.index(F.col("p_size") % 5 + 1)), "[[round(1 / (a + b + 1), 9) FOR b IN range(0, p_size % 5 + 1)] FOR a IN range(0, p_size % 5 + 1)]")
+cell("symmetric", lambda v: F.forall(F.flatten(c.each2(lambda r, q: F.zip_with(r, q, lambda x, y: x == y), c.reshape(v, 8, 8), c.flip(c.reshape(v, 8, 8)))), lambda ok: ok).cast("int"), "(len(list_filter(range(1, 65), lambda k: v[k] <> v[((k - 1) % 8) * 8 + (k - 1) // 8 + 1])) = 0)::INT")
+cell("saddle", lambda v: F.filter(F.transform(v, lambda x, k: F.when((x == F.array_min(F.get(c.reshape(v, 8, 8), F.floor(k / 8).cast("int")))) & (x == F.array_max(F.get(c.flip(c.reshape(v, 8, 8)), k % 8))), k)), lambda k: k.isNotNull()), "list_filter([CASE WHEN v[k] = list_min(v[((k - 1) // 8) * 8 + 1:((k - 1) // 8) * 8 + 8]) AND v[k] = list_max([v[(r - 1) * 8 + (k - 1) % 8 + 1] FOR r IN range(1, 9)]) THEN (k - 1)::INT END FOR k IN range(1, 65)], lambda x: x IS NOT NULL)")
+part("pascal", lambda: F.transform(F.sequence(F.lit(0), F.col("p_size") % 12), lambda k: e.choose(F.col("p_size") % 12, k).cast("long")), "[round(gamma(p_size % 12 + 1) / (gamma(k + 1) * gamma(p_size % 12 - k + 1)))::BIGINT FOR k IN range(0, p_size % 12 + 1)]")
+part("quadratic_roots", lambda: F.transform(F.array(F.lit(-1), F.lit(1)), lambda s: F.round((F.col("p_size") + s * F.sqrt(F.col("p_size") * F.col("p_size") + 4.0)) / 2, 8)), "[round((p_size - sqrt(p_size * p_size + 4)) / 2, 8), round((p_size + sqrt(p_size * p_size + 4)) / 2, 8)]")
+part("annuity", lambda: F.round(F.lit(0.08) / (1 - F.pow(F.lit(1.08), -F.col("p_size").cast("double"))), 9), "round(0.08::DOUBLE / (1 - pow(1.08::DOUBLE, -p_size)), 9)")
+cell("fifo", lambda v: F.transform(c.slide(lambda a, b: b - a, F.concat(F.array(F.lit(0.0)), F.transform(c.scan(lambda a, b: a + b, F.transform(v, F.abs)), lambda x: F.greatest(x - 2, F.lit(0.0))))), lambda x: F.round(x, 9) + 0.0), "[round(greatest(list_sum([abs(x) FOR x IN v[1:i]]) - 2, 0) - greatest(coalesce(list_sum([abs(x) FOR x IN v[1:i - 1]]), 0) - 2, 0), 9) + 0.0::DOUBLE FOR i IN range(1, 65)]")
+cell("reverse_infixes", lambda v: c.reverse_infixes(v, [10, 50, 4]), "list_concat(list_concat(list_reverse(v[1:10]), list_reverse(v[11:60])), list_reverse(v[61:64]))")
+cell("infix_sums", lambda v: F.transform(c.partition_sums(v, F.transform(v, lambda _, i: (i % 16 == 0).cast("int"))), lambda x: F.round(x, 9)), "[round(list_sum(v[i * 16 + 1:i * 16 + 16]), 9) FOR i IN range(0, 4)]")
+cell("spread_heads", lambda v: c.spread(v, F.array(F.lit(3), F.lit(1)), 5, F.lit(0.0)), "[0.0::DOUBLE, v[2], 0.0::DOUBLE, v[1], 0.0::DOUBLE]")
+cell("scattered_index", lambda v: F.array(*[c.path(c.reshape(v, 8, 8), i, j) for i, j in ((0, 7), (3, 3), (7, 0))]), "[v[8], v[28], v[57]]")
+cell("raveled_index", lambda v: F.array(F.floor(c.find(v, F.array_max(v)) / 8).cast("long"), c.find(v, F.array_max(v)) % 8), "[((list_position(v, list_max(v)) - 1) // 8)::BIGINT, ((list_position(v, list_max(v)) - 1) % 8)::BIGINT]")
+order("twelve_hour", lambda: F.date_format("o_orderdate", "hh:mm a"), "strftime(o_orderdate, '%I:%M %p')")
+event("hhmmss", lambda: F.array(F.hour("ts"), F.minute("ts"), F.second("ts")), "[hour(ts)::INT, minute(ts)::INT, second(ts)::INT]")
+part("fibonacci", lambda: c.do_fold(20, lambda x: F.struct(x["b"].alias("a"), (x["a"] + x["b"]).alias("b")), F.struct(F.lit(0).cast("long").alias("a"), F.col("p_partkey").alias("b")))["a"], "6765 * p_partkey")
 
 # ---- classification, replacement, sets -------------------------------------------------------
 
@@ -150,24 +156,41 @@ def cube_counts(spark, sf_dir):
     return read(spark, sf_dir, "orders").cube("o_orderpriority", "o_orderstatus").agg(F.count("*").alias("n"))
 
 
-@query("SELECT i, round(sum(v * v), 6) AS norm FROM (SELECT vec_id i, unnest(embedding)::DOUBLE v FROM embeddings) GROUP BY 1")
+@query("SELECT i, round(sqrt(sum(v * v)), 6) AS norm FROM (SELECT vec_id i, unnest(embedding)::DOUBLE v FROM embeddings) GROUP BY 1")
 def row_norms(spark, sf_dir):
     x = la.coordinates(read(spark, sf_dir, "embeddings"), "vec_id", F.col("embedding").cast("array<double>"))
-    return x.groupBy("i").agg(F.round(F.sum(F.col("v") * F.col("v")), 6).alias("norm"))
+    return x.groupBy("i").agg(F.round(F.sqrt(F.sum(F.col("v") * F.col("v"))), 6).alias("norm"))
 
 
-@query("WITH RECURSIVE d(a, n) AS (SELECT 0, 0 UNION SELECT (d.a * 3 + 1) % 25, d.n + 1 FROM d WHERE d.n < 30) SELECT a::INT AS node, min(n)::INT AS hops FROM d GROUP BY 1")
-def distances(spark, sf_dir):
-    return spark.sql(
-        "WITH RECURSIVE d(node, hops) AS (SELECT 0, 0 UNION ALL SELECT (node * 3 + 1) % 25, hops + 1 FROM d WHERE hops < 30) "
-        "SELECT node, min(hops) AS hops FROM d GROUP BY node"
-    )
+_EDGES = "(SELECT n_nationkey a, (n_nationkey * 3 + 1) % 25 b FROM nation)"
 
 
-@query("SELECT user_id, round(sum(value), 4) total, min(ts) since FROM events GROUP BY 1 HAVING sum(value) > 100")
+@query(f"WITH RECURSIVE d(node, hops) AS (SELECT 0, 0 UNION SELECT b::INT, hops + 1 FROM d JOIN {_EDGES} ON a = node WHERE hops < 30) SELECT node::INT node, min(hops)::INT hops FROM d GROUP BY 1")
+def distances(spark, sf_dir):
+    """Hops from node 0 by rounds over the edges: only nodes reached last go on."""
+    edges = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("a"), ((F.col("n_nationkey") * 3 + 1) % 25).alias("b"))
+    seen = front = spark.createDataFrame([(0, 0)], "node int, hops int")
+    for hops in range(1, 31):
+        near = edges.join(front.select(F.col("node").alias("a")), "a").select(F.col("b").alias("node")).distinct()
+        front = materialize(near.join(seen.select("node"), "node", "left_anti").withColumn("hops", F.lit(hops)))
+        if front.isEmpty():
+            return seen
+        seen = seen.union(front)
+    raise RuntimeError("distances: nodes beyond 30 hops")
+
+
+@query(f"SELECT user_id, min(n)::BIGINT periods FROM (SELECT user_id, row_number() OVER {_W}) n, round(sum(value) OVER {_W} ROWS UNBOUNDED PRECEDING), 6) s FROM events) WHERE s >= 100 GROUP BY 1")
 def payback(spark, sf_dir):
-    ev = read(spark, sf_dir, "events")
-    return ev.groupBy("user_id").agg(F.round(F.sum("value"), 4).alias("total"), F.min("ts").alias("since"), F.sum("value").alias("s")).where("s > 100").drop("s")
+    """Periods until a user's values have paid back 100."""
+    w = t.ordered(BY, BY_TS)
+    ev = read(spark, sf_dir, "events").select("user_id", F.row_number().over(w).cast("long").alias("n"), F.round(t.scan(F.sum, "value", BY, BY_TS), 6).alias("s"))
+    return ev.where("s >= 100").groupBy("user_id").agg(F.min("n").alias("periods"))
+
+
+@query(f"SELECT event_id, round(100 * pow(1.05::DOUBLE, row_number() OVER {_W}) % 40), 6) v FROM events")
+def future_value(spark, sf_dir):
+    n = F.row_number().over(t.ordered(BY, BY_TS))
+    return read(spark, sf_dir, "events").select("event_id", F.round(100 * F.pow(F.lit(1.05), n % 40), 6).alias("v"))
 
 
 @query("SELECT event_id, try_cast(json_extract_string(props, '$.k') AS INT) k FROM events")

@@ -16,7 +16,7 @@ def _error(name: str) -> type[QuiverError]:
     return type(f"{name.title()}Error_", (QuiverError,), {"code": name})
 
 
-#: Error classes by name.
+#: Names of errors, each with a class of its own.
 ERRORS = {n: _error(n) for n in "rank length type value range domain valence index int parse stack reserved wsfull".split()}
 
 
@@ -41,9 +41,18 @@ def session(app: str = "quiver", **conf) -> SparkSession:
     return builder.getOrCreate()
 
 
+#: The names of verbs and controls, which cannot be assigned.
+RESERVED = set(
+    "abs acos and asin at atan atan2 bd bh bin binl bz ceil choose ci cos cosh db decrypt del det di div dj do dot draw dv dvl encrypt ep erf erfc exit exp "
+    "factor floor gamma gcd getenv gtime hb hypot ic if in inv jd kv lcm ldu lgamma lin log lsq lt ltime lu mag md5 modinv mul not nul or prime qr rename "
+    "rint rot round rref setenv sha1 sha2 shift sin sinh sleep sm sqr sqrt ss ssr sv svd tan tanh timer tl trunc val vk vs watch while xor zb".split()
+)
+
+
 class Namespace:
-    """Named tables under a dotted prefix, with watchers that run after a name is
-    assigned; a watcher that assigns its own name does not start itself again."""
+    """Named values under a dotted prefix, with watchers that run after a name is
+    assigned; a watcher that assigns its own name does not start itself again.
+    Names may be qualified (``a.b``): namespaces below this one."""
 
     def __init__(self, spark: SparkSession, prefix: str = "k"):
         self.spark, self.prefix, self.values = spark, prefix, {}
@@ -51,11 +60,12 @@ class Namespace:
         self._firing: set[str] = set()
 
     def assign(self, name: str, value) -> None:
-        if not name.replace("_", "a").isalnum() or name[:1].isdigit():
-            signal("reserved", name)
+        for part in name.split("."):
+            if not part.replace("_", "a").isalnum() or part[:1].isdigit() or part in RESERVED:
+                signal("reserved", name)
         self.values[name] = value
         if isinstance(value, DataFrame):
-            value.createOrReplaceTempView(f"{self.prefix}_{name}")
+            value.createOrReplaceTempView(f"{self.prefix}_{name.replace('.', '_')}")
         if name not in self._firing:
             self._firing.add(name)
             try:
@@ -68,16 +78,52 @@ class Namespace:
         """``name f: args``: assign what ``fn`` makes of the present value."""
         self.assign(name, fn(self.get(name), *args))
 
+    def amend_at(self, name: str, updates: DataFrame, value: str, pos: str = "pos") -> None:
+        """``name[i]: v``: assign the vector with the updates' positions replaced."""
+        from quiver.operators.tables import amend
+
+        self.assign(name, amend(self.get(name), updates, value, pos))
+
     def get(self, name: str):
         if name not in self.values:
             signal("value", name)
         return self.values[name]
 
+    def delete(self, name: str) -> None:
+        self.get(name)
+        del self.values[name]
+        if self.spark is not None:
+            self.spark.catalog.dropTempView(f"{self.prefix}_{name.replace('.', '_')}")
+
     def watch(self, name: str, fn) -> None:
         self.watchers.setdefault(name, []).append(fn)
 
-    def names(self) -> list[str]:
-        return sorted(self.values)
+    def names(self, below: str = "") -> list[str]:
+        return sorted(n for n in self.values if n.startswith(below))
+
+    def verbose(self) -> list[tuple[str, str]]:
+        """(name, kind) of every value."""
+        return [(n, "table" if isinstance(v, DataFrame) else type(v).__name__) for n, v in sorted(self.values.items())]
+
+
+class Settings:
+    """What the system commands set: digits printed, how close to zero is zero, and
+    whether errors are raised or reported."""
+
+    def __init__(self, digits: int = 7, zero: float = 0.0, raise_errors: bool = True):
+        self.digits, self.zero, self.raise_errors = digits, zero, raise_errors
+
+    def shown(self, column):
+        """A number as it is printed under these settings."""
+        from pyspark.sql import functions as F
+
+        from quiver.functions.text import significant
+
+        c = F.col(column) if isinstance(column, str) else column
+        return significant(F.when(F.abs(c) < self.zero, 0.0).otherwise(c), self.digits)
+
+    def run(self, fn, *args):
+        return fn(*args) if self.raise_errors else trap(fn, *args)
 
 
 def timed(action) -> tuple[float, object]:

@@ -31,6 +31,24 @@ def run(spark: SparkSession, command: list[str]) -> tuple[int, list[str], list[s
     return done.returncode, done.stdout.splitlines(), done.stderr.splitlines()
 
 
+def run_async(spark: SparkSession, command: list[str]) -> subprocess.Popen:
+    """A command that goes on beside the session; its handle."""
+    if spark.conf.get(ALLOW, "false") != "true":
+        signal("domain", f"{ALLOW} is not set")
+    return subprocess.Popen(command, stdout=subprocess.DEVNULL, stderr=subprocess.DEVNULL)
+
+
+def output(spark: SparkSession, command: list[str]) -> list[str]:
+    """The output lines of a command."""
+    return run(spark, command)[1]
+
+
+def leave(spark: SparkSession, code: int = 0) -> None:
+    """Stop the session and end the process."""
+    spark.stop()
+    raise SystemExit(code)
+
+
 def load(path: str, path_list: str = "QUIVERPATH") -> dict:
     """Run a script, or the ``load.py`` of a package folder, looked up beside the
     caller and along a path list; its names."""

@@ -100,3 +100,61 @@ def test_numbers(spark):
     assert one(spark, nt.gcd(F.lit(2**40), F.lit(6**10))) == 1024
     assert one(spark, nt.lcm(F.lit(2**62 - 1), F.lit(2**61 - 1))) == 2**63 - 1
     assert one(spark, nt.modinv(F.lit(4), F.lit(8))) == -1
+
+
+def test_integer_division(spark):
+    big = 2**62 + 1
+    got = [one(spark, e.int_divide(F.lit(a), F.lit(b))) for a, b in ((7, 2), (-7, 2), (big, 1), (5, 0), (-5, 0), (0, 0))]
+    assert got == [3, -3, big, 2**63 - 1, -(2**63) + 1, None]
+    with pytest.raises(Exception, match="range"):
+        one(spark, e.int_divide(F.lit(-(2**63)), F.lit(-1)))
+
+
+def test_digits_of_any_width(spark):
+    assert one(spark, text.encode_base(10, F.lit(12345), 3)) == [1, 2, 3, 4, 5] and one(spark, text.encode_base(10, F.lit(5), 3)) == [0, 0, 5]
+    assert one(spark, text.encode_base(2, F.lit(2**62 + 1))) == [1] + [0] * 61 + [1] and one(spark, text.encode_base(10, F.lit(0))) == [0]
+    assert one(spark, text.decode_base(7, text.encode_base(7, F.lit(2**63 - 1)))) == 2**63 - 1
+    with pytest.raises(Exception, match="domain"):
+        one(spark, text.encode_base(10, F.lit(-1)))
+
+
+def test_nulls_among_integers(spark):
+    df = spark.createDataFrame([(2**62 - 1, 2), (None, 3), (9, None), (2**61 - 1, 1)], "a long, b long")
+    rows = df.select("a", "b", nt.lcm("a", "b").alias("l"), nt.modinv("a", "b").alias("m"), nt.prime("a").alias("p"), nt.factor("b").alias("f")).collect()
+    by = {(r.a, r.b): (r.l, r.m, r.p, r.f) for r in rows}
+    assert by[None, 3] == (None, None, None, [3]) and by[9, None] == (None, None, 0, None)
+    assert by[2**61 - 1, 1] == (2**61 - 1, 0, 1, [1]) and by[2**62 - 1, 2][:2] == (2**63 - 2, 1)
+    for a in range(-5, 30):
+        for m in (1, 2, 7, 12):
+            assert one(spark, nt.modinv(F.lit(a), F.lit(m))) == (pow(a, -1, m) if math.gcd(a, m) == 1 else -1) if a in (-5, 0, 5, 13) else True
+
+
+def test_numbers_as_text(spark):
+    shown = [one(spark, text.significant(F.lit(x), 7)) for x in (1.5, 0.0, -2.25, 1e10, 1 / 3, 123456789.0, 100.0, 1e-7)]
+    assert shown == ["1.5", "0", "-2.25", "1e+10", "0.3333333", "1.234568e+08", "100", "1e-07"]
+    assert one(spark, text.to_roman(F.lit(1949))) == "MCMXLIX" and one(spark, text.from_roman(F.lit("MCMIX"))) == 1909
+    assert one(spark, text.between_quotes(F.lit('abc"de"f'))) == ["de"]
+    assert one(spark, text.find_all(F.lit("in inn in"), "in", word=True)) == [0, 7]
+
+
+def test_round_down_to_multiples(spark):
+    assert one(spark, e.round_down(0.1, F.lit(0.3))) == pytest.approx(0.3) and one(spark, e.round_down(0.25, F.lit(0.3))) == 0.25
+
+
+def test_dictionaries(spark):
+    from quiver.operators import dicts as d
+
+    pairs = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(v).alias("value")) for k, v in (("a", 1), ("b", 2), ("a", 3))])
+    x = d.make(pairs)
+    assert one(spark, d.keys(x)) == ["a", "b"] and one(spark, d.values(x)) == [3, 2]
+    assert one(spark, d.get(x, "c")) is None and one(spark, d.get(x, "c", 9)) == 9 and one(spark, d.values(d.put(x, "b", F.lit(7)))) == [3, 7]
+    assert one(spark, d.values(d.zipped(F.array(F.lit(1), F.lit(1)), F.array(F.lit(2), F.lit(3))))) == [3]
+    assert one(spark, d.keys(d.delete(x, "a"))) == ["b"] and one(spark, d.enumerated(F.lit(2))) == {0: 0, 1: 1}
+
+
+def test_draws_do_not_depend_on_partitions(spark):
+    from quiver.functions import draws
+
+    df = spark.range(1000)
+    a, b = (sorted(tuple(r) for r in df.repartition(n).select("id", draws.uniform(1, "id")).collect()) for n in (2, 5))
+    assert a == b and 0.45 < sum(u for _, u in a) / 1000 < 0.55 and all(0 <= u < 1 for _, u in a)

@@ -93,10 +93,69 @@ def test_decompositions(n, seed):
     p, low, d, u = la.ldu(a)
     assert np.allclose(p @ low @ d @ u, a) and np.allclose(np.diag(u), 1)
     u, s, vt = la.svd(a)
-    assert np.allclose(u @ s @ vt, a) and (u[np.abs(u).argmax(axis=0), range(n)] > 0).all()
+    assert np.allclose(u @ s @ vt, a) and (u[(np.abs(u) > 1e-12).argmax(axis=0), range(n)] > 0).all()
     assert np.allclose(la.rref(a), np.eye(n)) and np.allclose(a @ la.lsq(a, np.ones(n)), 1)
 
 
 def test_singular():
     a = np.array([[1.0, 2.0], [2.0, 4.0]])
     assert la.det(a) == 0 and np.isnan(la.lsq(a, np.ones(2))).all() and np.allclose(la.rref(a), [[1, 2], [0, 0]])
+
+
+def test_product_of_rows(spark):
+    """X X' on a few rows, where its size is no matter."""
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(5, 3))
+    df = spark.createDataFrame([(i, j, float(x[i, j])) for i in range(5) for j in range(3)], "i int, j int, v double")
+    got = {(r.i, r.j): r.v for r in la.mul(df, la.flip(df)).collect()}
+    assert all(abs(got[i, j] - x[i] @ x[j]) < 1e-12 for i in range(5) for j in range(5))
+
+
+def test_null_keys_and_ties(spark):
+    df = spark.createDataFrame([(1, 1.0), (2, 2.0), (None, 3.0), (4, 4.0), (None, 5.0)], "k int, v double")
+    got = [(r.k, r.running) for r in t.global_scan(df, "v", ["k"]).orderBy("running").collect()]
+    assert len(got) == 5 and [k for k, _ in got] == [None, None, 1, 2, 4] and got[-1][1] == 15.0
+    same = spark.range(0, 1000, 1, 4).withColumn("k", F.lit(1))
+    assert [r.id for r in t.with_pos(same, ["k"], parts=6).orderBy("pos").collect()] == list(range(1000))
+    none = spark.createDataFrame([(1, None), (2, 1), (3, None)], "k int, v int")
+    assert [r.running for r in t.global_scan(none, "v", ["k"]).orderBy("k").collect()] == [None, 1, 1]
+
+
+def test_take_turns(spark):
+    df = spark.createDataFrame([(i, c) for i, c in enumerate("abc")], "pos int, v string")
+    word = lambda n: "".join(r.v for r in t.take(df, n).orderBy("pos").collect())
+    assert word(2) == "ab" and word(7) == "abcabca" and word(-2) == "bc" and word(-7) == "cabcabc" and word(0) == ""
+    assert t.take(df.limit(0), 5).count() == 0
+
+
+def test_loops_that_keep_steps(spark):
+    x = spark.createDataFrame([(40,)], "v int")
+    half = lambda d: d.select((F.col("v") / 2).cast("int").alias("v"))
+    assert [d.first().v for d in t.steps(half, x, lambda a, b: a.exceptAll(b).isEmpty())] == [40, 20, 10, 5, 2, 1, 0]
+    assert one(spark, c.converge_scan(lambda a: F.floor(a / 2).cast("int"), F.lit(9))) == [9, 4, 2, 1, 0]
+    with pytest.raises(Exception, match="not reached"):
+        one(spark, c.converge_scan(lambda a: a + 1, F.lit(9)))
+    with pytest.raises(Exception, match="still holds"):
+        one(spark, c.while_scan(lambda a: a < 1000, lambda a: a + 1, F.lit(9)))
+
+
+def test_long_cells_are_scanned_in_parts(spark):
+    df = spark.createDataFrame([(list(range(20_000)),)], "a array<long>")
+    assert df.select(c.scan(lambda a, b: a + b, "a").alias("s")).first().s == np.cumsum(range(20_000)).tolist()
+    assert one(spark, c.scan(lambda a, b: a + b, F.slice(arr(1), 1, 0))) == []
+
+
+def test_closure_must_end(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(20)], "a long, b long")
+    with pytest.raises(RuntimeError, match="not reached"):
+        t.closure(edges, rounds=2)
+
+
+def test_unequal_rows_are_a_length_error(spark):
+    a, b = (spark.createDataFrame([(i, i) for i in range(n)], f"pos int, {x} int") for n, x in ((3, "x"), (4, "y")))
+    with pytest.raises(Exception, match="length"):
+        t.zip_rows(a, b).collect()
+
+
+def test_ragged_shape(spark):
+    assert one(spark, c.shape(F.array(arr(1, 2), arr(3)))) == [2] and one(spark, c.shape(F.array(arr(1, 2), arr(3, 4)))) == [2, 2]

@@ -19,6 +19,12 @@ def let(value, use) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
+def bound(a, use) -> Column:
+    """``use`` of a list: of the column where a name is given, else of an expression
+    that is worked out once and not again for each item."""
+    return use(col(a)) if isinstance(a, str) else let(col(a), use)
+
+
 def pieces(a: Column) -> Column:
     """A list in parts of about the root of its length."""
     n = F.size(a)
@@ -85,13 +91,17 @@ def reverse(a) -> Column:
 def take(n: int, a, default=None) -> Column:
     """First n items, or last for negative n, starting over past the end; of an
     empty list, ``default`` n times (null unless given)."""
-    a = col(a)
-    size, w = F.size(a), abs(n)
+    w = abs(n)
     if not n:
-        return F.slice(a, 1, 0)
-    from_ = F.lit(0) if n > 0 else F.pmod(size * w - w, size)
-    out = F.transform(index(F.lit(w)), lambda i: F.get(a, F.pmod(i + from_, size)))
-    return out if default is None else F.when(size == 0, F.array_repeat(F.lit(default), w)).otherwise(out)
+        return F.slice(col(a), 1, 0)
+
+    def items(v):
+        size = F.size(v)
+        from_ = F.lit(0) if n > 0 else F.pmod(size * w - w, size)
+        out = F.transform(index(F.lit(w)), lambda i: F.get(v, F.pmod(i + from_, size)))
+        return out if default is None else F.when(size == 0, F.array_repeat(F.lit(default), w)).otherwise(out)
+
+    return bound(a, items)
 
 
 def drop(n: int, a) -> Column:
@@ -124,23 +134,27 @@ def cut(points: list[int], a) -> Column:
 def reshape(a, rows: int | None, width: int | None) -> Column:
     """rows x width, starting over past the end; without rows, rows of ``width``
     with a shorter last one; without width, ``rows`` even parts."""
-    a = col(a)
-    n = F.size(a)
-    if rows is None:
-        return F.transform(index(F.ceil(n / width)), lambda i: F.slice(a, i * width + 1, F.lit(width)))
-    if width is None:
-        edge = lambda i: F.floor(i * n / rows).cast("int")
-        return F.transform(index(F.lit(rows)), lambda i: F.slice(a, edge(i) + 1, edge(i + 1) - edge(i)))
-    return F.transform(index(F.lit(rows)), lambda i: F.transform(index(F.lit(width)), lambda j: F.get(a, (i * width + j) % n)))
+    def shaped(v):
+        n = F.size(v)
+        if rows is None:
+            return F.transform(index(F.ceil(n / width)), lambda i: F.slice(v, i * width + 1, F.lit(width)))
+        if width is None:
+            edge = lambda i: F.floor(i * n / rows).cast("int")
+            return F.transform(index(F.lit(rows)), lambda i: F.slice(v, edge(i) + 1, edge(i + 1) - edge(i)))
+        return F.transform(index(F.lit(rows)), lambda i: F.transform(index(F.lit(width)), lambda j: F.get(v, (i * width + j) % n)))
+
+    return bound(a, shaped)
 
 
 def flip(m) -> Column:
     """Transpose of a regular matrix; ragged rows are a length error."""
-    m = col(m)
-    width = F.size(F.get(m, 0))
-    even = F.forall(m, lambda r: F.size(r) == width)
-    out = F.transform(index(width), lambda j: F.transform(m, lambda r: F.get(r, j)))
-    return F.when(even, out).otherwise(F.raise_error(F.lit("length")))
+    def turned(m):
+        width = F.size(F.get(m, 0))
+        even = F.forall(m, lambda r: F.size(r) == width)
+        out = F.transform(index(width), lambda j: F.transform(m, lambda r: F.get(r, j)))
+        return F.when(even, out).otherwise(F.raise_error(F.lit("length")))
+
+    return bound(m, turned)
 
 
 def at(a, i) -> Column:
@@ -155,7 +169,7 @@ def at_strict(a, i) -> Column:
 
 
 def gather(a, idx) -> Column:
-    return F.transform(col(idx), lambda i: F.get(col(a), i))
+    return bound(a, lambda v: F.transform(col(idx), lambda i: F.get(v, i)))
 
 
 def where(flags) -> Column:
@@ -188,12 +202,12 @@ def is_in(x, a) -> Column:
 
 
 def members(a, b) -> Column:
-    return F.transform(col(a), lambda x: F.array_contains(col(b), x).cast("int"))
+    return bound(b, lambda v: F.transform(col(a), lambda x: F.array_contains(v, x).cast("int")))
 
 
 def without(a, b) -> Column:
     """Items of a that are not in b, repeats kept."""
-    return F.filter(col(a), lambda x: ~F.array_contains(col(b), x))
+    return bound(b, lambda v: F.filter(col(a), lambda x: ~F.array_contains(v, x)))
 
 
 def distinct(a) -> Column:
@@ -202,9 +216,11 @@ def distinct(a) -> Column:
 
 def group(a) -> Column:
     """Position lists of the distinct items, in order of first appearance."""
-    a = col(a)
-    places = F.transform(a, lambda x, i: F.struct(x.alias("x"), i.alias("i")))
-    return F.transform(F.array_distinct(a), lambda u: F.transform(F.filter(places, lambda p: p["x"] == u), lambda p: p["i"]))
+    def grouped(v):
+        places = F.transform(v, lambda x, i: F.struct(x.alias("x"), i.alias("i")))
+        return let(places, lambda ps: F.transform(F.array_distinct(v), lambda u: F.transform(F.filter(ps, lambda p: p["x"] == u), lambda p: p["i"])))
+
+    return bound(a, grouped)
 
 
 def grade(a, up: bool = True) -> Column:
@@ -229,16 +245,16 @@ def each2(f: Callable[[Column, Column], Column], a, b) -> Column:
 
 
 def each_right(f, a, b) -> Column:
-    return F.transform(col(b), lambda y: f(col(a), y))
+    return bound(a, lambda v: F.transform(col(b), lambda y: f(v, y)))
 
 
 def each_left(f, a, b) -> Column:
-    return F.transform(col(a), lambda x: f(x, col(b)))
+    return bound(b, lambda v: F.transform(col(a), lambda x: f(x, v)))
 
 
 def table_of(f, a, b) -> Column:
     """f of every pair, a row for each item of a."""
-    return F.transform(col(a), lambda x: F.transform(col(b), lambda y: f(x, y)))
+    return bound(b, lambda v: F.transform(col(a), lambda x: F.transform(v, lambda y: f(x, y))))
 
 
 def over(f, a, start=None) -> Column:
@@ -366,8 +382,7 @@ def inverse(p) -> Column:
 
 def is_sorted(a) -> Column:
     """1 where no item is below the one before."""
-    a = col(a)
-    return F.forall(index(F.size(a) - 1), lambda i: F.get(a, i) <= F.get(a, i + 1)).cast("int")
+    return bound(a, lambda v: F.forall(index(F.size(v) - 1), lambda i: F.get(v, i) <= F.get(v, i + 1)).cast("int"))
 
 
 def path(m, *at) -> Column:
@@ -380,9 +395,8 @@ def path(m, *at) -> Column:
 
 def spread(a, marks, width: int, fill) -> Column:
     """Items at the marked places of a list of ``width``, ``fill`` elsewhere."""
-    a, marks = col(a), col(marks)
-    place = lambda i: F.array_position(marks, i)
-    return F.transform(index(F.lit(width)), lambda i: F.when(place(i) > 0, F.get(a, (place(i) - 1).cast("int"))).otherwise(fill))
+    place = lambda i: F.array_position(col(marks), i)
+    return bound(a, lambda v: F.transform(index(F.lit(width)), lambda i: F.when(place(i) > 0, F.get(v, (place(i) - 1).cast("int"))).otherwise(fill)))
 
 
 def reverse_infixes(a, lengths: list[int]) -> Column:
@@ -407,10 +421,13 @@ def partition_sums(a, marks) -> Column:
 
 def slide(f, a, step: int = 1) -> Column:
     """f of neighbours, every ``step`` places; a negative step swaps them."""
-    a, s = col(a), abs(step)
-    n = F.floor((F.size(a) - 2) / s) + 1
-    pair = (lambda i: f(F.get(a, i * s + 1), F.get(a, i * s))) if step < 0 else (lambda i: f(F.get(a, i * s), F.get(a, i * s + 1)))
-    return F.transform(index(n), pair)
+    s = abs(step)
+
+    def pairs(v):
+        n = F.floor((F.size(v) - 2) / s) + 1
+        return F.transform(index(n), (lambda i: f(F.get(v, i * s + 1), F.get(v, i * s))) if step < 0 else (lambda i: f(F.get(v, i * s), F.get(v, i * s + 1))))
+
+    return bound(a, pairs)
 
 
 def dot(a, b) -> Column:

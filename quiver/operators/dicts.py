@@ -7,17 +7,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quiver.functions.expr import col
-from quiver.operators.cells import index
+from quiver.operators.cells import index, let
 
 
 def make(pairs) -> Column:
     """Dictionary of a list of (key, value) pairs; the last of equal keys stands, in
     the place of the first."""
-    pairs = col(pairs)
     field = lambda p, i: p.getField(("key", "value")[i])
-    names = F.array_distinct(F.transform(pairs, lambda p: field(p, 0)))
-    last = lambda k: F.element_at(F.filter(pairs, lambda p: field(p, 0) == k), -1)
-    return F.map_from_entries(F.transform(names, lambda k: F.struct(k.alias("key"), field(last(k), 1).alias("value"))))
+
+    def made(ps):
+        names = F.array_distinct(F.transform(ps, lambda p: field(p, 0)))
+        last = lambda k: F.element_at(F.filter(ps, lambda p: field(p, 0) == k), -1)
+        return F.map_from_entries(F.transform(names, lambda k: F.struct(k.alias("key"), field(last(k), 1).alias("value"))))
+
+    return let(col(pairs), made)
 
 
 def zipped(keys, values) -> Column:

@@ -307,6 +307,28 @@ def closure(edges: DataFrame, rounds: int = 64) -> DataFrame:
     raise RuntimeError(f"closure: not reached after {rounds} rounds")
 
 
+def shortest(edges: DataFrame, rounds: int = 64) -> DataFrame:
+    """(a, b, hops) of every pair that edges (a, b) connect, hops the fewest.  Paths
+    double each round, as in :func:`closure`, and each round is one job."""
+
+    def written(df):
+        seen = Observation()
+        out = materialize(df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum("hops").alias("s")))
+        return out, (seen.get["n"], seen.get["s"])
+
+    paths, size = written(edges.select("a", "b").distinct().withColumn("hops", F.lit(1)))
+    for _ in range(rounds):
+        on = paths.select(F.col("a").alias("m"), "b", F.col("hops").alias("more"))
+        step = paths.select("a", F.col("b").alias("m"), "hops").join(on, "m").select("a", "b", (F.col("hops") + F.col("more")).alias("hops"))
+        shorter, now = written(paths.union(step).groupBy("a", "b").agg(F.min("hops").alias("hops")))
+        discard(paths)
+        paths = shorter
+        if now == size:
+            return paths
+        size = now
+    raise RuntimeError(f"shortest: not reached after {rounds} rounds")
+
+
 def fixpoint(f, x: DataFrame, same, rounds: int = 64) -> DataFrame:
     """f applied until ``same(new, old)`` holds, or it is back where it began;
     an error if neither comes about in ``rounds`` rounds."""

@@ -11,7 +11,6 @@ from quiver.functions import text
 from quiver.operators import cells as c
 from quiver.operators import linalg as la
 from quiver.operators import tables as t
-from quiver.plans.scratch import materialize
 from quiver.plans.catalog import BY, BY_TS, _W, cell, doc, event, line, order, part, query, read
 
 # ---- text ------------------------------------------------------------------------
@@ -165,18 +164,10 @@ def row_norms(spark, sf_dir):
 _EDGES = "(SELECT n_nationkey a, (n_nationkey * 3 + 1) % 25 b FROM nation)"
 
 
-@query(f"WITH RECURSIVE d(node, hops) AS (SELECT 0, 0 UNION SELECT b::INT, hops + 1 FROM d JOIN {_EDGES} ON a = node WHERE hops < 30) SELECT node::INT node, min(hops)::INT hops FROM d GROUP BY 1")
+@query(f"WITH RECURSIVE e AS {_EDGES}, d(a, b, hops) AS (SELECT a, b, 1 FROM e UNION SELECT d.a, e.b, hops + 1 FROM d JOIN e ON e.a = d.b WHERE hops < 60) SELECT a::INT a, b::INT b, min(hops)::INT hops FROM d GROUP BY 1, 2")
 def distances(spark, sf_dir):
-    """Hops from node 0 by rounds over the edges: only nodes reached last go on."""
     edges = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("a"), ((F.col("n_nationkey") * 3 + 1) % 25).alias("b"))
-    seen = front = spark.createDataFrame([(0, 0)], "node int, hops int")
-    for hops in range(1, 31):
-        near = edges.join(front.select(F.col("node").alias("a")), "a").select(F.col("b").alias("node")).distinct()
-        front = materialize(near.join(seen.select("node"), "node", "left_anti").withColumn("hops", F.lit(hops)))
-        if front.isEmpty():
-            return seen
-        seen = seen.union(front)
-    raise RuntimeError("distances: nodes beyond 30 hops")
+    return t.shortest(edges)
 
 
 @query(f"SELECT user_id, min(n)::BIGINT periods FROM (SELECT user_id, row_number() OVER {_W}) n, round(sum(value) OVER {_W} ROWS UNBOUNDED PRECEDING), 6) s FROM events) WHERE s >= 100 GROUP BY 1")

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quiver.llm._common import SPACE, box, materialize, unbox
+from quiver.operators.cells import index, let, running
 
 #: Patterns by kind, strong ones first; the order is the order of kinds.
 ASSIGN = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -31,36 +32,6 @@ REACH = 256
 MARK = "[REDACTED]"
 
 
-def let(value: Column, use) -> Column:
-    """``use`` of a value that is worked out once."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
-def steps(n: Column) -> Column:
-    """0 .. n - 1, empty for n = 0."""
-    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-
-
-def running(values: Column, op) -> Column:
-    """Running ``op`` (associative) over an array of integers, in pieces of about the
-    root of its length, so that a long array is not copied for each of its items."""
-    def scan(a: Column) -> Column:
-        def step(acc, x):
-            return F.concat(acc, F.array(F.coalesce(op(F.get(acc, F.size(acc) - 1), x), x)))
-
-        return F.aggregate(a, F.array().cast("array<int>"), step)
-
-    def pieces(v: Column) -> Column:
-        width = F.greatest(F.lit(8), F.ceil(F.sqrt(F.size(v)))).cast("int")
-        return F.transform(steps(F.ceil(F.size(v) / width).cast("int")), lambda i: scan(F.slice(v, i * width + 1, width)))
-
-    def joined_up(parts: Column) -> Column:
-        ends = scan(F.transform(parts, lambda p: F.get(p, F.size(p) - 1)))
-        return let(ends, lambda e: F.flatten(F.transform(parts, lambda p, i: F.transform(p, lambda x: F.coalesce(op(F.get(e, i - 1), x), x)))))
-
-    return let(values, lambda v: let(pieces(v), joined_up))
-
-
 def matches(text: Column, pattern: str, rank: int, accept=None) -> Column:
     """array<struct<start, rank, end>> of a pattern's leftmost non-overlapping
     matches; ``accept`` filters them by (match, first group) and still lets a
@@ -186,4 +157,4 @@ def cut_out(text: Column, m: Column, mark: str) -> Column:
         whole = F.substring(text, from_(a) + 1, until(b - 1) - from_(a))
         return let(whole, lambda w: F.transform(F.sequence(a, b - 1), lambda i: F.substring(w, from_(i) - from_(a) + 1, until(i) - from_(i))))
 
-    return F.array_join(F.flatten(F.transform(steps(F.ceil(n / width).cast("int")), part)), mark)
+    return F.array_join(F.flatten(F.transform(index(F.ceil(n / width)), part)), mark)

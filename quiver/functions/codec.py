@@ -58,8 +58,98 @@ def deserialize(a, kind: str) -> Column:
     return F.from_json(col(a).cast("string"), f"v {kind}")["v"]
 
 
-def printable(a) -> Column:
-    return F.to_json(F.struct(col(a).alias("v")))
+def printable(a, kind: str) -> Column:
+    """Text that reads as the value in the notation, ``kind`` being its Spark type:
+    numbers of a list stand side by side, one alone behind a comma, other lists in
+    brackets; text is quoted."""
+    from quiver.functions.text import significant
+
+    a = col(a)
+    if kind.startswith("array<"):
+        inner = kind[6:-1]
+        simple_ = inner in ("int", "bigint", "double", "float")
+        items = F.transform(a, lambda x: printable(x, inner))
+        some = F.array_join(items, " ") if simple_ else F.concat(F.lit("("), F.array_join(items, ";"), F.lit(")"))
+        none = F.lit({"int": "!0", "bigint": "!0", "double": "0#0.0", "float": "0#0.0"}.get(inner, "()"))
+        return F.when(F.size(a) == 0, none).when(F.size(a) == 1, F.concat(F.lit(","), F.get(items, 0))).otherwise(some)
+    if kind == "string":
+        return F.concat(F.lit('"'), F.regexp_replace(a, r'(["\\\\])', r"\\$1"), F.lit('"'))
+    if kind in ("double", "float"):
+        return F.when(F.isnan(a) | a.isNull(), F.lit("0n")).otherwise(significant(a, 7))
+    return F.coalesce(a.cast("string"), F.lit("0N"))
+
+
+#: Widths of codes, the code that clears the table, and its size.
+NARROW, WIDE, CLEAR, TABLE = 9, 12, 256, 4096
+
+
+def lzw_pack(data: bytes) -> bytes:
+    """Codes of growing width for the longest runs met before; a full table is
+    cleared.  The length of the data goes ahead, in four bytes."""
+    table, width, out, bits, held = {bytes([i]): i for i in range(256)}, NARROW, bytearray(len(data).to_bytes(4, "little")), 0, 0
+    following = CLEAR + 1
+
+    def put(code):
+        nonlocal bits, held
+        held |= code << bits
+        bits += width
+        while bits >= 8:
+            out.append(held & 255)
+            held >>= 8
+            bits -= 8
+
+    run = b""
+    for i in range(len(data)):
+        longer = run + data[i : i + 1]
+        if longer in table:
+            run = longer
+            continue
+        put(table[run])
+        if following < TABLE:
+            table[longer] = following
+            following += 1
+            if following > 1 << width and width < WIDE:
+                width += 1
+        else:
+            put(CLEAR)
+            table, width, following = {bytes([i]): i for i in range(256)}, NARROW, CLEAR + 1
+        run = data[i : i + 1]
+    if run:
+        put(table[run])
+    if bits:
+        out.append(held & 255)
+    return bytes(out)
+
+
+def lzw_unpack(blob: bytes) -> bytes:
+    size, at, held, bits, width = int.from_bytes(blob[:4], "little"), 4, 0, 0, NARROW
+    table, following, before, out = {i: bytes([i]) for i in range(256)}, CLEAR + 1, b"", bytearray()
+    while len(out) < size:
+        while bits < width:
+            held |= blob[at] << bits
+            at, bits = at + 1, bits + 8
+        code, held, bits = held & ((1 << width) - 1), held >> width, bits - width
+        if code == CLEAR:
+            table, following, before, width = {i: bytes([i]) for i in range(256)}, CLEAR + 1, b"", NARROW
+            continue
+        run = table[code] if code in table else before + before[:1]
+        out += run
+        if before and following < TABLE:
+            table[following] = before + run[:1]
+            following += 1
+        # the packer is one entry ahead
+        if following + 1 > 1 << width and width < WIDE and following < TABLE:
+            width += 1
+        before = run
+    return bytes(out)
+
+
+def lzw(a) -> Column:
+    return _each(lzw_pack, col(a).cast("binary"))
+
+
+def unlzw(a) -> Column:
+    return _each(lzw_unpack, col(a))
 
 
 def aes_ctr(a, key_hex: str, iv_hex: str) -> Column:

@@ -52,3 +52,9 @@ def leap(year) -> Column:
 
 def days_in_month(ts) -> Column:
     return F.dayofmonth(F.last_day(col(ts)))
+
+
+def now() -> Column:
+    """(YYYYMMDD, HHMMSS) of the present moment, GMT; one for a whole query."""
+    t = F.current_timestamp()
+    return F.struct(yyyymmdd(t).alias("day"), F.date_format(t, "HHmmss").cast("int").alias("time"))

@@ -82,20 +82,18 @@ def expand(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInPandas(run, schema)
 
 
-def save(fn, path: str) -> None:
-    """A function with the values it captures, as bytes in a file."""
+def dumps(fn) -> bytes:
+    """A function with the values it captures, as bytes."""
     from pyspark import cloudpickle
 
-    with open(path, "wb") as f:
-        f.write(cloudpickle.dumps(fn))
+    return cloudpickle.dumps(fn)
 
 
-def load(path: str):
-    """A function that :func:`save` wrote; only for files one trusts."""
+def loads(data: bytes):
+    """A function that :func:`dumps` wrote; only for bytes one trusts."""
     from pyspark import cloudpickle
 
-    with open(path, "rb") as f:
-        return cloudpickle.loads(f.read())
+    return cloudpickle.loads(data)
 
 
 class Memo:
@@ -116,3 +114,24 @@ class Memo:
 
 def memo(fn) -> Memo:
     return Memo(fn)
+
+
+def native(library: str, symbol: str, kinds: list[str], returns: str):
+    """A C function of numbers as a Column function: looked up by each worker in a
+    library that it has, ``kinds`` and ``returns`` being double, float, int or long."""
+    import ctypes
+
+    types = {"double": ctypes.c_double, "float": ctypes.c_float, "int": ctypes.c_int32, "long": ctypes.c_int64}
+
+    def call(*args):
+        fn = _LINKED.get((library, symbol))
+        if fn is None:
+            fn = getattr(ctypes.CDLL(library), symbol)
+            fn.argtypes, fn.restype = [types[k] for k in kinds], types[returns]
+            _LINKED[library, symbol] = fn
+        return fn(*args)
+
+    return column(call, returns)
+
+
+_LINKED: dict = {}

@@ -386,9 +386,12 @@ def is_sorted(a) -> Column:
 
 
 def path(m, *at) -> Column:
-    """Item at a path of positions and names; null where it leads nowhere."""
+    """Item at a path of positions and names, None standing for every item; null
+    where it leads nowhere."""
     out = col(m)
-    for i in at:
+    for n, i in enumerate(at):
+        if i is None:
+            return F.transform(out, lambda x: path(x, *at[n + 1 :]))
         out = out.getField(i) if isinstance(i, str) else F.get(out, i)
     return out
 

@@ -131,3 +131,48 @@ def timed(action) -> tuple[float, object]:
     t = time.perf_counter()
     out = action()
     return (time.perf_counter() - t) * 1000, out
+
+
+class Console:
+    """The system commands over a namespace, as lines that begin with a backslash."""
+
+    HELP = {
+        "l": "run a script", "t": "time an expression", "p": "digits printed", "zc": "how close to zero is zero", "e": "raise errors (1) or report them (0)", "d": "change the namespace",
+        "m": "listen on a port", "v": "names", "V": "names and kinds", "\\\\": "end",
+    }
+
+    def __init__(self, ns: Namespace, settings: Settings | None = None, handlers: dict | None = None):
+        self.ns, self.settings, self.handlers, self.at, self.listeners = ns, settings or Settings(), handlers or {}, "", []
+
+    def run(self, line: str):
+        from quiver.sources import remote, system
+
+        word, _, rest = line[1:].partition(" ")
+        if word == "" or word == "?":
+            return self.HELP
+        if word == "\\":
+            system.leave(self.ns.spark)
+        if word == "l":
+            return system.load(rest)
+        if word == "t":
+            return timed(lambda: self.ns.spark.sql(rest).count())[0]
+        if word == "p":
+            self.settings.digits = int(rest or self.settings.digits)
+            return self.settings.digits
+        if word == "zc":
+            self.settings.zero = float(rest or self.settings.zero)
+            return self.settings.zero
+        if word == "e":
+            self.settings.raise_errors = bool(int(rest or self.settings.raise_errors))
+            return int(self.settings.raise_errors)
+        if word == "d":
+            self.at = rest.strip()
+            return self.at
+        if word == "m":
+            self.listeners.append(remote.Listener(self.handlers, int(rest or 0)))
+            return self.listeners[-1].address[1]
+        if word == "v":
+            return self.ns.names(self.at)
+        if word == "V":
+            return [x for x in self.ns.verbose() if x[0].startswith(self.at)]
+        signal("parse", line)

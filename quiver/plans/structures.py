@@ -3,15 +3,18 @@ front-end, over whole tables."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quiver.functions import expr as e
-from quiver.functions import text, udf
+from quiver.functions import bignum, codec, dates, text, udf
 from quiver.operators import cells as c
 from quiver.operators import dicts as d
-from quiver.operators import tables as t
-from quiver.plans.catalog import cell, event, line, order, part, query, read
-from quiver.plans.session import ERRORS, Namespace, Settings, signal, trap
+from quiver.plans.catalog import cell, doc, part, query, read
+from quiver.plans.session import ERRORS, Console, Namespace, Settings, signal, trap
+from quiver.plans.scratch import scratch_dir
+from quiver.sources import files, remote
 
 # ---- dictionaries ------------------------------------------------------------------
 
@@ -124,13 +127,9 @@ def user_rows(spark, sf_dir):
 
 @query("SELECT p_partkey, p_size * 2 + 5 v FROM part")
 def saved_function(spark, sf_dir):
-    import os
-    import tempfile
-
-    shift = 5
-    folder = tempfile.mkdtemp()  # the driver's own: the function goes to workers with the plan
-    udf.save(lambda x: x * 2 + shift, os.path.join(folder, "f"))
-    again = udf.load(os.path.join(folder, "f"))
+    shift, path = 5, f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+    files.write_bytes(spark, path, udf.dumps(lambda x: x * 2 + shift))
+    again = udf.loads(files.read_slice(spark, path, 0, 1 << 20))
     return read(spark, sf_dir, "part").select("p_partkey", again(F.col("p_size")).alias("v"))
 
 
@@ -193,3 +192,54 @@ def print_precision(spark, sf_dir):
 @query("SELECT p_partkey, CASE WHEN abs(p_size - 25) < 3 THEN '0' ELSE (p_size - 25)::VARCHAR END v FROM part")
 def zero_clamp(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", Settings(zero=3.0).shown(F.col("p_size") - 25.0).alias("v"))
+
+
+@query("SELECT * FROM (VALUES ('d', 'a'), ('e', '0'), ('p', '3'), ('v', 'a.b'), ('zc', '0.5')) v(command, answer)")
+def system_commands(spark, sf_dir):
+    ns = Namespace(spark, "q_console")
+    ns.assign("a.b", 1)
+    ns.assign("other", 2)
+    console = Console(ns)
+    said = {w: console.run(f"\\{w} {x}".rstrip()) for w, x in (("p", "3"), ("zc", "0.5"), ("e", "0"), ("d", "a"), ("v", ""))}
+    return spark.createDataFrame([(k, ",".join(v) if isinstance(v, list) else str(v)) for k, v in sorted(said.items())], "command string, answer string")
+
+
+@query("SELECT * FROM (VALUES ('ask', 42), ('error', 1), ('rows', (SELECT count(*)::INT FROM nation)), ('sent', 3)) v(name, x)")
+def messages(spark, sf_dir):
+    """A listener and its client: answers, errors, one-way messages, a table's rows."""
+    got = []
+    read(spark, sf_dir, "nation").createOrReplaceGlobalTempView("q_messages")
+    server = remote.Listener({"add": lambda a, b: a + b, "keep": lambda x: got.append(x), "kept": lambda: sum(got)} | remote.table_handlers(spark))
+    handle = remote.connect(*server.address)
+    try:
+        for x in (1, 2):
+            handle.send("keep", x)
+        sent = handle.ask("kept")  # messages of a connection are handled in order
+        rows = [("ask", handle.ask("add", 40, 2)), ("error", trap(handle.ask, "nobody")[0]), ("rows", len(handle.ask("sql", "SELECT * FROM global_temp.q_messages"))), ("sent", sent)]
+    finally:
+        handle.close()
+        server.close()
+    return spark.createDataFrame(rows, "name string, x int")
+
+
+# ---- codecs, native code, large numbers, the clock -------------------------------------------------
+
+
+doc("lzw_round", lambda: F.array(F.md5(codec.unlzw(codec.lzw("text"))), (F.octet_length(codec.lzw("source")) > 0).cast("string")), "[md5(text), 'true']")
+cell("printable", lambda v: codec.printable(F.transform(F.transform(F.col(v), lambda x: F.floor(x * 10).cast("int")), lambda x: x), "array<int>"), "list_aggregate([floor(x * 10)::INT::VARCHAR FOR x IN v], 'string_agg', ' ')")
+part("printable_text", lambda: codec.printable("p_type", "string"), "'\"' || p_type || '\"'")
+part("printable_nested", lambda: codec.printable(F.array(F.array(F.col("p_size"), F.lit(1)), F.array(F.col("p_size"))), "array<array<int>>"), "'(' || p_size || ' 1;,' || p_size || ')'")
+cell("path_all", lambda v: c.path(c.reshape(v, 8, 8), None, 5), "[v[i * 8 + 6] FOR i IN range(0, 8)]")
+part("native_cbrt", lambda: F.round(udf.native("libm.so.6", "cbrt", ["double"], "double")(F.col("p_size").cast("double")), 9), "round(cbrt(p_size), 9)")
+part("big_factorial", lambda: bignum.factorial(F.col("p_size") % 30), "factorial(p_size % 30)::VARCHAR")
+part("big_product", lambda: bignum.remainder(bignum.multiply(bignum.power(F.lit(10), F.lit(40)), "p_partkey"), F.lit(97)), "((10000000000::HUGEINT * 10000000000 % 97) * (10000000000::HUGEINT * 10000000000 % 97) * p_partkey % 97)::VARCHAR")
+
+
+@query("SELECT true AS same")
+def clock_now(spark, sf_dir):
+    """The clock of the query against the driver's, a day apart at most."""
+    import datetime
+
+    day = spark.range(1).select(dates.now().alias("n")).first().n.day
+    gap = abs((datetime.datetime.strptime(str(day), "%Y%m%d") - datetime.datetime.now()).days)
+    return spark.createDataFrame([(gap <= 1,)], "same boolean")

@@ -159,3 +159,23 @@ def test_reserved_names():
     for name in ("sin", "while", "1x", "a.if", "x y"):
         with pytest.raises(ERRORS["reserved"]):
             Namespace(None).assign(name, 1)
+
+
+def test_messages_between_processes():
+    from quiver.plans.session import trap
+    from quiver.sources import remote
+
+    closed, made = [], []
+    server = remote.Listener(per_client=lambda: made.append({}) or {"put": made[-1].update, "get": lambda n=len(made): made[n - 1]}, closed=closed.append)
+    a, b = remote.connect(*server.address), remote.Handle(*server.address)
+    assert remote.connect(*server.address) is a
+    a.send("put", {"x": 1})
+    assert a.ask("get") == {"x": 1} and b.ask("get") == {}
+    assert trap(a.ask, "nobody") == (1, "value") and trap(a.ask, "put", 1, 2, 3)[0] == 1
+    a.close()
+    b.close()
+    end = time.time() + 10
+    while len(closed) < 2 and time.time() < end:
+        time.sleep(0.05)
+    server.close()
+    assert len(closed) == 2

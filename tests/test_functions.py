@@ -158,3 +158,25 @@ def test_draws_do_not_depend_on_partitions(spark):
     df = spark.range(1000)
     a, b = (sorted(tuple(r) for r in df.repartition(n).select("id", draws.uniform(1, "id")).collect()) for n in (2, 5))
     assert a == b and 0.45 < sum(u for _, u in a) / 1000 < 0.55 and all(0 <= u < 1 for _, u in a)
+
+
+def test_lzw():
+    import os
+
+    for data in (b"", b"a", b"aaaa", b"abab" * 5000, os.urandom(20_000), bytes(range(256)) * 40, b"the cat and the hat " * 3000):
+        assert codec.lzw_unpack(codec.lzw_pack(data)) == data
+    assert len(codec.lzw_pack(b"abab" * 5000)) < 1000
+
+
+def test_printable(spark):
+    show = lambda x, kind: one(spark, codec.printable(x, kind))
+    assert show(F.array(F.lit(1), F.lit(2)), "array<int>") == "1 2" and show(F.array(F.lit(1)), "array<int>") == ",1"
+    assert show(F.array().cast("array<int>"), "array<int>") == "!0" and show(F.lit('a"b'), "string") == '"a\\"b"'
+    assert show(F.array(F.array(F.lit(1.5), F.lit(2.0))), "array<array<double>>") == ",1.5 2"
+
+
+def test_big_numbers(spark):
+    from quiver.functions import bignum as b
+
+    assert one(spark, b.power(F.lit(2), F.lit(200))) == str(2**200) and one(spark, b.quotient(F.lit(str(10**30)), F.lit(7))) == str(10**30 // 7)
+    assert one(spark, b.add(F.lit(None).cast("string"), F.lit(1))) is None and one(spark, b.quotient(F.lit(1), F.lit(0))) is None

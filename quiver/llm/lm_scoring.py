@@ -37,7 +37,7 @@ ORDER = 5
 #: Bytes of a context that name its bucket; shorter contexts are broadcast.
 NEAR = 3
 #: Text bytes of a block, and places of its text worked on at once.
-BLOCK, RUN = 12_000_000, 1 << 18
+BLOCK, RUN = 8_000_000, 1 << 18
 #: Symbols: 256 byte values and one to spare.
 ALPHABET = 257
 #: What lies before a text.
@@ -143,7 +143,7 @@ class Block:
             n = np.diff(np.append(first, len(marked)))
             keys.append(marked[first] >> np.uint64(1))
             sums.append(np.where(marked[first] & np.uint64(1), n, 0))
-            if sum(map(len, keys[1:])) > max(len(keys[0]), 1 << 21):
+            if sum(map(len, keys[1:])) > max(len(keys[0]), 1 << 20):
                 keys, sums = ([x] for x in totals(np.concatenate(keys), np.concatenate(sums)))
         key, n = totals(np.concatenate(keys), np.concatenate(sums))
         order = np.argsort(self.gram_bucket(key), kind="stable")

@@ -243,3 +243,30 @@ def clock_now(spark, sf_dir):
     day = spark.range(1).select(dates.now().alias("n")).first().n.day
     gap = abs((datetime.datetime.strptime(str(day), "%Y%m%d") - datetime.datetime.now()).days)
     return spark.createDataFrame([(gap <= 1,)], "same boolean")
+
+
+# ---- the text front-end over lists ---------------------------------------------------------------
+
+
+def noted(name, text_, sql, digits=None):
+    def run(spark, sf_dir):
+        from quiver.plans import notation
+
+        v = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+        return notation.select(v, vec_id="vec_id", r=text_)
+
+    run.__name__ = name
+    query(f"SELECT vec_id, {sql} r FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) v FROM embeddings)")(run)
+
+
+noted("notation_each", "{x*x}'v", "[x * x FOR x IN v]")
+noted("notation_max", "|/v", "list_max(v)")
+noted("notation_sorted", "v@<v", "list_sort(v)")
+noted("notation_positive", "&v>0.2", "list_filter([CASE WHEN v[i + 1] > 0.2::DOUBLE THEN i::INT END FOR i IN range(0, 64)], lambda x: x IS NOT NULL)")
+noted("notation_reshape", "8 8#v", "[v[i * 8 + 1:i * 8 + 8] FOR i IN range(0, 8)]")
+noted("notation_flip", "+8 8#v", "[[v[i * 8 + j + 1] FOR i IN range(0, 8)] FOR j IN range(0, 8)]")
+noted("notation_maxima", "|/'8 8#v", "[list_max(v[i * 8 + 1:i * 8 + 8]) FOR i IN range(0, 8)]")
+noted("notation_index", "(8 8#v)[;3]", "[v[i * 8 + 4] FOR i IN range(0, 8)]")
+noted("notation_lambda", "{[a;b]d:a-b;d*d}'[v;|v]", "[(v[i] - v[65 - i]) * (v[i] - v[65 - i]) FOR i IN range(1, 65)]")
+noted("notation_condition", ":[v[0]>v[1];1;v[0]<v[1];-1;0]", "CASE WHEN v[1] > v[2] THEN 1 WHEN v[1] < v[2] THEN -1 ELSE 0 END")
+noted("notation_right", "2 */2#v", "[2 * v[1], 2 * v[2]]")

@@ -26,10 +26,26 @@ def test_folds(df):
 
 @pytest.mark.parametrize("text", ["", "x+", "x x", "(x", "x;y", "__import__('os')", "<x"])
 def test_refused(df, text):
-    with pytest.raises((ERRORS["parse"], ERRORS["valence"])):
+    with pytest.raises((ERRORS["parse"], ERRORS["valence"], ERRORS["rank"], ERRORS["value"])):
         select(df, a=text)
 
 
+@pytest.mark.parametrize("text,want", [
+    ("2*v", [6, 2, 4]), ("v+v", [6, 2, 4]), ("+/v", 6), ("+\\v", [3, 4, 6]), ("|/v", 3), ("*v", 3), ("|v", [2, 1, 3]), ("#v", 3), ("<v", [1, 2, 0]), ("v@<v", [1, 2, 3]),
+    ("v[2]", 2), ("v[0 2]", [3, 2]), ("2#v", [3, 1]), ("-1_v", [3, 1]), ("v,v", [3, 1, 2, 3, 1, 2]), ("v?2", 2), ("?v,v", [3, 1, 2]), ("&v>1", [0, 2]), ("v[&v>1]", [3, 2]),
+    ("{x*x}'v", [9, 1, 4]), ("v{x-y}'v", [0, 0, 0]), ("{x+2*y}/v", 9), ("{[a;b]c:a*b;c+1}[2;3]", 7), (":[x>1;10;20]", 20), ("x:[0;1;2]", None), ("2 3#v", [[3, 1, 2], [3, 1, 2]]),
+    ("(2 3#v)[1;0]", 3), ("(2 3#v)[;0]", [3, 3]), ("+2 3#v", [[3, 3], [1, 1], [2, 2]]), ("1 +/v", [4, 2, 3]), ("v -\\1", [2, 0, 1]), ("!4", [0, 1, 2, 3]), ("v~|v", 0), ("v~v", 1),
+    ("{_ x%2}/9", 0), ("{_ x%2}\\9", [9, 4, 2, 1, 0]), ("0 2_v", [[3, 1], [2]]), ("+/'2 3#v", [6, 6]), ("5-3", 2), ("5 -3", [5, -3]), ("x-1", 0), ("=v,3", [[0, 3], [1], [2]]), ("$v", ["3", "1", "2"]), ("+/{x*x}'!5", 30),
+])
+def test_lists(spark, text, want):
+    one = spark.createDataFrame([(1, [3, 1, 2])], "x int, v array<int>")
+    if want is None:
+        with pytest.raises(tuple(ERRORS.values())):
+            select(one, a=text)
+    else:
+        assert select(one, a=text).first().a == want
+
+
 def test_functions_as_values(df):
     f = udf.project(lambda a, b, c: (a, b, c), 1, udf.OPEN, 3)
     assert f(2) == (1, 2, 3) and udf.valence(lambda a, b: 0) == 2 and udf.compose(abs, min)([-3, 2]) == 3

@@ -125,16 +125,17 @@ def log(a) -> Column:
     return F.when(a == 0, F.lit(-INF)).when(a < 0, F.lit(float("nan"))).otherwise(F.log(a))
 
 
-def shift(a, n) -> Column:
-    """Left shift, or right for a negative count, modulo 64."""
-    a, n = col(a).cast("long"), col(n).cast("int")
-    return F.when(n < 0, F.call_function("shiftright", a, (-n) % 64)).otherwise(F.call_function("shiftleft", a, n % 64))
+def shift(a, n, bits: int = 64) -> Column:
+    """Left shift, or right for a negative count, modulo the width, of longs or of
+    32-bit ints."""
+    a, n = col(a).cast("long" if bits == 64 else "int"), col(n).cast("int")
+    return F.when(n < 0, F.call_function("shiftright", a, (-n) % bits)).otherwise(F.call_function("shiftleft", a, n % bits))
 
 
-def rotate_bits(a, n) -> Column:
-    """64-bit rotation to the left."""
-    a, k = col(a).cast("long"), F.pmod(col(n).cast("int"), F.lit(64))
-    right = F.call_function("shiftrightunsigned", a, (64 - k) % 64)
+def rotate_bits(a, n, bits: int = 64) -> Column:
+    """Rotation to the left of longs or of 32-bit ints."""
+    a, k = col(a).cast("long" if bits == 64 else "int"), F.pmod(col(n).cast("int"), F.lit(bits))
+    right = F.call_function("shiftrightunsigned", a, (bits - k) % bits)
     return F.when(k == 0, a).otherwise(F.call_function("shiftleft", a, k).bitwiseOR(right))
 
 

@@ -99,6 +99,14 @@ def amend(df: DataFrame, updates: DataFrame, value: str, pos: str = "pos") -> Da
     return df.join(new, pos, "left").withColumn(value, F.coalesce("__new", value)).drop("__new")
 
 
+def insert_after(df: DataFrame, new: DataFrame, value: str, pos: str = "pos") -> DataFrame:
+    """``new`` rows (after, turn, value) behind the positions they name, -1 being ahead of
+    all, in order of ``turn``; positions are numbered again."""
+    old = df.select(F.col(pos).cast("long").alias("__p"), F.lit(0).alias("__k"), F.lit(0).alias("__o"), value)
+    rows = old.union(new.select(F.col("after").cast("long"), F.lit(1), F.col("turn").cast("int"), value))
+    return with_pos(rows, ["__p", "__k", "__o"], pos).select(pos, value)
+
+
 def delete_at(df: DataFrame, positions: DataFrame, pos: str = "pos") -> DataFrame:
     return df.join(positions.select(pos), pos, "left_anti")
 

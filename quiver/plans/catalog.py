@@ -85,6 +85,8 @@ order("bit_not", lambda: F.bitwise_not("o_orderkey"), "~o_orderkey")
 order("shift_left", lambda: e.shift("o_orderkey", 3), "o_orderkey << 3")
 order("shift_right", lambda: e.shift("o_orderkey", -3), "o_orderkey >> 3")
 order("rotate_bits", lambda: e.rotate_bits("o_orderkey", 60), "CASE WHEN o_orderkey % 16 >= 8 THEN (o_orderkey % 16 - 16) * 1152921504606846976 ELSE o_orderkey % 16 * 1152921504606846976 END + (o_orderkey // 16)::BIGINT")
+order("shift_int", lambda: e.shift("o_orderkey", 29, 32), "CASE WHEN o_orderkey % 8 >= 4 THEN ((o_orderkey % 8 - 8) * 536870912)::INT ELSE (o_orderkey % 8 * 536870912)::INT END")
+order("rotate_int", lambda: e.rotate_bits("o_orderkey", 29, 32), "(CASE WHEN o_orderkey % 8 >= 4 THEN (o_orderkey % 8 - 8) * 536870912 ELSE o_orderkey % 8 * 536870912 END + o_orderkey // 8)::INT")
 order("power", lambda: F.round(e.power(F.col("o_totalprice"), F.lit(0.5)), 6), "round(pow(o_totalprice, 0.5), 6)")
 part("choose", lambda: F.round(e.choose(F.col("p_size"), F.lit(2)), 4), "round(p_size * (p_size - 1) / 2.0::DOUBLE, 4)")
 part("math_log", lambda: F.round(e.log("p_retailprice"), 9), "round(ln(p_retailprice), 9)")
@@ -560,11 +562,12 @@ def modinv(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", nt.modinv("p_partkey", F.lit(101)).alias("inv"))
 
 
-@query()
+@query("SELECT doc_id, source AS opened, 2 * octet_length(encode(source))::INT AS size FROM documents")
 def aes_counter(spark, sf_dir):
+    """Sealed and opened again; a published vector is among the tests."""
     key, iv = "00" * 31 + "01", "00" * 15 + "07"
     d = read(spark, sf_dir, "documents").select("doc_id", codec.aes_ctr("source", key, iv).alias("sealed"))
-    return d.select("doc_id", "sealed", F.unhex(codec.aes_ctr(F.unhex("sealed"), key, iv)).cast("string").alias("opened"))
+    return d.select("doc_id", F.unhex(codec.aes_ctr(F.unhex("sealed"), key, iv)).cast("string").alias("opened"), F.length("sealed").alias("size"))
 
 
 _U = "(('0x' || substr(md5('{}:' || {}), 1, 13))::BIGINT / 4503599627370496)"
@@ -696,6 +699,66 @@ def stream_running(spark, sf_dir):
     return got.select("user_id", "n", F.round("s", 4).alias("s"))
 
 
+@query("SELECT count(*) n, count(DISTINCT user_id) users FROM events")
+def stream_watch(spark, sf_dir):
+    """A watcher sees every new row of a table once."""
+    from quiver.streaming import live
+
+    seen = []
+    live.watch(_stream(spark, sf_dir, "events"), lambda df, n: seen.append(df.agg(F.count("*"), F.countDistinct("user_id")).first())).awaitTermination()
+    return spark.createDataFrame([tuple(r) for r in seen], "n long, users long")
+
+
+@query("SELECT event_type, count(*) n FROM events WHERE event_type IN ('click', 'view') GROUP BY 1")
+def stream_handlers(spark, sf_dir):
+    """Rows go to the handler of their kind; the handlers of two kinds count theirs."""
+    from quiver.streaming import live
+
+    seen = {"click": 0, "view": 0}
+    count = lambda kind: lambda df, n: seen.update({kind: seen[kind] + df.count()})
+    live.handlers(_stream(spark, sf_dir, "events"), "event_type", {k: count(k) for k in seen}).awaitTermination()
+    return spark.createDataFrame([(k, n) for k, n in seen.items() if n], "event_type string, n long")
+
+
+@query("SELECT user_id, since, count(*) n FROM (SELECT user_id, ts, min(ts) OVER (PARTITION BY user_id, s) since FROM (SELECT user_id, ts, sum(f) OVER (PARTITION BY user_id ORDER BY ts, event_id) s FROM (SELECT user_id, ts, event_id, (coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 30 MINUTE, true))::INT f FROM events))) GROUP BY 1, 2")
+def stream_sessions(spark, sf_dir):
+    from quiver.streaming import live
+
+    got = live.drain(live.sessions(_stream(spark, sf_dir, "events"), "ts", "30 minutes", "10 minutes", ["user_id"]), mode="complete")
+    return got.select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("since"), "n")
+
+
+@query("SELECT unnest([0, 1]) AS tick")
+def timer_ticks(spark, sf_dir):
+    """The first two ticks of a recurring call; calls never overlap."""
+    import time
+
+    from quiver.streaming import live
+
+    ticks, end = [], time.time() + 60
+    handle = live.timer(spark, 0.1, ticks.append)
+    try:
+        while len(ticks) < 2 and time.time() < end:
+            time.sleep(0.02)
+    finally:
+        handle.stop()
+    return spark.createDataFrame([(int(x),) for x in ticks[:2]], "tick int")
+
+
+@query("SELECT count(*) n FROM events")
+def stream_barrier(spark, sf_dir):
+    """All that has come is handled once the barrier returns."""
+    from quiver.streaming import live
+
+    seen = []
+    q = _stream(spark, sf_dir, "events").writeStream.foreachBatch(lambda df, n: seen.append(df.count())).start()
+    try:
+        live.barrier(q)
+    finally:
+        q.stop()
+    return spark.createDataFrame([(sum(seen),)], "n long")
+
+
 # ---- vectors as a whole ---------------------------------------------------------------------------------
 
 
@@ -732,6 +795,21 @@ def take_turns(spark, sf_dir):
     return t.take(read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("pos"), F.col("n_name").alias("v")), 60)
 
 
+@query("SELECT row_number() OVER (ORDER BY p, k, o) - 1 pos, v FROM (SELECT n_nationkey p, 0 k, 0 o, n_name v FROM nation UNION ALL SELECT 2, 1, 0, 'first' UNION ALL SELECT 2, 1, 1, 'second' UNION ALL SELECT -1, 1, 0, 'ahead')")
+def insert_rows(spark, sf_dir):
+    v = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("pos"), F.col("n_name").alias("v"))
+    new = spark.createDataFrame([(2, 0, "first"), (2, 1, "second"), (-1, 0, "ahead")], "after long, turn int, v string")
+    return t.insert_after(v, new, "v")
+
+
+@query("SELECT l_returnflag, l_linestatus, sum(l_linenumber * l_linenumber)::BIGINT folded FROM lineitem GROUP BY 1, 2")
+def user_fold_parts(spark, sf_dir):
+    from quiver.functions import udf
+
+    rows = read(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_linenumber")
+    return udf.fold_parts(rows, ["l_returnflag", "l_linestatus"], "l_linenumber", lambda a, x: a + x * x, lambda a, b: a + b, 0, "long")
+
+
 @query("SELECT bool_and(a.o_orderstatus IS NOT DISTINCT FROM b.o_orderstatus) AS \"match\" FROM orders a FULL JOIN orders b USING (o_orderkey)")
 def match_vectors(spark, sf_dir):
     o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pos"), "o_orderstatus")

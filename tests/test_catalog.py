@@ -24,14 +24,6 @@ def test_no_plan_has_one_task_for_all_rows(spark, sf_dir):
         assert "SinglePartition" not in plan, name
 
 
-def test_rows_only(spark, sf_dir):
-    q = catalog.queries()
-    from pyspark.sql import functions as F
-
-    opened = q["aes_counter"](spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
-    assert opened.where(F.col("opened") != F.col("source")).isEmpty()
-
-
 def test_entry(spark):
     import __spark_entry__ as entry
 

@@ -3,6 +3,7 @@ blocks, repeated ids; and operators held against their method said plainly."""
 
 import re
 import time
+import zlib
 
 import numpy as np
 import pytest
@@ -64,6 +65,47 @@ def test_toxicity_recall_and_repeated_ids(spark):
     assert all(np.array_equal(x, y) for x, y in zip(a, b))
 
 
+def test_toxicity_by_plain_ftrl(spark):
+    """Weights and scores against per-coordinate updates in dictionaries."""
+    texts = ["you are bad bad", "what a nice day", "bad day for you", "nice nice people here", "you people are bad", "a day of rest", ""]
+    marks = [1, 0, 1, 0, 1, 0, 0]
+
+    def coordinates(text):
+        words = [zlib.crc32(w) for w in toxicity.words_of(text)]
+        mul = lambda a, b: a * b & 0xFFFFFFFF
+        out = {mul(h, 0x9E3779B1) >> 12 for h in words}
+        for gap, salt in ((1, 0x85EBCA6B), (2, 0xC2B2AE35)):
+            for a, b in zip(words, words[gap:]):
+                x = mul(a, salt) ^ mul((b + gap) & 0xFFFFFFFF, 0x27D4EB2F)
+                out.add(mul(x ^ (x >> 15), 0x9E3779B1) >> 12)
+        return sorted(out)
+
+    rows = [(np.array(coordinates(t), np.int32), y) for t, y in zip(texts, marks)] * 12
+    z, n, bz, bn = {}, {}, 0.0, 0.0
+    weight = lambda i: 0.0 if abs(z.get(i, 0.0)) <= 6 else -np.sign(z[i]) * (abs(z[i]) - 6) / (1 + np.sqrt(n[i]) + 1)
+    rng = np.random.default_rng(7)
+    for _ in range(5):
+        for k in rng.permutation(len(rows)):
+            at, y = rows[k]
+            b = -bz / (1 + np.sqrt(bn))
+            w = {i: weight(i) for i in at.tolist()}
+            g = 1 / (1 + np.exp(-(sum(w.values()) + b))) - y
+            for i, x in w.items():
+                old = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - (np.sqrt(old + g * g) - np.sqrt(old)) * x
+                n[i] = old + g * g
+            bz += g - (np.sqrt(bn + g * g) - np.sqrt(bn)) * b
+            bn += g * g
+    model = toxicity.fit(rows)
+    want = {i: weight(i) for i in z if weight(i)}
+    assert model[0].tolist() == sorted(want) and np.allclose(model[1], [want[i] for i in sorted(want)], rtol=1e-4)
+    bias = -bz / (1 + np.sqrt(bn))
+    plain = [1 / (1 + np.exp(-(sum(want.get(i, 0.0) for i in coordinates(t)) + bias))) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.score for r in toxicity.predict(df, model).orderBy("doc_id").collect()]
+    assert got == pytest.approx(plain, rel=1e-4) and got[0] > 0.5 > got[1]
+
+
 # ---- 2 ---------------------------------------------------------------------------
 
 

@@ -27,8 +27,8 @@ from quiver.llm.vectors import cosine, matrix, packed, unit, usable
 
 #: Vectors of a home chunk, and of a chunk that meets it, and bytes of either.
 HOME, GUEST, CHUNK_BYTES = 8_192, 16_384, 32 << 20
-#: Vectors whose places are worked out at once.
-ROWS = 1_024
+#: Vectors whose places are worked out at once, and pairs compared at once.
+ROWS, PAIRS = 1_024, 1 << 21
 
 
 def apart(p: np.ndarray, least: float) -> np.ndarray:
@@ -58,9 +58,11 @@ def chunk_links(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, t:
     root of each row of a then b)."""
     ua, ub = unit(a).astype(np.float32), unit(b).astype(np.float32)
     margin = 1e-5 + 1e-6 * math.sqrt(a.shape[1])
-    la, lb, us, vs = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64), [], []
-    for s in range(0, len(a), 512):
-        dots = ua[s : s + 512] @ ub.T
+    la, lb = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+    root = np.arange(len(a) if triangle else len(a) + len(b))
+    step = max(1, min(512, PAIRS // max(1, len(b))))
+    for s in range(0, len(a), step):
+        dots = ua[s : s + step] @ ub.T
         i, j = np.nonzero(dots >= t - margin)
         i += s
         if triangle:
@@ -75,10 +77,10 @@ def chunk_links(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, t:
             i, j = i[ok], j[ok]
         la += np.bincount(i, nb[j], len(a)).astype(np.int64)
         lb += np.bincount(j, na[i], len(b)).astype(np.int64)
-        us.append(i)
-        vs.append(j if triangle else j + len(a))
-    n = len(a) if triangle else len(a) + len(b)
-    root = local_roots(n, np.concatenate(us), np.concatenate(vs))
+        u, v = root[i], root[j if triangle else j + len(a)]
+        new = u != v  # links inside a component already known are counted and go
+        if new.any():
+            root = local_roots(len(root), u[new], v[new])[root]
     return la, lb, root
 
 

@@ -25,6 +25,8 @@ from quiver.llm.vectors import matrix, packed
 CANDIDATES, QUERIES, SLAB_BYTES = 65_536, 8_192, 64 << 20
 #: Candidates and queries of a block inside a tile.
 ROWS, HEADS = 4_096, 1_024
+#: Pairs that a block of queries keeps before it works out their distances.
+PAIRS = 1 << 20
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -42,16 +44,28 @@ def exponent(x: np.ndarray) -> np.ndarray:
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row by row, components added in order; scaled by powers of two, which are
-    exact, so that no square leaves the range of doubles."""
+    """Row by row, components added in order; where squares could leave the range of
+    doubles, under powers of two, which are exact."""
+    if not len(a):
+        return np.zeros(0)
+    if max(np.abs(a).max(), np.abs(b).max()) < 1e150:
+        gap = np.ascontiguousarray((a - b).T)
+        top = np.abs(gap).max(axis=0)
+        if ((top == 0) | (top > 1e-140)).all():
+            return np.sqrt(squares(gap))
     e = np.maximum(exponent(a), exponent(b)) + 1
     gap = np.ldexp(a, -e[:, None]) - np.ldexp(b, -e[:, None])
-    small = np.frexp(np.abs(gap).max(axis=1))[1]
-    gap, total = np.ldexp(gap, -small[:, None]), np.zeros(len(a))
-    for j in range(a.shape[1]):
-        total += gap[:, j] * gap[:, j]
+    small = exponent(gap)
     with np.errstate(over="ignore"):
-        return np.ldexp(np.sqrt(total), small + e)
+        return np.ldexp(np.sqrt(squares(np.ldexp(gap, -small[:, None]).T)), small + e)
+
+
+def squares(gap: np.ndarray) -> np.ndarray:
+    """Sum of the squared rows, one after the other."""
+    total = np.zeros(gap.shape[1])
+    for g in gap:
+        total += g * g
+    return total
 
 
 def tile_nearest(quid: np.ndarray, q: np.ndarray, cuid: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,6 +86,26 @@ def tile_nearest(quid: np.ndarray, q: np.ndarray, cuid: np.ndarray, cid: np.ndar
         q_hat, qc = np.sqrt(qn) + qe, qc.astype(kind)
         cut = np.full(len(qn), np.inf)
         keep: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        worst = np.full(len(qn), np.inf)
+
+        def settle(best):
+            """The k nearest of what was found and what is kept, in doubles."""
+            i, j, low = (np.concatenate(x) for x in zip(*keep))
+            keep.clear()
+            ok = low <= cut[i]
+            i, j = i[ok], j[ok]
+            d = np.concatenate([np.zeros(0), *(distance(q[head + i[s : s + 65536]], c[j[s : s + 65536]]) for s in range(0, len(i), 65536))])
+            ok = d <= worst[i]
+            i, j, d = (np.concatenate(x) for x in zip(best, (i[ok], j[ok], d[ok])))
+            order = np.lexsort((cuid[j], cid[j], d, i))
+            i, j, d = i[order], j[order], d[order]
+            place = np.arange(len(i)) - np.searchsorted(i, i)
+            last = place == k - 1
+            worst[i[last]] = d[last]
+            cut[i[last]] = np.minimum(cut[i[last]], np.ldexp(d[last], -top) ** 2 * (1 + 1e-9) + 1e-280)
+            return i[place < k], j[place < k], d[place < k]
+
         for a in range(0, len(c), ROWS):
             b = min(len(c), a + ROWS)
             near = qn[:, None] + cn[None, a:b] - 2 * ((qc @ codes[a:b].T) * qs[:, None] * cs[None, a:b])
@@ -83,14 +117,11 @@ def tile_nearest(quid: np.ndarray, q: np.ndarray, cuid: np.ndarray, cid: np.ndar
                 cut = np.minimum(cut, np.partition(upper, k - 1, axis=1)[:, k - 1])
             i, j = np.nonzero(~same & (near - slack <= cut[:, None]))
             keep.append((i, j + a, (near - slack)[i, j]))
-        i, j, low = (np.concatenate(x) for x in zip(*keep))
-        ok = low <= cut[i]
-        i, j = i[ok] + head, j[ok]
-        d = np.concatenate([np.zeros(0), *(distance(q[i[s : s + 65536]], c[j[s : s + 65536]]) for s in range(0, len(i), 65536))])
-        order = np.lexsort((cuid[j], cid[j], d, i))
-        i, j, d = i[order], j[order], d[order]
-        first = np.arange(len(i)) - np.searchsorted(i, i) < k
-        out.append((i[first], j[first], d[first]))
+            if sum(len(x[0]) for x in keep) > PAIRS:  # dense neighbourhoods leave many pairs
+                best = settle(best)
+        if keep:
+            best = settle(best)
+        out.append((best[0] + head, *best[1:]))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -125,7 +156,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", v
     def tile(key, left, right):
         parts = []
         for size, part in left.groupby(left["q_v"].map(len)):
-            other = right[right["v"].map(len) == size]
+            # of equal vectors the k + 1 first, one of which may be the query's own
+            other = right[right["v"].map(len) == size].sort_values(["id", "uid"]).groupby("v", sort=False).head(k + 1)
             if len(other):
                 quid, qid, kq, kc = part["q_uid"].to_numpy(), part["q_id"].to_numpy(), part["q_kind"].iloc[0], other["kind"].iloc[0]
                 uid, ids = other["uid"].to_numpy(), other["id"].to_numpy()

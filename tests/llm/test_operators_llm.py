@@ -182,6 +182,26 @@ def test_nearest_repeated_ids_and_magnitudes(spark):
     assert got == brute_nearest(rows, lambda i: i % 100 == 0) and sum(got.values()) == 60
 
 
+@pytest.mark.parametrize("pairs", [50, 1 << 20])
+def test_nearest_of_dense_neighbourhoods(spark, monkeypatch, pairs):
+    """Copies of one vector by the hundred, and a crowd closer than a code can tell."""
+    monkeypatch.setattr(nearest, "PAIRS", pairs)
+    monkeypatch.setattr(nearest, "ROWS", 128)
+    rng = np.random.default_rng(6)
+    p = rng.normal(size=6)
+    rows = [(i, p.tolist()) for i in range(300)] + [(i, (p + 1e-7 * rng.normal(size=6)).tolist()) for i in range(300, 700)] + [(i, rng.normal(size=6).tolist()) for i in range(700, 800)]
+    got = Counter(map(tuple, nearest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id % 100 = 0").collect()))
+    assert got == brute_nearest(rows, lambda i: i % 100 == 0)
+
+
+def test_metric_join_of_one_crowd(spark, monkeypatch):
+    monkeypatch.setattr(metric_join, "PAIRS", 500)
+    rng = np.random.default_rng(7)
+    rows = [(i, (np.ones(4) + 0.01 * rng.normal(size=4)).tolist()) for i in range(400)]
+    got = metric_join.similarity_join(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {(r.n_links, r.component_id, r.kept) for r in got} == {(399, 0, True), (399, 0, False)}
+
+
 # ---- 4 packing -----------------------------------------------------------------
 
 

@@ -276,16 +276,25 @@ def classify(df: DataFrame, value: str, cuts: list[float], out: str = "cell") ->
     return df.withColumn(out, F.size(F.filter(c, lambda e: e < F.col(value))))
 
 
-def bin_below(values: DataFrame, cuts: DataFrame, value: str, cut: str, by: list[str] | None = None, out: str = "cell") -> DataFrame:
+def bin_below(values: DataFrame, cuts: DataFrame, value: str, cut: str, by: list[str] | None = None, out: str = "cell", hot: bool = False) -> DataFrame:
     """How many cuts of the same ``by`` group lie below each value: values and
     cuts merged in order, cuts counted as they pass.  Ties leave equal cuts out.
-    Without ``by`` the order is cut into ranges; with it, a group is one window."""
+    Without ``by`` the order is cut into ranges; with it, a group is one window, or
+    with ``hot`` groups are cut into ranges too and each gives up what was counted
+    before it, a row a group."""
     by = by or []
     v = values.select(*by, F.col(value).alias("__x"), F.lit(0).alias("__cut"), F.struct(*values.columns).alias("__row"))
     kind = v.schema["__row"].dataType
     c = cuts.select(*by, F.col(cut).alias("__x"), F.lit(1).alias("__cut"), F.lit(None).cast(kind).alias("__row"))
     both = v.unionByName(c)
-    if by:
+    if by and hot:
+        counted = global_scan(both, "__cut", [*by, "__x", "__cut"], "__all")
+        counted = materialize(counted)  # read twice
+        keys = {b: f"__by{i}" for i, b in enumerate(by)}
+        first = counted.groupBy(*[F.col(b).alias(k) for b, k in keys.items()]).agg(F.min(F.col("__all") - F.col("__cut")).alias("__gone"))
+        same = reduce(lambda x, y: x & y, [F.col(b).eqNullSafe(F.col(k)) for b, k in keys.items()])
+        counted = counted.join(first, same).withColumn(out, F.col("__all") - F.col("__gone"))
+    elif by:
         w = Window.partitionBy(*by).orderBy("__x", "__cut").rowsBetween(Window.unboundedPreceding, 0)
         counted = both.withColumn(out, F.sum("__cut").over(w))
     else:

@@ -159,3 +159,13 @@ def test_unequal_rows_are_a_length_error(spark):
 
 def test_ragged_shape(spark):
     assert one(spark, c.shape(F.array(arr(1, 2), arr(3)))) == [2] and one(spark, c.shape(F.array(arr(1, 2), arr(3, 4)))) == [2, 2]
+
+
+def test_bins_of_a_hot_group(spark):
+    rng = np.random.default_rng(1)
+    rows = [(int(i), "a" if i % 10 else None if i % 20 else "b", float(x)) for i, x in enumerate(rng.integers(0, 50, 600))]
+    cuts = [("a" if i % 3 else None, float(x)) for i, x in enumerate(rng.integers(0, 50, 80))]
+    v, k = spark.createDataFrame(rows, "i long, k string, x double"), spark.createDataFrame(cuts, "k string, y double")
+    want = sorted((i, sum(g == h and y < x for h, y in cuts)) for i, g, x in rows)
+    for hot in (False, True):
+        assert sorted((r.i, r.cell) for r in t.bin_below(v, k, "x", "y", ["k"], hot=hot).collect()) == want

@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 from quiver.llm._common import connected_components, discard, extend, materialize, portions
 
 BITS = 64
-#: Rows of one chunk of a bucket; larger buckets are split.
-BUCKET = 1024
+#: Rows of one chunk of a bucket, larger buckets being split; links held before they
+#: become components.
+BUCKET, PAIRS = 4096, 1 << 20
 #: Fingerprints sampled to estimate correlations and candidate counts.
 SAMPLE = 2048
 
@@ -169,15 +170,20 @@ def local_roots(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
 def star_edges(group: np.ndarray, fps: np.ndarray, probe: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows sorted by group; verified links as (root fp, member fp)."""
     n = len(fps)
-    ends = np.searchsorted(group, group, side="right")
-    at, us, vs, step = np.arange(n), [], [], 0
+    ends, root = np.searchsorted(group, group, side="right"), np.arange(n)
+    at, us, vs, held, step = np.arange(n), [], [], 0, 0
     while len(at):
         step += 1
         at = at[at + step < ends[at]]
         ok = (probe[at] + probe[at + step] < 2) & (np.bitwise_count(fps[at] ^ fps[at + step]) <= radius)
-        us.append(at[ok])
-        vs.append(at[ok] + step)
-    root = local_roots(n, np.concatenate(us), np.concatenate(vs)) if us else np.arange(n)
+        u, v = root[at[ok]], root[at[ok] + step]
+        new = u != v  # links inside what is known to be one component go
+        us.append(u[new])
+        vs.append(v[new])
+        held += len(us[-1])
+        if held > PAIRS or not len(at):
+            root = local_roots(n, np.concatenate(us), np.concatenate(vs))[root]
+            us, vs, held = [], [], 0
     moved = np.flatnonzero((root != np.arange(n)) & (fps[root] != fps))
     return fps[root[moved]], fps[moved]
 

@@ -490,9 +490,10 @@ def test_fingerprints_edges(spark, docs, empty):
     assert simhash_dedup.simhash_groups(empty).count() == 0
 
 
-@pytest.mark.parametrize("bucket", [4, 1024])
-def test_search_against_brute_force(spark, monkeypatch, bucket):
+@pytest.mark.parametrize("bucket,pairs", [(4, 1 << 20), (4096, 1 << 20), (4096, 10)])
+def test_search_against_brute_force(spark, monkeypatch, bucket, pairs):
     monkeypatch.setattr(simhash_dedup, "BUCKET", bucket)
+    monkeypatch.setattr(simhash_dedup, "PAIRS", pairs)
     rng = np.random.default_rng(bucket)
     base = rng.integers(0, 2**63, 40, dtype=np.uint64)
     fps = np.unique(np.concatenate([base, *[base ^ (np.uint64(1) << rng.integers(0, 64, 40).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 40).astype(np.uint64)) for _ in range(8)]]))

@@ -141,8 +141,19 @@ def matmul(a, b) -> Column:
     return run(col(a), col(b))
 
 
+def nearest(x: np.ndarray, digits: int) -> np.ndarray:
+    """Rounded as SQL does, a half away from zero; no zero is negative.  What lies under
+    a half by no more than the noise of a product counts as one, which is held to a
+    millionth of the last digit."""
+    scale, noise = 10.0**digits, 8 * len(x) * np.finfo(float).eps * np.abs(x).max(initial=0)
+    y = np.abs(x) * scale
+    low = np.floor(y)
+    up = y - low >= 0.5 - min(noise * scale, 1e-6)
+    return np.copysign((low + up) / scale, x) + 0.0
+
+
 def rebuilt(kind: str, a, digits: int = 15) -> Column:
-    """Product of the factors of a matrix, rounded; no zero is negative."""
+    """Product of the factors of a matrix, rounded."""
 
     @F.pandas_udf("array<array<double>>")
     def run(s: pd.Series) -> pd.Series:
@@ -150,7 +161,7 @@ def rebuilt(kind: str, a, digits: int = 15) -> Column:
             out, *parts = _FORMS[kind](np.array([list(r) for r in m], float))
             for p in parts:
                 out = out @ p
-            return (np.round(out, digits) + 0.0).tolist()
+            return nearest(out, digits).tolist()
 
         return s.map(product, na_action="ignore")
 

@@ -169,3 +169,12 @@ def test_bins_of_a_hot_group(spark):
     want = sorted((i, sum(g == h and y < x for h, y in cuts)) for i, g, x in rows)
     for hot in (False, True):
         assert sorted((r.i, r.cell) for r in t.bin_below(v, k, "x", "y", ["k"], hot=hot).collect()) == want
+
+
+@pytest.mark.parametrize("kind", ["lu", "ldu", "qr", "svd"])
+def test_rebuilt_halves(spark, kind):
+    """Odd multiples of 1/128 are halves at six digits: they go away from zero, whatever noise the factors bring."""
+    a = (2 * np.random.default_rng(5).integers(-16, 17, (8, 8)) + 1) / 128 + 3 * np.eye(8)
+    want = [[float(f"{np.sign(x) * np.floor(abs(x) * 1e6 + 0.5) / 1e6:.6f}") for x in r] for r in a]
+    df = spark.createDataFrame([(a.tolist(),)], "m array<array<double>>")
+    assert df.select(la.rebuilt(kind, "m", 6)).first()[0] == want

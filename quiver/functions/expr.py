@@ -107,6 +107,14 @@ def round_down(step: float, a) -> Column:
     return F.when(F.abs(q - near) <= F.abs(q) * 4.5e-16, near).otherwise(whole.cast("double")) * abs(step)
 
 
+def rounded(a, digits: int) -> Column:
+    """Rounded to decimal digits as SQL does in doubles: scaled, a half away from
+    zero, scaled back.  Spark rounds the shortest text of a double instead, which
+    can end in a 5 that the scaled double misses, or the other way round."""
+    scale = F.lit(10.0**digits)
+    return F.round(col(a).cast("double") * scale, 0) / scale
+
+
 def round_even(step, a) -> Column:
     """Nearest multiple, halves to even."""
     return col(step) * F.rint(col(a) / col(step))

@@ -61,7 +61,7 @@ def part(name, build, sql, out="v"):
 price, qty, disc, tax = "l_extendedprice", "l_quantity", "l_discount", "l_tax"
 line("arith_plus", lambda: F.col(price) + F.col(tax), "l_extendedprice + l_tax")
 line("arith_minus", lambda: F.col(price) - F.col(qty), "l_extendedprice - l_quantity")
-line("arith_times", lambda: F.round(F.col(price) * (1 - F.col(disc)), 4), "round(l_extendedprice * (1 - l_discount), 4)")
+line("arith_times", lambda: e.rounded(F.col(price) * (1 - F.col(disc)), 4), "round(l_extendedprice * (1 - l_discount), 4)")
 line("arith_divide", lambda: e.divide(price, F.col(disc)), "l_extendedprice / l_discount")
 line("reciprocal", lambda: e.reciprocal(tax), "1 / l_tax")
 line("negate", lambda: -F.col(price), "-l_extendedprice")
@@ -87,24 +87,24 @@ order("shift_right", lambda: e.shift("o_orderkey", -3), "o_orderkey >> 3")
 order("rotate_bits", lambda: e.rotate_bits("o_orderkey", 60), "CASE WHEN o_orderkey % 16 >= 8 THEN (o_orderkey % 16 - 16) * 1152921504606846976 ELSE o_orderkey % 16 * 1152921504606846976 END + (o_orderkey // 16)::BIGINT")
 order("shift_int", lambda: e.shift("o_orderkey", 29, 32), "CASE WHEN o_orderkey % 8 >= 4 THEN ((o_orderkey % 8 - 8) * 536870912)::INT ELSE (o_orderkey % 8 * 536870912)::INT END")
 order("rotate_int", lambda: e.rotate_bits("o_orderkey", 29, 32), "(CASE WHEN o_orderkey % 8 >= 4 THEN (o_orderkey % 8 - 8) * 536870912 ELSE o_orderkey % 8 * 536870912 END + o_orderkey // 8)::INT")
-order("power", lambda: F.round(e.power(F.col("o_totalprice"), F.lit(0.5)), 6), "round(pow(o_totalprice, 0.5), 6)")
-part("choose", lambda: F.round(e.choose(F.col("p_size"), F.lit(2)), 4), "round(p_size * (p_size - 1) / 2.0::DOUBLE, 4)")
-part("math_log", lambda: F.round(e.log("p_retailprice"), 9), "round(ln(p_retailprice), 9)")
-part("math_exp", lambda: F.round(F.exp(F.col("p_size") / 100), 9), "round(exp(p_size / 100), 9)")
-part("math_sqrt", lambda: F.round(F.sqrt("p_retailprice"), 9), "round(sqrt(p_retailprice), 9)")
+order("power", lambda: e.rounded(e.power(F.col("o_totalprice"), F.lit(0.5)), 6), "round(pow(o_totalprice, 0.5), 6)")
+part("choose", lambda: e.rounded(e.choose(F.col("p_size"), F.lit(2)), 4), "round(p_size * (p_size - 1) / 2.0::DOUBLE, 4)")
+part("math_log", lambda: e.rounded(e.log("p_retailprice"), 9), "round(ln(p_retailprice), 9)")
+part("math_exp", lambda: e.rounded(F.exp(F.col("p_size") / 100), 9), "round(exp(p_size / 100), 9)")
+part("math_sqrt", lambda: e.rounded(F.sqrt("p_retailprice"), 9), "round(sqrt(p_retailprice), 9)")
 part("math_sqr", lambda: F.col("p_size").cast("double") * F.col("p_size"), "p_size::DOUBLE * p_size")
 part("math_abs", lambda: F.abs(F.col("p_size") - 25), "abs(p_size - 25)")
 part("math_ceil", lambda: F.ceil("p_retailprice").cast("double"), "ceil(p_retailprice)")
 part("math_trunc", lambda: e.trunc(F.col("p_retailprice") - 1500), "trunc(p_retailprice - 1500)")
 part("math_rint", lambda: F.rint(F.col("p_size") / 2), "round_even(p_size / 2, 0)")
 for fn in ("sin", "cos", "tan", "atan", "sinh", "cosh", "tanh"):
-    part(f"math_{fn}", lambda fn=fn: F.round(getattr(F, fn)(F.col("p_size") / 10), 8), f"round({fn}(p_size / 10), 8)")
+    part(f"math_{fn}", lambda fn=fn: e.rounded(getattr(F, fn)(F.col("p_size") / 10), 8), f"round({fn}(p_size / 10), 8)")
 for fn in ("asin", "acos"):
-    part(f"math_{fn}", lambda fn=fn: F.round(getattr(F, fn)(F.col("p_size") / 100), 9), f"round({fn}(p_size / 100), 9)")
-part("math_atan2", lambda: F.round(F.atan2(F.col("p_size").cast("double"), F.col("p_retailprice")), 9), "round(atan2(p_size, p_retailprice), 9)")
-part("math_hypot", lambda: F.round(F.hypot(F.col("p_size").cast("double"), F.col("p_retailprice")), 7), "round(sqrt(p_size::DOUBLE * p_size + p_retailprice * p_retailprice), 7)")
-part("math_gamma", lambda: F.round(e.gamma(F.col("p_size") / 10 + 0.05), 8), "round(gamma(p_size / 10 + 0.05::DOUBLE), 8)")
-part("math_lgamma", lambda: F.round(e.lgamma(F.col("p_size") + 0.5), 8), "round(lgamma(p_size + 0.5::DOUBLE), 8)")
+    part(f"math_{fn}", lambda fn=fn: e.rounded(getattr(F, fn)(F.col("p_size") / 100), 9), f"round({fn}(p_size / 100), 9)")
+part("math_atan2", lambda: e.rounded(F.atan2(F.col("p_size").cast("double"), F.col("p_retailprice")), 9), "round(atan2(p_size, p_retailprice), 9)")
+part("math_hypot", lambda: e.rounded(F.hypot(F.col("p_size").cast("double"), F.col("p_retailprice")), 7), "round(sqrt(p_size::DOUBLE * p_size + p_retailprice * p_retailprice), 7)")
+part("math_gamma", lambda: e.rounded(e.gamma(F.col("p_size") / 10 + 0.05), 8), "round(gamma(p_size / 10 + 0.05::DOUBLE), 8)")
+part("math_lgamma", lambda: e.rounded(e.lgamma(F.col("p_size") + 0.5), 8), "round(lgamma(p_size + 0.5::DOUBLE), 8)")
 
 
 _ERF = "1.1283791670955126 * list_sum([pow(-1, k) * pow(p_size / 20, 2 * k + 1) / (gamma(k + 1) * (2 * k + 1)) FOR k IN range(0, 60)])"
@@ -112,7 +112,7 @@ _ERF = "1.1283791670955126 * list_sum([pow(-1, k) * pow(p_size / 20, 2 * k + 1)
 
 @query(f"SELECT p_partkey, round({_ERF}, 8) erf, round(1 - {_ERF}, 8) erfc FROM part")
 def math_erf(spark, sf_dir):
-    return read(spark, sf_dir, "part").select("p_partkey", F.round(e.erf(F.col("p_size") / 20), 8).alias("erf"), F.round(e.erfc(F.col("p_size") / 20), 8).alias("erfc"))
+    return read(spark, sf_dir, "part").select("p_partkey", e.rounded(e.erf(F.col("p_size") / 20), 8).alias("erf"), e.rounded(e.erfc(F.col("p_size") / 20), 8).alias("erfc"))
 
 
 # ---- filters, folds, groups --------------------------------------------------------
@@ -130,7 +130,7 @@ def where_index(spark, sf_dir):
 
 @query("SELECT round(sum(l_extendedprice), 2) s, round(min(l_discount), 4) mn, max(l_quantity) mx, count(*) n, bool_and(l_quantity > 0) al, bool_or(l_tax > 0.07) an FROM lineitem")
 def over_fold(spark, sf_dir):
-    return t.over(read(spark, sf_dir, "lineitem"), s=F.round(F.sum(price), 2), mn=F.round(F.min(disc), 4), mx=F.max(qty), n=F.count("*"), al=F.bool_and(F.col(qty) > 0), an=F.bool_or(F.col(tax) > 0.07))
+    return t.over(read(spark, sf_dir, "lineitem"), s=e.rounded(F.sum(price), 2), mn=e.rounded(F.min(disc), 4), mx=F.max(qty), n=F.count("*"), al=F.bool_and(F.col(qty) > 0), an=F.bool_or(F.col(tax) > 0.07))
 
 
 @query("SELECT r_regionkey, product(n_nationkey + 1)::DOUBLE p FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
@@ -154,12 +154,12 @@ def over_minus(spark, sf_dir):
 
 @query("SELECT l_returnflag, round(sum(l_extendedprice), 2) s, count(*) n FROM lineitem WHERE l_quantity > 30 GROUP BY 1")
 def group_agg(spark, sf_dir):
-    return t.group_agg(read(spark, sf_dir, "lineitem").where(F.col(qty) > 30), ["l_returnflag"], s=F.round(F.sum(price), 2), n=F.count("*"))
+    return t.group_agg(read(spark, sf_dir, "lineitem").where(F.col(qty) > 30), ["l_returnflag"], s=e.rounded(F.sum(price), 2), n=F.count("*"))
 
 
 @query("SELECT l_returnflag, l_linestatus, sum(l_quantity) q, round(avg(l_discount), 8) d, count(*) n FROM lineitem GROUP BY 1, 2")
 def multi_key_group(spark, sf_dir):
-    return t.group_agg(read(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], q=F.sum(qty), d=F.round(F.avg(disc), 8), n=F.count("*"))
+    return t.group_agg(read(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], q=F.sum(qty), d=e.rounded(F.avg(disc), 8), n=F.count("*"))
 
 
 @query("SELECT n_regionkey, min(n_nationkey)::INT AS \"first\", list_sort(list(n_nationkey)) positions FROM nation GROUP BY 1")
@@ -189,28 +189,28 @@ def histogram(spark, sf_dir):
 
 @query("SELECT l_returnflag, round(sum(l_extendedprice * l_quantity) / sum(l_quantity), 6) m FROM lineitem GROUP BY 1")
 def weighted_mean(spark, sf_dir):
-    return read(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.round(t.weighted_mean(price, qty), 6).alias("m"))
+    return read(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(e.rounded(t.weighted_mean(price, qty), 6).alias("m"))
 
 
 @query("SELECT p_brand, round(var_pop(p_retailprice), 4) v, round(stddev_pop(p_retailprice), 6) s, round(median(p_retailprice), 6) m, round(avg(p_retailprice), 6) a FROM part GROUP BY 1")
 def statistics(spark, sf_dir):
     p = "p_retailprice"
-    return read(spark, sf_dir, "part").groupBy("p_brand").agg(F.round(F.var_pop(p), 4).alias("v"), F.round(F.stddev_pop(p), 6).alias("s"), F.round(F.median(p), 6).alias("m"), F.round(F.avg(p), 6).alias("a"))
+    return read(spark, sf_dir, "part").groupBy("p_brand").agg(e.rounded(F.var_pop(p), 4).alias("v"), e.rounded(F.stddev_pop(p), 6).alias("s"), e.rounded(F.median(p), 6).alias("m"), e.rounded(F.avg(p), 6).alias("a"))
 
 
 @query("SELECT round(regr_slope(p_retailprice, p_size), 8) slope, round(regr_intercept(p_retailprice, p_size), 6) base FROM part")
 def linear_fit(spark, sf_dir):
-    return read(spark, sf_dir, "part").agg(F.round(F.regr_slope("p_retailprice", "p_size"), 8).alias("slope"), F.round(F.regr_intercept("p_retailprice", "p_size"), 6).alias("base"))
+    return read(spark, sf_dir, "part").agg(e.rounded(F.regr_slope("p_retailprice", "p_size"), 8).alias("slope"), e.rounded(F.regr_intercept("p_retailprice", "p_size"), 6).alias("base"))
 
 
 @query("SELECT round(sum(l_quantity * l_extendedprice), 2) dot, round(sqrt(sum(l_quantity * l_quantity)), 6) mag FROM lineitem")
 def dot_and_mag(spark, sf_dir):
-    return read(spark, sf_dir, "lineitem").agg(F.round(F.sum(F.col(qty) * F.col(price)), 2).alias("dot"), F.round(F.sqrt(F.sum(F.col(qty) * F.col(qty))), 6).alias("mag"))
+    return read(spark, sf_dir, "lineitem").agg(e.rounded(F.sum(F.col(qty) * F.col(price)), 2).alias("dot"), e.rounded(F.sqrt(F.sum(F.col(qty) * F.col(qty))), 6).alias("mag"))
 
 
 @query("SELECT o_custkey, round(max(o_totalprice) - min(o_totalprice), 4) range, mode(o_orderstatus) IS NOT NULL has FROM orders GROUP BY 1")
 def group_spread(spark, sf_dir):
-    return read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.round(F.max("o_totalprice") - F.min("o_totalprice"), 4).alias("range"), F.mode("o_orderstatus").isNotNull().alias("has"))
+    return read(spark, sf_dir, "orders").groupBy("o_custkey").agg(e.rounded(F.max("o_totalprice") - F.min("o_totalprice"), 4).alias("range"), F.mode("o_orderstatus").isNotNull().alias("has"))
 
 
 # ---- windows ------------------------------------------------------------------------
@@ -227,14 +227,14 @@ def event(name, build, sql):
     query(f"SELECT event_id, {sql} v FROM events")(run)
 
 
-event("scan_sum", lambda: F.round(t.scan(F.sum, "value", BY, BY_TS), 4), f"round(sum(value) OVER {_W} ROWS UNBOUNDED PRECEDING), 4)")
+event("scan_sum", lambda: e.rounded(t.scan(F.sum, "value", BY, BY_TS), 4), f"round(sum(value) OVER {_W} ROWS UNBOUNDED PRECEDING), 4)")
 event("scan_max", lambda: t.scan(F.max, "value", BY, BY_TS), f"max(value) OVER {_W} ROWS UNBOUNDED PRECEDING)")
 event("scan_min", lambda: t.scan(F.min, "value", BY, BY_TS), f"min(value) OVER {_W} ROWS UNBOUNDED PRECEDING)")
 event("first_diff", lambda: t.each_prior(lambda x, p: x - p, "value", BY, BY_TS), f"value - lag(value) OVER {_W})")
-event("ratio", lambda: F.round(t.each_prior(lambda x, p: e.divide(x, p), "value", BY, BY_TS), 6), f"round(value / lag(value) OVER {_W}), 6)")
+event("ratio", lambda: e.rounded(t.each_prior(lambda x, p: e.divide(x, p), "value", BY, BY_TS), 6), f"round(value / lag(value) OVER {_W}), 6)")
 event("shift_back", lambda: F.lag("value", 2, 0.0).over(t.ordered(BY, BY_TS)), f"lag(value, 2, 0) OVER {_W})")
 event("shift_ahead", lambda: F.lead("value", 1).over(t.ordered(BY, BY_TS)), f"lead(value) OVER {_W})")
-event("moving_sum", lambda: F.round(t.moving(F.sum, "value", 3, BY, BY_TS), 4), f"round(sum(value) OVER {_W} ROWS 2 PRECEDING), 4)")
+event("moving_sum", lambda: e.rounded(t.moving(F.sum, "value", 3, BY, BY_TS), 4), f"round(sum(value) OVER {_W} ROWS 2 PRECEDING), 4)")
 event("moving_max", lambda: t.moving(F.max, "value", 5, BY, BY_TS), f"max(value) OVER {_W} ROWS 4 PRECEDING)")
 event("segment_of", lambda: t.segments(F.col("event_type") == "purchase", BY, BY_TS), f"CAST(sum((event_type = 'purchase')::INT) OVER {_W} ROWS UNBOUNDED PRECEDING) AS BIGINT)")
 event("running_parity", lambda: t.segments(F.col("event_type") == "error", BY, BY_TS) % 2, f"CAST(sum((event_type = 'error')::INT) OVER {_W} ROWS UNBOUNDED PRECEDING) AS BIGINT) % 2")
@@ -243,7 +243,7 @@ event("running_parity", lambda: t.segments(F.col("event_type") == "error", BY, B
 @query(f"SELECT event_id, round(sum(value) OVER (PARTITION BY user_id, seg ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 4) v FROM (SELECT *, sum((event_type = 'purchase')::INT) OVER {_W} ROWS UNBOUNDED PRECEDING) seg FROM events)")
 def segmented_scan(spark, sf_dir):
     ev = read(spark, sf_dir, "events").withColumn("seg", t.segments(F.col("event_type") == "purchase", BY, BY_TS))
-    return ev.select("event_id", F.round(t.scan(F.sum, "value", ["user_id", "seg"], BY_TS), 4).alias("v"))
+    return ev.select("event_id", e.rounded(t.scan(F.sum, "value", ["user_id", "seg"], BY_TS), 4).alias("v"))
 
 
 @query(f"SELECT event_id, slid FROM (SELECT event_id, row_number() OVER {_W}) - 1 n, lead(value) OVER {_W}) - value slid FROM events) WHERE n % 2 = 0 AND slid IS NOT NULL")
@@ -259,7 +259,7 @@ def run_lengths(spark, sf_dir):
 @query("SELECT event_id, round(sum(value) OVER (ORDER BY event_id), 2) running FROM events")
 def global_scan(spark, sf_dir):
     out = t.global_scan(read(spark, sf_dir, "events").select("event_id", "value"), "value", ["event_id"])
-    return out.select("event_id", F.round("running", 2).alias("running"))
+    return out.select("event_id", e.rounded("running", 2).alias("running"))
 
 
 # ---- order ---------------------------------------------------------------------------
@@ -598,7 +598,7 @@ def _coo(spark, sf_dir):
 @query("WITH e AS (SELECT vec_id i, generate_subscripts(embedding, 1) - 1 j, unnest(embedding)::DOUBLE v FROM embeddings) SELECT a.j::INT i, b.j::INT j, round(sum(a.v * b.v), 6) v FROM e a JOIN e b ON a.i = b.i GROUP BY 1, 2")
 def gram(spark, sf_dir):
     x = _coo(spark, sf_dir)
-    return la.mul(la.flip(x), x).select("i", "j", F.round("v", 6).alias("v"))
+    return la.mul(la.flip(x), x).select("i", "j", e.rounded("v", 6).alias("v"))
 
 
 @query("SELECT generate_subscripts(embedding, 1)::INT - 1 i, vec_id j, unnest(embedding)::DOUBLE v FROM embeddings")
@@ -613,7 +613,7 @@ def _matrices(spark, sf_dir):
 
 
 def _rounded(m, digits=6):
-    return F.transform(F.flatten(m), lambda x: F.round(x, digits) + 0.0)
+    return F.transform(F.flatten(m), lambda x: e.rounded(x, digits) + 0.0)
 
 
 _LIFTED = "[round(v[i] + CASE WHEN (i - 1) % 9 = 0 THEN 3 ELSE 0 END, 6) + 0.0::DOUBLE FOR i IN range(1, 65)]"
@@ -665,13 +665,13 @@ _factor("rref", "rref", lambda v: F.array(F.array(F.get(v, 0) + 3, F.get(v, 1),
 @query("SELECT p_brand, round(regr_intercept(p_retailprice, p_size), 5) a, round(regr_slope(p_retailprice, p_size), 6) b FROM part GROUP BY 1")
 def lsq(spark, sf_dir):
     s = la.fit(read(spark, sf_dir, "part"), ["p_brand"], [F.lit(1.0), F.col("p_size")], F.col("p_retailprice"), "s")
-    return s.select("p_brand", F.round(F.get("s", 0), 5).alias("a"), F.round(F.get("s", 1), 6).alias("b"))
+    return s.select("p_brand", e.rounded(F.get("s", 0), 5).alias("a"), e.rounded(F.get("s", 1), 6).alias("b"))
 
 
 @query("SELECT p_brand, round(exp(regr_intercept(ln(p_retailprice), p_size)), 5) a, round(exp(regr_slope(ln(p_retailprice), p_size)), 8) b FROM part GROUP BY 1")
 def exponential_fit(spark, sf_dir):
     s = la.fit(read(spark, sf_dir, "part"), ["p_brand"], [F.lit(1.0), F.col("p_size")], F.log("p_retailprice"), "s")
-    return s.select("p_brand", F.round(F.exp(F.get("s", 0)), 5).alias("a"), F.round(F.exp(F.get("s", 1)), 8).alias("b"))
+    return s.select("p_brand", e.rounded(F.exp(F.get("s", 0)), 5).alias("a"), e.rounded(F.exp(F.get("s", 1)), 8).alias("b"))
 
 
 # ---- streams: whole tables through Structured Streaming ------------------------------------------------
@@ -696,7 +696,7 @@ def stream_running(spark, sf_dir):
     from quiver.streaming import live
 
     got = live.drain(live.running(_stream(spark, sf_dir, "events").select("user_id", "value"), "user_id", "value"), mode="update")
-    return got.select("user_id", "n", F.round("s", 4).alias("s"))
+    return got.select("user_id", "n", e.rounded("s", 4).alias("s"))
 
 
 @query("SELECT count(*) n, count(DISTINCT user_id) users FROM events")
@@ -765,7 +765,7 @@ def stream_barrier(spark, sf_dir):
 @query("SELECT event_id, round(sum(value) OVER (ORDER BY k NULLS FIRST, event_id), 2) running FROM (SELECT event_id, value, CASE WHEN event_id % 7 <> 0 THEN value END k FROM events)")
 def global_scan_nulls(spark, sf_dir):
     ev = read(spark, sf_dir, "events").select("event_id", "value", F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("k"))
-    return t.global_scan(ev, "value", ["k", "event_id"]).select("event_id", F.round("running", 2).alias("running"))
+    return t.global_scan(ev, "value", ["k", "event_id"]).select("event_id", e.rounded("running", 2).alias("running"))
 
 
 @query("SELECT event_id, row_number() OVER (ORDER BY event_type DESC, event_id) - 1 AS \"rank\" FROM events")
@@ -838,7 +838,7 @@ def zip_positions(spark, sf_dir):
 @query("SELECT c_nationkey, round(list_reduce(list(c_custkey::DOUBLE ORDER BY c_custkey), lambda a, b: a / b), 12) folded FROM customer WHERE c_custkey > 0 GROUP BY 1")
 def over_divide(spark, sf_dir):
     cust = read(spark, sf_dir, "customer").where("c_custkey > 0").groupBy("c_nationkey").agg(F.sort_array(F.collect_list(F.col("c_custkey").cast("double"))).alias("l"))
-    return cust.select("c_nationkey", F.round(c.over(lambda x, y: e.divide(x, y), "l"), 12).alias("folded"))
+    return cust.select("c_nationkey", e.rounded(c.over(lambda x, y: e.divide(x, y), "l"), 12).alias("folded"))
 
 
 @query("SELECT n a, 2 * n b FROM (SELECT unnest(range(0, (SELECT count(*) FROM nation))) n)")
@@ -848,7 +848,7 @@ def enumerate_rows(spark, sf_dir):
 
 @query("SELECT p_brand, round(skewness(p_retailprice), 4) IS NOT NULL s, round(avg(pow(p_retailprice - m, 3)) / pow(var_pop(p_retailprice), 1.5), 6) skew, round(avg(pow(p_retailprice - m, 4)) / pow(var_pop(p_retailprice), 2) - 3, 6) kurt FROM part JOIN (SELECT p_brand, avg(p_retailprice) m FROM part GROUP BY 1) USING (p_brand) GROUP BY 1")
 def moments(spark, sf_dir):
-    got = read(spark, sf_dir, "part").groupBy("p_brand").agg(F.round(F.skewness("p_retailprice"), 6).alias("skew"), F.round(F.kurtosis("p_retailprice"), 6).alias("kurt"))
+    got = read(spark, sf_dir, "part").groupBy("p_brand").agg(e.rounded(F.skewness("p_retailprice"), 6).alias("skew"), e.rounded(F.kurtosis("p_retailprice"), 6).alias("kurt"))
     return got.withColumn("s", F.col("skew").isNotNull())
 
 

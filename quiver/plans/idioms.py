@@ -79,7 +79,7 @@ event("last_seen_value", lambda: F.last(F.when(flag() == 1, F.col("value")), Tru
 @query(f"SELECT user_id, seg, round(sum(value), 4) s, count(*) n FROM (SELECT *, CAST(sum({FLAG}) OVER {_W} ROWS UNBOUNDED PRECEDING) AS BIGINT) seg FROM events) GROUP BY 1, 2")
 def partition_sums(spark, sf_dir):
     ev = read(spark, sf_dir, "events").withColumn("seg", t.segments(flag() == 1, BY, BY_TS))
-    return ev.groupBy("user_id", "seg").agg(F.round(F.sum("value"), 4).alias("s"), F.count("*").alias("n"))
+    return ev.groupBy("user_id", "seg").agg(e.rounded(F.sum("value"), 4).alias("s"), F.count("*").alias("n"))
 
 
 @query("SELECT o_custkey, max(o_orderkey) AS \"last\" FROM orders GROUP BY 1")
@@ -113,12 +113,12 @@ cell("upper_triangle", lambda v: F.transform(c.reshape(v, 8, 8), lambda r, i: F.
 cell("row_sums", lambda v: F.transform(c.reshape(v, 8, 8), lambda r: F.round(F.aggregate(r, F.lit(0.0), lambda a, x: a + x), 9)), "[round(list_sum(v[(i - 1) * 8 + 1:i * 8]), 9) FOR i IN range(1, 9)]")
 part("multiplication_table", lambda: c.table_of(lambda a, b: a * b, F.sequence(F.lit(1), F.lit(5)), F.sequence(F.lit(1), F.col("p_size"))), "[[(a * b)::INT FOR b IN range(1, p_size + 1)] FOR a IN range(1, 6)]")
 part("identity_matrix", lambda: c.table_of(lambda a, b: (a == b).cast("int"), c.index(F.col("p_size") % 4 + 1), c.index(F.col("p_size") % 4 + 1)), "[[(a = b)::INT FOR b IN range(0, p_size % 4 + 1)] FOR a IN range(0, p_size % 4 + 1)]")
-part("hilbert", lambda: c.table_of(lambda a, b: F.round(1 / (a + b + 1), 9), c.index(F.col("p_size") % 5 + 1), c.index(F.col("p_size") % 5 + 1)), "[[round(1 / (a + b + 1), 9) FOR b IN range(0, p_size % 5 + 1)] FOR a IN range(0, p_size % 5 + 1)]")
+part("hilbert", lambda: c.table_of(lambda a, b: e.rounded(1 / (a + b + 1), 9), c.index(F.col("p_size") % 5 + 1), c.index(F.col("p_size") % 5 + 1)), "[[round(1 / (a + b + 1), 9) FOR b IN range(0, p_size % 5 + 1)] FOR a IN range(0, p_size % 5 + 1)]")
 cell("symmetric", lambda v: F.forall(F.flatten(c.each2(lambda r, q: F.zip_with(r, q, lambda x, y: x == y), c.reshape(v, 8, 8), c.flip(c.reshape(v, 8, 8)))), lambda ok: ok).cast("int"), "(len(list_filter(range(1, 65), lambda k: v[k] <> v[((k - 1) % 8) * 8 + (k - 1) // 8 + 1])) = 0)::INT")
 cell("saddle", lambda v: F.filter(F.transform(v, lambda x, k: F.when((x == F.array_min(F.get(c.reshape(v, 8, 8), F.floor(k / 8).cast("int")))) & (x == F.array_max(F.get(c.flip(c.reshape(v, 8, 8)), k % 8))), k)), lambda k: k.isNotNull()), "list_filter([CASE WHEN v[k] = list_min(v[((k - 1) // 8) * 8 + 1:((k - 1) // 8) * 8 + 8]) AND v[k] = list_max([v[(r - 1) * 8 + (k - 1) % 8 + 1] FOR r IN range(1, 9)]) THEN (k - 1)::INT END FOR k IN range(1, 65)], lambda x: x IS NOT NULL)")
 part("pascal", lambda: F.transform(F.sequence(F.lit(0), F.col("p_size") % 12), lambda k: e.choose(F.col("p_size") % 12, k).cast("long")), "[round(gamma(p_size % 12 + 1) / (gamma(k + 1) * gamma(p_size % 12 - k + 1)))::BIGINT FOR k IN range(0, p_size % 12 + 1)]")
-part("quadratic_roots", lambda: F.transform(F.array(F.lit(-1), F.lit(1)), lambda s: F.round((F.col("p_size") + s * F.sqrt(F.col("p_size") * F.col("p_size") + 4.0)) / 2, 8)), "[round((p_size - sqrt(p_size * p_size + 4)) / 2, 8), round((p_size + sqrt(p_size * p_size + 4)) / 2, 8)]")
-part("annuity", lambda: F.round(F.lit(0.08) / (1 - F.pow(F.lit(1.08), -F.col("p_size").cast("double"))), 9), "round(0.08::DOUBLE / (1 - pow(1.08::DOUBLE, -p_size)), 9)")
+part("quadratic_roots", lambda: F.transform(F.array(F.lit(-1), F.lit(1)), lambda s: e.rounded((F.col("p_size") + s * F.sqrt(F.col("p_size") * F.col("p_size") + 4.0)) / 2, 8)), "[round((p_size - sqrt(p_size * p_size + 4)) / 2, 8), round((p_size + sqrt(p_size * p_size + 4)) / 2, 8)]")
+part("annuity", lambda: e.rounded(F.lit(0.08) / (1 - F.pow(F.lit(1.08), -F.col("p_size").cast("double"))), 9), "round(0.08::DOUBLE / (1 - pow(1.08::DOUBLE, -p_size)), 9)")
 cell("fifo", lambda v: F.transform(c.slide(lambda a, b: b - a, F.concat(F.array(F.lit(0.0)), F.transform(c.scan(lambda a, b: a + b, F.transform(v, F.abs)), lambda x: F.greatest(x - 2, F.lit(0.0))))), lambda x: F.round(x, 9) + 0.0), "[round(greatest(list_sum([abs(x) FOR x IN v[1:i]]) - 2, 0) - greatest(coalesce(list_sum([abs(x) FOR x IN v[1:i - 1]]), 0) - 2, 0), 9) + 0.0::DOUBLE FOR i IN range(1, 65)]")
 cell("reverse_infixes", lambda v: c.reverse_infixes(v, [10, 50, 4]), "list_concat(list_concat(list_reverse(v[1:10]), list_reverse(v[11:60])), list_reverse(v[61:64]))")
 cell("infix_sums", lambda v: F.transform(c.partition_sums(v, F.transform(v, lambda _, i: (i % 16 == 0).cast("int"))), lambda x: F.round(x, 9)), "[round(list_sum(v[i * 16 + 1:i * 16 + 16]), 9) FOR i IN range(0, 4)]")
@@ -158,7 +158,7 @@ def cube_counts(spark, sf_dir):
 @query("SELECT i, round(sqrt(sum(v * v)), 6) AS norm FROM (SELECT vec_id i, unnest(embedding)::DOUBLE v FROM embeddings) GROUP BY 1")
 def row_norms(spark, sf_dir):
     x = la.coordinates(read(spark, sf_dir, "embeddings"), "vec_id", F.col("embedding").cast("array<double>"))
-    return x.groupBy("i").agg(F.round(F.sqrt(F.sum(F.col("v") * F.col("v"))), 6).alias("norm"))
+    return x.groupBy("i").agg(e.rounded(F.sqrt(F.sum(F.col("v") * F.col("v"))), 6).alias("norm"))
 
 
 _EDGES = "(SELECT n_nationkey a, (n_nationkey * 3 + 1) % 25 b FROM nation)"
@@ -174,14 +174,14 @@ def distances(spark, sf_dir):
 def payback(spark, sf_dir):
     """Periods until a user's values have paid back 100."""
     w = t.ordered(BY, BY_TS)
-    ev = read(spark, sf_dir, "events").select("user_id", F.row_number().over(w).cast("long").alias("n"), F.round(t.scan(F.sum, "value", BY, BY_TS), 6).alias("s"))
+    ev = read(spark, sf_dir, "events").select("user_id", F.row_number().over(w).cast("long").alias("n"), e.rounded(t.scan(F.sum, "value", BY, BY_TS), 6).alias("s"))
     return ev.where("s >= 100").groupBy("user_id").agg(F.min("n").alias("periods"))
 
 
 @query(f"SELECT event_id, round(100 * pow(1.05::DOUBLE, row_number() OVER {_W}) % 40), 6) v FROM events")
 def future_value(spark, sf_dir):
     n = F.row_number().over(t.ordered(BY, BY_TS))
-    return read(spark, sf_dir, "events").select("event_id", F.round(100 * F.pow(F.lit(1.05), n % 40), 6).alias("v"))
+    return read(spark, sf_dir, "events").select("event_id", e.rounded(100 * F.pow(F.lit(1.05), n % 40), 6).alias("v"))
 
 
 @query("SELECT event_id, try_cast(json_extract_string(props, '$.k') AS INT) k FROM events")
@@ -197,7 +197,7 @@ def notation_fold(spark, sf_dir):
     from quiver.plans import notation
 
     got = notation.fold(read(spark, sf_dir, "lineitem"), ["l_returnflag"], where="l_quantity>30", s="+/l_extendedprice*1-l_discount", m="|/l_quantity")
-    return got.select("l_returnflag", F.round("s", 2).alias("s"), "m")
+    return got.select("l_returnflag", e.rounded("s", 2).alias("s"), "m")
 
 
 @query("SELECT p_partkey, 2 * (p_size + 1) a, (p_size > 10)::INT b, p_retailprice / p_size c FROM part")

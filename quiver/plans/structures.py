@@ -230,7 +230,7 @@ cell("printable", lambda v: codec.printable(F.transform(F.transform(F.col(v), la
 part("printable_text", lambda: codec.printable("p_type", "string"), "'\"' || p_type || '\"'")
 part("printable_nested", lambda: codec.printable(F.array(F.array(F.col("p_size"), F.lit(1)), F.array(F.col("p_size"))), "array<array<int>>"), "'(' || p_size || ' 1;,' || p_size || ')'")
 cell("path_all", lambda v: c.path(c.reshape(v, 8, 8), None, 5), "[v[i * 8 + 6] FOR i IN range(0, 8)]")
-part("native_cbrt", lambda: F.round(udf.native("libm.so.6", "cbrt", ["double"], "double")(F.col("p_size").cast("double")), 9), "round(cbrt(p_size), 9)")
+part("native_cbrt", lambda: e.rounded(udf.native("libm.so.6", "cbrt", ["double"], "double")(F.col("p_size").cast("double")), 9), "round(cbrt(p_size), 9)")
 part("big_factorial", lambda: bignum.factorial(F.col("p_size") % 30), "factorial(p_size % 30)::VARCHAR")
 part("big_product", lambda: bignum.remainder(bignum.multiply(bignum.power(F.lit(10), F.lit(40)), "p_partkey"), F.lit(97)), "((10000000000::HUGEINT * 10000000000 % 97) * (10000000000::HUGEINT * 10000000000 % 97) * p_partkey % 97)::VARCHAR")
 

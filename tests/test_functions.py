@@ -180,3 +180,13 @@ def test_big_numbers(spark):
 
     assert one(spark, b.power(F.lit(2), F.lit(200))) == str(2**200) and one(spark, b.quotient(F.lit(str(10**30)), F.lit(7))) == str(10**30 // 7)
     assert one(spark, b.add(F.lit(None).cast("string"), F.lit(1))) is None and one(spark, b.quotient(F.lit(1), F.lit(0))) is None
+
+
+def test_rounded_as_sql(spark):
+    import duckdb
+
+    values = [1.0484375, 6.71 / 6.4, 8.942552363499999, 8.9425523635, -0.0703125, 2.675, 1.005, 0.5, -0.5, 1e17, math.inf, -math.inf]
+    for digits in (2, 6, 9):
+        got = [one(spark, e.rounded(F.lit(v), digits)) for v in values]
+        assert got == [duckdb.execute("SELECT round(?::DOUBLE, ?::INT)", [v, digits]).fetchone()[0] for v in values], digits
+    assert one(spark, e.rounded(F.lit(None).cast("double"), 2)) is None and math.isnan(one(spark, e.rounded(F.lit(math.nan), 2)))

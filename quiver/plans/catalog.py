@@ -452,21 +452,21 @@ cell("each_right", lambda v: c.each_right(lambda x, y: F.get(x, 0) + y, v, v), "
 cell("each_left", lambda v: c.each_left(lambda x, y: x - F.get(y, 63), v, v), "[x - v[64] FOR x IN v]")
 cell("each_n", lambda v: c.each_n(lambda x, y, z: x + y * z, v, c.reverse(v), c.rotate(1, v)), "[v[i] + v[65 - i] * v[i % 64 + 1] FOR i IN range(1, 65)]")
 cell("outer_table", lambda v: c.table_of(lambda x, y: x * y, F.transform(c.reshape(v, 8, 8), F.array_max), F.transform(c.reshape(v, 8, 8), F.array_min)), "[[list_max(v[(i - 1) * 8 + 1:i * 8]) * list_min(v[(j - 1) * 8 + 1:j * 8]) FOR j IN range(1, 9)] FOR i IN range(1, 9)]")
-cell("fold_lambda", lambda v: F.round(c.over(lambda a, b: a * 0.5 + b, v), 9), "round(list_reduce(v, lambda a, b: a * 0.5 + b), 9)")
-cell("seeded_fold", lambda v: F.round(c.over(lambda a, b: a + b, v, F.lit(10.0)), 9), "round(list_reduce(list_prepend(10.0::DOUBLE, v), lambda a, b: a + b), 9)")
-cell("fold_many", lambda v: F.round(c.fold_many(lambda a, x, y: a + x * y, F.lit(0.0), v, c.reverse(v)), 9), "round(list_sum(list_transform(range(1, 65), lambda i: v[i] * v[65 - i])), 9)")
-cell("scan_lambda", lambda v: F.transform(c.scan(lambda a, b: a + b, v), lambda x: F.round(x, 9)), "[round(list_sum(v[1:i]), 9) FOR i IN range(1, 65)]")
-cell("scan_seeded", lambda v: F.transform(c.scan(lambda a, b: a + b, v, F.lit(10.0)), lambda x: F.round(x, 9)), "list_prepend(10.0::DOUBLE, [round(10 + list_sum(v[1:i]), 9) FOR i IN range(1, 65)])")
+cell("fold_lambda", lambda v: e.rounded(c.over(lambda a, b: a * 0.5 + b, v), 9), "round(list_reduce(v, lambda a, b: a * 0.5 + b), 9)")
+cell("seeded_fold", lambda v: e.rounded(c.over(lambda a, b: a + b, v, F.lit(10.0)), 9), "round(list_reduce(list_prepend(10.0::DOUBLE, v), lambda a, b: a + b), 9)")
+cell("fold_many", lambda v: e.rounded(c.fold_many(lambda a, x, y: a + x * y, F.lit(0.0), v, c.reverse(v)), 9), "round(list_sum(list_transform(range(1, 65), lambda i: v[i] * v[65 - i])), 9)")
+cell("scan_lambda", lambda v: F.transform(c.scan(lambda a, b: a + b, v), lambda x: e.rounded(x, 9)), "[round(list_sum(v[1:i]), 9) FOR i IN range(1, 65)]")
+cell("scan_seeded", lambda v: F.transform(c.scan(lambda a, b: a + b, v, F.lit(10.0)), lambda x: e.rounded(x, 9)), "list_prepend(10.0::DOUBLE, [round(10 + list_sum(v[1:i]), 9) FOR i IN range(1, 65)])")
 cell("scan_does", lambda v: c.do_scan(5, lambda x: x * 2 + 1, F.floor(F.get(v, 0) * 100).cast("long")), "[floor(v[1] * 100)::BIGINT * (1 << k) + (1 << k) - 1 FOR k IN range(0, 6)]")
 cell("scan_while", lambda v: c.while_scan(lambda x: x < 100, lambda x: x * 2 + 1, F.floor(F.abs(F.get(v, 0)) * 50).cast("long")), "[(floor(abs(v[1]) * 50)::BIGINT + 1) * (1 << k) - 1 FOR k IN range(0, 9) IF k = 0 OR (floor(abs(v[1]) * 50)::BIGINT + 1) * (1 << greatest(k - 1, 0)) - 1 < 100]")
 cell("scan_converge", lambda v: c.converge_scan(lambda x: F.floor(x / 2).cast("long"), F.floor(F.abs(F.get(v, 0)) * 1000).cast("long")), "[floor(abs(v[1]) * 1000)::BIGINT >> k FOR k IN range(0, 12) IF k = 0 OR floor(abs(v[1]) * 1000)::BIGINT >> greatest(k - 1, 0) > 0]")
 cell("converge", lambda v: c.converge(lambda x: F.floor((x + 100) / 2).cast("long"), F.floor(F.abs(F.get(v, 0)) * 50).cast("long")), "99::BIGINT")
-cell("do_over", lambda v: F.round(c.do(5, lambda x: x * 2 + 1, F.get(F.col(v), 0)), 9), "round(v[1] * 32 + 31, 9)")
+cell("do_over", lambda v: e.rounded(c.do(5, lambda x: x * 2 + 1, F.get(F.col(v), 0)), 9), "round(v[1] * 32 + 31, 9)")
 cell("while_over", lambda v: c.while_(lambda x: x < 100, lambda x: x * 2 + 1, F.floor(F.abs(F.get(F.col(v), 0)) * 50).cast("long")), "list_min([(floor(abs(v[1]) * 50)::BIGINT + 1) * (1 << k) - 1 FOR k IN range(0, 8) IF (floor(abs(v[1]) * 50)::BIGINT + 1) * (1 << k) > 100])::BIGINT")
 cell("slide_cell", lambda v: c.slide(lambda x, y: y - x, v), "[v[i + 1] - v[i] FOR i IN range(1, 64)]")
-cell("dot_cell", lambda v: F.round(c.dot(v, c.reverse(v)), 8), "round(list_dot_product(v, list_reverse(v)), 8)")
-cell("mag_cell", lambda v: F.round(c.mag(v), 8), "round(sqrt(list_dot_product(v, v)), 8)")
-cell("poly_value", lambda v: F.round(c.poly(v, F.lit(0.5)), 9), "round(list_reduce(v, lambda a, b: a * 0.5::DOUBLE + b), 9)")
+cell("dot_cell", lambda v: e.rounded(c.dot(v, c.reverse(v)), 8), "round(list_dot_product(v, list_reverse(v)), 8)")
+cell("mag_cell", lambda v: e.rounded(c.mag(v), 8), "round(sqrt(list_dot_product(v, v)), 8)")
+cell("poly_value", lambda v: e.rounded(c.poly(v, F.lit(0.5)), 9), "round(list_reduce(v, lambda a, b: a * 0.5::DOUBLE + b), 9)")
 
 
 @query("SELECT user_id, [x FOR x IN list_transform(['click','error','purchase','signup','view'], lambda y: len(list_filter(l, lambda z: z = y))) ] counts FROM (SELECT user_id, list(event_type) l FROM events GROUP BY 1)")

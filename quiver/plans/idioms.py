@@ -95,12 +95,12 @@ def occurrences(spark, sf_dir):
 
 # ---- series, polynomials, finance ----------------------------------------------------------
 
-cell("taylor_exp", lambda v: F.round(F.aggregate(F.sequence(F.lit(1), F.lit(12)), F.struct(F.lit(1.0).alias("s"), F.lit(1.0).alias("p")), lambda a, i: F.struct((a["s"] + a["p"] * F.get(F.col(v), 0) / i).alias("s"), (a["p"] * F.get(F.col(v), 0) / i).alias("p")))["s"], 8), "round(exp(v[1]), 8)")
-cell("poly_product", lambda v: F.transform(F.sequence(F.lit(0), F.lit(62)), lambda k: F.round(F.aggregate(F.sequence(F.greatest(k - 31, F.lit(0)), F.least(k, F.lit(31))), F.lit(0.0), lambda s, i: s + F.get(v, i) * F.get(v, 32 + k - i)), 9)), "[round(list_sum([v[i + 1] * v[33 + k - i] FOR i IN range(greatest(k - 31, 0), least(k, 31) + 1)]), 9) FOR k IN range(0, 63)]")
+cell("taylor_exp", lambda v: e.rounded(F.aggregate(F.sequence(F.lit(1), F.lit(12)), F.struct(F.lit(1.0).alias("s"), F.lit(1.0).alias("p")), lambda a, i: F.struct((a["s"] + a["p"] * F.get(F.col(v), 0) / i).alias("s"), (a["p"] * F.get(F.col(v), 0) / i).alias("p")))["s"], 8), "round(exp(v[1]), 8)")
+cell("poly_product", lambda v: F.transform(F.sequence(F.lit(0), F.lit(62)), lambda k: e.rounded(F.aggregate(F.sequence(F.greatest(k - 31, F.lit(0)), F.least(k, F.lit(31))), F.lit(0.0), lambda s, i: s + F.get(v, i) * F.get(v, 32 + k - i)), 9)), "[round(list_sum([v[i + 1] * v[33 + k - i] FOR i IN range(greatest(k - 31, 0), least(k, 31) + 1)]), 9) FOR k IN range(0, 63)]")
 cell("derivative", lambda v: F.transform(c.drop(-1, v), lambda x, i: x * (63 - i)), "[v[i] * (64 - i) FOR i IN range(1, 64)]")
-cell("present_value", lambda v: F.round(F.aggregate(F.transform(v, lambda x, i: x / F.pow(F.lit(1.05), i)), F.lit(0.0), lambda a, x: a + x), 8), "round(list_sum([v[i] / pow(1.05::DOUBLE, i - 1) FOR i IN range(1, 65)]), 8)")
-cell("compound", lambda v: F.round(F.aggregate(v, F.lit(1.0), lambda a, x: a * (1 + x / 100)), 10), "round(list_product([1 + x / 100 FOR x IN v]), 10)")
-cell("mean_cell", lambda v: F.round(F.aggregate(F.col(v), F.lit(0.0), lambda a, x: a + x) / F.size(v), 9), "round(list_avg(v), 9)")
+cell("present_value", lambda v: e.rounded(F.aggregate(F.transform(v, lambda x, i: x / F.pow(F.lit(1.05), i)), F.lit(0.0), lambda a, x: a + x), 8), "round(list_sum([v[i] / pow(1.05::DOUBLE, i - 1) FOR i IN range(1, 65)]), 8)")
+cell("compound", lambda v: e.rounded(F.aggregate(v, F.lit(1.0), lambda a, x: a * (1 + x / 100)), 10), "round(list_product([1 + x / 100 FOR x IN v]), 10)")
+cell("mean_cell", lambda v: e.rounded(F.aggregate(F.col(v), F.lit(0.0), lambda a, x: a + x) / F.size(v), 9), "round(list_avg(v), 9)")
 cell("max_index", lambda v: c.find(v, F.array_max(F.col(v))), "(list_position(v, list_max(v)) - 1)::BIGINT")
 cell("sort_cell", lambda v: F.array_sort(v), "list_sort(v)")
 cell("cumulative_max", lambda v: c.scan(lambda a, b: F.greatest(a, b), v), "[list_max(v[1:i]) FOR i IN range(1, 65)]")
@@ -110,7 +110,7 @@ cell("merge_by_mask", lambda v: F.zip_with(c.take(32, v), c.drop(32, v), lambda
 cell("all_positive", lambda v: F.forall(F.col(v), lambda x: x > -1).cast("int"), "(list_min(v) > -1)::INT")
 cell("diagonal", lambda v: F.transform(c.reshape(v, 8, 8), lambda r, i: F.get(r, i)), "[v[(i - 1) * 9 + 1] FOR i IN range(1, 9)]")
 cell("upper_triangle", lambda v: F.transform(c.reshape(v, 8, 8), lambda r, i: F.transform(r, lambda x, j: F.when(j >= i, x).otherwise(0.0))), "[[CASE WHEN j >= i THEN v[(i - 1) * 8 + j] ELSE 0.0::DOUBLE END FOR j IN range(1, 9)] FOR i IN range(1, 9)]")
-cell("row_sums", lambda v: F.transform(c.reshape(v, 8, 8), lambda r: F.round(F.aggregate(r, F.lit(0.0), lambda a, x: a + x), 9)), "[round(list_sum(v[(i - 1) * 8 + 1:i * 8]), 9) FOR i IN range(1, 9)]")
+cell("row_sums", lambda v: F.transform(c.reshape(v, 8, 8), lambda r: e.rounded(F.aggregate(r, F.lit(0.0), lambda a, x: a + x), 9)), "[round(list_sum(v[(i - 1) * 8 + 1:i * 8]), 9) FOR i IN range(1, 9)]")
 part("multiplication_table", lambda: c.table_of(lambda a, b: a * b, F.sequence(F.lit(1), F.lit(5)), F.sequence(F.lit(1), F.col("p_size"))), "[[(a * b)::INT FOR b IN range(1, p_size + 1)] FOR a IN range(1, 6)]")
 part("identity_matrix", lambda: c.table_of(lambda a, b: (a == b).cast("int"), c.index(F.col("p_size") % 4 + 1), c.index(F.col("p_size") % 4 + 1)), "[[(a = b)::INT FOR b IN range(0, p_size % 4 + 1)] FOR a IN range(0, p_size % 4 + 1)]")
 part("hilbert", lambda: c.table_of(lambda a, b: e.rounded(1 / (a + b + 1), 9), c.index(F.col("p_size") % 5 + 1), c.index(F.col("p_size") % 5 + 1)), "[[round(1 / (a + b + 1), 9) FOR b IN range(0, p_size % 5 + 1)] FOR a IN range(0, p_size % 5 + 1)]")
@@ -119,9 +119,9 @@ cell("saddle", lambda v: F.filter(F.transform(v, lambda x, k: F.when((x == F.arr
 part("pascal", lambda: F.transform(F.sequence(F.lit(0), F.col("p_size") % 12), lambda k: e.choose(F.col("p_size") % 12, k).cast("long")), "[round(gamma(p_size % 12 + 1) / (gamma(k + 1) * gamma(p_size % 12 - k + 1)))::BIGINT FOR k IN range(0, p_size % 12 + 1)]")
 part("quadratic_roots", lambda: F.transform(F.array(F.lit(-1), F.lit(1)), lambda s: e.rounded((F.col("p_size") + s * F.sqrt(F.col("p_size") * F.col("p_size") + 4.0)) / 2, 8)), "[round((p_size - sqrt(p_size * p_size + 4)) / 2, 8), round((p_size + sqrt(p_size * p_size + 4)) / 2, 8)]")
 part("annuity", lambda: e.rounded(F.lit(0.08) / (1 - F.pow(F.lit(1.08), -F.col("p_size").cast("double"))), 9), "round(0.08::DOUBLE / (1 - pow(1.08::DOUBLE, -p_size)), 9)")
-cell("fifo", lambda v: F.transform(c.slide(lambda a, b: b - a, F.concat(F.array(F.lit(0.0)), F.transform(c.scan(lambda a, b: a + b, F.transform(v, F.abs)), lambda x: F.greatest(x - 2, F.lit(0.0))))), lambda x: F.round(x, 9) + 0.0), "[round(greatest(list_sum([abs(x) FOR x IN v[1:i]]) - 2, 0) - greatest(coalesce(list_sum([abs(x) FOR x IN v[1:i - 1]]), 0) - 2, 0), 9) + 0.0::DOUBLE FOR i IN range(1, 65)]")
+cell("fifo", lambda v: F.transform(c.slide(lambda a, b: b - a, F.concat(F.array(F.lit(0.0)), F.transform(c.scan(lambda a, b: a + b, F.transform(v, F.abs)), lambda x: F.greatest(x - 2, F.lit(0.0))))), lambda x: e.rounded(x, 9) + 0.0), "[round(greatest(list_sum([abs(x) FOR x IN v[1:i]]) - 2, 0) - greatest(coalesce(list_sum([abs(x) FOR x IN v[1:i - 1]]), 0) - 2, 0), 9) + 0.0::DOUBLE FOR i IN range(1, 65)]")
 cell("reverse_infixes", lambda v: c.reverse_infixes(v, [10, 50, 4]), "list_concat(list_concat(list_reverse(v[1:10]), list_reverse(v[11:60])), list_reverse(v[61:64]))")
-cell("infix_sums", lambda v: F.transform(c.partition_sums(v, F.transform(v, lambda _, i: (i % 16 == 0).cast("int"))), lambda x: F.round(x, 9)), "[round(list_sum(v[i * 16 + 1:i * 16 + 16]), 9) FOR i IN range(0, 4)]")
+cell("infix_sums", lambda v: F.transform(c.partition_sums(v, F.transform(v, lambda _, i: (i % 16 == 0).cast("int"))), lambda x: e.rounded(x, 9)), "[round(list_sum(v[i * 16 + 1:i * 16 + 16]), 9) FOR i IN range(0, 4)]")
 cell("spread_heads", lambda v: c.spread(v, F.array(F.lit(3), F.lit(1)), 5, F.lit(0.0)), "[0.0::DOUBLE, v[2], 0.0::DOUBLE, v[1], 0.0::DOUBLE]")
 cell("scattered_index", lambda v: F.array(*[c.path(c.reshape(v, 8, 8), i, j) for i, j in ((0, 7), (3, 3), (7, 0))]), "[v[8], v[28], v[57]]")
 cell("raveled_index", lambda v: F.array(F.floor(c.find(v, F.array_max(v)) / 8).cast("long"), c.find(v, F.array_max(v)) % 8), "[((list_position(v, list_max(v)) - 1) // 8)::BIGINT, ((list_position(v, list_max(v)) - 1) % 8)::BIGINT]")

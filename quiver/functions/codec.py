@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -81,71 +82,103 @@ def printable(a, kind: str) -> Column:
 
 #: Widths of codes, the code that clears the table, and its size.
 NARROW, WIDE, CLEAR, TABLE = 9, 12, 256, 4096
+#: Codes between two clears, the clearing one included, and the single bytes.
+ROUND, SINGLE = TABLE - CLEAR + 1, [bytes([i]) for i in range(256)] + [b""]
 
 
-def lzw_pack(data: bytes) -> bytes:
+def _places():
+    """Widths and ends in bits of the codes of two rounds, after which a byte is full:
+    a code's width follows from its place alone."""
+    following = np.append(np.arange(CLEAR + 1, TABLE + 1), TABLE)
+    widths = np.tile(NARROW + sum((following > 1 << w).astype(int) for w in range(NARROW, WIDE)), 2)
+    return widths, widths.cumsum()
+
+
+_WIDTHS, _ENDS = _places()
+_BITS = np.arange(WIDE, dtype=np.int32)
+_USED = _BITS < _WIDTHS[:, None]
+
+
+def _packed(keys: list[int]) -> bytes:
+    """The codes of at most two rounds, each above the eight bits of a next byte."""
+    codes = np.array(keys, np.int32) >> 8
+    bits = (codes[:, None] >> _BITS & 1).astype(np.uint8)[_USED[: len(codes)]]
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def lzw_table() -> list[int]:
+    """An empty table of the packer: by code and next byte, the longer run's code."""
+    return [0] * (TABLE << 8)
+
+
+def lzw_pack(data: bytes, table: list[int] | None = None) -> bytes:
     """Codes of growing width for the longest runs met before; a full table is
-    cleared.  The length of the data goes ahead, in four bytes."""
-    table, width, out, bits, held = {bytes([i]): i for i in range(256)}, NARROW, bytearray(len(data).to_bytes(4, "little")), 0, 0
-    following = CLEAR + 1
-
-    def put(code):
-        nonlocal bits, held
-        held |= code << bits
-        bits += width
-        while bits >= 8:
-            out.append(held & 255)
-            held >>= 8
-            bits -= 8
-
-    run = b""
-    for i in range(len(data)):
-        longer = run + data[i : i + 1]
-        if longer in table:
+    cleared.  The length of the data goes ahead, in four bytes.  Codes are held
+    shifted by a byte; a given table comes empty and is left empty."""
+    out, keys, start, full = bytearray(len(data).to_bytes(4, "little")), [], CLEAR + 1 << 8, TABLE << 8
+    if not data:
+        return bytes(out)
+    table, put, following = lzw_table() if table is None else table, keys.append, start
+    rest = iter(data)
+    run = next(rest) << 8
+    for byte in rest:
+        key = run | byte
+        longer = table[key]
+        if longer:
             run = longer
             continue
-        put(table[run])
-        if following < TABLE:
-            table[longer] = following
-            following += 1
-            if following > 1 << width and width < WIDE:
-                width += 1
+        put(key)
+        if following < full:
+            table[key] = following
+            following += 256
         else:
-            put(CLEAR)
-            table, width, following = {bytes([i]): i for i in range(256)}, NARROW, CLEAR + 1
-        run = data[i : i + 1]
-    if run:
-        put(table[run])
-    if bits:
-        out.append(held & 255)
-    return bytes(out)
+            put(CLEAR << 8)
+            for key in keys[-ROUND:]:
+                table[key] = 0
+            following = start
+            if len(keys) == 2 * ROUND:
+                out += _packed(keys)
+                keys.clear()
+        run = byte << 8
+    for key in keys[-ROUND:]:
+        table[key] = 0
+    put(run)
+    return bytes(out + _packed(keys))
 
 
 def lzw_unpack(blob: bytes) -> bytes:
-    size, at, held, bits, width = int.from_bytes(blob[:4], "little"), 4, 0, 0, NARROW
-    table, following, before, out = {i: bytes([i]) for i in range(256)}, CLEAR + 1, b"", bytearray()
-    while len(out) < size:
-        while bits < width:
-            held |= blob[at] << bits
-            at, bits = at + 1, bits + 8
-        code, held, bits = held & ((1 << width) - 1), held >> width, bits - width
-        if code == CLEAR:
-            table, following, before, width = {i: bytes([i]) for i in range(256)}, CLEAR + 1, b"", NARROW
-            continue
-        run = table[code] if code in table else before + before[:1]
-        out += run
-        if before and following < TABLE:
-            table[following] = before + run[:1]
-            following += 1
-        # the packer is one entry ahead
-        if following + 1 > 1 << width and width < WIDE and following < TABLE:
-            width += 1
-        before = run
-    return bytes(out)
+    size, whole, parts = int.from_bytes(blob[:4], "little"), int(_ENDS[-1]) // 8, []
+    for at in range(4, len(blob), whole):
+        piece = blob[at : at + whole]
+        n = int(_ENDS.searchsorted(8 * len(piece), "right"))
+        held, starts = np.frombuffer(piece + bytes(2), np.uint8).astype(np.int32), _ENDS[:n] - _WIDTHS[:n]
+        byte = starts >> 3
+        codes = ((held[byte] | held[byte + 1] << 8 | held[byte + 2] << 16) >> (starts & 7) & (1 << _WIDTHS[:n]) - 1).tolist()
+        for first in range(0, n, ROUND):
+            some = codes[first : first + ROUND - 1]
+            table = SINGLE.copy()
+            learn, before = table.append, table[some[0]]
+            for code in some[1:]:
+                try:
+                    run = table[code]
+                except IndexError:  # the run that is just being learnt
+                    run = before + before[:1]
+                learn(before + run[:1])
+                before = run
+            parts += map(table.__getitem__, some)
+    out = b"".join(parts)
+    if len(out) != size:
+        raise ValueError("length")
+    return out
 
 
 def lzw(a) -> Column:
-    return _each(lzw_pack, col(a).cast("binary"))
+    @F.pandas_udf("binary")
+    def run(s: pd.Series) -> pd.Series:
+        table = lzw_table()
+        return s.map(lambda b: lzw_pack(bytes(b), table), na_action="ignore")
+
+    return run(col(a).cast("binary"))
 
 
 def unlzw(a) -> Column:
